@@ -7,13 +7,34 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basinflow.llm import minhash, packing, sharding, warc
+from basinflow.llm import langid, minhash, packing, quality, sharding, toxicity, warc
+from basinflow.llm.sampling import held_out
+from basinflow.sources.shared import materialise
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    chain = toxicity.train_on_labels(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, chain, toxicity.CATEGORIES)
+
+
+def op2_ppm_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    trees = langid.train(docs.where(~held_out("doc_id", 5, 0) & F.col("doc_id").isNotNull()))
+    return langid.score(docs, trees).withColumn("held_out", held_out("doc_id", 5, 0)).select("doc_id", "held_out", "lang_pred", "score", "bits_per_byte")
+
+
+def op5_quality_discriminant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stats = materialise(quality.document_statistics(table(spark, sf_dir, "documents")), "statistics")
+    learned = table(spark, sf_dir, "labels").where(~held_out("doc_id", 5, 0))
+    model = quality.train(stats, learned.select(F.col("doc_id").alias("doc"), F.col("quality").alias("label")))
+    return quality.score(stats, model).select("doc_id", held_out("doc_id", 5, 0).alias("held_out"), "score", "predicted")
+
+
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicate_groups(table(spark, sf_dir, "documents"))
 
@@ -41,6 +62,9 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity_chain": op1_toxicity_chain,
+    "op2_ppm_language": op2_ppm_language,
+    "op5_quality_discriminant": op5_quality_discriminant,
     "op7_minhash_near_dedup": op7_minhash_near_dedup,
     "op8_hilbert_sharding": op8_hilbert_sharding,
     "op9_lexical_packing": op9_lexical_packing,

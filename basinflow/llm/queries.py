@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basinflow.llm import langid, minhash, packing, quality, sharding, toxicity, warc
+from basinflow.llm import decontam, langid, minhash, packing, quality, sharding, toxicity, warc
 from basinflow.llm.sampling import held_out
 from basinflow.sources.shared import materialise
 
@@ -35,6 +35,10 @@ def op5_quality_discriminant(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(stats, model).select("doc_id", held_out("doc_id", 5, 0).alias("held_out"), "score", "predicted")
 
 
+def op6_bm25_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicate_groups(table(spark, sf_dir, "documents"))
 
@@ -65,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity_chain": op1_toxicity_chain,
     "op2_ppm_language": op2_ppm_language,
     "op5_quality_discriminant": op5_quality_discriminant,
+    "op6_bm25_decontamination": op6_bm25_decontamination,
     "op7_minhash_near_dedup": op7_minhash_near_dedup,
     "op8_hilbert_sharding": op8_hilbert_sharding,
     "op9_lexical_packing": op9_lexical_packing,

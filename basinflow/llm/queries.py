@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basinflow.llm import decontam, langid, minhash, packing, quality, sharding, toxicity, warc
-from basinflow.llm.sampling import held_out
+from basinflow.llm import decontam, langid, lm, minhash, packing, quality, sharding, toxicity, warc
+from basinflow.llm.sampling import fold, held_out
 from basinflow.sources.shared import materialise
 
 
@@ -28,6 +28,11 @@ def op2_ppm_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.score(docs, trees).withColumn("held_out", held_out("doc_id", 5, 0)).select("doc_id", "held_out", "lang_pred", "score", "bits_per_byte")
 
 
+def op3_backoff_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = lm.score(table(spark, sf_dir, "documents"), fold("doc_id", 7) != 2)
+    return scored.select("doc_id", held_out("doc_id", 7, 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op5_quality_discriminant(spark: SparkSession, sf_dir: str) -> DataFrame:
     stats = materialise(quality.document_statistics(table(spark, sf_dir, "documents")), "statistics")
     learned = table(spark, sf_dir, "labels").where(~held_out("doc_id", 5, 0))
@@ -68,6 +73,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity_chain": op1_toxicity_chain,
     "op2_ppm_language": op2_ppm_language,
+    "op3_backoff_automaton": op3_backoff_automaton,
     "op5_quality_discriminant": op5_quality_discriminant,
     "op6_bm25_decontamination": op6_bm25_decontamination,
     "op7_minhash_near_dedup": op7_minhash_near_dedup,

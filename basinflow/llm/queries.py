@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basinflow.llm import decontam, langid, lm, minhash, packing, quality, sharding, toxicity, warc
+from basinflow.llm import ann, decontam, langid, lm, minhash, packing, quality, sharding, toxicity, warc
 from basinflow.llm.sampling import fold, held_out
 from basinflow.sources.shared import materialise
 
@@ -33,6 +33,11 @@ def op3_backoff_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out("doc_id", 7, 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op4_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return ann.nearest(vectors, vectors.where(F.col("vec_id") % 100 == 0), k=10)
+
+
 def op5_quality_discriminant(spark: SparkSession, sf_dir: str) -> DataFrame:
     stats = materialise(quality.document_statistics(table(spark, sf_dir, "documents")), "statistics")
     learned = table(spark, sf_dir, "labels").where(~held_out("doc_id", 5, 0))
@@ -74,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity_chain": op1_toxicity_chain,
     "op2_ppm_language": op2_ppm_language,
     "op3_backoff_automaton": op3_backoff_automaton,
+    "op4_hnsw": op4_hnsw,
     "op5_quality_discriminant": op5_quality_discriminant,
     "op6_bm25_decontamination": op6_bm25_decontamination,
     "op7_minhash_near_dedup": op7_minhash_near_dedup,

@@ -30,6 +30,14 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/basinflow/{name}-{uuid.uuid4().hex}"
 
 
+def few_files(df: DataFrame, per_core: int = 4) -> DataFrame:
+    """``df`` in at most ``per_core`` partitions per core of the cluster, without a shuffle.
+
+    Writing many partitions of a few rows each costs more in file creation than in work.
+    """
+    return df.coalesce(per_core * df.sparkSession.sparkContext.defaultParallelism)
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet under the shared folder and read it back.
 
@@ -37,7 +45,7 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = fresh_path(spark, name)
-    df.write.parquet(path)
+    few_files(df).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from basinflow.llm import ann, decontam, langid, lm, minhash, packing, quality, sharding, toxicity, warc
 from basinflow.llm.sampling import fold, held_out
-from basinflow.sources.shared import materialise
+from basinflow.sources.shared import few_files, materialise
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,7 +50,7 @@ def op6_bm25_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.near_duplicate_groups(table(spark, sf_dir, "documents"))
+    return few_files(minhash.near_duplicate_groups(table(spark, sf_dir, "documents")))
 
 
 def op8_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,7 +72,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     folder = warc.archive_folder(pages)
     index = warc.write_archives(pages, folder)
-    return warc.read_archives(index, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return few_files(warc.read_archives(index, folder)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -13,6 +13,9 @@ shuffled to hash buckets; a bucket adds them up and sends each block the totals
 and contexts that occur in it.  A block then holds the part of the automaton its texts can reach.
 n-grams of order n are counted only where both their parts of order n - 1 were kept, which loses
 none, as an n-gram is never more frequent than its parts.
+
+n-grams are told apart by hashes: words by 64 bits, longer ones by 48 bits within what a block or a
+bucket holds, where two of a few million share one with a probability below one in ten million each.
 """
 
 from __future__ import annotations
@@ -24,13 +27,14 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
+import zstandard
 from pyarrow import fs
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from basinflow.llm import textkit as tk
-from basinflow.sources.shared import fresh_path, materialise, remove
+from basinflow.sources.shared import fresh_path, materialise
 
 #: The hash of the token that ends every text and stands before its first word.
 END = np.uint64(0x51A9C0DE5EED0E4D)
@@ -75,12 +79,44 @@ class Level:
 
 
 def extend(keys: np.ndarray, tokens: np.ndarray) -> np.ndarray:
-    """Keys of n-grams one longer: ``keys`` of those before the last token of each."""
-    out = keys.copy()
-    out[1:] = tk.mix64(keys[:-1] * tk.MIX[0] + tokens[1:])
+    """48-bit keys of n-grams one longer: ``keys`` of those before the last token of each."""
+    out = keys >> np.uint64(16)
+    out[1:] = tk.mix64(keys[:-1] * tk.MIX[0] + tokens[1:]) >> np.uint64(16)
     return out
 
 
+def packed_keys(keys: np.ndarray, order: int) -> np.ndarray:
+    """Keys as rows of bytes: eight for words, six for longer n-grams."""
+    return np.ascontiguousarray(keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, : 8 if order == 1 else 6])
+
+
+def unpacked_keys(raw: bytes, order: int) -> np.ndarray:
+    """The keys of a compressed run of :func:`packed_keys`."""
+    width = 8 if order == 1 else 6
+    rows = np.frombuffer(unpack(raw), dtype=np.uint8).reshape(-1, width)
+    out = np.zeros((len(rows), 8), dtype=np.uint8)
+    out[:, :width] = rows
+    return out.reshape(-1).view("<u8").astype(np.uint64)
+
+
+def pack(values: np.ndarray) -> bytes:
+    """Compressed bytes of an array, whose first byte tells the width of an element."""
+    return bytes([values.itemsize]) + zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(values).data)
+
+
+def unpack(raw: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(raw[1:])
+
+
+def pack_counts(values: np.ndarray) -> bytes:
+    """Counts in the narrowest unsigned type that holds the largest of them."""
+    return pack(values.astype(np.min_scalar_type(int(values.max()) if len(values) else 0)))
+
+
+def unpack_counts(raw: bytes) -> np.ndarray:
+    return np.frombuffer(unpack(raw), dtype=f"u{raw[0]}").astype(np.int64)
+
+
 def walk(tokens: np.ndarray, begins: np.ndarray, levels: list[Level], p: LMParams) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
     """(order, keys, positions in ``levels``, candidates of the next order) for each order in turn.
 
@@ -170,28 +206,26 @@ def _add_up(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return found, np.bincount(at, weights=counts, minlength=len(found)).astype(np.int64), first
 
 
-def _binary(values: np.ndarray, cuts: np.ndarray) -> pa.Array:
-    """Slices of an array as binary values, without a copy for each."""
-    offsets = pa.py_buffer((cuts * values.itemsize).astype(np.int32).tobytes())
-    return pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [None, offsets, pa.py_buffer(values.tobytes())])
-
-
 COUNTS = "bucket int, block long, keys binary, contexts binary, counts binary, asked binary"
 TOTALS = "block long, level int, keys binary, counts binary, covered binary, arcs binary, tokens long, types long"
 
 
-def _emit(block: int, buckets: int, keys: np.ndarray, counts: np.ndarray, spread: np.ndarray, contexts: np.ndarray | None, asked: np.ndarray | None, asked_spread: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+def _emit(block: int, buckets: int, order: int, keys: np.ndarray, counts: np.ndarray, spread: np.ndarray, contexts: np.ndarray | None, asked: np.ndarray | None, asked_spread: np.ndarray | None) -> Iterator[pa.RecordBatch]:
     """One row per bucket for the n-grams and one for the contexts asked about; n-grams of one
     context stand together, so that contexts compress well."""
-    for values, place in (((keys, contexts, counts.astype(np.uint32), None), spread), ((None, None, None, asked), asked_spread)):
+    for place, grams in ((spread, True), (asked_spread, False)):
         if place is None or not len(place):
             continue
         bucket = (((place >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int32)
-        order = np.argsort(bucket, kind="stable") if values[1] is None else np.lexsort((contexts, bucket))
-        found, starts = np.unique(bucket[order], return_index=True)
-        cuts = np.append(starts, len(order))
-        packed = [pa.nulls(len(found), pa.binary()) if x is None else _binary(x[order], cuts) for x in values]
-        yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(np.full(len(found), block, dtype=np.int64)), *packed], names=["bucket", "block", "keys", "contexts", "counts", "asked"])
+        at = np.lexsort((contexts, bucket)) if grams and contexts is not None else np.argsort(bucket, kind="stable")
+        found, starts = np.unique(bucket[at], return_index=True)
+        columns: dict[str, list[bytes | None]] = {k: [] for k in ("keys", "contexts", "counts", "asked")}
+        for part in np.split(at, starts[1:]):
+            columns["keys"].append(pack(packed_keys(keys[part], order)) if grams else None)
+            columns["contexts"].append(pack(packed_keys(contexts[part], order - 1)) if grams and contexts is not None else None)
+            columns["counts"].append(pack_counts(counts[part]) if grams else None)
+            columns["asked"].append(None if grams else pack(packed_keys(asked[part], order - 1)))
+        yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(np.full(len(found), block, dtype=np.int64)), *(pa.array(c, type=pa.binary()) for c in columns.values())], names=["bucket", "block", *columns])
 
 
 def _count_batches(batches: Iterator[pa.RecordBatch], store: str | None, order: int, buckets: int, p: LMParams) -> Iterator[pa.RecordBatch]:
@@ -215,21 +249,23 @@ def _count_batches(batches: Iterator[pa.RecordBatch], store: str | None, order:
         keys, n, context, size = (np.concatenate(x) for x in zip(*parts, strict=True))
         keys, n, first = _add_up(keys, n)
         if order == 1:
-            yield from _emit(block, buckets, keys, n, tk.mix64(keys), None, None, None)
+            yield from _emit(block, buckets, order, keys, n, tk.mix64(keys), None, None, None)
             continue
         context, salt = context[first], keys % (size[first] // p.hot + 1).astype(np.uint64)
         states = levels[-1].counts >= p.least
         copies = levels[-1].counts[states] // p.hot + 1
         asked = np.repeat(levels[-1].keys[states], copies)
         salts = (np.arange(len(asked)) - np.repeat(np.cumsum(copies) - copies, copies)).astype(np.uint64)
-        yield from _emit(block, buckets, keys, n, tk.mix64(context + salt * tk.MIX[2]), context, asked, tk.mix64(asked + salts * tk.MIX[2]))
+        yield from _emit(block, buckets, order, keys, n, tk.mix64(context + salt * tk.MIX[2]), context, asked, tk.mix64(asked + salts * tk.MIX[2]))
 
 
 def _total_bucket(table: pa.Table, order: int, p: LMParams) -> pa.Table:
     """Add up one bucket and answer every block: totals of its n-grams and what its contexts' arcs cover."""
     blocks = table.column("block").to_pylist()
-    unpack = lambda c, t: [np.frombuffer(x or b"", dtype=t) for x in table.column(c).to_pylist()]
-    keys, counts = unpack("keys", np.uint64), unpack("counts", np.uint32)
+    none = np.zeros(0, dtype=np.uint64)
+    keys_of = lambda c, n: [none if x is None else unpacked_keys(x, n) for x in table.column(c).to_pylist()]
+    keys = keys_of("keys", order)
+    counts = [none if x is None else unpack_counts(x) for x in table.column("counts").to_pylist()]
     ends = np.cumsum([0] + [len(k) for k in keys])
     found, first, at = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
     total = np.bincount(at, weights=np.concatenate(counts), minlength=len(found)).astype(np.int64)
@@ -239,18 +275,18 @@ def _total_bucket(table: pa.Table, order: int, p: LMParams) -> pa.Table:
         mine = at[ends[k] : ends[k + 1]]
         mine = mine[kept[mine]]
         if len(mine):
-            rows.append((block, order, found[mine].tobytes(), total[mine].tobytes(), None, None, None, None))
+            rows.append((block, order, pack(packed_keys(found[mine], order)), pack_counts(total[mine]), None, None, None, None))
     if order == 1:
         rows.append((0, 0, None, None, None, None, int(total.sum()), int(kept.sum())))
     elif kept.any():
-        state, place = np.unique(np.concatenate(unpack("contexts", np.uint64))[first[kept]], return_inverse=True)
+        state, place = np.unique(np.concatenate(keys_of("contexts", order - 1))[first[kept]], return_inverse=True)
         covered = np.bincount(place, weights=total[kept], minlength=len(state)).astype(np.int64)
         arcs = np.bincount(place, minlength=len(state)).astype(np.int64)
-        for block, asked in zip(blocks, unpack("asked", np.uint64), strict=True):
+        for block, asked in zip(blocks, keys_of("asked", order - 1), strict=True):
             spot = np.minimum(np.searchsorted(state, asked), len(state) - 1)
             hit = state[spot] == asked
             if hit.any():
-                rows.append((block, 1 - order, asked[hit].tobytes(), None, covered[spot[hit]].tobytes(), arcs[spot[hit]].tobytes(), None, None))
+                rows.append((block, 1 - order, pack(packed_keys(asked[hit], order - 1)), None, pack_counts(covered[spot[hit]]), pack_counts(arcs[spot[hit]]), None, None))
     columns = list(zip(*rows, strict=True)) or [()] * 8
     kinds = [pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int64()]
     return pa.Table.from_arrays([pa.array(c, type=t) for c, t in zip(columns, kinds, strict=True)], names=[x.split()[0] for x in TOTALS.split(", ")])
@@ -274,15 +310,15 @@ def load_levels(store: str, block: int, upto: int) -> list[Level]:
         level = levels[order - 1]
         grams = got.get(order, [])
         if grams:
-            keys = np.concatenate([np.frombuffer(r["keys"], dtype=np.uint64) for r in grams])
-            counts = np.concatenate([np.frombuffer(r["counts"], dtype=np.int64) for r in grams])
+            keys = np.concatenate([unpacked_keys(r["keys"], order) for r in grams])
+            counts = np.concatenate([unpack_counts(r["counts"]) for r in grams])
             level.keys, first = np.unique(keys, return_index=True)
             level.counts = counts[first]
         level.covered, level.arcs = np.zeros(len(level.keys), dtype=np.int64), np.zeros(len(level.keys), dtype=np.int64)
         for row in got.get(-order, []):
-            at = np.searchsorted(level.keys, np.frombuffer(row["keys"], dtype=np.uint64))
-            np.add.at(level.covered, at, np.frombuffer(row["covered"], dtype=np.int64))
-            np.add.at(level.arcs, at, np.frombuffer(row["arcs"], dtype=np.int64))
+            at = np.searchsorted(level.keys, unpacked_keys(row["keys"], order))
+            np.add.at(level.covered, at, unpack_counts(row["covered"]))
+            np.add.at(level.arcs, at, unpack_counts(row["arcs"]))
     return levels
 
 

@@ -1,11 +1,85 @@
-"""A corpus pipeline of the training-data operators."""
+"""A corpus pipeline: toxicity, quality, near-duplicates, benchmark passages, packing.
 
-STAGES = []
+Every stage takes all documents that the one before it kept and returns documents with the same
+columns, the last one the packed pieces.  Rows are told apart by id and text together, so rows without
+an id and rows that share one are judged each by its own text; null texts count as empty.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from basinflow.llm import decontam, minhash, packing, quality, queries, toxicity
+from basinflow.sources.shared import materialise
+
+
+def as_rows(docs: DataFrame) -> DataFrame:
+    """``row`` (all columns, under neutral names) and ``text``: what scoring carries along."""
+    return docs.select(F.struct(*[docs[c].alias(f"c{k}") for k, c in enumerate(docs.columns)]).alias("row"), docs["text"])
+
+
+def from_rows(scored: DataFrame, docs: DataFrame) -> DataFrame:
+    return scored.select(*[F.col(f"row.c{k}").alias(c) for k, c in enumerate(docs.columns)])
+
+
+def key(docs: DataFrame) -> Column:
+    """Orders by id, rows without one last."""
+    return F.struct(docs["doc_id"].isNull().alias("missing"), docs["doc_id"].alias("id"), F.xxhash64(docs["text"]).alias("hash"))
+
+
+def matching(docs: DataFrame, keys: DataFrame) -> Column:
+    return docs["doc_id"].eqNullSafe(keys["id"]) & (F.xxhash64(docs["text"]) == keys["hash"])
+
+
+def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier chain, trained on the labelled ones among them, does not reject."""
+    chain = toxicity.train_on_labels(docs, queries.table(spark, sf_dir, "labels"))
+    return from_rows(toxicity.score(as_rows(docs), chain, toxicity.CATEGORIES, id_col="row").where(~F.col("toxic")), docs)
+
+
+def of_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the discriminant, trained on the labelled ones among them, predicts as good."""
+    labels = queries.table(spark, sf_dir, "labels").select(F.col("doc_id").alias("doc"), F.col("quality").alias("label"))
+    labelled = docs.select("doc_id", "text").join(labels.select(F.col("doc").alias("doc_id")), "doc_id", "left_semi")
+    model = quality.train(quality.document_statistics(labelled), labels)
+    scored = quality.score(quality.document_statistics(as_rows(docs), id_col="row"), model, id_col="row")
+    return from_rows(scored.where("predicted = 1"), docs)
+
+
+def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each near-duplicate group; of rows equal in id and text one."""
+    groups = minhash.near_duplicate_groups(docs.select(key(docs).alias("key"), docs["text"]), id_col="key")
+    kept = groups.where("kept").select("key.id", "key.hash")
+    return docs.join(kept, matching(docs, kept), "left_semi").dropDuplicates(["doc_id", "text"])
+
+
+def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which no benchmark item was found."""
+    pairs = decontam.contaminated(docs.select(key(docs).alias("key"), docs["text"]), queries.table(spark, sf_dir, "benchmark"), id_col="key")
+    found = pairs.select("key.id", "key.hash").distinct()
+    return docs.join(found, matching(docs, found), "left_anti")
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of training sequences that hold every remaining document."""
+    return queries.digest_pieces(packing.pack(docs))
+
+
+STAGES = [
+    ("toxicity", without_toxic),
+    ("quality", of_quality),
+    ("near_duplicates", without_near_copies),
+    ("decontamination", without_benchmark),
+    ("packing", packed),
+]
+#: Trained models and retrieval cannot be written as SQL; the stages are tested against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``, each one's result written and read again."""
+    docs = queries.table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = materialise(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

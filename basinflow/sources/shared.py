@@ -30,12 +30,26 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/basinflow/{name}-{uuid.uuid4().hex}"
 
 
-def few_files(df: DataFrame, per_core: int = 4) -> DataFrame:
-    """``df`` in at most ``per_core`` partitions per core of the cluster, without a shuffle.
+ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def small_arrow_batches(spark: SparkSession, size: str = "4m") -> None:
+    """Bound the bytes of text that a Python task holds at once, unless the session has a bound of its own.
+
+    Spark's default of 64 MB is held several times over, on both sides of the pipe and for every core.
+    """
+    if spark.conf.get(ARROW_BYTES, None) is None:
+        spark.conf.set(ARROW_BYTES, size)
+
+
+def few_files(df: DataFrame) -> DataFrame:
+    """``df`` in fewer partitions, without a shuffle: an eighth of the session's shuffle partitions, but
+    two per core of the cluster at least.
 
     Writing many partitions of a few rows each costs more in file creation than in work.
     """
-    return df.coalesce(per_core * df.sparkSession.sparkContext.defaultParallelism)
+    spark = df.sparkSession
+    return df.coalesce(max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")) // 8))
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:

@@ -212,7 +212,8 @@ TOTALS = "block long, level int, keys binary, counts binary, covered binary, arc
 
 def _emit(block: int, buckets: int, order: int, keys: np.ndarray, counts: np.ndarray, spread: np.ndarray, contexts: np.ndarray | None, asked: np.ndarray | None, asked_spread: np.ndarray | None) -> Iterator[pa.RecordBatch]:
     """One row per bucket for the n-grams and one for the contexts asked about; n-grams of one
-    context stand together, so that contexts compress well."""
+    context stand together, so that contexts compress well.  A context of which a bucket holds several
+    splits is asked about once there."""
     for place, grams in ((spread, True), (asked_spread, False)):
         if place is None or not len(place):
             continue
@@ -224,7 +225,7 @@ def _emit(block: int, buckets: int, order: int, keys: np.ndarray, counts: np.nda
             columns["keys"].append(pack(packed_keys(keys[part], order)) if grams else None)
             columns["contexts"].append(pack(packed_keys(contexts[part], order - 1)) if grams and contexts is not None else None)
             columns["counts"].append(pack_counts(counts[part]) if grams else None)
-            columns["asked"].append(None if grams else pack(packed_keys(asked[part], order - 1)))
+            columns["asked"].append(None if grams else pack(packed_keys(np.unique(asked[part]), order - 1)))
         yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(np.full(len(found), block, dtype=np.int64)), *(pa.array(c, type=pa.binary()) for c in columns.values())], names=["bucket", "block", *columns])
 
 

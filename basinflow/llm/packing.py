@@ -51,25 +51,30 @@ SPECIAL = "<|endoftext|>"
 
 
 @functools.cache
-def _encoders(tokenizer: str, ranks: str):
+def _fast_encoder(ranks: str):
     import base64
 
     import public_tokenizers
     import tiktoken
-    from tokenizers import Tokenizer
 
     with open(ranks, "rb") as lines:
         table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-    fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
-    return fast, Tokenizer.from_file(tokenizer)
+    return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
+
+
+@functools.cache
+def _full_encoder(tokenizer: str):
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(tokenizer)
 
 
 def encode(texts: list[str | None], p: PackParams) -> list[np.ndarray]:
     """Token ids of each text (null: none), closed by the end id."""
-    fast, full = _encoders(p.tokenizer, p.ranks)
+    fast = _fast_encoder(p.ranks)
     out = []
     for text in texts:
-        ids = full.encode(text, add_special_tokens=False).ids if SPECIAL in (text or "") else fast.encode_to_numpy(text or "", disallowed_special=())
+        ids = _full_encoder(p.tokenizer).encode(text, add_special_tokens=False).ids if SPECIAL in (text or "") else fast.encode_to_numpy(text or "", disallowed_special=())
         out.append(np.append(np.asarray(ids, dtype="<u4"), np.uint32(p.end_id)).astype("<u4"))
     return out
 

@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 
 from basinflow.llm import ann, decontam, langid, lm, minhash, packing, quality, sharding, toxicity, warc
 from basinflow.llm.sampling import fold, held_out
-from basinflow.sources.shared import few_files, materialise
+from basinflow.sources.shared import few_files, materialise, small_arrow_batches
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table, to be read by Python tasks in batches of bounded bytes."""
+    small_arrow_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

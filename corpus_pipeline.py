@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from basinflow.llm import decontam, minhash, packing, quality, queries, toxicity
-from basinflow.sources.shared import materialise
+from basinflow.sources.shared import few_files, materialise, small_arrow_batches
 
 
 def as_rows(docs: DataFrame) -> DataFrame:
@@ -42,27 +42,28 @@ def of_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the discriminant, trained on the labelled ones among them, predicts as good."""
     labels = queries.table(spark, sf_dir, "labels").select(F.col("doc_id").alias("doc"), F.col("quality").alias("label"))
     labelled = docs.select("doc_id", "text").join(labels.select(F.col("doc").alias("doc_id")), "doc_id", "left_semi")
-    model = quality.train(quality.document_statistics(labelled), labels)
-    scored = quality.score(quality.document_statistics(as_rows(docs), id_col="row"), model, id_col="row")
-    return from_rows(scored.where("predicted = 1"), docs)
+    model = quality.train(materialise(quality.document_statistics(labelled), "statistics"), labels)
+    return from_rows(quality.score_texts(as_rows(docs), model, id_col="row").where("predicted = 1"), docs)
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each near-duplicate group; of rows equal in id and text one."""
+    small_arrow_batches(spark)
     groups = minhash.near_duplicate_groups(docs.select(key(docs).alias("key"), docs["text"]), id_col="key")
     kept = groups.where("kept").select("key.id", "key.hash")
-    return docs.join(kept, matching(docs, kept), "left_semi").dropDuplicates(["doc_id", "text"])
+    return few_files(docs.join(kept, matching(docs, kept), "left_semi").dropDuplicates(["doc_id", "text"]))
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no benchmark item was found."""
     pairs = decontam.contaminated(docs.select(key(docs).alias("key"), docs["text"]), queries.table(spark, sf_dir, "benchmark"), id_col="key")
     found = pairs.select("key.id", "key.hash").distinct()
-    return docs.join(found, matching(docs, found), "left_anti")
+    return few_files(docs.join(found, matching(docs, found), "left_anti"))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of training sequences that hold every remaining document."""
+    small_arrow_batches(spark)
     return queries.digest_pieces(packing.pack(docs))
 
 

@@ -11,12 +11,25 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from basinflow.operators.knn import Knn, knn_exact
+
 
 def dtm(knn: DataFrame, q: float = 2) -> DataFrame:
     """``i, dtm``: the q-th root of the mean distance, which is expected to be powered already."""
     return knn.groupBy("i").agg(F.pow(F.avg("dist"), F.lit(1.0 / q)).alias("dtm"))
 
 
+def dtm_of_points(x: DataFrame, spec: Knn, q: float = 2) -> DataFrame:
+    """:func:`dtm` of a table of points by the exact search."""
+    return dtm(knn_exact(x, spec), q)
+
+
+def density_of_points(x: DataFrame, spec: Knn, dim: int, q: float | None = None, normalize: bool = False) -> DataFrame:
+    """:func:`dtm_density` of a table of points by the exact search."""
+    n = x.count() if normalize else None
+    return dtm_density(knn_exact(x, spec), dim, q, normalize, k=spec.k if normalize else None, n=n)
+
+
 def _measure(q: float, k: int | None, weights: Sequence[float] | None) -> Column:
     """Weighted sum of the q-th powers; without weights each of the k neighbours has 1/k."""
     power = F.pow("dist", F.lit(float(q)))

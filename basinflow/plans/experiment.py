@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from basinflow.operators import density, evaluation, modes, persistence
+from basinflow.operators.finetune import fine_tune
 from basinflow.operators.knn import InvertedFile, Knn, knn_exact, knn_ivf
 from basinflow.sources.shared import materialise
 from basinflow.sources.tables import sample_rows
@@ -15,7 +16,8 @@ from basinflow.sources.tables import sample_rows
 
 @dataclass(frozen=True)
 class Settings:
-    """``k_density`` None uses the graph's own distances; ``nlist`` None searches exactly."""
+    """``k_density`` None uses the graph's own distances; ``nlist`` None searches exactly; ``ft_iters``
+    steps of fine-tuning come first, towards ``n_components`` (None: the number of classes)."""
 
     k_graph: int = 10
     k_density: int | None = None
@@ -27,6 +29,8 @@ class Settings:
     num_tau: int = 1
     nlist: int | None = None
     nprobe: int = 4
+    ft_iters: int = 0
+    n_components: int | None = None
     seed: int = 47
 
 
@@ -49,6 +53,10 @@ def run(x: DataFrame, dim: int, s: Settings = Settings()) -> dict[str, DataFrame
     infinite threshold), ``components``, ``curve`` and ``diagram``, from ``x(vec_id, embedding, label)``."""
     if s.num_samples is not None:
         x = materialise(sample_rows(x, s.num_samples, seed=s.seed), "sample")
+    if s.ft_iters:
+        wanted = s.n_components or x.select("label").distinct().count()
+        moved, _ = fine_tune(x, dim, s.k_graph, wanted, s.ft_iters, s.q)
+        x = materialise(moved.join(x.select("vec_id", "label"), "vec_id"), "tuned-points")
     edges, dens = graph_and_density(x, dim, s)
     taus = persistence.tau_grid(s.tau_min, s.tau_max, s.num_tau)
     cluster = persistence.cluster_h0_greedy if s.greedy else persistence.cluster_h0

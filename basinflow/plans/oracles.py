@@ -134,6 +134,13 @@ SQL: dict[str, str] = {
     "persistence_diagram": f"{LAST}{RANKED} SELECT birth, round(birth_density, 6) AS x, round(coalesce(death_density, lo - 0.08 * (hi - lo)), 6) AS y, death IS NULL AS infinite FROM ranked, (SELECT min(death_density) AS lo, max(death_density) AS hi FROM ranked)",
     "saliency_shrinkage": f"{LAST}{RANKED} SELECT round(-s, 5) AS saliency, round(r, 5) AS shrinkage, round(r - s, 5) AS loss FROM (SELECT coalesce(sum(persistence) FILTER (rank <= 9), 0) AS s, coalesce(sum(persistence) FILTER (rank >= 10), 0) AS r FROM ranked)",
     "loss_gradient": f"{LAST}{RANKED} SELECT i, sum(g)::DOUBLE AS gradient FROM (SELECT birth AS i, CASE WHEN rank <= 9 THEN -1 ELSE 1 END AS g FROM ranked WHERE death IS NOT NULL UNION ALL SELECT death, CASE WHEN rank <= 9 THEN 1 ELSE -1 END FROM ranked WHERE death IS NOT NULL) GROUP BY i",
+    "point_gradient": f"""{LAST}{RANKED}, slopes AS (SELECT i, sum(g)::DOUBLE AS g FROM (SELECT birth AS i, CASE WHEN rank <= 9 THEN -1 ELSE 1 END AS g FROM ranked WHERE death IS NOT NULL
+            UNION ALL SELECT death, CASE WHEN rank <= 9 THEN 1 ELSE -1 END FROM ranked WHERE death IS NOT NULL) GROUP BY i),
+        measures AS (SELECT i, avg(dist * dist) AS m, count(*) AS k FROM knn GROUP BY i),
+        weights AS (SELECT n.i, n.j, g * -{DIM}.0 / m / k * dist * 2 AS w FROM knn n JOIN slopes s ON s.i = n.i JOIN measures u ON u.i = n.i WHERE n.i <> n.j),
+        steps AS (SELECT w.i, w.j, unnest(list_transform(list_zip(a.v, b.v), lambda z: w.w * (z[1] - z[2]))) AS x, unnest(range(0, {DIM})) AS pos FROM weights w JOIN e a ON a.id = w.i JOIN e b ON b.id = w.j),
+        sums AS (SELECT i, pos, sum(x) AS x FROM (SELECT i, pos, x FROM steps UNION ALL SELECT j, pos, -x FROM steps) GROUP BY i, pos)
+        SELECT i, round(sqrt(sum(x * x)), 5) AS norm FROM sums GROUP BY i""",
     "toy_graph_edges": f"{TOY} SELECT k.j AS src, k.i AS dst, round(a.f - b.f, 2) AS weight FROM knn k JOIN dens a ON a.i = k.i JOIN dens b ON b.i = k.j",
     "toy_h0": f"{sweep(str(ELEVEN_THRESHOLDS), TOY)} SELECT tau, a.i, b.i AS root FROM (SELECT tau, unnest(root) AS r, unnest(range(1, len(root) + 1)) AS s FROM fin) x JOIN ord a ON a.s = x.s JOIN ord b ON b.s = x.r",
     "contingency": f"{TABLE} SELECT truth, pred, n FROM ct",

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from basinflow.functions.vectors import pnorm
-from basinflow.operators import coreset, density, evaluation, knn, modes, persistence, reduction
+from basinflow.operators import coreset, density, evaluation, finetune, knn, modes, persistence, reduction
 from basinflow.operators.knn import Codebooks, InvertedFile, Knn
 from basinflow.plans import experiment
 from basinflow.sources import tables
@@ -180,6 +180,22 @@ def loss_gradient(spark: SparkSession, sf_dir: str) -> DataFrame:
     return persistence.persistence_gradient(ranked_pairs(spark, sf_dir), 10)
 
 
+def point_gradient(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Length of the loss's derivative by the coordinates of each point that it depends on."""
+    x = tables.points(spark, sf_dir)
+    found = graph(spark, sf_dir)
+    dens = materialise(density.log_density(found, DIM, Q), "density")
+    _, pairs = persistence.cluster_h0(found.select("i", "rk", "j"), dens, [math.inf])
+    slopes = persistence.persistence_gradient(materialise(persistence.persistence_pairs(pairs, dens), "pairs"), 10)
+    vectors = finetune.point_gradient(x, found, slopes, DIM, Q)
+    return vectors.select("i", F.round(F.sqrt(F.aggregate("gradient", F.lit(0.0), lambda s, v: s + v * v)), 5).alias("norm"))
+
+
+def fine_tuned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The points after two steps of fine-tuning."""
+    return finetune.fine_tune(tables.points(spark, sf_dir), DIM, K, 10, 2)[0]
+
+
 def toy_graph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.weighted_digraph(*tables.eleven_nodes(spark))
 
@@ -305,6 +321,8 @@ QUERIES: dict[str, Query] = {
     "persistence_diagram": persistence_diagram,
     "saliency_shrinkage": saliency_shrinkage,
     "loss_gradient": loss_gradient,
+    "point_gradient": point_gradient,
+    "fine_tuned": fine_tuned,
     "toy_graph_edges": toy_graph_edges,
     "toy_h0": toy_h0,
     "contingency": mode_contingency,

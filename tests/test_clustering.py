@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from basinflow.functions.vectors import ln_factorial, pnorm
-from basinflow.operators import coreset, density, evaluation, knn, modes, persistence, reduction
+from basinflow.operators import coreset, density, evaluation, finetune, knn, modes, persistence, reduction
 from basinflow.operators.knn import Codebooks, InvertedFile, Knn
 from basinflow.sources import tables
 
@@ -281,3 +281,54 @@ def test_gather_and_metrics_sink(spark, tmp_path):
     for _ in range(2):
         evaluation.write_metrics(evaluation.prefixed(rows, "ft"), str(tmp_path / "m"))
     assert [r.metric for r in spark.read.parquet(str(tmp_path / "m")).collect()] == ["ft/m", "ft/m"]
+
+
+def plain_loss(x, k, dim, q, components):
+    """Saliency and shrinkage of points by the sequential definition."""
+    far = ((x[:, None] - x[None]) ** 2).sum(-1)
+    near = [sorted(range(len(x)), key=lambda j, i=i: (far[i, j], j))[:k] for i in range(len(x))]
+    f = [-(dim / q) * math.log(np.mean(far[i, near[i]] ** q)) for i in range(len(x))]
+    _, pairs, _ = plain_sweep(near, f, math.inf)
+    lives = sorted((f[b] - f[d] for b, d in pairs), reverse=True)
+    return sum(lives[components - 1 :]) - sum(lives[: components - 1])
+
+
+def test_fine_tuning_follows_the_slope(spark):
+    rng = np.random.default_rng(17)
+    x = np.concatenate([rng.normal(size=(15, 2)) + c for c in ([0, 0], [4, 0], [0, 5])])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    found = knn.knn_exact(df, Knn(4)).cache()
+    dens = density.log_density(found, 2, 2)
+    _, pairs = persistence.cluster_h0(found.select("i", "rk", "j"), dens, [math.inf])
+    slopes = persistence.persistence_gradient(persistence.persistence_pairs(pairs, dens), 3)
+    got = {r.i: r.gradient for r in finetune.point_gradient(df, found, slopes, 2, 2).collect()}
+    for i in range(len(x)):
+        for d in range(2):
+            up, down = x.copy(), x.copy()
+            up[i, d] += 1e-6
+            down[i, d] -= 1e-6
+            slope = (plain_loss(up, 4, 2, 2, 3) - plain_loss(down, 4, 2, 2, 3)) / 2e-6
+            assert got.get(i, [0.0, 0.0])[d] == pytest.approx(slope, rel=1e-4, abs=1e-5)
+    moved, history = finetune.fine_tune(df, 2, 4, 3, 3)
+    assert moved.count() == 45 and history[0]["loss"] == pytest.approx(plain_loss(x, 4, 2, 2, 3))
+    assert history[2]["loss"] < history[0]["loss"]
+
+
+def test_optimiser_step():
+    """One AdamW step from rest moves each coordinate by the step size against its slope."""
+    from pyspark.sql import SparkSession
+
+    spark = SparkSession.getActiveSession()
+    state = spark.createDataFrame([(1, [1.0, 2.0], [0.0, 0.0], [0.0, 0.0]), (2, [5.0], [0.0], [0.0])], "i long, x array<double>, m array<double>, v array<double>")
+    slopes = spark.createDataFrame([(1, [3.0, -0.5])], "i long, gradient array<double>")
+    got = {r.i: r for r in finetune.adamw_step(state, slopes, 1).collect()}
+    assert got[1].x == pytest.approx([0.9999 - 0.01, 2 * 0.9999 + 0.01], abs=1e-6)
+    assert got[2].x == pytest.approx([5 * 0.9999]) and got[1].m == pytest.approx([0.3, -0.05])
+
+
+def test_densities_straight_from_points(spark):
+    x = points(spark, [(i, [float(i * i)], 0) for i in range(6)])
+    assert {r.i: r.dtm for r in density.dtm_of_points(x, Knn(2)).collect()}[5] == pytest.approx(math.sqrt(81 / 2))
+    plain = {r.i: r.f for r in density.density_of_points(x, Knn(2), 1).collect()}
+    scaled = {r.i: r.f for r in density.density_of_points(x, Knn(2), 1, normalize=True).collect()}
+    assert scaled[3] == pytest.approx(plain[3] * 1.5 / (6 * 2))

@@ -131,8 +131,26 @@ def test_near_duplicate_groups_equal_brute_force(spark):
             rows.append((len(rows), edited(rng, base, rng.choice([0, 0, 0.01, 0.03, 0.06])), "en"))
             base = rng.choice([base, rows[-1][1]])
     rows += [(len(rows) + k, t, None) for k, t in enumerate([None, "", "one two", "ONE  two", "one two three", " \n"])]
-    found = minhash.near_duplicate_groups(documents(spark, rows)).collect()
-    assert sorted(map(tuple, found)) == brute_groups(rows)
+    for p in (minhash.MinHashParams(), minhash.MinHashParams(partners=1, chunk=8)):
+        found = minhash.near_duplicate_groups(documents(spark, rows), p=p).collect()
+        assert sorted(map(tuple, found)) == brute_groups(rows)
+
+
+def test_links_are_found_in_a_crowd_just_below_the_threshold(spark):
+    """Many texts resemble each other without being linked; a few pairs among them are."""
+    rng = random.Random(33)
+    base = prose(rng, 150).split()
+    rows = []
+    for _ in range(60):
+        text = list(base)
+        for at in rng.sample(range(0, 150, 6), 4):
+            text[at] = f"w{rng.random()}"
+        rows.append((len(rows), " ".join(text), "en"))
+    for k in range(0, 60, 15):
+        rows.append((len(rows), rows[k][1] + " and one more", "en"))
+    for p in (minhash.MinHashParams(), minhash.MinHashParams(partners=1, chunk=16)):
+        found = minhash.near_duplicate_groups(documents(spark, rows), p=p).collect()
+        assert sorted(map(tuple, found)) == brute_groups(rows)
 
 
 def test_a_large_group_of_near_copies_stays_one_group(spark):

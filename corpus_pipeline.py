@@ -41,8 +41,7 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def of_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the discriminant, trained on the labelled ones among them, predicts as good."""
     labels = queries.table(spark, sf_dir, "labels").select(F.col("doc_id").alias("doc"), F.col("quality").alias("label"))
-    labelled = docs.select("doc_id", "text").join(labels.select(F.col("doc").alias("doc_id")), "doc_id", "left_semi")
-    model = quality.train(materialise(quality.document_statistics(labelled), "statistics"), labels)
+    model = quality.train(materialise(quality.document_statistics(docs), "statistics"), labels)
     return from_rows(quality.score_texts(as_rows(docs), model, id_col="row").where("predicted = 1"), docs)
 
 

@@ -187,13 +187,12 @@ def train(labelled: DataFrame, text_col: str, categories: list[str], p: Toxicity
     table = counted.groupBy("feature").agg(F.sum("n").alias("n"), F.sum("hits").alias("hits")).where(F.col("n") >= p.least_docs).withColumn("g", g)
     kept = table.where(F.col("g") >= p.least_g).orderBy(F.desc("g"), "feature").limit(p.features).select("feature").collect()
     vocabulary = Vocabulary(np.array([r[0] for r in kept], dtype=np.int64).view(np.uint64))
-    found = sample.select("text", "labels").mapInArrow(lambda b: _find_batches(b, vocabulary, p), "labels array<int>, found array<int>").orderBy(F.xxhash64("found", "labels")).toArrow()
+    found = sample.select("text", "labels").mapInArrow(lambda b: _find_batches(b, vocabulary, p), "labels array<int>, found array<int>").toArrow()
     discard(sample)
-    labels = np.array(found.column("labels").to_pylist(), dtype=float).reshape(-1, len(categories))
-    lists = found.column("found").combine_chunks()
-    lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) and lists.num_chunks else lists
-    counts = np.array([len(x) for x in lists.to_pylist()], dtype=np.int64)
-    cols = np.array([c for x in lists.to_pylist() for c in x], dtype=np.int64)
+    rows = sorted(zip(found.column("found").to_pylist(), found.column("labels").to_pylist(), strict=True))  # the same on every run
+    labels = np.array([y for _, y in rows], dtype=float).reshape(-1, len(categories))
+    counts = np.array([len(x) for x, _ in rows], dtype=np.int64)
+    cols = np.array([c for x, _ in rows for c in x], dtype=np.int64)
     return fit_chain(np.repeat(np.arange(len(counts)), counts), cols, labels, vocabulary, p)
 
 

@@ -20,7 +20,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from basinflow.llm import textkit as tk
@@ -30,8 +30,8 @@ ORDER = 3
 
 @dataclass(frozen=True)
 class LangParams:
-    """``sample`` bounds the training texts of each language (those with the smallest hash of the id);
-    contexts and their bytes must have been seen ``least`` times in all languages together.  The
+    """``sample`` is the expected number of training texts of each language that has more: those whose
+    hash of id and text lies below the share that they make up of all its texts; contexts and their bytes must have been seen ``least`` times in all languages together.  The
     broadcast model holds the counts, so its size is bounded by the sample and the languages."""
 
     sample: int = 2000
@@ -156,10 +156,10 @@ def _score_batches(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.Reco
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", p: LangParams = LangParams()) -> Trees:
     """Learn from the rows of ``docs`` with a text and a language; none give a model without languages."""
     rows = docs.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
-    order = Window.partitionBy("lang").orderBy("h", "doc")
-    chosen = rows.select(F.col(id_col).alias("doc"), F.col(lang_col).alias("lang"), F.xxhash64(id_col).alias("h"))
-    chosen = chosen.withColumn("place", F.row_number().over(order)).where(F.col("place") <= p.sample).select("doc", "lang").distinct()
-    texts = rows.select(F.col(id_col).alias("doc"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).join(chosen, ["doc", "lang"]).select("text", "lang")
+    shares = rows.groupBy(F.col(lang_col).alias("lang")).agg((F.lit(float(p.sample)) / F.count("*")).alias("share"))
+    place = F.pmod(F.xxhash64(id_col, text_col), F.lit(1 << 30)) / float(1 << 30)
+    texts = rows.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), place.alias("place"))
+    texts = texts.join(F.broadcast(shares), "lang").where("place < share").select("text", "lang")  # one row per language, as in the model
     counted = texts.mapInArrow(_gram_batches, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     found = counted.where(F.col("n") > 0).orderBy("gram", "lang").toArrow()
     names = sorted(set(found.column("lang").to_pylist()))

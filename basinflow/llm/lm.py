@@ -283,7 +283,11 @@ def _total_bucket(table: pa.Table, order: int, p: LMParams) -> pa.Table:
         state, place = np.unique(np.concatenate(keys_of("contexts", order - 1))[first[kept]], return_inverse=True)
         covered = np.bincount(place, weights=total[kept], minlength=len(state)).astype(np.int64)
         arcs = np.bincount(place, minlength=len(state)).astype(np.int64)
+        questions: dict[int, list[np.ndarray]] = {}
         for block, asked in zip(blocks, keys_of("asked", order - 1), strict=True):
+            questions.setdefault(block, []).append(asked)
+        for block, several in questions.items():
+            asked = np.unique(np.concatenate(several))  # tasks that share a block ask the same
             spot = np.minimum(np.searchsorted(state, asked), len(state) - 1)
             hit = state[spot] == asked
             if hit.any():

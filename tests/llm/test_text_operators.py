@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from helpers import awkward, documents, lower, prose, words
 from pyspark.sql import functions as F
@@ -280,6 +281,28 @@ def test_language_model_follows_the_definition(spark):
         assert r.base_score == pytest.approx(base) and r.score == pytest.approx(model)
 
 
+def test_language_model_of_blocks_that_the_scan_splits(spark, tmp_path):
+    """Several tasks read rows of one block; its contexts still count once."""
+    rng = random.Random(13)
+    rows = [(k, " ".join(rng.choice("a b c d e f g".split()) for _ in range(rng.randint(20, 40))), "en") for k in range(120)]
+    table = pa.table({"doc_id": [r[0] for r in rows], "text": [r[1] for r in rows]})
+    pq.write_table(table, tmp_path / "docs.parquet", row_group_size=5)
+    small = {"spark.sql.files.maxPartitionBytes": "1k", "spark.sql.files.openCostInBytes": "1"}
+    before = {k: spark.conf.get(k) for k in small}
+    for k, v in small.items():
+        spark.conf.set(k, v)
+    try:
+        docs = spark.read.parquet(str(tmp_path / "docs.parquet"))
+        for p in (lm.LMParams(), lm.LMParams(block_bytes=700, hot=40)):
+            assert docs.rdd.getNumPartitions() > 5
+            got = {r.doc_id: r.score for r in lm.score(docs, fold("doc_id", 7) != 2, p=p).collect()}
+            want = plain_model(rows, [crc_fold(i, 7) != 2 for i, _, _ in rows], p)
+            assert got == {k: pytest.approx(v[4]) for k, v in want.items()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def test_language_model_probabilities_sum_to_one(spark):
     """After a context, all words, an unseen one and the end together have probability 1."""
     rows = [(k, "a b a c a b b", "en") for k in range(20)]

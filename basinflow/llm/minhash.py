@@ -7,10 +7,11 @@ m * m pairs.  Every candidate is confirmed on the full shingle sets of the whole
 
 A star alone can miss a link between two leaves that are both unlike its centre.  Buckets whose
 members are still in different groups after the stars are confirmed are therefore visited again: each
-member outside the bucket's largest group proposes the members of other groups that its sketch finds
-most similar.  Visits go on, with more proposals each while none is confirmed, until every pair of
-different groups whose sketches come near the threshold has been confirmed or refused.  A pair is
-proposed in the first bucket that it shares, and only if its set sizes allow the similarity.
+member outside the bucket's largest group proposes members of other groups, the most similar by
+sketch first.  Visits go on, with more proposals each while none is confirmed, until every pair of
+different groups has been confirmed or refused.  A pair is proposed in the first bucket that it
+shares.  It is refused without its texts only where an upper bound of what the two sets can share, from
+their sizes and the number of shingles in each bin, rules the similarity out; no estimate decides.
 
 Bucket sizes and centres are aggregated before they are joined back, and members of a large bucket
 are dealt to chunks that are compared apart, so no task holds a bucket whole.  Copies share a shingle
@@ -32,15 +33,17 @@ from basinflow.llm.components import connected_components
 from basinflow.sources.shared import discard, materialise
 
 
+#: Shingles of one bin are counted up to here in a sketch.
+FULL = 15
+
+
 @dataclass(frozen=True)
 class MinHashParams:
     """``words`` per shingle; ``bins`` = ``bands`` * ``rows``; link when 100 * |A & B| >= ``percent`` * |A | B|.
 
     With 32 bands of 4 rows a pair of similarity 0.75 misses every bucket with probability 5e-6.
-    ``partners`` is how many members of other groups one text proposes per chunk in a first visit,
-    and ``slack`` is how far a sketch estimate may then fall below the threshold (0.1 is 2.6 standard
-    deviations of 128 bins); later visits, which have no such number, reach down to half of it.
-    ``chunk`` is the number of members of a bucket that one task holds together.
+    ``partners`` is how many members of other groups one text proposes per chunk in a first visit;
+    later visits go on from there.  ``chunk`` is the number of members of a bucket that one task holds together.
     """
 
     words: int = 5
@@ -48,7 +51,6 @@ class MinHashParams:
     rows: int = 4
     percent: int = 75
     partners: int = 8
-    slack: float = 0.1
     chunk: int = 4096
 
     @property
@@ -79,6 +81,13 @@ def signature(shingles: np.ndarray, bins: int) -> np.ndarray:
     return shingles[np.minimum(first, len(shingles) - 1)][bin_donors(filled)]
 
 
+def packed_counts(shingles: np.ndarray, bins: int) -> np.ndarray:
+    """How many shingles of a sorted set lie in each bin, up to ``FULL``, two bins in a byte."""
+    edges = np.searchsorted(shingles, np.arange(bins, dtype=np.uint64) * np.uint64(2**64 // bins))
+    counts = np.pad(np.minimum(np.diff(np.append(edges, len(shingles))), FULL), (0, bins % 2)).astype(np.uint8)
+    return counts[0::2] | counts[1::2] << np.uint8(4)
+
+
 def _signature_batches(batches: Iterator[pa.RecordBatch], p: MinHashParams) -> Iterator[pa.RecordBatch]:
     band_salt = tk.mix64(np.arange(1, p.bands + 1, dtype=np.uint64))
     for batch in batches:
@@ -95,7 +104,8 @@ def _signature_batches(batches: Iterator[pa.RecordBatch], p: MinHashParams) -> I
                 for r in range(p.rows):
                     key = tk.mix64(key * tk.MIX[0] + sig[r :: p.rows])
                 keyed.append(key)
-                sketches.append((np.concatenate([tk.mix64(sig), key]) >> np.uint64(56)).astype(np.uint8).tobytes())
+                marks = (tk.mix64(sig) >> np.uint64(56)).astype(np.uint8), (key >> np.uint64(48)).astype("<u2").view(np.uint8)
+                sketches.append(np.concatenate([*marks, packed_counts(shingles[at[row] : at[row + 1]], p.bins)]).tobytes())
                 folds[row] = np.bitwise_xor.reduce(mixed[at[row] : at[row + 1]]), np.sum(shingles[at[row] : at[row + 1]])
             some = counts > 0
             ids = tk.mix64(folds[:, 0] + folds[:, 1] * tk.MIX[1])
@@ -115,8 +125,8 @@ def _signature_batches(batches: Iterator[pa.RecordBatch], p: MinHashParams) -> I
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str, p: MinHashParams) -> DataFrame:
-    """Per document: shingle count, 64-bit id of its shingle set, band keys, and a sketch of one byte for
-    each bin and then for each band key."""
+    """Per document: shingle count, 64-bit id of its shingle set, band keys, and a sketch: one byte for
+    each bin, two for each band key, and half a byte for the number of shingles in each bin."""
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")).mapInArrow(
         lambda batches: _signature_batches(batches, p), f"doc {kind}, n_shingles long, node long, bands array<long>, sketch binary"
@@ -186,18 +196,24 @@ def _sketch_matrix(column: pa.Array, width: int) -> np.ndarray:
 
 @dataclass
 class Members:
-    """Some members of a chunk: nodes, their groups, set sizes, and the two parts of their sketches."""
+    """Some members of a chunk: nodes, their groups, set sizes, the three parts of their sketches, and
+    how many shingles the counts of their bins leave out."""
 
     node: np.ndarray
     part: np.ndarray
     n: np.ndarray
     sketch: np.ndarray
     keys: np.ndarray
+    counts: np.ndarray
+    rest: np.ndarray
 
     @staticmethod
     def of(rows: pa.RecordBatch, p: MinHashParams) -> Members:
-        both = _sketch_matrix(rows.column(7), p.bins + p.bands)
-        return Members(*(rows.column(k).to_numpy() for k in (4, 5, 6)), both[:, : p.bins], both[:, p.bins :])
+        node, part, n = (rows.column(k).to_numpy() for k in (4, 5, 6))
+        ends = (p.bins, p.bins + 2 * p.bands)
+        sketch, keys, packed = np.split(_sketch_matrix(rows.column(7), ends[1] + (p.bins + 1) // 2), ends, axis=1)
+        counts = np.stack([packed & FULL, packed >> 4], axis=2).reshape(len(packed), -1)[:, : p.bins]
+        return Members(node, part, n, sketch, np.ascontiguousarray(keys).view("<u2"), counts, n - counts.sum(axis=1, dtype=np.int64))
 
     def plus(self, other: Members) -> Members:
         return Members(*(np.concatenate(x) for x in zip(vars(self).values(), vars(other).values(), strict=True)))
@@ -222,19 +238,38 @@ def _proposal_batches(batches: Iterator[pa.RecordBatch], p: MinHashParams, first
                 yield from _proposals(some, held, int(keys[3, lo]), first, end, p)
 
 
+def most_shared(asking: Members, held: Members, row: np.ndarray, col: np.ndarray, equal: np.ndarray) -> np.ndarray:
+    """For each pair, an upper bound of the shingles that both have; ``equal`` tells the bins whose marks agree.
+
+    A bin holds no more common shingles than the smaller count, and one fewer where both count the
+    same but their least shingles differ.
+    """
+    a, b = asking.counts[row], held.counts[col]
+    fewer = (a == b) & (a > 0) & (a < FULL) & ~equal
+    return np.minimum(a, b).sum(axis=1, dtype=np.int64) - fewer.sum(axis=1) + np.minimum(asking.rest[row], held.rest[col])
+
+
+def _possible(asking: Members, held: Members, row: np.ndarray, col: np.ndarray, band: int, p: MinHashParams) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The pairs that share ``band`` first and whose sets may reach the similarity, and their marks in common."""
+    equal = asking.sketch[row] == held.sketch[col]
+    shared = equal.reshape(len(row), p.bands, p.rows).all(axis=2) & (asking.keys[row] == held.keys[col])
+    own = shared.argmax(axis=1) == band
+    row, col, equal = row[own], col[own], equal[own]
+    most = most_shared(asking, held, row, col, equal)
+    keep = 100 * most >= p.percent * (asking.n[row] + held.n[col] - most)
+    return row[keep], col[keep], equal[keep].sum(axis=1)
+
+
 def _proposals(asking: Members, held: Members, band: int, first: int, end: int, p: MinHashParams) -> Iterator[pa.RecordBatch]:
-    least = int(np.ceil((p.percent / 100 - p.slack / (2 if first else 1)) * p.bins))
     block = max(1, (4 << 20) // (p.bins * len(held.node)))
     for at in range(0, len(asking.node), block):
-        sketch, part, n = (x[at : at + block] for x in (asking.sketch, asking.part, asking.n))
-        agree = (sketch[:, None, :] == held.sketch[None, :, :]).sum(axis=2, dtype=np.int32)
+        part, n = asking.part[at : at + block], asking.n[at : at + block]
         apart = part[:, None] != held.part[None, :]
         sized = 100 * np.minimum(n[:, None], held.n[None, :]) >= p.percent * np.maximum(n[:, None], held.n[None, :])
-        row, col = np.nonzero((agree >= least) & apart & sized)
-        shared = (sketch[row] == held.sketch[col]).reshape(len(row), p.bands, p.rows).all(axis=2) & (asking.keys[at + row] == held.keys[col])
-        own = shared.argmax(axis=1) == band
-        row, col = row[own], col[own]
-        order = np.lexsort((held.node[col], -agree[row, col], row))
+        row, col = np.nonzero(apart & sized)
+        row, col, agree = _possible(asking, held, at + row, col, band, p)
+        row -= at
+        order = np.lexsort((held.node[col], -agree, row))
         row, col = row[order], col[order]
         counts = np.bincount(row, minlength=len(n))
         nth = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)

@@ -7,6 +7,7 @@ import zlib
 from fractions import Fraction
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from helpers import awkward, documents, prose, words
 from pyspark.sql import functions as F
@@ -153,6 +154,35 @@ def test_links_are_found_in_a_crowd_just_below_the_threshold(spark):
         assert sorted(map(tuple, found)) == brute_groups(rows)
 
 
+def test_no_estimate_hides_a_pair_that_shares_a_bucket():
+    """Pairs of similarity 0.75 are proposed whatever their sketches estimate, the unlike are not."""
+    rng = np.random.default_rng(34)
+    p = minhash.MinHashParams()
+
+    def proposed(left, right, first):
+        """Whether each pair of texts shares a bucket, and whether a bucket of the two proposes it."""
+        a, b = (pa.Table.from_batches(minhash._signature_batches([pa.record_batch({"doc": list(range(len(x))), "text": x})], p)).to_pydict() for x in (left, right))
+        shares, found = np.zeros(len(left), dtype=bool), np.zeros(len(left), dtype=bool)
+        for k in range(len(left)):
+            for band in np.flatnonzero(np.array(a["bands"][k]) == np.array(b["bands"][k])):
+                both = {"bucket": [k, k, k], "chunk": [0, 0, 0], "asks": [0, 0, 1], "band": [int(band)] * 3, "node": [1, 2, 1], "part": [1, 2, 1]}
+                both |= {"n": [x["n_shingles"][k] for x in (a, b, a)], "sketch": [x["sketch"][k] for x in (a, b, a)]}
+                shares[k] = True
+                found[k] |= any(x.num_rows for x in minhash._proposal_batches([pa.record_batch(both)], p, first, first + 8))
+        return shares, found
+
+    def pairs(common, own, n):
+        """Texts of ``n`` pairs that have ``common`` five-word shingles in common and ``own`` more each."""
+        words = [[f"w{x}" for x in rng.integers(1 << 60, size=common + 4 + 2 * own)] for _ in range(n)]
+        return [" ".join(w[: common + 4 + own]) for w in words], [" ".join([*w[: common + 4], *w[common + 4 + own :]]) for w in words]
+
+    for common, own in ((150, 25), (600, 100), (3000, 500)):
+        shares, found = proposed(*pairs(common, own, 1000 if common < 3000 else 200), 0)
+        assert shares.mean() > 0.99 and (found == shares).all()
+    shares, found = proposed(*pairs(100, 75, 500), 0)
+    assert shares.sum() > 100 and found.sum() < 0.05 * shares.sum()
+
+
 def test_a_large_group_of_near_copies_stays_one_group(spark):
     """Every text is near its neighbours in a chain and in a crowd whose ends are unlike each other."""
     rng = random.Random(32)

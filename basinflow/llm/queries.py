@@ -31,7 +31,7 @@ def op2_ppm_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_backoff_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = lm.score(table(spark, sf_dir, "documents"), fold("doc_id", 7) != 2)
+    scored = lm.score(table(spark, sf_dir, "documents"), fold("doc_id", 7) != 2, p=lm.LMParams(order=3, least=1))
     return scored.select("doc_id", held_out("doc_id", 7, 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 

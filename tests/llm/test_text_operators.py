@@ -12,7 +12,7 @@ import pytest
 from helpers import awkward, documents, lower, prose, words
 from pyspark.sql import functions as F
 
-from basinflow.llm import decontam, langid, lm, quality, textkit, toxicity
+from basinflow.llm import decontam, langid, lm, quality, queries, textkit, toxicity
 from basinflow.llm.sampling import fold, held_out
 
 
@@ -281,6 +281,19 @@ def test_language_model_follows_the_definition(spark):
         assert r.base_score == pytest.approx(base) and r.score == pytest.approx(model)
 
 
+def test_query_scores_by_two_words_and_by_what_training_has_once(spark, tmp_path):
+    """A trigram and a bigram that training has once raise the scores of held-out texts."""
+    ids = [k for k in range(1, 400) if crc_fold(k, 7) != 2]
+    asked = [k for k in range(1, 400) if crc_fold(k, 7) == 2]
+    rows = [(ids[0], "p b x"), (ids[1], "q b y"), (ids[2], "r b x"), (ids[3], "s b y"), (ids[4], "once seen")]
+    rows += [(k, t) for k, t in zip(asked, ["p b x", "p b y", "q b y", "q b x", "once seen", "once x"], strict=False)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r for r in queries.op3_backoff_automaton(spark, str(tmp_path)).collect()}
+    assert len(got) == len(rows) and all(got[k].held_out and np.isfinite(got[k].score) for k in asked[:6])
+    of = [got[k].score for k in asked[:6]]
+    assert of[0] > of[1] + 0.2 and of[2] > of[3] + 0.2 and of[4] > got[asked[4]].base_score + 0.5
+
+
 def test_language_model_of_blocks_that_the_scan_splits(spark, tmp_path):
     """Several tasks read rows of one block; its contexts still count once."""
     rng = random.Random(13)

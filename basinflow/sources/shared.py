@@ -59,14 +59,14 @@ def scan_bytes(spark: SparkSession) -> int:
 
 
 def few_files(df: DataFrame) -> DataFrame:
-    """``df`` in fewer partitions, without a shuffle: one for each scan split of the tables it reads, but
+    """``df`` in fewer partitions, without a shuffle: two for each scan split of the tables it reads, but
     an eighth of the session's shuffle partitions and two per core of the cluster at least.
 
     Writing many partitions of a few rows each costs more in file creation than in work; the bound by
     bytes keeps tasks as small as the splits of a scan at any size of the input.
     """
     spark = df.sparkSession
-    splits = input_bytes(df) // scan_bytes(spark)
+    splits = 2 * input_bytes(df) // scan_bytes(spark)
     return df.coalesce(max(splits, 2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")) // 8))
 
 

@@ -1,56 +1,59 @@
 """Language-model scores from a weighted backoff automaton over n-grams of the whole corpus.
 
-States are the contexts that some kept n-gram continues.  A state has one arc per kept n-gram (its
-interpolated absolute-discounting probability) and a failure arc to its longest proper suffix, with
-the probability mass that its arcs leave.  A text is read once from left to right: at each token the
-automaton follows failure arcs until the token has an arc, adds up the weights, and moves on to the
-longest suffix that is a state.  Because orders are bounded, the state after each token follows from
-the last tokens alone, so the walk of all texts of a block is carried out on arrays.
+States are the contexts that training has: the empty one, words, and pairs of words for order 3.  A
+state has one arc for each n-gram that continues it, weighted with its smoothed log-probability, and
+a failure arc to the context one word shorter, weighted with the share of probability left for what
+the state has no arc for.  A text is read once from left to right: at each token the automaton
+follows failure arcs until the state has an arc for the token, adds up the weights, and moves to the
+arc's target, the longest suffix read so far that is a state.
+
+Smoothing interpolates each order with the next shorter one in the manner of Witten and Bell: a
+context seen n times leaves the share T / (n + T) to the shorter one, where T, the number of different
+words that follow it, is taken by Heaps' law from n alone.  So counts are all that the model needs.
 
 The model grows with the corpus and is never held whole anywhere.  Documents form blocks (runs of
-rows of one file).  Each block counts its distinct n-grams; counts are packed into sorted arrays and
-shuffled to hash buckets; a bucket adds them up and sends each block the totals of just the n-grams
-and contexts that occur in it.  A block then holds the part of the automaton its texts can reach.
-n-grams of order n are counted only where both their parts of order n - 1 were kept, which loses
-none, as an n-gram is never more frequent than its parts.
-
-n-grams are told apart by hashes: words by 64 bits, longer ones by 48 bits within what a block or a
-bucket holds, where two of a few million share one with a probability below one in ten million each.
+rows of one file).  Each block sends its distinct n-grams of all orders, as sorted hashes with its own
+training counts, to buckets by ranges of the hash; a bucket adds up what the blocks counted and
+answers each block with the totals of its n-grams, in their order.  Rows between blocks and buckets
+hold thousands of n-grams each and are never more than there are n-grams.  A block then meets its
+answers, builds the part of the automaton that its texts can reach, and reads them.  Every n-gram
+of training counts; none is pruned.  n-grams are told apart by 61-bit hashes.
 """
 
 from __future__ import annotations
 
 import functools
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.parquet as pq
 import zstandard
-from pyarrow import fs
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from basinflow.llm import textkit as tk
-from basinflow.sources.shared import fresh_path, materialise
+from basinflow.sources.shared import materialise
 
 #: The hash of the token that ends every text and stands before its first word.
 END = np.uint64(0x51A9C0DE5EED0E4D)
+#: The low bits of an n-gram's key, which hold its order.
+ORDER_BITS = np.uint64(7)
 
 
 @dataclass(frozen=True)
 class LMParams:
-    """``order`` of the longest n-grams; those above order 1 are kept from ``least`` occurrences on;
-    ``discount`` is taken from each.  Blocks and buckets hold about ``block_bytes`` of text; contexts
-    with more than ``hot`` occurrences are split over several buckets."""
+    """``order`` (at most 7) of the longest n-grams; a context seen n times is taken to have
+    ``types_scale * n ** types_power`` different continuations.  Blocks hold about ``block_bytes`` of
+    text, buckets the n-grams of about ``bucket_bytes``; ``lane`` tokens of a text are read in one lane."""
 
-    order: int = 2
-    least: int = 3
-    discount: float = 0.75
-    block_bytes: int = 16 << 20
-    hot: int = 4_000_000
+    order: int = 3
+    types_scale: float = 2.0
+    types_power: float = 0.85
+    block_bytes: int = 6 << 20
+    bucket_bytes: int = 8 << 20
+    lane: int = 512
 
 
 def sequences(w: tk.Words) -> tuple[np.ndarray, np.ndarray]:
@@ -62,50 +65,125 @@ def sequences(w: tk.Words) -> tuple[np.ndarray, np.ndarray]:
 
 
 @dataclass
-class Level:
-    """Kept n-grams of one order in a block: sorted keys, corpus counts, and, where the n-gram is a
-    context, how many occurrences and how many distinct n-grams its arcs cover."""
-
-    keys: np.ndarray = field(default_factory=lambda: np.zeros(0, dtype=np.uint64))
-    counts: np.ndarray = field(default_factory=lambda: np.zeros(0, dtype=np.int64))
-    covered: np.ndarray = field(default_factory=lambda: np.zeros(0, dtype=np.int64))
-    arcs: np.ndarray = field(default_factory=lambda: np.zeros(0, dtype=np.int64))
-
-    def find(self, keys: np.ndarray) -> np.ndarray:
-        """Position of each key, or the last position + 1, where padded arrays hold zero."""
-        at = np.searchsorted(self.keys, keys)
-        at[at == len(self.keys)] = 0
-        return np.where(self.keys[at] == keys, at, len(self.keys)) if len(self.keys) else np.zeros(len(keys), dtype=np.int64)
-
+class Grams:
+    """The n-grams of some texts: sorted distinct ``keys``, and ``at[m - 1]``, the place in them of the
+    n-gram of order m that ends at each token, or ``len(keys)`` where the text has begun too late."""
+
+    keys: np.ndarray
+    at: np.ndarray
+
+    @staticmethod
+    def of(tokens: np.ndarray, begins: np.ndarray, order: int) -> Grams:
+        size = len(tokens)
+        depth = np.arange(size) - np.repeat(begins, np.diff(np.append(begins, size)))
+        every, valid, key = [], [], tokens
+        for m in range(1, order + 1):
+            if m > 1:
+                key = np.concatenate([key[:1], tk.mix64(key[:-1] * tk.MIX[0] + tokens[1:])])
+            valid.append(depth >= m - 1)
+            every.append((key[valid[-1]] & ~ORDER_BITS) | np.uint64(m))
+        ends = np.cumsum([len(x) for x in every])[:-1]
+        keys, inverse = np.unique(np.concatenate(every), return_inverse=True)
+        at = np.full((order, size), len(keys), dtype=np.int32)
+        for row, some, found in zip(at, valid, np.split(inverse, ends), strict=True):
+            row[some] = found
+        return Grams(keys, at)
+
+    def counts(self, counted: np.ndarray) -> np.ndarray:
+        """How often the tokens that are ``counted`` end each n-gram."""
+        total = np.zeros(len(self.keys) + 1, dtype=np.int64)
+        for row in self.at:
+            total += np.bincount(row[counted], minlength=len(total))
+        return total[:-1]
+
+
+class Automaton:
+    """States and arcs over the n-grams of some texts.
+
+    An n-gram stands for its arc (from the state of all but its last word) and, where it is shorter
+    than ``order``, for the state that it is; ``root``, one past the last n-gram, is the empty context.
+    ``weight`` is the arc's log10 probability, ``target`` the state it leads to, ``backoff`` the
+    log10 weight of the state's failure arc and ``shorter`` the state that leads to.
+    """
 
-def extend(keys: np.ndarray, tokens: np.ndarray) -> np.ndarray:
-    """48-bit keys of n-grams one longer: ``keys`` of those before the last token of each."""
-    out = keys >> np.uint64(16)
-    out[1:] = tk.mix64(keys[:-1] * tk.MIX[0] + tokens[1:]) >> np.uint64(16)
-    return out
+    def __init__(self, grams: Grams, counts: np.ndarray, total: int, distinct: int, p: LMParams) -> None:
+        self.grams, self.p, self.root = grams, p, len(grams.keys)
+        self.counts = np.append(counts, 0)
+        n = len(self.counts)
+        context, suffix = (np.full(n, self.root, dtype=np.int32) for _ in range(2))
+        for m in range(1, p.order):
+            context[grams.at[m][1:]] = grams.at[m - 1][:-1]
+            suffix[grams.at[m][1:]] = grams.at[m - 1][1:]
+        context[self.root] = suffix[self.root] = self.root
+        kind = np.append(grams.keys & ORDER_BITS, 0).astype(np.int8)
+        types = p.types_scale * self.counts.astype(float) ** p.types_power
+        chance = (self.counts + 1.0) / (total + distinct + 1.0)
+        for m in range(2, p.order + 1):
+            own = np.flatnonzero((kind == m) & (self.counts > 0))
+            size, spread = self.counts[context[own]], types[context[own]]
+            chance[own] = (self.counts[own] + spread * chance[suffix[own]]) / (size + spread)
+        self.weight = np.log10(chance)
+        state = (self.counts > 0) & (kind < p.order)
+        self.backoff = np.log10(np.where(state, types / np.maximum(self.counts + types, 1), 1.0))
+        self.shorter = np.where(kind > 1, suffix, np.int32(self.root))
+        self.target = np.where(state, np.arange(n, dtype=np.int32), np.where(kind == p.order, suffix, np.int32(self.root)))
+        self.length = np.where(state, kind, np.int8(0))
+
+    def entered(self, places: np.ndarray) -> np.ndarray:
+        """The state after the token at each place: as orders are bounded, it follows from the last tokens alone."""
+        out = np.full(len(places), self.root, dtype=np.int32)
+        for m in range(1, self.p.order):
+            found = self.grams.at[m - 1][places]
+            out = np.where(self.counts[found] > 0, found, out)
+        return out
+
+    def read(self, begins: np.ndarray, size: int) -> np.ndarray:
+        """Log10 probability of each token, zero at the ``begins`` of texts.
+
+        All texts are read together, in lanes of at most ``lane`` tokens; a lane that goes on with a
+        text starts in the state in which the one before it ends."""
+        lengths = np.diff(np.append(begins, size)) - 1
+        lanes = -(-lengths // self.p.lane)
+        nth = np.arange(lanes.sum()) - np.repeat(np.cumsum(lanes) - lanes, lanes)
+        start = np.repeat(begins + 1, lanes) + nth * self.p.lane
+        left = np.minimum(np.repeat(lengths, lanes) - nth * self.p.lane, self.p.lane)
+        order = np.argsort(-left, kind="stable")
+        start, left = start[order], left[order]
+        state, out = self.entered(start - 1), np.zeros(size)
+        for step in range(int(left[0]) if len(left) else 0):
+            active = int(np.searchsorted(-left, -step, "left"))
+            place, here = start[:active] + step, state[:active]
+            log = np.zeros(active)
+            arc = self.grams.at[self.length[here], place]
+            failing = np.flatnonzero((self.counts[arc] == 0) & (here != self.root))
+            while len(failing):
+                log[failing] += self.backoff[here[failing]]
+                here[failing] = self.shorter[here[failing]]
+                arc[failing] = self.grams.at[self.length[here[failing]], place[failing]]
+                failing = failing[(self.counts[arc[failing]] == 0) & (here[failing] != self.root)]
+            out[place] = log + self.weight[arc]
+            state[:active] = self.target[arc]
+        return out
 
 
-def packed_keys(keys: np.ndarray, order: int) -> np.ndarray:
-    """Keys as rows of bytes: eight for words, six for longer n-grams."""
-    return np.ascontiguousarray(keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, : 8 if order == 1 else 6])
+def pack(values: np.ndarray) -> bytes:
+    """Compressed bytes of an array, byte planes apart; the first byte tells the width of an element."""
+    planes = np.ascontiguousarray(values).view(np.uint8).reshape(-1, values.itemsize).T
+    return bytes([values.itemsize]) + zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(planes).data)
 
 
-def unpacked_keys(raw: bytes, order: int) -> np.ndarray:
-    """The keys of a compressed run of :func:`packed_keys`."""
-    width = 8 if order == 1 else 6
-    rows = np.frombuffer(unpack(raw), dtype=np.uint8).reshape(-1, width)
-    out = np.zeros((len(rows), 8), dtype=np.uint8)
-    out[:, :width] = rows
-    return out.reshape(-1).view("<u8").astype(np.uint64)
+def unpack(raw: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw[1:]), dtype=np.uint8).reshape(raw[0], -1)
+    return np.ascontiguousarray(planes.T).view(f"<u{raw[0]}").reshape(-1)
 
 
-def pack(values: np.ndarray) -> bytes:
-    """Compressed bytes of an array, whose first byte tells the width of an element."""
-    return bytes([values.itemsize]) + zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(values).data)
+def pack_keys(keys: np.ndarray) -> bytes:
+    """Sorted keys as the gaps between them."""
+    return pack(np.diff(keys, prepend=np.uint64(0)))
 
 
-def unpack(raw: bytes) -> bytes:
-    return zstandard.ZstdDecompressor().decompress(raw[1:])
+def unpack_keys(raw: bytes) -> np.ndarray:
+    return np.cumsum(unpack(raw), dtype=np.uint64)
 
 
 def pack_counts(values: np.ndarray) -> bytes:
@@ -113,56 +191,6 @@ def pack_counts(values: np.ndarray) -> bytes:
     return pack(values.astype(np.min_scalar_type(int(values.max()) if len(values) else 0)))
 
 
-def unpack_counts(raw: bytes) -> np.ndarray:
-    return np.frombuffer(unpack(raw), dtype=f"u{raw[0]}").astype(np.int64)
-
-
-def walk(tokens: np.ndarray, begins: np.ndarray, levels: list[Level], p: LMParams) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """(order, keys, positions in ``levels``, candidates of the next order) for each order in turn.
-
-    A candidate marks the last token of an n-gram, one order longer, whose parts are both kept.
-    """
-    keys = tokens
-    for order, level in enumerate(levels, 1):
-        at = level.find(keys)
-        kept = np.concatenate([level.counts, [0]])[at] >= p.least
-        following = np.zeros(len(keys), dtype=bool)
-        following[1:] = kept[1:] & kept[:-1]
-        for k in range(order):
-            following[np.minimum(begins + k, len(keys) - 1)] = False
-        yield order, keys, at, following
-        keys = extend(keys, tokens)
-
-
-def log_probabilities(tokens: np.ndarray, begins: np.ndarray, levels: list[Level], total: int, distinct: int, p: LMParams) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Per token: log10 model probability, log10 base probability, and whether training had it."""
-    out = base = known = candidates = context = None
-    for order, keys, at, following in walk(tokens, begins, levels, p):
-        level = levels[order - 1]
-        counts, covered, arcs = (np.concatenate([x, [0]]) for x in (level.counts, level.covered, level.arcs))
-        if order == 1:
-            known = counts[at] > 0
-            prob = (counts[at] + 1.0) / (total + distinct + 1.0)
-            base = np.log10(prob)
-        else:
-            size, mass, n = context
-            lower = prob
-            failure = np.ones(len(tokens))
-            failure[1:] = np.where(n > 0, (size - mass + p.discount * n) / np.maximum(size, 1), 1.0)[:-1]
-            failure[begins] = 1.0
-            arc = candidates & (counts[at] > 0)
-            weight = np.zeros(len(tokens))
-            weight[1:] = (np.maximum(counts[at][1:] - p.discount, 0) / np.maximum(size, 1)[:-1]) * arc[1:]
-            prob = weight + failure * lower
-        state = at if order == 1 else np.where(candidates, at, len(level.keys))
-        context, candidates = (counts[state], covered[state], arcs[state]), following
-    out = np.log10(prob)
-    for x in (out, base):
-        x[begins] = 0.0
-    known[begins] = False
-    return out, base, known
-
-
 # --- blocks -------------------------------------------------------------------------------------
 
 
@@ -181,170 +209,102 @@ def in_blocks(docs: DataFrame, id_col: str, text_col: str, train: F.Column, p: L
     count, size = rows.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     per_block = max(1, int(p.block_bytes * count / max(size, 1)))
     block = F.xxhash64("file", F.expr(f"row div {per_block}"))
-    return rows.select(block.alias("block"), "train", "doc", "text"), max(1, -(-size // p.block_bytes))
+    return rows.select(block.alias("block"), "train", "doc", "text"), max(1, -(-size // p.bucket_bytes))
 
 
-def block_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[pa.RecordBatch]]]:
-    """Consecutive rows of one block, as pieces of a few megabytes of text."""
+def block_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Table]]:
+    """Consecutive rows of one block, together."""
     now, pieces = None, []
     for batch in batches:
         block = batch.column(0).to_numpy()
         cuts = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1], [True]])) if len(block) else [0]
         for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
             if pieces and block[lo] != now:
-                yield int(now), pieces
+                yield int(now), pa.Table.from_batches(pieces)
                 pieces = []
             now = block[lo]
-            pieces += tk.slices(batch.slice(lo, hi - lo), "text", 2 << 20)
+            pieces.append(batch.slice(lo, hi - lo))
     if pieces:
-        yield int(now), pieces
-
-
-def _add_up(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct keys, their sums, and the position of one row of each."""
-    found, first, at = np.unique(keys, return_index=True, return_inverse=True)
-    return found, np.bincount(at, weights=counts, minlength=len(found)).astype(np.int64), first
-
-
-COUNTS = "bucket int, block long, keys binary, contexts binary, counts binary, asked binary"
-TOTALS = "block long, level int, keys binary, counts binary, covered binary, arcs binary, tokens long, types long"
-
-
-def _emit(block: int, buckets: int, order: int, keys: np.ndarray, counts: np.ndarray, spread: np.ndarray, contexts: np.ndarray | None, asked: np.ndarray | None, asked_spread: np.ndarray | None) -> Iterator[pa.RecordBatch]:
-    """One row per bucket for the n-grams and one for the contexts asked about; n-grams of one
-    context stand together, so that contexts compress well.  A context of which a bucket holds several
-    splits is asked about once there."""
-    for place, grams in ((spread, True), (asked_spread, False)):
-        if place is None or not len(place):
-            continue
-        bucket = (((place >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int32)
-        at = np.lexsort((contexts, bucket)) if grams and contexts is not None else np.argsort(bucket, kind="stable")
-        found, starts = np.unique(bucket[at], return_index=True)
-        columns: dict[str, list[bytes | None]] = {k: [] for k in ("keys", "contexts", "counts", "asked")}
-        for part in np.split(at, starts[1:]):
-            columns["keys"].append(pack(packed_keys(keys[part], order)) if grams else None)
-            columns["contexts"].append(pack(packed_keys(contexts[part], order - 1)) if grams and contexts is not None else None)
-            columns["counts"].append(pack_counts(counts[part]) if grams else None)
-            columns["asked"].append(None if grams else pack(packed_keys(np.unique(asked[part]), order - 1)))
-        yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(np.full(len(found), block, dtype=np.int64)), *(pa.array(c, type=pa.binary()) for c in columns.values())], names=["bucket", "block", *columns])
-
-
-def _count_batches(batches: Iterator[pa.RecordBatch], store: str | None, order: int, buckets: int, p: LMParams) -> Iterator[pa.RecordBatch]:
-    """Counts of the block's distinct n-grams of one order: how often its training texts have each."""
-    for block, pieces in block_runs(batches):
-        levels = load_levels(store, block, order - 1) if order > 1 else []
-        parts = []
-        for piece in pieces:
-            w = tk.words(piece.column(3))
-            tokens, begins = sequences(w)
-            train = np.repeat(piece.column(1).to_numpy(zero_copy_only=False), np.diff(np.append(begins, len(tokens))))
-            if order == 1:
-                keys, some, context = tokens, np.ones(len(tokens), dtype=bool), tokens
-                some[begins] = False
-                size = None
-            else:
-                *_, (_, below, at, some) = walk(tokens, begins, levels, p)
-                keys, context, size = extend(below, tokens), np.roll(below, 1), np.roll(np.concatenate([levels[-1].counts, [0]])[at], 1)
-            found, n, first = _add_up(keys[some], train[some])
-            parts.append((found, n, context[some][first], np.zeros(len(found), dtype=np.int64) if size is None else size[some][first]))
-        keys, n, context, size = (np.concatenate(x) for x in zip(*parts, strict=True))
-        keys, n, first = _add_up(keys, n)
-        if order == 1:
-            yield from _emit(block, buckets, order, keys, n, tk.mix64(keys), None, None, None)
-            continue
-        context, salt = context[first], keys % (size[first] // p.hot + 1).astype(np.uint64)
-        states = levels[-1].counts >= p.least
-        copies = levels[-1].counts[states] // p.hot + 1
-        asked = np.repeat(levels[-1].keys[states], copies)
-        salts = (np.arange(len(asked)) - np.repeat(np.cumsum(copies) - copies, copies)).astype(np.uint64)
-        yield from _emit(block, buckets, order, keys, n, tk.mix64(context + salt * tk.MIX[2]), context, asked, tk.mix64(asked + salts * tk.MIX[2]))
-
-
-def _total_bucket(table: pa.Table, order: int, p: LMParams) -> pa.Table:
-    """Add up one bucket and answer every block: totals of its n-grams and what its contexts' arcs cover."""
-    blocks = table.column("block").to_pylist()
-    none = np.zeros(0, dtype=np.uint64)
-    keys_of = lambda c, n: [none if x is None else unpacked_keys(x, n) for x in table.column(c).to_pylist()]
-    keys = keys_of("keys", order)
-    counts = [none if x is None else unpack_counts(x) for x in table.column("counts").to_pylist()]
-    ends = np.cumsum([0] + [len(k) for k in keys])
-    found, first, at = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
+        yield int(now), pa.Table.from_batches(pieces)
+
+
+def block_tokens(texts: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """:func:`sequences` of all texts of a block, a few megabytes at a time."""
+    tokens, begins, size = [], [], 0
+    for chunk in texts.chunks:
+        for part in tk.slices(pa.record_batch([chunk], names=["text"]), "text", 2 << 20):
+            some, at = sequences(tk.words(part.column(0)))
+            tokens.append(some)
+            begins.append(at + size)
+            size += len(some)
+    return (np.concatenate(tokens), np.concatenate(begins)) if tokens else (np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64))
+
+
+def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
+    """Ranges of the key, in order."""
+    return (((keys >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int32)
+
+
+ASKED = "bucket int, block long, keys binary, counts binary"
+ANSWERS = "block long, bucket int, counts binary, tokens long, types long"
+
+
+def _ask_batches(batches: Iterator[pa.RecordBatch], buckets: int, p: LMParams) -> Iterator[pa.RecordBatch]:
+    """The distinct n-grams of each block and how often its training texts have them, by bucket."""
+    for block, table in block_runs(batches):
+        tokens, begins = block_tokens(table.column("text"))
+        grams = Grams.of(tokens, begins, p.order)
+        counted = np.repeat(table.column("train").to_numpy(), np.diff(np.append(begins, len(tokens))))
+        counted[begins] = False
+        counts, bucket = grams.counts(counted), bucket_of(grams.keys, buckets)
+        found, starts = np.unique(bucket, return_index=True)
+        ends = [*starts[1:].tolist(), len(bucket)]
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array(found),
+                pa.array(np.full(len(found), block, dtype=np.int64)),
+                pa.array([pack_keys(grams.keys[a:b]) for a, b in zip(starts, ends, strict=True)], type=pa.binary()),
+                pa.array([pack_counts(counts[a:b]) for a, b in zip(starts, ends, strict=True)], type=pa.binary()),
+            ],
+            names=["bucket", "block", "keys", "counts"],
+        )
+
+
+def _answer_bucket(table: pa.Table) -> pa.Table:
+    """The totals of a bucket's n-grams for each block that asked, in the order of the keys.
+
+    Tasks that share a block (the scan may split it) are one block here.  The first row also tells how
+    many training tokens, and how many different ones, the bucket has."""
+    bucket = table.column("bucket")[0].as_py()
+    blocks, place = np.unique(table.column("block").to_numpy(), return_inverse=True)
+    keys = [unpack_keys(x.as_py()) for x in table.column("keys")]
+    counts = [unpack(x.as_py()) for x in table.column("counts")]
+    found, at = np.unique(np.concatenate(keys), return_inverse=True)
     total = np.bincount(at, weights=np.concatenate(counts), minlength=len(found)).astype(np.int64)
-    kept = total >= (p.least if order > 1 else 1)
-    rows = []
-    for k, block in enumerate(blocks):
-        mine = at[ends[k] : ends[k + 1]]
-        mine = mine[kept[mine]]
-        if len(mine):
-            rows.append((block, order, pack(packed_keys(found[mine], order)), pack_counts(total[mine]), None, None, None, None))
-    if order == 1:
-        rows.append((0, 0, None, None, None, None, int(total.sum()), int(kept.sum())))
-    elif kept.any():
-        state, place = np.unique(np.concatenate(keys_of("contexts", order - 1))[first[kept]], return_inverse=True)
-        covered = np.bincount(place, weights=total[kept], minlength=len(state)).astype(np.int64)
-        arcs = np.bincount(place, minlength=len(state)).astype(np.int64)
-        questions: dict[int, list[np.ndarray]] = {}
-        for block, asked in zip(blocks, keys_of("asked", order - 1), strict=True):
-            questions.setdefault(block, []).append(asked)
-        for block, several in questions.items():
-            asked = np.unique(np.concatenate(several))  # tasks that share a block ask the same
-            spot = np.minimum(np.searchsorted(state, asked), len(state) - 1)
-            hit = state[spot] == asked
-            if hit.any():
-                rows.append((block, 1 - order, pack(packed_keys(asked[hit], order - 1)), None, pack_counts(covered[spot[hit]]), pack_counts(arcs[spot[hit]]), None, None))
-    columns = list(zip(*rows, strict=True)) or [()] * 8
-    kinds = [pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int64()]
-    return pa.Table.from_arrays([pa.array(c, type=t) for c, t in zip(columns, kinds, strict=True)], names=[x.split()[0] for x in TOTALS.split(", ")])
-
-
-def load_levels(store: str, block: int, upto: int) -> list[Level]:
-    """The block's part of the model, as far as order ``upto``."""
-    system, root = fs.FileSystem.from_uri(store)
-    levels = [Level() for _ in range(upto)]
-    got: dict[int, list] = {}
-    for order in range(1, upto + 1):
-        folder = f"{root}/order={order}/block={block}"
-        if system.get_file_info(folder).type == fs.FileType.NotFound:
-            continue
-        for info in system.get_file_info(fs.FileSelector(folder)):
-            if info.base_name.endswith(".parquet"):
-                with system.open_input_file(info.path) as file:
-                    for row in pq.ParquetFile(file).read(columns=["level", "keys", "counts", "covered", "arcs"]).to_pylist():
-                        got.setdefault(row["level"], []).append(row)
-    for order in range(1, upto + 1):
-        level = levels[order - 1]
-        grams = got.get(order, [])
-        if grams:
-            keys = np.concatenate([unpacked_keys(r["keys"], order) for r in grams])
-            counts = np.concatenate([unpack_counts(r["counts"]) for r in grams])
-            level.keys, first = np.unique(keys, return_index=True)
-            level.counts = counts[first]
-        level.covered, level.arcs = np.zeros(len(level.keys), dtype=np.int64), np.zeros(len(level.keys), dtype=np.int64)
-        for row in got.get(-order, []):
-            at = np.searchsorted(level.keys, unpacked_keys(row["keys"], order))
-            np.add.at(level.covered, at, unpack_counts(row["covered"]))
-            np.add.at(level.arcs, at, unpack_counts(row["arcs"]))
-    return levels
-
-
-def _score_batches(batches: Iterator[pa.RecordBatch], store: str, total: int, distinct: int, p: LMParams) -> Iterator[pa.RecordBatch]:
-    for block, pieces in block_runs(batches):
-        levels = load_levels(store, block, p.order)
-        for piece in pieces:
-            w = tk.words(piece.column(3))
-            tokens, begins = sequences(w)
-            logs, base, known = log_probabilities(tokens, begins, levels, total, distinct, p)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    piece.column(2),
-                    pa.array(np.diff(w.offsets) + 1),
-                    pa.array(np.add.reduceat(known.astype(np.int64), begins)),
-                    pa.array(np.full(len(begins), total, dtype=np.int64)),
-                    pa.array(np.add.reduceat(base, begins)),
-                    pa.array(np.add.reduceat(logs, begins)),
-                ],
-                names=["doc", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
-            )
+    ends = np.cumsum([0] + [len(x) for x in keys])
+    answers = []
+    for k in range(len(blocks)):
+        mine = [at[ends[r] : ends[r + 1]] for r in np.flatnonzero(place == k)]
+        answers.append(pack_counts(total[mine[0] if len(mine) == 1 else np.unique(np.concatenate(mine))]))
+    words = total[(found & ORDER_BITS) == 1]
+    rest = [None] * (len(blocks) - 1)
+    columns = [blocks, np.full(len(blocks), bucket, dtype=np.int32), answers, [int(words.sum()), *rest], [int(np.count_nonzero(words)), *rest]]
+    return pa.Table.from_arrays([pa.array(c, type=t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int64()), strict=True)], names=["block", "bucket", "counts", "tokens", "types"])
+
+
+def _score_block(texts: pa.Table, answers: pa.Table, total: int, distinct: int, p: LMParams) -> pa.Table:
+    """Scores of a block's texts by the part of the automaton that the answers to it make up."""
+    tokens, begins = block_tokens(texts.column("text"))
+    grams = Grams.of(tokens, begins, p.order)
+    ordered = answers.sort_by("bucket").column("counts")
+    counts = np.concatenate([unpack(x.as_py()).astype(np.int64) for x in ordered] or [np.zeros(0, dtype=np.int64)])
+    machine = Automaton(grams, counts, total, distinct, p)
+    own = np.ones(len(tokens), dtype=bool)
+    own[begins] = False
+    sums = (lambda x: np.add.reduceat(x, begins)) if len(begins) else (lambda x: x)
+    word = grams.at[0]
+    columns = [sums(own.astype(np.int64)), sums((own & (machine.counts[word] > 0)).astype(np.int64)), np.full(len(begins), total, dtype=np.int64), sums(np.where(own, machine.weight[word], 0.0)), sums(machine.read(begins, len(tokens)))]
+    return pa.Table.from_arrays([texts.column("doc"), *(pa.array(c) for c in columns)], names=["doc", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
 
 def score(docs: DataFrame, train: F.Column, id_col: str = "doc_id", text_col: str = "text", p: LMParams = LMParams()) -> DataFrame:
@@ -353,19 +313,16 @@ def score(docs: DataFrame, train: F.Column, id_col: str = "doc_id", text_col: st
     Returns ``id_col, n_tokens`` (words and one end), ``n_known`` (tokens that training has),
     ``train_tokens``, ``base_score`` (log10 under add-one unigrams) and ``score`` (log10 under the
     automaton).  A null or empty text is the end token alone.  A null ``train`` counts as false;
-    without training rows every token has probability 1.  Repeated rows count and come back each;
-    other columns are ignored; an empty table gives an empty result.
+    without training rows every token has probability 1.  Repeated rows count and come back each; a
+    very long text is read whole, within its block; other columns are ignored; an empty table gives an
+    empty result.
     """
-    spark = docs.sparkSession
     rows, buckets = in_blocks(docs, id_col, text_col, train, p)
-    store = fresh_path(spark, "lm-model")
-    for order in range(1, p.order + 1):
-        counted = rows.mapInArrow(functools.partial(_count_batches, store=store, order=order, buckets=buckets, p=p), COUNTS)
-        totals = counted.groupBy("bucket").applyInArrow(lambda table: _total_bucket(table, order, p), TOTALS)  # noqa: B023
-        totals.repartition("block").write.partitionBy("block").parquet(f"{store}/order={order}")
-        if order == 1:
-            found = spark.read.schema("level int, tokens long, types long, block long").parquet(f"{store}/order=1").where("block = 0 and level = 0")
-            total, distinct = found.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("types"), F.lit(0))).first()
+    asked = rows.mapInArrow(functools.partial(_ask_batches, buckets=buckets, p=p), ASKED)
+    answers = materialise(asked.groupBy("bucket").applyInArrow(_answer_bucket, ANSWERS), "lm-answers")
+    total, distinct = answers.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("types"), F.lit(0))).first()
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"doc {kind}, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return rows.mapInArrow(functools.partial(_score_batches, store=store, total=total, distinct=distinct, p=p), schema).withColumnRenamed("doc", id_col)
+    texts = rows.select("block", "doc", "text").groupBy("block")
+    scored = texts.cogroup(answers.select("block", "bucket", "counts").groupBy("block")).applyInArrow(lambda left, right: _score_block(left, right, total, distinct, p), schema)
+    return scored.withColumnRenamed("doc", id_col)

@@ -31,7 +31,7 @@ def op2_ppm_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_backoff_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = lm.score(table(spark, sf_dir, "documents"), fold("doc_id", 7) != 2, p=lm.LMParams(order=3, least=1))
+    scored = lm.score(table(spark, sf_dir, "documents"), fold("doc_id", 7) != 2)
     return scored.select("doc_id", held_out("doc_id", 7, 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
@@ -90,7 +90,35 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_warc": op10_warc,
 }
 
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = rf"list_filter(regexp_split_to_array({_LOWER}, '[\x20\x09-\x0D]+'), lambda x: x <> '')"
+#: crc32 of an id as text: each byte goes through eight steps of the shift register.
+_CRC = (
+    "xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)), lambda c, b: xor(c // 256, "
+    "list_reduce(list_prepend(xor(c % 256, b), range(8)), lambda x, y: xor(x // 2, CASE WHEN x % 2 = 1 THEN 3988292384 ELSE 0 END)))), 4294967295)"
+)
+
 SQL: dict[str, str] = {
+    "op3_backoff_automaton": rf"""
+        WITH d AS MATERIALIZED (
+            SELECT row_number() OVER () AS r, doc_id, {_CRC} % 7 = 2 AS held_out, list_concat([NULL], {_WORDS}, [NULL]) AS ws FROM documents),
+        t AS MATERIALIZED (
+            SELECT r, held_out, k, coalesce(ws[k], chr(0)) AS w, CASE WHEN k > 1 THEN coalesce(ws[k - 1], chr(0)) END AS v, CASE WHEN k > 2 THEN coalesce(ws[k - 2], chr(0)) END AS u
+            FROM (SELECT r, held_out, ws, unnest(range(2, len(ws) + 1)) AS k FROM d)),
+        c1 AS MATERIALIZED (SELECT w, count(*) AS n FROM t WHERE NOT held_out GROUP BY w),
+        c2 AS MATERIALIZED (SELECT v, w, count(*) AS n FROM t WHERE NOT held_out GROUP BY v, w),
+        c3 AS MATERIALIZED (SELECT u, v, w, count(*) AS n FROM t WHERE NOT held_out AND u IS NOT NULL GROUP BY u, v, w),
+        s AS (SELECT sum(n)::BIGINT AS total, count(*) AS types FROM c1),
+        p AS (
+            SELECT t.r, a.n AS n1, total, (coalesce(a.n, 0) + 1.0::DOUBLE) / (total + types + 1) AS p1,
+                   coalesce(b.n, 0) AS n2, coalesce(x.n, 0) AS m2, coalesce(c.n, 0) AS n3, coalesce(y.n, 0) AS m3
+            FROM t CROSS JOIN s LEFT JOIN c1 a ON a.w = t.w LEFT JOIN c1 x ON x.w = t.v LEFT JOIN c2 b ON b.v = t.v AND b.w = t.w
+            LEFT JOIN c2 y ON y.v = t.u AND y.w = t.v LEFT JOIN c3 c ON c.u = t.u AND c.v = t.v AND c.w = t.w),
+        q AS (SELECT *, CASE WHEN m2 > 0 THEN (n2 + 2.0::DOUBLE * pow(m2, 0.85) * p1) / (m2 + 2.0::DOUBLE * pow(m2, 0.85)) ELSE p1 END AS p2 FROM p)
+        SELECT any_value(d.doc_id) AS doc_id, any_value(d.held_out) AS held_out, count(*)::BIGINT AS n_tokens, count(n1)::BIGINT AS n_known, any_value(total)::BIGINT AS train_tokens,
+               sum(log10(p1)) AS base_score, sum(log10(CASE WHEN m3 > 0 THEN (n3 + 2.0::DOUBLE * pow(m3, 0.85) * p2) / (m3 + 2.0::DOUBLE * pow(m3, 0.85)) ELSE p2 END)) AS score
+        FROM q JOIN d ON d.r = q.r GROUP BY d.r
+    """,
     "op7_minhash_near_dedup": r"""
         WITH RECURSIVE w AS MATERIALIZED (
             SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),

@@ -229,39 +229,29 @@ def test_quality_learns_and_edge_cases(spark):
 
 
 def plain_model(rows, train, p):
-    """Add-one unigrams under absolute-discounting bigrams, by the definition."""
-    uni, bi = Counter(), Counter()
-    everything = Counter()
-    for (_, text, _), use in zip(rows, train, strict=True):
-        tokens = [*words(text), "\0end"]
-        if use:
-            uni.update(tokens)
-        everything.update(tokens)
-    total, distinct = sum(uni.values()), len(uni)
-    kept = lambda t: uni[t] >= p.least
+    """Smoothed n-grams by the definition, one text and token after the other."""
+    grams = Counter()
     for (_, text, _), use in zip(rows, train, strict=True):
         tokens = ["\0end", *words(text), "\0end"]
-        if use:
-            bi.update((a, b) for a, b in zip(tokens[:-1], tokens[1:], strict=True) if kept(a) and kept(b))
-    bi = Counter({g: n for g, n in bi.items() if n >= p.least})
-    covered, arcs = Counter(), Counter()
-    for (a, _), n in bi.items():
-        covered[a] += n
-        arcs[a] += 1
+        for at in range(1, len(tokens)) if use else ():
+            grams.update(tuple(tokens[at - m : at + 1]) for m in range(min(at + 1, p.order)))
+    total = sum(n for g, n in grams.items() if len(g) == 1)
+    distinct = sum(len(g) == 1 for g in grams)
+
+    def chance(context, t):
+        if not context:
+            return (grams[(t,)] + 1) / (total + distinct + 1)
+        shorter, n = chance(context[1:], t), grams[context]
+        types = p.types_scale * n**p.types_power
+        return (grams[(*context, t)] + types * shorter) / (n + types) if n else shorter
+
     out = {}
-    for k, (i, text, _) in enumerate(rows):
-        tokens = [*words(text), "\0end"]
-        base = model = known = 0
-        for at, t in enumerate(tokens):
-            lower_p = (uni[t] + 1) / (total + distinct + 1)
-            chance = lower_p
-            a = tokens[at - 1] if at else "\0end"
-            if arcs[a]:
-                chance = (uni[a] - covered[a] + p.discount * arcs[a]) / uni[a] * lower_p + max(bi[a, t] - p.discount, 0) / uni[a]
-            base += math.log10(lower_p)
-            model += math.log10(chance)
-            known += uni[t] > 0
-        out[k] = (len(tokens), known, total, base, model)
+    for k, (_, text, _) in enumerate(rows):
+        tokens = ["\0end", *words(text), "\0end"]
+        places = range(1, len(tokens))
+        base = sum(math.log10(chance((), tokens[at])) for at in places)
+        model = sum(math.log10(chance(tuple(tokens[max(0, at - p.order + 1) : at]), tokens[at])) for at in places)
+        out[k] = (len(tokens) - 1, sum(grams[(tokens[at],)] > 0 for at in places), total, base, model)
     return out
 
 
@@ -269,16 +259,16 @@ def test_language_model_follows_the_definition(spark):
     rng = random.Random(12)
     rows = [(k, " ".join(rng.choice("a b c d e f g".split()) for _ in range(rng.randint(0, 30))), "en") for k in range(120)]
     rows += [(500, None, None), (501, "", None), (502, "Zebra A b", None)]
-    p = lm.LMParams(block_bytes=700, hot=40)
     docs = documents(spark, rows)
-    got = lm.score(docs, fold("doc_id", 7) != 2, p=p).collect()
-    want = plain_model(rows, [crc_fold(i, 7) != 2 for i, _, _ in rows], p)
-    by_id = {rows[k][0]: v for k, v in want.items()}
-    assert len(got) == len(rows)
-    for r in got:
-        n, known, total, base, model = by_id[r.doc_id]
-        assert (r.n_tokens, r.n_known, r.train_tokens) == (n, known, total)
-        assert r.base_score == pytest.approx(base) and r.score == pytest.approx(model)
+    for p in (lm.LMParams(block_bytes=700, bucket_bytes=500, lane=7), lm.LMParams(order=2, lane=1), lm.LMParams(order=1), lm.LMParams(order=4)):
+        got = lm.score(docs, fold("doc_id", 7) != 2, p=p).collect()
+        want = plain_model(rows, [crc_fold(i, 7) != 2 for i, _, _ in rows], p)
+        by_id = {rows[k][0]: v for k, v in want.items()}
+        assert len(got) == len(rows)
+        for r in got:
+            n, known, total, base, model = by_id[r.doc_id]
+            assert (r.n_tokens, r.n_known, r.train_tokens) == (n, known, total)
+            assert r.base_score == pytest.approx(base) and r.score == pytest.approx(model)
 
 
 def test_query_scores_by_two_words_and_by_what_training_has_once(spark, tmp_path):
@@ -306,7 +296,7 @@ def test_language_model_of_blocks_that_the_scan_splits(spark, tmp_path):
         spark.conf.set(k, v)
     try:
         docs = spark.read.parquet(str(tmp_path / "docs.parquet"))
-        for p in (lm.LMParams(), lm.LMParams(block_bytes=700, hot=40)):
+        for p in (lm.LMParams(), lm.LMParams(block_bytes=700, bucket_bytes=900)):
             assert docs.rdd.getNumPartitions() > 5
             got = {r.doc_id: r.score for r in lm.score(docs, fold("doc_id", 7) != 2, p=p).collect()}
             want = plain_model(rows, [crc_fold(i, 7) != 2 for i, _, _ in rows], p)
@@ -317,26 +307,57 @@ def test_language_model_of_blocks_that_the_scan_splits(spark, tmp_path):
 
 
 def test_language_model_probabilities_sum_to_one(spark):
-    """After a context, all words, an unseen one and the end together have probability 1."""
-    rows = [(k, "a b a c a b b", "en") for k in range(20)]
-    asked = [(100 + k, f"a {w}", "en") for k, w in enumerate(["a", "b", "c", "unseen"])] + [(200, "a", "en"), (201, "unseen", "en"), (202, "", "en")]
-    got = {r.doc_id: r.score for r in lm.score(documents(spark, [*rows, *asked]), F.col("doc_id") < 100).collect()}
-    unseen_then_end = got[201]  # start, unseen, end
-    assert all(np.isfinite(v) and v < 0 for v in got.values()) and unseen_then_end < got[200]
-    tokens, begins = np.array([5, 1, 2, 5], dtype=np.uint64), np.array([0])
-    counts = {1: 40, 2: 60, 3: 40, 5: 20}
-    level = lm.Level(np.array([1, 2, 3, 5], dtype=np.uint64), np.array([counts[k] for k in (1, 2, 3, 5)]), np.array([36, 0, 0, 0]), np.array([3, 0, 0, 0]))
-    pairs = {2: 20, 3: 10, 5: 6}
-    keys = {w: lm.extend(np.array([1, w], dtype=np.uint64), np.array([1, w], dtype=np.uint64))[1] for w in (1, 2, 3, 5, 9)}
-    order = sorted(pairs, key=lambda w: keys[w])
-    zero = np.zeros(3, dtype=np.int64)
-    two = lm.Level(np.array([keys[w] for w in order], dtype=np.uint64), np.array([pairs[w] for w in order]), zero, zero)
-    total = 0.0
-    for w in (1, 2, 3, 5, 9):
-        tokens[2] = w
-        logs, _, _ = lm.log_probabilities(tokens, begins, [level, two], 160, 4, lm.LMParams())
-        total += 10 ** logs[2]
-    assert total == pytest.approx(1.0)
+    """After any context, all words, an unseen one and the end together have probability 1."""
+    rows = [(k, t, "en") for k, t in enumerate(["a b a c a b b", "b c a", "a", ""] * 5)]
+    asked = [(100 + k, f"{c} {w}", "en") for k, (c, w) in enumerate((c, w) for c in ("a b", "c a", "x a", "x y", "a") for w in ("a", "b", "c", "unseen"))]
+    asked += [(200 + k, c, "en") for k, c in enumerate(("a b", "c a", "x a", "x y", "a"))]
+    docs = documents(spark, [*rows, *asked])
+    train = [i < 100 for i, _, _ in [*rows, *asked]]
+    got = {r.doc_id: r.score for r in lm.score(docs, F.col("doc_id") < 100).collect()}
+    want = {i: v[4] for (i, _, _), v in zip([*rows, *asked], plain_model([*rows, *asked], train, lm.LMParams()).values(), strict=True)}
+    assert got == {k: pytest.approx(v) for k, v in want.items()}
+    tokens = np.array([lm.END, 1, 2, lm.END, lm.END, 2, 2, 1, lm.END], dtype=np.uint64) * np.uint64(8)
+    begins = np.array([0, 4])
+    for context in ([1, 2], [2, 2], [7, 2], [7, 7], []):
+        chances = 0.0
+        for last in (1, 2, 9, int(lm.END)):
+            text = np.array([lm.END, *context, last], dtype=np.uint64) * np.uint64(8)
+            grams = lm.Grams.of(np.concatenate([tokens, text]), np.append(begins, len(tokens)), 3)
+            counted = np.arange(len(tokens) + len(text)) < len(tokens)
+            counted[begins] = False
+            machine = lm.Automaton(grams, grams.counts(counted), 7, 3, lm.LMParams())
+            chances += 10 ** machine.read(np.append(begins, len(tokens)), len(tokens) + len(text))[-1]
+        assert chances == pytest.approx(1.0)
+
+
+def test_the_automaton_is_walked_state_by_state():
+    """Targets, failure arcs and lanes: a plain walk over the stored arcs gives the same weights."""
+    rng = np.random.default_rng(14)
+    sizes = rng.integers(0, 40, 60)
+    tokens = np.concatenate([[lm.END, *rng.integers(1, 9, n).astype(np.uint64) * np.uint64(8), lm.END] for n in sizes]).astype(np.uint64)
+    begins = np.cumsum(sizes + 2) - sizes - 2
+    grams = lm.Grams.of(tokens, begins, 3)
+    counted = np.repeat(np.arange(60) % 3 > 0, sizes + 2)
+    counted[begins] = False
+    p = lm.LMParams(lane=5)
+    machine = lm.Automaton(grams, grams.counts(counted), int(counted.sum()), 9, p)
+    arcs = {}
+    for m in range(3):
+        for place in range(len(tokens)):
+            gram = grams.at[m][place]
+            if gram < machine.root and (m == 0 or machine.counts[gram]):
+                arcs[grams.at[m - 1][place - 1] if m else machine.root, tokens[place]] = gram
+    logs = machine.read(begins, len(tokens))
+    for lo, n in zip(begins, sizes, strict=True):
+        state = grams.at[0][lo]
+        for place in range(lo + 1, lo + n + 2):
+            log = 0.0
+            while (state, tokens[place]) not in arcs:
+                log += machine.backoff[state]
+                state = machine.shorter[state]
+            log += machine.weight[arcs[state, tokens[place]]]
+            state = machine.target[arcs[state, tokens[place]]]
+            assert logs[place] == pytest.approx(log)
 
 
 def test_language_model_edge_cases(spark):
@@ -350,6 +371,10 @@ def test_language_model_edge_cases(spark):
     assert {(r.score, r.n_known) for r in untrained.collect()} == {(0.0, 0)}
 
 
+def test_language_model_query_equals_sql(compare):
+    compare("op3_backoff_automaton")
+
+
 # --- decontamination ----------------------------------------------------------------------------
 
 

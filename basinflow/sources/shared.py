@@ -66,7 +66,7 @@ def few_files(df: DataFrame) -> DataFrame:
     bytes keeps tasks as small as the splits of a scan at any size of the input.
     """
     spark = df.sparkSession
-    splits = 2 * input_bytes(df) // scan_bytes(spark)
+    splits = min(2 * input_bytes(df) // scan_bytes(spark), 1 << 20)
     return df.coalesce(max(splits, 2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")) // 8))
 
 

@@ -6,16 +6,17 @@ bands; equal bands put texts into one bucket.  A bucket of m texts yields m - 1
 m * m pairs.  Every candidate is confirmed on the full shingle sets of the whole texts.
 
 A star alone can miss a link between two leaves that are both unlike its centre.  Buckets whose
-members are still in different groups after the stars are confirmed are therefore visited again: each
-member outside the bucket's largest group proposes members of other groups, the most similar by
-sketch first.  Visits go on, with more proposals each while none is confirmed, until every pair of
-different groups has been confirmed or refused.  A pair is proposed in the first bucket that it
-shares.  It is refused without its texts only where an upper bound of what the two sets can share, from
-their sizes and the number of shingles in each bin, rules the similarity out; no estimate decides.
-
-Bucket sizes and centres are aggregated before they are joined back, and members of a large bucket
-are dealt to chunks that are compared apart, so no task holds a bucket whole.  Copies share a shingle
-set and are treated as one node.
+members are still in different groups after the stars are confirmed are therefore visited twice more:
+first each member outside the bucket's largest group proposes the most similar members of other
+groups, by sketch, which unites most of what is linked; then every pair of different groups that is
+left is decided.  A pair is proposed in the first bucket that it shares.  It is refused without its
+texts only where an upper bound of what the two sets can share, from their sizes and the number of
+shingles in each bin, rules the similarity out; no estimate decides.
+
+Bucket sizes and centres are aggregated before they are joined back.  Members of a bucket are dealt
+to blocks, and blocks are compared two by two in cells, so no task holds a bucket whole.  Copies
+share a shingle set and are one node.  Texts are known by their hash, not by the id of a row, and only
+those that share a bucket are shuffled.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from basinflow.llm import textkit as tk
@@ -42,8 +43,9 @@ class MinHashParams:
     """``words`` per shingle; ``bins`` = ``bands`` * ``rows``; link when 100 * |A & B| >= ``percent`` * |A | B|.
 
     With 32 bands of 4 rows a pair of similarity 0.75 misses every bucket with probability 5e-6.
-    ``partners`` is how many members of other groups one text proposes per chunk in a first visit;
-    later visits go on from there.  ``chunk`` is the number of members of a bucket that one task holds together.
+    ``partners`` is how many members of other groups one text proposes per cell in the first visit; the
+    second has no bound.  ``chunk`` members of a bucket are a block, and ``filter_bits`` (a power of two) the
+    size of the map of texts that share a bucket, which others are dropped by before the shuffle.
     """
 
     words: int = 5
@@ -51,7 +53,8 @@ class MinHashParams:
     rows: int = 4
     percent: int = 75
     partners: int = 8
-    chunk: int = 4096
+    chunk: int = 512
+    filter_bits: int = 1 << 24
 
     @property
     def bins(self) -> int:
@@ -115,35 +118,63 @@ def _signature_batches(batches: Iterator[pa.RecordBatch], p: MinHashParams) -> I
             yield pa.RecordBatch.from_arrays(
                 [
                     part.column(0),
+                    part.column(2),
                     pa.array(counts, type=pa.int64()),
                     pa.array(ids.view(np.int64), mask=~some),
                     pa.ListArray.from_arrays(pa.array(lists), pa.array(flat.view(np.int64))),
                     pa.array([next(filler) if s else None for s in some], type=pa.binary()),
                 ],
-                names=["doc", "n_shingles", "node", "bands", "sketch"],
+                names=["doc", "known_as", "n_shingles", "node", "bands", "sketch"],
             )
 
 
+def text_key(text: str) -> Column:
+    """What a text is known by."""
+    return F.xxhash64(text)
+
+
 def signatures(docs: DataFrame, id_col: str, text_col: str, p: MinHashParams) -> DataFrame:
-    """Per document: shingle count, 64-bit id of its shingle set, band keys, and a sketch: one byte for
-    each bin, two for each band key, and half a byte for the number of shingles in each bin."""
+    """Per document: its text's hash, shingle count, 64-bit id of its shingle set, band keys, and a sketch:
+    one byte for each bin, two for each band key, and half a byte for the number of shingles in each bin."""
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")).mapInArrow(
-        lambda batches: _signature_batches(batches, p), f"doc {kind}, n_shingles long, node long, bands array<long>, sketch binary"
+    return docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"), text_key(text_col)).mapInArrow(
+        lambda batches: _signature_batches(batches, p), f"doc {kind}, known_as long, n_shingles long, node long, bands array<long>, sketch binary"
     )
 
 
+def _held_batches(batches: Iterator[pa.RecordBatch], held: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield batch.filter(pa.array(held[batch.column(0).to_numpy() & (len(held) - 1)]))
+
+
+def texts_of(docs: DataFrame, text_col: str, carriers: DataFrame, p: MinHashParams) -> DataFrame:
+    """``node, text`` for ``carriers(node, known_as)``.
+
+    Texts that no carrier can be are dropped before the shuffle by a bit map of fixed size, which lets
+    more texts pass the more carriers there are, and never drops one."""
+    place = F.col("known_as").bitwiseAND(p.filter_bits - 1)
+    words = carriers.select(place.alias("place")).groupBy(F.expr("place div 32").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(place % 32 as int))")).alias("bits")).toArrow()
+    held = np.zeros(p.filter_bits // 32, dtype=np.int64)
+    held[words.column("word").to_numpy()] = words.column("bits").to_numpy()
+    held = ((held[:, None] >> np.arange(32)) & 1).astype(bool).reshape(-1)
+    packed = docs.sparkSession.sparkContext.broadcast(np.packbits(held))
+    rows = docs.select(text_key(text_col).alias("known_as"), F.col(text_col).alias("text"))
+    rows = rows.mapInArrow(lambda batches: _held_batches(batches, np.unpackbits(packed.value).astype(bool)), "known_as long, text string")
+    return rows.join(carriers, "known_as").groupBy("node").agg(F.first("text").alias("text"))
+
+
 def _confirm_batches(batches: Iterator[pa.RecordBatch], p: MinHashParams) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for part in tk.slices(batch, "left_text", 1 << 20):
-            left, la = tk.shingle_sets(part.column(2), p.words)
+        for part in tk.slices(batch, "right_text", 1 << 20):
+            _, first, at = np.unique(part.column(0).to_numpy(), return_index=True, return_inverse=True)
+            left, la = tk.shingle_sets(part.column(2).take(pa.array(first)), p.words)
             right, ra = tk.shingle_sets(part.column(3), p.words)
             linked = np.zeros(part.num_rows, dtype=bool)
             for row in range(part.num_rows):
-                a, b = left[la[row] : la[row + 1]], right[ra[row] : ra[row + 1]]
+                a, b = left[la[at[row]] : la[at[row] + 1]], right[ra[row] : ra[row + 1]]
                 if 100 * min(len(a), len(b)) < p.percent * max(len(a), len(b)):
                     continue
-                common = len(a) + len(b) - len(np.union1d(a, b))
+                common = np.count_nonzero(a[np.minimum(np.searchsorted(a, b), len(a) - 1)] == b)
                 linked[row] = 100 * common >= p.percent * (len(a) + len(b) - common)
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(linked)], names=["a", "b", "linked"])
 
@@ -174,19 +205,24 @@ def star_edges(buckets: DataFrame) -> DataFrame:
 
 
 def unsettled(buckets: DataFrame, groups: DataFrame, sketches: DataFrame, p: MinHashParams) -> DataFrame:
-    """Rows ``(bucket, chunk, asks, band, node, part, n, sketch)`` of the buckets that hold several groups.
+    """Rows ``(bucket, cell, side, band, node, part, n, sketch)`` of the buckets that hold several groups.
 
-    Every member stands once in the chunk its hash picks (``asks`` 0); members outside the bucket's
-    largest group also stand in each of its chunks, after those (``asks`` 1).
+    The members of the bucket's largest group are dealt to blocks, and so are the others.  A cell holds
+    two blocks: one of others (``side`` 1), which asks, and one of either (``side`` 0), which is asked; or
+    one block of others, whose members (``side`` 2) ask each other.
     """
     member = buckets.join(groups, "node").select("bucket", "band", "node", F.col("label").alias("part"))
     parts = member.groupBy("bucket", "part").agg(F.count("*").alias("m"))
-    sizes = parts.groupBy("bucket").agg(F.count("*").alias("parts"), F.max_by("part", "m").alias("main"), F.ceil(F.sum("m") / p.chunk).cast("int").alias("chunks")).where("parts > 1")
-    mixed = member.join(sizes.drop("parts"), "bucket")
-    held = mixed.select("bucket", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int").alias("chunk"), F.lit(0).alias("asks"), "band", "node", "part")
-    asking = mixed.where("part <> main").select("bucket", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.lit(1).alias("asks"), "band", "node", "part")
-    rows = held.unionByName(asking).join(sketches, "node").select("bucket", "chunk", "asks", "band", "node", "part", "n", "sketch")
-    return rows.repartition("bucket", "chunk").sortWithinPartitions("bucket", "chunk", "asks")
+    sizes = parts.groupBy("bucket").agg(F.count("*").alias("parts"), F.max_by("part", "m").alias("main"), F.max("m").alias("most"), F.sum("m").alias("m")).where("parts > 1")
+    blocks = [F.ceil(m / p.chunk).cast("int").alias(k) for m, k in ((F.col("most"), "mains"), (F.col("m") - F.col("most"), "others"))]
+    mixed = member.join(sizes.select("bucket", "main", *blocks), "bucket").withColumn("leads", F.col("part") == F.col("main"))
+    own = F.pmod(F.xxhash64("node", F.lit(7)), F.when(F.col("leads"), F.col("mains")).otherwise(F.col("others"))).cast("int")
+    dealt = mixed.select("*", own.alias("own"), F.explode(F.expr("sequence(0, CASE WHEN leads THEN others ELSE mains + others END - 1)")).alias("x"))
+    low, high = F.expr("least(own, x - mains)"), F.expr("greatest(own, x - mains)")
+    cell = F.when(F.col("leads"), F.expr("1L * x * mains + own")).when(F.expr("x < mains"), F.expr("1L * own * mains + x")).otherwise(F.expr("1L * others * mains") + low * F.col("others").cast("long") + high)
+    side = F.when(F.col("leads"), 0).when(F.expr("x < mains"), 1).when(low == high, 2).otherwise((F.col("own") == high).cast("int"))
+    rows = dealt.select("bucket", cell.alias("cell"), side.alias("side"), "band", "node", "part").join(sketches, "node").select("bucket", "cell", "side", "band", "node", "part", "n", "sketch")
+    return rows.repartition("bucket", "cell").sortWithinPartitions("bucket", "cell")
 
 
 def _sketch_matrix(column: pa.Array, width: int) -> np.ndarray:
@@ -196,7 +232,7 @@ def _sketch_matrix(column: pa.Array, width: int) -> np.ndarray:
 
 @dataclass
 class Members:
-    """Some members of a chunk: nodes, their groups, set sizes, the three parts of their sketches, and
+    """Some members of a cell: nodes, their groups, set sizes, the three parts of their sketches, and
     how many shingles the counts of their bins leave out."""
 
     node: np.ndarray
@@ -215,27 +251,36 @@ class Members:
         counts = np.stack([packed & FULL, packed >> 4], axis=2).reshape(len(packed), -1)[:, : p.bins]
         return Members(node, part, n, sketch, np.ascontiguousarray(keys).view("<u2"), counts, n - counts.sum(axis=1, dtype=np.int64))
 
-    def plus(self, other: Members) -> Members:
-        return Members(*(np.concatenate(x) for x in zip(vars(self).values(), vars(other).values(), strict=True)))
+    def where(self, some: np.ndarray) -> Members:
+        return Members(*(x[some] for x in vars(self).values()))
+
+
+def _proposal_batches(batches: Iterator[pa.RecordBatch], p: MinHashParams, most: int | None) -> Iterator[pa.RecordBatch]:
+    """The pairs of each asking member of a cell: the ``most`` similar ones, or all where that is None."""
+    for _, rows in cells(batches):
+        side, band = rows.column("side").to_numpy(), int(rows.column("band")[0].as_py())
+        every = Members.of(rows, p)
+        asking, held = every.where(side > 0), every.where(side != 1)
+        if len(asking.node) and len(held.node):
+            yield from _proposals(asking, held, band, most, p)
 
 
-def _proposal_batches(batches: Iterator[pa.RecordBatch], p: MinHashParams, first: int, end: int) -> Iterator[pa.RecordBatch]:
-    """The pairs of each asking member of a chunk from the ``first``-th most similar up to ``end``;
-    ``cut`` tells that it has more."""
-    now, held = None, None
+def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[int, int], pa.RecordBatch]]:
+    """Consecutive rows of one bucket and cell, together."""
+    now: tuple[int, int] | None = None
+    pieces: list[pa.RecordBatch] = []
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        keys = np.stack([batch.column(k).to_numpy().astype(np.int64) for k in range(4)])
-        cuts = np.flatnonzero(np.concatenate([[True], (keys[:, 1:] != keys[:, :-1]).any(axis=0), [True]]))
+        keys = np.stack([batch.column(k).to_numpy() for k in range(2)])
+        cuts = np.flatnonzero(np.concatenate([[True], (keys[:, 1:] != keys[:, :-1]).any(axis=0), [True]])) if batch.num_rows else [0]
         for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
-            if (keys[0, lo], keys[1, lo]) != now:
-                now, held = (keys[0, lo], keys[1, lo]), None
-            some = Members.of(batch.slice(lo, hi - lo), p)
-            if not keys[2, lo]:
-                held = some if held is None else held.plus(some)
-            elif held is not None:
-                yield from _proposals(some, held, int(keys[3, lo]), first, end, p)
+            here = int(keys[0, lo]), int(keys[1, lo])
+            if now not in (None, here):
+                yield now, pa.concat_batches(pieces)
+                pieces = []
+            now = here
+            pieces.append(batch.slice(lo, hi - lo))
+    if pieces and now is not None:
+        yield now, pa.concat_batches(pieces)
 
 
 def most_shared(asking: Members, held: Members, row: np.ndarray, col: np.ndarray, equal: np.ndarray) -> np.ndarray:
@@ -260,7 +305,7 @@ def _possible(asking: Members, held: Members, row: np.ndarray, col: np.ndarray,
     return row[keep], col[keep], equal[keep].sum(axis=1)
 
 
-def _proposals(asking: Members, held: Members, band: int, first: int, end: int, p: MinHashParams) -> Iterator[pa.RecordBatch]:
+def _proposals(asking: Members, held: Members, band: int, most: int | None, p: MinHashParams) -> Iterator[pa.RecordBatch]:
     block = max(1, (4 << 20) // (p.bins * len(held.node)))
     for at in range(0, len(asking.node), block):
         part, n = asking.part[at : at + block], asking.n[at : at + block]
@@ -269,13 +314,14 @@ def _proposals(asking: Members, held: Members, band: int, first: int, end: int,
         row, col = np.nonzero(apart & sized)
         row, col, agree = _possible(asking, held, at + row, col, band, p)
         row -= at
-        order = np.lexsort((held.node[col], -agree, row))
-        row, col = row[order], col[order]
-        counts = np.bincount(row, minlength=len(n))
-        nth = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
-        keep = (nth >= first) & (nth < end)
-        a, b = asking.node[at + row[keep]], held.node[col[keep]]
-        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array((counts[row] > end)[keep])], names=["a", "b", "cut"])
+        if most is not None:
+            order = np.lexsort((held.node[col], -agree, row))
+            row, col = row[order], col[order]
+            counts = np.bincount(row, minlength=len(n))
+            keep = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts) < most
+            row, col = row[keep], col[keep]
+        a, b = asking.node[at + row], held.node[col]
+        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
 
 def regrouped(groups: DataFrame, links: DataFrame) -> DataFrame:
@@ -297,35 +343,29 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     empty table gives an empty result.
     """
     sigs = materialise(signatures(docs, id_col, text_col, p), "signatures")
-    nodes = sigs.where("node is not null").groupBy("node").agg(F.min("doc").alias("least_doc"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"), F.first("n_shingles").alias("n"))
+    firsts = [F.first(c).alias(c) for c in ("bands", "sketch")]
+    nodes = sigs.where("node is not null").groupBy("node").agg(F.min("doc").alias("least_doc"), F.min("known_as").alias("known_as"), *firsts, F.first("n_shingles").alias("n"))
     nodes = materialise(nodes, "nodes")
     members = materialise(sigs.select("doc", "n_shingles", "node"), "members")
     discard(sigs)
     buckets = materialise(shared_buckets(nodes), "buckets")
-    carriers = buckets.select("node").distinct().join(nodes.select("node", "least_doc"), "node")
-    rows = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"))
-    texts = rows.join(carriers.withColumnRenamed("least_doc", "doc"), "doc").groupBy("node").agg(F.first("text").alias("text"))
-    texts = materialise(texts, "texts")
+    carriers = materialise(nodes.join(buckets.select("node").distinct(), "node", "left_semi").drop("bands", "least_doc"), "carriers")
+    texts = materialise(texts_of(docs, text_col, carriers.select("node", "known_as"), p), "texts")
     tried = materialise(confirm(star_edges(buckets), texts, p), "tried")
+    steps = [nodes, buckets, carriers, texts, tried]
     groups = regrouped(carriers.select("node", F.col("node").alias("label")), tried.where("linked"))
-    first, end = 0, p.partners
-    while True:
-        rows = unsettled(buckets, groups, nodes.select("node", "n", "sketch"), p)
-        proposed = rows.mapInArrow(lambda batches, first=first, end=end: _proposal_batches(batches, p, first, end), "a long, b long, cut boolean")
-        proposed = materialise(proposed.groupBy("a", "b").agg(F.max("cut").alias("cut")), "proposed")
-        more = materialise(confirm(proposed.join(tried, ["a", "b"], "left_anti").select("a", "b"), texts, p), "tried")
+    for most in (p.partners, None):
+        rows = unsettled(buckets, groups, carriers.select("node", "n", "sketch"), p)
+        proposed = rows.mapInArrow(lambda batches, most=most: _proposal_batches(batches, p, most), "a long, b long").distinct()
+        more = materialise(confirm(proposed.join(tried, ["a", "b"], "left_anti"), texts, p), "tried")
+        steps += [more, groups]
         tried = tried.unionByName(more)
-        if more.where("linked").limit(1).count():
-            groups = regrouped(groups, more.where("linked"))
-            first, end = 0, p.partners
-        elif proposed.where("cut").limit(1).count():
-            first, end = end, 8 * end
-        else:
-            break
-    discard(texts)
+        groups = regrouped(groups, more.where("linked"))
     labelled = nodes.select("node", "least_doc").join(groups, "node", "left").select("node", "least_doc", F.coalesce("label", "node").alias("part"))
     smallest = labelled.groupBy("part").agg(F.min("least_doc").alias("component_id"))
-    labelled = labelled.join(smallest, "part").select("node", "component_id")
+    labelled = materialise(labelled.join(smallest, "part").select("node", "component_id"), "components")
+    for step in [*steps, groups]:
+        discard(step)
     return members.join(labelled, "node", "left").select(
         F.col("doc").alias(id_col), "n_shingles", F.coalesce("component_id", "doc").alias("component_id"), F.coalesce("component_id", "doc").eqNullSafe(F.col("doc")).alias("kept")
     )

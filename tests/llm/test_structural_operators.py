@@ -159,16 +159,16 @@ def test_no_estimate_hides_a_pair_that_shares_a_bucket():
     rng = np.random.default_rng(34)
     p = minhash.MinHashParams()
 
-    def proposed(left, right, first):
+    def proposed(left, right, most):
         """Whether each pair of texts shares a bucket, and whether a bucket of the two proposes it."""
-        a, b = (pa.Table.from_batches(minhash._signature_batches([pa.record_batch({"doc": list(range(len(x))), "text": x})], p)).to_pydict() for x in (left, right))
+        a, b = (pa.Table.from_batches(minhash._signature_batches([pa.record_batch({"doc": list(range(len(x))), "text": x, "known_as": list(range(len(x)))})], p)).to_pydict() for x in (left, right))
         shares, found = np.zeros(len(left), dtype=bool), np.zeros(len(left), dtype=bool)
         for k in range(len(left)):
             for band in np.flatnonzero(np.array(a["bands"][k]) == np.array(b["bands"][k])):
-                both = {"bucket": [k, k, k], "chunk": [0, 0, 0], "asks": [0, 0, 1], "band": [int(band)] * 3, "node": [1, 2, 1], "part": [1, 2, 1]}
-                both |= {"n": [x["n_shingles"][k] for x in (a, b, a)], "sketch": [x["sketch"][k] for x in (a, b, a)]}
+                both = {"bucket": [k, k], "cell": [0, 0], "side": [0, 1], "band": [int(band)] * 2, "node": [1, 2], "part": [1, 2]}
+                both |= {"n": [x["n_shingles"][k] for x in (a, b)], "sketch": [x["sketch"][k] for x in (a, b)]}
                 shares[k] = True
-                found[k] |= any(x.num_rows for x in minhash._proposal_batches([pa.record_batch(both)], p, first, first + 8))
+                found[k] |= any(x.num_rows for x in minhash._proposal_batches([pa.record_batch(both)], p, most))
         return shares, found
 
     def pairs(common, own, n):
@@ -177,12 +177,49 @@ def test_no_estimate_hides_a_pair_that_shares_a_bucket():
         return [" ".join(w[: common + 4 + own]) for w in words], [" ".join([*w[: common + 4], *w[common + 4 + own :]]) for w in words]
 
     for common, own in ((150, 25), (600, 100), (3000, 500)):
-        shares, found = proposed(*pairs(common, own, 1000 if common < 3000 else 200), 0)
+        shares, found = proposed(*pairs(common, own, 1000 if common < 3000 else 200), None if own < 100 else 8)
         assert shares.mean() > 0.99 and (found == shares).all()
-    shares, found = proposed(*pairs(100, 75, 500), 0)
+    shares, found = proposed(*pairs(100, 75, 500), None)
     assert shares.sum() > 100 and found.sum() < 0.05 * shares.sum()
 
 
+def test_rows_without_an_id_and_rows_that_share_one_are_grouped_by_their_texts(spark):
+    """Groups are those of the same rows under ids of their own."""
+    rng = random.Random(35)
+    bases = [prose(rng, 60) for _ in range(8)]
+    texts = [t for b in bases for t in (b, edited(rng, b, 0.02), b + " tail")]
+    rows = [(7, t, "en") for t in texts[::3]] + [(None, t, "en") for t in texts[1::3]] + [(20 + k, t, "en") for k, t in enumerate(texts[2::3])]
+    rows += [(7, texts[1], "en"), (None, texts[0], "en"), (None, prose(rng, 40), "en"), (50, texts[3].upper(), "en")]
+    own = {k: c for k, _, c, _ in brute_groups([(k, t, g) for k, (_, t, g) in enumerate(rows)])}
+    least = {}
+    for k, (i, _, _) in enumerate(rows):
+        if i is not None:
+            least[own[k]] = min(least.get(own[k], i), i)
+    want = [(i, len(shingles(t)), least.get(own[k], i), least.get(own[k], i) == i) for k, (i, t, _) in enumerate(rows)]
+    found = minhash.near_duplicate_groups(documents(spark, rows)).collect()
+    assert sorted(map(tuple, found), key=str) == sorted(want, key=str)
+
+
+def test_every_pair_of_a_bucket_meets_in_one_cell(spark):
+    """Members are dealt to cells of two blocks; all pairs that need comparing meet, once for each cell."""
+    sizes = {0: 37, 1: 9, 2: 1, 3: 14}
+    nodes = [(k, part) for part, m in sizes.items() for k in range(100 * part, 100 * part + m)]
+    buckets = spark.createDataFrame([(b, 3, k, 0) for b in (5, 6) for k, part in nodes if b == 5 or part < 2], "bucket long, band int, node long, centre long")
+    groups = spark.createDataFrame(nodes, "node long, label long")
+    sketches = groups.select("node", F.lit(9).cast("long").alias("n"), F.lit(b"x").alias("sketch"))
+    rows = minhash.unsettled(buckets, groups, sketches, minhash.MinHashParams(chunk=8)).collect()
+    for bucket in (5, 6):
+        met, held = set(), {}
+        for r in rows:
+            if r.bucket == bucket:
+                held.setdefault(r.cell, []).append(r)
+        assert max(map(len, held.values())) < 40
+        for cell in held.values():
+            met |= {frozenset((x.node, y.node)) for x in cell if x.side > 0 for y in cell if y.side != 1 and x.part != y.part}
+        mine = [x for x in nodes if bucket == 5 or x[1] < 2]
+        assert met == {frozenset((a, b)) for (a, x), (b, y) in itertools.combinations(mine, 2) if x != y}
+
+
 def test_a_large_group_of_near_copies_stays_one_group(spark):
     """Every text is near its neighbours in a chain and in a crowd whose ends are unlike each other."""
     rng = random.Random(32)

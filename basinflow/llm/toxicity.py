@@ -1,11 +1,12 @@
 """Toxicity by a chain of linear classifiers.
 
-Categories are predicted one after the other.  Each linear model sees the words of the text and the
-log-odds that the earlier models gave; in training those come from out-of-fold predictions, so that
-a later model learns how far an earlier one can be trusted on texts it has not seen.
+Labelled categories are predicted one after the other, the verdict last.  Each linear model sees the
+words of the text and the log-odds that the earlier models gave; in training those come from
+out-of-fold predictions, so that a later model learns how far an earlier one can be trusted on texts
+it has not seen.
 
-Features are whole words and word beginnings (runs of letters, A-Z as a-z), present or absent.
-Those that tell labelled toxic texts from others best are kept, by the G statistic over a bounded
+Features are whole words and word beginnings (runs of letters, A-Z as a-z), present or absent.  All
+those are kept that tell one of the categories apart beyond chance, by the G statistic over a bounded
 sample of labelled rows.  Scoring reads every whole text once, in array form.
 """
 
@@ -26,17 +27,15 @@ from basinflow.sources.shared import discard, materialise
 
 @dataclass(frozen=True)
 class ToxicityParams:
-    """``sample`` bounds the labelled rows that are learned from, ``features`` the features kept;
-    a feature needs ``least_docs`` sample texts and a G statistic of ``least_g``.  ``prefixes`` are
-    the lengths of word beginnings in bytes; ``folds``, ``steps`` and ``ridge`` govern the fits."""
+    """``sample`` bounds the labelled rows that are learned from; a feature needs a G statistic of
+    ``least_g`` for one of the categories (30: chance one in 2e7).  ``prefixes`` are the lengths of word
+    beginnings in bytes; ``folds``, ``steps`` and ``ridge`` govern the fits."""
 
     sample: int = 20_000
-    features: int = 1024
-    least_docs: int = 8
     least_g: float = 30.0
-    prefixes: tuple[int, ...] = (4, 5, 6)
-    folds: int = 5
-    steps: int = 150
+    prefixes: tuple[int, ...] = (5,)
+    folds: int = 3
+    steps: int = 100
     ridge: float = 1e-4
     threshold: float = 0.5
 
@@ -125,35 +124,45 @@ def squash(odds: np.ndarray) -> np.ndarray:
 
 
 def fit_chain(rows: np.ndarray, cols: np.ndarray, labels: np.ndarray, vocabulary: Vocabulary, p: ToxicityParams) -> Chain:
-    """Fit one model per column of ``labels`` (0/1), earlier columns first."""
+    """Fit one model per column of ``labels`` (0/1, NaN where unknown), earlier columns first."""
     count, size = len(labels), len(vocabulary.features)
     part = (tk.mix64(np.arange(count, dtype=np.uint64)) % np.uint64(p.folds)).astype(np.int64)
     odds, models = np.zeros((count, 0)), []
+
+    def fitted(keep: np.ndarray, y: np.ndarray) -> LinearModel:
+        place, some = np.cumsum(keep) - 1, keep[rows]
+        return fit_linear(place[rows[some]], cols[some], odds[keep], y[keep], size, p)
+
     for y in labels.T:
-        models.append(fit_linear(rows, cols, odds, y, size, p))
+        known = ~np.isnan(y)
+        models.append(fitted(known, y))
         out_of_fold = np.zeros(count)
         for k in range(p.folds):
-            keep = part != k
-            place = np.cumsum(keep) - 1
-            some = keep[rows]
-            fold_model = fit_linear(place[rows[some]], cols[some], odds[keep], y[keep], size, p)
-            out_of_fold[~keep] = fold_model.log_odds(rows, cols, odds)[~keep]
+            out_of_fold[part == k] = fitted(known & (part != k), y).log_odds(rows, cols, odds)[part == k]
         odds = np.column_stack([odds, squash(out_of_fold)])
     return Chain(vocabulary, models)
 
 
 def _count_batches(batches: Iterator[pa.RecordBatch], p: ToxicityParams) -> Iterator[pa.RecordBatch]:
+    """For each category, in how many texts whose label is known a feature occurs, and of label 1."""
     for batch in batches:
         for part in tk.slices(batch, "text"):
-            target = part.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
             rows, features = word_features(part.column(0), p.prefixes)
             order = np.lexsort((rows, features))
             rows, features = rows[order], features[order]
             once = np.ones(len(rows), dtype=bool)
             once[1:] = (rows[1:] != rows[:-1]) | (features[1:] != features[:-1])
-            found, at, n = np.unique(features[once], return_inverse=True, return_counts=True)
-            hits = np.bincount(at, weights=target[rows[once]], minlength=len(found)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n.astype(np.int64)), pa.array(hits)], names=["feature", "n", "hits"])
+            found, at = np.unique(features[once], return_inverse=True)
+            for category, label in enumerate(_label_matrix(part.column(1)).T):
+                known = ~np.isnan(label)
+                n = np.bincount(at, weights=known[rows[once]], minlength=len(found)).astype(np.int64)
+                hits = np.bincount(at, weights=np.where(known, label, 0)[rows[once]], minlength=len(found)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(np.full(len(found), category, dtype=np.int32)), pa.array(n), pa.array(hits)], names=["feature", "category", "n", "hits"])
+
+
+def _label_matrix(column: pa.Array) -> np.ndarray:
+    flat = column.flatten().cast(pa.float64()).fill_null(float("nan")).to_numpy(zero_copy_only=False)
+    return flat.reshape(len(column), -1)
 
 
 def _find_batches(batches: Iterator[pa.RecordBatch], vocabulary: Vocabulary, p: ToxicityParams) -> Iterator[pa.RecordBatch]:
@@ -161,7 +170,7 @@ def _find_batches(batches: Iterator[pa.RecordBatch], vocabulary: Vocabulary, p:
         for part in tk.slices(batch, "text"):
             rows, cols = vocabulary.find(*word_features(part.column(0), p.prefixes))
             at = np.searchsorted(rows, np.arange(part.num_rows + 1)).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([part.column(1), pa.ListArray.from_arrays(pa.array(at), pa.array(cols.astype(np.int32)))], names=["labels", "found"])
+            yield pa.RecordBatch.from_arrays([part.column(1), pa.ListArray.from_arrays(pa.array(at), pa.array(cols.astype(np.int32))), part.column(2)], names=["labels", "found", "hash"])
 
 
 def _score_batches(batches: Iterator[pa.RecordBatch], chain: Chain, names: list[str], p: ToxicityParams) -> Iterator[pa.RecordBatch]:
@@ -173,26 +182,32 @@ def _score_batches(batches: Iterator[pa.RecordBatch], chain: Chain, names: list[
 
 
 def train(labelled: DataFrame, text_col: str, categories: list[str], p: ToxicityParams = ToxicityParams()) -> Chain:
-    """Learn from ``labelled`` (at most ``p.sample`` rows): 0/1 ``categories`` in chain order, the
-    last being the verdict that features are chosen by.  No rows, or one class, give the base rate."""
+    """Learn from ``labelled`` (at most ``p.sample`` rows): 0/1 ``categories`` in chain order.
+
+    A null label leaves the row out of that category's model alone.  No rows, or one class, give the
+    base rate."""
     rows = labelled.select(F.col(text_col).alias("text"), F.array(*[F.col(c).cast("int") for c in categories]).alias("labels"))
     sample = materialise(rows, "toxicity-sample")
-    verdict = F.element_at("labels", -1)
-    total = sample.agg(F.count("*"), F.coalesce(F.sum(verdict), F.lit(0))).first()
-    counted = sample.select("text", verdict.alias("target")).mapInArrow(lambda b: _count_batches(b, p), "feature long, n long, hits long")
+    marks = [F.element_at("labels", k + 1) for k in range(len(categories))]
+    totals = sample.agg(*[x for m in marks for x in (F.count(m), F.coalesce(F.sum(m), F.lit(0)))]).first()
+    counted = sample.select("text", "labels").mapInArrow(lambda b: _count_batches(b, p), "feature long, category int, n long, hits long")
+    table = counted.groupBy("feature", "category").agg(F.sum("n").alias("n"), F.sum("hits").alias("hits"))
+    every, ones = (F.element_at(F.array(*[F.lit(float(x)) for x in totals[k::2]]), F.col("category") + 1) for k in (0, 1))
+    table = table.withColumns({"every": every, "ones": ones}).where("n > 0")
     g = F.lit(0.0)
-    for seen, among in (("hits", float(total[1])), ("n - hits", float(total[0] - total[1]))):
-        for observed, expected in ((seen, f"n * {among} / {max(1, total[0])}"), (f"{among} - ({seen})", f"({max(1, total[0])} - n) * {among} / {max(1, total[0])}")):
+    for seen, among in (("hits", "ones"), ("n - hits", "every - ones")):
+        for observed, expected in ((seen, f"n * ({among}) / every"), (f"{among} - ({seen})", f"(every - n) * ({among}) / every")):
             g = g + F.expr(f"CASE WHEN ({observed}) > 0 AND ({expected}) > 0 THEN 2 * ({observed}) * ln(({observed}) / ({expected})) ELSE 0D END")
-    table = counted.groupBy("feature").agg(F.sum("n").alias("n"), F.sum("hits").alias("hits")).where(F.col("n") >= p.least_docs).withColumn("g", g)
-    kept = table.where(F.col("g") >= p.least_g).orderBy(F.desc("g"), "feature").limit(p.features).select("feature").collect()
-    vocabulary = Vocabulary(np.array([r[0] for r in kept], dtype=np.int64).view(np.uint64))
-    found = sample.select("text", "labels").mapInArrow(lambda b: _find_batches(b, vocabulary, p), "labels array<int>, found array<int>").toArrow()
+    kept = table.where(g >= p.least_g).select("feature").distinct().toArrow().column(0).to_numpy()
+    vocabulary = Vocabulary(kept.view(np.uint64))
+    found = sample.select("text", "labels", F.xxhash64("text")).mapInArrow(lambda b: _find_batches(b, vocabulary, p), "labels array<int>, found array<int>, hash long").toArrow()
     discard(sample)
-    rows = sorted(zip(found.column("found").to_pylist(), found.column("labels").to_pylist(), strict=True))  # the same on every run
-    labels = np.array([y for _, y in rows], dtype=float).reshape(-1, len(categories))
-    counts = np.array([len(x) for x, _ in rows], dtype=np.int64)
-    cols = np.array([c for x, _ in rows for c in x], dtype=np.int64)
+    found = found.sort_by("hash").combine_chunks()  # the same on every run
+    labels = [_label_matrix(x) for x in found.column("labels").chunks if len(x)]
+    labels = np.concatenate([np.zeros((0, len(categories))), *labels])
+    lists = found.column("found").chunks
+    cols = np.concatenate([np.zeros(0, dtype=np.int64), *[x.flatten().to_numpy() for x in lists]])
+    counts = np.concatenate([np.zeros(0, dtype=np.int64), *[x.value_lengths().to_numpy() for x in lists]])
     return fit_chain(np.repeat(np.arange(len(counts)), counts), cols, labels, vocabulary, p)
 
 
@@ -210,23 +225,19 @@ def score(docs: DataFrame, chain: Chain, categories: list[str], id_col: str = "d
     return scored.withColumnRenamed("doc", id_col).withColumn("toxic", F.col("score") >= p.threshold)
 
 
-#: Words that name the category of a text labelled toxic.
-CATEGORY_WORDS = {
-    "insult": ["clown", "idiot", "loser", "moron", "stupid"],
-    "degrading": ["scum", "trash", "worthless"],
-    "contempt": ["disgusting", "pathetic"],
-}
-CATEGORIES = [*CATEGORY_WORDS, "toxic"]
+#: Label columns in chain order.
+CATEGORIES = ["quality", "toxic"]
 
 
 def train_on_labels(docs: DataFrame, labels: DataFrame, p: ToxicityParams = ToxicityParams()) -> Chain:
-    """Chain over insult, degrading, contempt and then the label ``toxic`` itself.
+    """Chain over the labels of the documents: ``quality`` and, with its odds, ``toxic``.
 
-    ``labels(doc_id, toxic)`` marks some documents; a text marked toxic is put in the finer
-    categories by :data:`CATEGORY_WORDS`.  Of several labels for one id the highest counts; null
-    labels are left out.
+    ``labels(doc_id, quality, toxic)`` marks some documents, of which the ``p.sample`` with the smallest
+    hash of the id are learned from.  Of several labels for one id the highest counts, of several texts
+    the one with the smallest hash; rows without an id or a label ``toxic`` are left out, a null ``quality``
+    from its model alone.
     """
-    marks = bounded(labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic")), "doc_id", p.sample)
-    rows = docs.select("doc_id", "text").join(F.broadcast(marks), "doc_id").select("text", (F.col("toxic") > 0).alias("toxic"))
-    named = {c: F.col("toxic") & F.coalesce(F.lower("text").rlike(rf"\b({'|'.join(w)})\b"), F.lit(False)) for c, w in CATEGORY_WORDS.items()}
-    return train(rows.select("text", *[v.alias(c) for c, v in named.items()], "toxic"), "text", CATEGORIES, p)
+    marks = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(*[F.max(c).alias(c) for c in CATEGORIES])
+    rows = docs.select("doc_id", "text").join(F.broadcast(bounded(marks, "doc_id", p.sample)), "doc_id")
+    rows = rows.groupBy("doc_id", *CATEGORIES).agg(F.min(F.struct(F.xxhash64("text").alias("hash"), "text"))["text"].alias("text"))
+    return train(rows.select("text", *[(F.col(c) > 0).alias(c) for c in CATEGORIES]), "text", CATEGORIES, p)

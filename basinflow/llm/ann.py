@@ -28,13 +28,14 @@ from basinflow.sources.shared import materialise
 @dataclass(frozen=True)
 class HnswParams:
     """``links`` per node above the ground layer and twice as many on it; ``build`` and ``search`` are
-    the beam widths; ``shard_rows`` is the aimed number of rows of a shard, ``block`` the number of
-    queries searched together, ``batch`` the number of nodes inserted together."""
+    the beam widths.  There is one shard for each core of the cluster, but each aims at ``least_rows`` rows
+    at least and ``most_rows`` at most.  ``block`` queries are searched, ``batch`` nodes inserted together."""
 
     links: int = 16
     build: int = 64
     search: int = 96
-    shard_rows: int = 2048
+    least_rows: int = 4096
+    most_rows: int = 1 << 18
     block: int = 256
     batch: int = 128
 
@@ -253,7 +254,8 @@ def build_index(corpus: DataFrame, k: int, id_col: str = "vec_id", vector_col: s
     Rows without an id and vectors that are null, empty, zero or hold null or non-finite values take
     no part."""
     rows = corpus.select(F.col(id_col).cast("long").alias("id"), usable(vector_col).alias("vec")).where("id is not null and vec is not null")
-    shards = max(1, -(-corpus.count() // p.shard_rows))
+    count, cores = corpus.count(), corpus.sparkSession.sparkContext.defaultParallelism
+    shards = min(max(1, count // p.least_rows), max(cores, -(-count // p.most_rows)))
     first = F.row_number().over(Window.partitionBy("vec").orderBy("id"))
     nodes = rows.withColumn("nth", first).where(F.col("nth") <= k + 1).groupBy("vec").agg(F.array_sort(F.collect_list("id")).alias("ids"))
     dealt = nodes.select((shard_base(F.col("vec")) + F.pmod(F.xxhash64("vec"), F.lit(shards))).alias("shard"), F.xxhash64("vec", F.lit(1)).alias("hash"), "vec", "ids")
@@ -272,6 +274,22 @@ def _block_batches(batches: Iterator[pa.RecordBatch], p: HnswParams) -> Iterator
                 yield pa.RecordBatch.from_arrays([pa.array([int(dim)], type=pa.int32()), pa.array([vectors.tobytes()], type=pa.binary()), pa.array([part.column(0).to_numpy().tobytes()], type=pa.binary())], names=["dim", "vectors", "ids"])
 
 
+def nearest_nodes(graph: Graph, vectors: np.ndarray, ends: np.ndarray, k: int, width: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each query the nodes that hold the ``k + 1`` nearest rows, all those at the last distance included.
+
+    A walk need not meet every node at one distance: where it finds several at the last, the shard is
+    scanned for the others."""
+    for query, (nodes, dists) in enumerate(zip(*graph.search(vectors, width), strict=True)):
+        nodes, dists = nodes[nodes >= 0], dists[nodes >= 0]
+        last = dists[min(int(np.searchsorted(np.cumsum(ends[nodes + 1] - ends[nodes]), k + 1)), len(dists) - 1)]
+        if np.count_nonzero(dists == last) > 1:
+            parts = np.array_split(graph.exact, -(-len(graph.exact) // 4096))
+            every = np.concatenate([np.sqrt(((part - vectors[query]) ** 2).sum(axis=1)) for part in parts])
+            nodes = np.flatnonzero(every <= last)
+            dists = every[nodes]
+        yield query, nodes[dists <= last], dists[dists <= last]
+
+
 def _search_batches(batches: Iterator[pa.RecordBatch], k: int, p: HnswParams) -> Iterator[pa.RecordBatch]:
     """A shard's index row comes first, then its query blocks."""
     graph = ends = ids = None
@@ -289,17 +307,15 @@ def _search_batches(batches: Iterator[pa.RecordBatch], k: int, p: HnswParams) ->
             if graph is None or shard != x["shard"].as_py():
                 continue  # a shard that no vector fell into
             asked = np.frombuffer(x["ids"].as_py(), dtype=np.int64)
-            nodes, dists = graph.search(vectors, max(p.search, 2 * k))
             out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-            for query, found, far in zip(asked, nodes, dists, strict=True):
-                found, far = found[found >= 0][: k + 1], far[found >= 0][: k + 1]
+            for query, found, far in nearest_nodes(graph, vectors, ends, k, max(p.search, 2 * k)):
                 counts = ends[found + 1] - ends[found]
                 at = np.repeat(ends[found] - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
                 near, score = ids[at], np.repeat(far, counts)
-                own = np.flatnonzero((near == query) & (score == 0))[:1]
+                own = np.flatnonzero((near == asked[query]) & (score == 0))[:1]
                 near, score = np.delete(near, own), np.delete(score, own)
                 best = np.lexsort((near, score))[:k]
-                out.append((np.full(len(best), query), near[best], score[best]))
+                out.append((np.full(len(best), asked[query]), near[best], score[best]))
             columns = [np.concatenate(c) for c in zip(*out, strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["query_id", "vec_id", "score"])
 

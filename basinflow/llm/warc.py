@@ -17,12 +17,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from basinflow.llm import textkit as tk
-from basinflow.sources.shared import fresh_path, materialise
+from basinflow.sources.shared import arrow_folder, fresh_path, materialise, scan_bytes
 
 
 @dataclass(frozen=True)
@@ -87,7 +86,7 @@ def _write_batches(batches: Iterator[pa.RecordBatch], folder: str, p: WarcParams
     out, path, at = None, "", 0
     for batch in (part for whole in batches for part in tk.slices(whole, "packed")):
         if out is None:
-            store, root = fs.FileSystem.from_uri(folder)
+            store, root = arrow_folder(folder)
             path = f"{root}/{uuid.uuid4().hex}.warc.gz"
             out = store.open_output_stream(path, compression=None)
         page, url, size, digest, refers, packed = (c.to_pylist() for c in batch.columns)
@@ -123,13 +122,13 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
     packed = rows.mapInArrow(lambda b: _compress_batches(b, p), "page_id long, url string, payload_bytes long, payload_digest string, packed binary")
     refers = F.when(F.col("page_id").eqNullSafe(F.col("first")), None).otherwise(F.col("first"))
     joined = packed.join(firsts, "payload_digest", "left").select("page_id", "url", "payload_bytes", "payload_digest", refers.alias("refers_to"), "packed")
-    store, root = fs.FileSystem.from_uri(folder)
+    store, root = arrow_folder(folder)
     store.create_dir(root, recursive=True)
     return materialise(joined.mapInArrow(lambda b: _write_batches(b, folder, p), INDEX), "warc-index")
 
 
 def _read_batches(batches: Iterator[pa.RecordBatch], folder: str, p: WarcParams) -> Iterator[pa.RecordBatch]:
-    store, root = fs.FileSystem.from_uri(folder)
+    store, root = arrow_folder(folder)
     opened: tuple[str, object] | None = None
     for batch in batches:
         file, offset, length = (batch.column(batch.schema.get_field_index(k)).to_pylist() for k in ("file", "offset", "length"))
@@ -171,9 +170,14 @@ def read_archives(index: DataFrame, folder: str, p: WarcParams = WarcParams()) -
     """Read the records that ``index`` lists (any selection of the rows of :func:`write_archives`).
 
     Returns ``page_id, url, payload`` (null for a revisit), ``payload_bytes, payload_digest`` (of the
-    full payload; of a response both are taken from the bytes read), ``record_type, refers_to``.
+    full payload; of a response both are taken from the bytes read), ``record_type, refers_to``.  A
+    task reads as many bytes as a scan's (``spark.sql.files.maxPartitionBytes``).  An empty index gives
+    an empty result; other columns are ignored.
     """
-    places = index.select("file", "offset", "length").repartitionByRange("file", "offset").sortWithinPartitions("file", "offset")
+    spark = index.sparkSession
+    count, size = index.agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).first()
+    tasks = max(-(-size // scan_bytes(spark)), min(count, 2 * spark.sparkContext.defaultParallelism), 1)
+    places = index.select("file", "offset", "length").repartitionByRange(tasks, "file", "offset").sortWithinPartitions("file", "offset")
     return places.mapInArrow(lambda b: _read_batches(b, folder, p), "page_id long, url string, payload binary, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 

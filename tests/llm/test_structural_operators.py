@@ -47,7 +47,7 @@ def test_graph_search_recall(spark):
     rng = np.random.default_rng(1)
     rows = [(i, v.tolist(), 0) for i, v in enumerate(rng.normal(size=(3000, 24)).astype(np.float32))]
     x = vectors(spark, rows)
-    p = ann.HnswParams(shard_rows=700)
+    p = ann.HnswParams(least_rows=700, most_rows=700)
     found = found_neighbours(ann.nearest(x, x.where("vec_id % 100 = 0"), p=p))
     want = brute_force(rows)
     assert found.keys() == want.keys() and all(len(v) == 10 for v in found.values())
@@ -75,6 +75,40 @@ def test_layers_are_navigable():
         assert level == 0 or len(links) < len(graph.layers[level - 1])
 
 
+def test_ties_wider_than_the_beam_go_to_the_smallest_ids(spark):
+    """One-hot vectors are all equally far from each other."""
+    rows = [(i, [float(i == j) for j in range(200)], 0) for i in range(200)]
+    rows += [(1000 + i, [2.0 * (i == j) for j in range(200)], 0) for i in range(200)]
+    x = vectors(spark, rows)
+    for p in (ann.HnswParams(), ann.HnswParams(search=4, links=4, least_rows=150, most_rows=150)):
+        found = found_neighbours(ann.nearest(x, x.where("vec_id in (0, 100)"), p=p))
+        assert [j for j, _ in found[100]] == [1100, *range(9)]
+        assert [j for j, _ in found[0]] == [1000, *range(1, 10)]
+
+
+def test_a_search_sees_a_small_part_of_a_shard():
+    """Recall at a tenth of the distances that a scan works out."""
+    rng = np.random.default_rng(9)
+    centres = rng.normal(size=(60, 32))
+    data = centres[rng.integers(0, 60, 20_000)] + 0.7 * rng.normal(size=(20_000, 32))
+    p = ann.HnswParams()
+    order, graph = ann.build(data, np.arange(20_000, dtype=np.uint64), p)
+    asked = data[::200]
+    evaluated = 0
+    distances = graph.distances
+
+    def counted(points, nodes):
+        nonlocal evaluated
+        evaluated += int((nodes >= 0).sum())
+        return distances(points, nodes)
+
+    graph.distances = counted
+    nodes, _ = graph.search(asked, p.search)
+    want = np.argsort(((data[None, :, :] - asked[:, None, :]) ** 2).sum(axis=2), axis=1)[:, :10]
+    hits = sum(len(set(order[n[:10]].tolist()) & set(w.tolist())) for n, w in zip(nodes, want, strict=True))
+    assert hits >= 0.9 * 10 * len(asked) and evaluated < 0.1 * 20_000 * len(asked)
+
+
 def test_search_edge_cases(spark):
     rng = np.random.default_rng(3)
     hot = [1.0, 2.0, 3.0]
@@ -521,6 +555,10 @@ def test_pipeline_of_nothing(spark, tmp_path):
 # --- queries ------------------------------------------------------------------------------------
 
 
+def test_neighbour_query_equals_exact_sql(compare):
+    compare("op4_hnsw")
+
+
 def test_archive_query_equals_sql(compare):
     compare("op10_warc")
 

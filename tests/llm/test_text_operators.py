@@ -428,29 +428,48 @@ def test_language_model_query_equals_sql(compare):
 # --- decontamination ----------------------------------------------------------------------------
 
 
-def test_block_max_retrieval_loses_nothing(spark):
-    """All segments whose full score reaches the threshold are found, as scoring each one says."""
+def plain_bm25(items, passage_words, p):
+    """Share of its own score that each segment (item, part) gets from a set of words, by the definition."""
+    bags = {}
+    for i, t in items:
+        found = words(t)
+        for k, part in enumerate(np.array_split(np.array(found, dtype=object), -(-len(found) // (p.passage - p.stride))) if found else []):
+            bags[i, k] = list(part)
+    mean = np.mean([len(b) for b in bags.values()])
+    df = Counter(t for b in bags.values() for t in set(b))
+    out = {}
+    for key, bag in bags.items():
+        weight = {t: math.log1p((len(bags) - df[t] + 0.5) / (df[t] + 0.5)) * n * (p.k1 + 1) / (n + p.k1 * (1 - p.b + p.b * len(bag) / mean)) for t, n in Counter(bag).items()}
+        out[key] = sum(w for t, w in weight.items() if t in passage_words) / sum(weight.values())
+    return out
+
+
+def test_block_max_retrieval_finds_what_plain_bm25_finds(spark):
+    """All segments whose BM25 reaches the threshold, with their scores, in any number of passes."""
     rng = random.Random(21)
-    p = decontam.DecontamParams(passage=32, stride=16, threshold=0.3, block=3)
-    items = [(k, prose(rng, rng.randint(3, 14))) for k in range(50)]
-    index = decontam.ItemIndex(decontam.segments_of(items, p), p)
-    texts = [prose(rng, 50) + " " + items[k % 50][1] + " " + prose(rng, 20) for k in range(20)]
+    items = [(k, prose(rng, rng.randint(3, 14))) for k in range(50)] + [(80, prose(rng, 40)), (81, "")]
+    tests = spark.createDataFrame(items, "item_id long, text string")
+    texts = [prose(rng, 50) + " " + items[k % 50][1] + " " + prose(rng, 20) for k in range(20)] + [items[50][1]]
     w = textkit.words(pa.array(texts))
-    found = {(row, lo, s) for row, lo, _, s, _ in decontam.candidates(w, index)}
-    weights = {}
-    for term in range(len(index.terms)):
-        for at in range(index.starts[term], index.starts[term + 1]):
-            weights[int(index.terms[term]), int(index.docs[at])] = index.impacts[at]
-    want = set()
-    for row in range(len(texts)):
-        n = w.offsets[row + 1] - w.offsets[row]
-        for nth in range(max(1, -(-(n - p.stride) // p.stride))):
-            lo = w.offsets[row] + nth * p.stride
-            inside = set(w.hashes[lo : min(lo + p.passage, w.offsets[row + 1])].tolist())
-            for s in range(len(index.segments)):
-                if sum(weights.get((t, s), 0.0) for t in inside) >= p.threshold:
-                    want.add((row, int(lo), s))
-    assert found == want and len(want) >= 20
+    base = decontam.DecontamParams(passage=32, stride=16, threshold=0.3, block=3)
+    want = {}
+    for row, text in enumerate(texts):
+        n = len(words(text))
+        for nth in range(max(1, -(-(n - base.stride) // base.stride))):
+            inside = set(words(text)[nth * base.stride : nth * base.stride + base.passage])
+            want |= {(row, nth * base.stride, key): x for key, x in plain_bm25(items, inside, base).items() if x >= base.threshold}
+    assert len(want) >= 20
+    for p in (base, decontam.DecontamParams(passage=32, stride=16, threshold=0.3, block=1), decontam.DecontamParams(passage=32, stride=16, threshold=0.3, pass_words=100)):
+        segments, passes = decontam.item_segments(tests, p)
+        weights = decontam.impacts(segments, p)
+        assert passes == (1 if p.pass_words > 1000 else -(-sum(len(words(t)) for _, t in items) // 100))
+        found = {}
+        for k in range(passes):
+            own = segments.where(F.col("pass") == k)
+            index = decontam.item_index(own, weights.where(F.col("pass") == k), p)
+            keys = [(r["item"], r["part"]) for r in own.orderBy("item", "part", "segment").collect()]
+            found |= {(row, lo - int(w.offsets[row]), keys[s]): x for row, lo, _, s, x in decontam.candidates(w, index)}
+        assert found == {k: pytest.approx(v) for k, v in want.items()}
 
 
 def test_planted_items_are_found_and_clean_texts_are_not(spark):
@@ -459,7 +478,7 @@ def test_planted_items_are_found_and_clean_texts_are_not(spark):
     rows = [(k, prose(rng, 200), "en") for k in range(60)]
     rows += [(1000 + k, prose(rng, rng.randint(0, 300)) + " " + t + " " + prose(rng, 150), "en") for k, t in items]
     tests = spark.createDataFrame(items, "item_id long, text string")
-    for p in (decontam.DecontamParams(), decontam.DecontamParams(shard_items=7)):
+    for p in (decontam.DecontamParams(), decontam.DecontamParams(pass_words=300)):
         found = {(r.doc_id, r.item_id) for r in decontam.contaminated(documents(spark, rows), tests, p=p).collect()}
         assert found == {(1000 + k, k) for k, _ in items}
 

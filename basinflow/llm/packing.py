@@ -1,13 +1,17 @@
 """Training sequences from whole documents, filled by lexical retrieval.
 
-Documents are read in shards of neighbouring rows.  Each shard holds a BM25 inverted index of its
-own documents; the document at the head of a window is the query, and the unused documents it
-retrieves fill the rest of the window, best first.  A document that does not fit is cut: its rest
-opens the next window and becomes the query there.  What remains at the end of a shard is cut into
-sequences whose lengths are powers of two, which need no padding; so no sequence is padded at all.
-
-No row is shuffled: a shard is a run of rows of one input partition, bounded by ``shard_bytes`` of
-text (a longer document is a shard of its own), so memory does not grow with the input.
+Documents are dealt to index shards by what they are about: each goes by its rarest word that still is
+common enough to gather a good part of a shard, so documents that share such words meet from anywhere
+in the table.  Each shard holds a BM25 inverted index of its documents, weighted by document frequencies
+and the mean length of the whole table; the document at the head of a window is the query, and the
+unused documents it retrieves fill the rest of the window, best first.  A document that does not fit is
+cut: its rest opens the next window and becomes the query there.  What remains at the end of a shard is
+cut into sequences whose lengths are powers of two, which need no padding; so no sequence is padded.
+
+Document frequencies are counted by a hash of the word in a table of fixed size, which is what is
+broadcast.  A word that would gather more than a shard is split by a hash of the text.  Texts are
+shuffled once; a task cuts its sorted rows into shards of ``shard_bytes`` of text (a longer document is a
+shard of its own), however Arrow batches fall, so memory does not grow with the input.
 """
 
 from __future__ import annotations
@@ -23,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from basinflow.llm import textkit as tk
+from basinflow.sources.shared import scan_bytes
 
 
 def _tokenizer_file(name: str) -> str:
@@ -34,14 +39,17 @@ def _tokenizer_file(name: str) -> str:
 @dataclass(frozen=True)
 class PackParams:
     """``tokenizer`` is the vocabulary; ``ranks`` holds the same vocabulary as byte ranks, which
-    give the same ids several times faster.  ``end_id`` closes every document.  ``k1`` and ``b`` are
-    BM25's."""
+    give the same ids several times faster.  ``end_id`` closes every document.  A word gathers documents
+    if it occurs in enough of them to fill ``gather`` of a shard.  ``slots`` (a power of two) is the size of
+    the table of document frequencies.  ``k1`` and ``b`` are BM25's."""
 
     window: int = 2048
     tokenizer: str = field(default_factory=lambda: _tokenizer_file("byte_bpe_50k.json"))
     ranks: str = field(default_factory=lambda: _tokenizer_file("byte_bpe_50k.tiktoken"))
     end_id: int = 1
     shard_bytes: int = 4 << 20
+    gather: float = 0.1
+    slots: int = 1 << 18
     k1: float = 1.2
     b: float = 0.75
 
@@ -79,19 +87,81 @@ def encode(texts: list[str | None], p: PackParams) -> list[np.ndarray]:
     return out
 
 
+@dataclass
+class Frequencies:
+    """Of a whole table: documents and words, bytes of text, and documents by the hash of a word they hold."""
+
+    docs: int
+    words: int
+    size: int
+    by_slot: np.ndarray
+
+    def of(self, hashes: np.ndarray) -> np.ndarray:
+        return self.by_slot[(hashes & np.uint64(len(self.by_slot) - 1)).astype(np.int64)]
+
+
+def distinct_slots(w: tk.Words, slots: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct (document, slot of a word), in order of the documents."""
+    pair = np.unique(w.doc * np.int64(slots) + (w.hashes & np.uint64(slots - 1)).astype(np.int64))
+    return pair // slots, pair % slots
+
+
+def _frequency_batches(batches: Iterator[pa.RecordBatch], p: PackParams) -> Iterator[pa.RecordBatch]:
+    """One table of counts for each task, its last three places for documents, words and bytes."""
+    total = np.zeros(p.slots + 3, dtype=np.int64)
+    for batch in batches:
+        for part in tk.slices(batch, "text"):
+            w = tk.words(part.column(0))
+            total[: p.slots] += np.bincount(distinct_slots(w, p.slots)[1], minlength=p.slots)
+            total[p.slots :] += part.num_rows, len(w.hashes), len(w.data)
+    some = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["slot", "n"])
+
+
+def frequencies(docs: DataFrame, text_col: str, p: PackParams) -> Frequencies:
+    """Counts over all texts; at most ``slots`` + 3 numbers reach the driver."""
+    counted = docs.select(F.col(text_col).alias("text")).mapInArrow(lambda b: _frequency_batches(b, p), "slot long, n long")
+    found = counted.groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    total = np.zeros(p.slots + 3, dtype=np.int64)
+    total[found.column("slot").to_numpy()] = found.column("n").to_numpy()
+    return Frequencies(*(int(x) for x in total[p.slots :]), total[: p.slots])
+
+
+def routes(w: tk.Words, f: Frequencies, p: PackParams) -> tuple[np.ndarray, np.ndarray]:
+    """For each document the slot of its rarest word that gathers (-1: it has none), and in how many parts
+    the documents of that word are dealt out."""
+    n = len(w.offsets) - 1
+    least = max(2.0, p.gather * p.shard_bytes * f.docs / max(1, f.size))
+    doc, slot = distinct_slots(w, p.slots)
+    df = f.by_slot[slot]
+    order = np.lexsort((slot, np.where(df >= least, df, np.iinfo(np.int64).max), doc))
+    first = order[np.flatnonzero(np.diff(doc[order], prepend=-1))]
+    route, gathered = np.full(n, -1, dtype=np.int64), np.full(n, f.docs)
+    first = first[df[first] >= least]
+    route[doc[first]], gathered[doc[first]] = slot[first], df[first]
+    return route, np.maximum(1, -(-gathered * (f.size // max(1, f.docs)) // p.shard_bytes))
+
+
+def _route_batches(batches: Iterator[pa.RecordBatch], held, p: PackParams) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for part in tk.slices(batch, "text"):
+            route, parts = routes(tk.words(part.column(1)), held.value, p)
+            deal = part.column(2).to_numpy() & 0x7FFFFFFF
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), pa.array(route), pa.array(deal % parts)], names=["doc", "text", "hash", "route", "part"])
+
+
 class ShardIndex:
-    """BM25 inverted index of one shard's documents, as flat posting arrays."""
+    """BM25 inverted index of one shard's documents, as flat posting arrays, with the table's statistics."""
 
-    def __init__(self, w: tk.Words, p: PackParams) -> None:
+    def __init__(self, w: tk.Words, f: Frequencies, p: PackParams) -> None:
         self.n = n = len(w.offsets) - 1
-        _, term = np.unique(w.hashes, return_inverse=True)
+        hashes, term = np.unique(w.hashes, return_inverse=True)
         pair, tf = np.unique(term.astype(np.int64) * max(n, 1) + w.doc, return_counts=True)
         term, self.docs = pair // max(n, 1), pair % max(n, 1)
         self.starts = np.searchsorted(term, np.arange(term[-1] + 2 if len(term) else 1))
-        df = np.diff(self.starts)
-        length = np.diff(w.offsets)
-        norm = p.k1 * (1 - p.b + p.b * length / max(1.0, length.mean())) if n else length
-        self.weights = (np.log1p((n - df + 0.5) / (df + 0.5))[term] * tf * (p.k1 + 1) / (tf + norm[self.docs])).astype(np.float32)
+        df = f.of(hashes)
+        norm = p.k1 * (1 - p.b + p.b * np.diff(w.offsets) / max(1.0, f.words / max(1, f.docs)))
+        self.weights = (np.log1p((f.docs - df + 0.5) / (df + 0.5))[term] * tf * (p.k1 + 1) / (tf + norm[self.docs])).astype(np.float32)
         by_doc = np.argsort(self.docs, kind="stable")
         self.terms, self.doc_starts = term[by_doc], np.searchsorted(self.docs[by_doc], np.arange(n + 1))
 
@@ -149,13 +219,34 @@ def split_tail(pieces: list[tuple[int, int, int, int, int]], sequence: int, leng
     return done
 
 
-def _pack_batches(batches: Iterator[pa.RecordBatch], p: PackParams) -> Iterator[pa.RecordBatch]:
-    base = TaskContext.get().partitionId() << 36
+def shards(batches: Iterator[pa.RecordBatch], shard_bytes: int) -> Iterator[pa.RecordBatch]:
+    """Consecutive rows of about ``shard_bytes`` of text, wherever the batches end."""
+    pieces: list[pa.RecordBatch] = []
+    room = shard_bytes
     for batch in batches:
-        for part in tk.slices(batch, "text", p.shard_bytes):
+        ends, at, base = tk.offsets(batch.column(1))[1:], 0, int(tk.offsets(batch.column(1))[0]) if batch.num_rows else 0
+        while at < batch.num_rows:
+            stop = int(np.searchsorted(ends, base + room, "right"))
+            if stop <= at and not pieces:
+                stop = at + 1
+            if stop > at:
+                pieces.append(batch.slice(at, stop - at))
+                room -= int(ends[stop - 1]) - base
+                at, base = stop, int(ends[stop - 1])
+            if at < batch.num_rows:
+                yield pa.concat_batches(pieces)
+                pieces, room = [], shard_bytes
+    if pieces:
+        yield pa.concat_batches(pieces)
+
+
+def _pack_batches(batches: Iterator[pa.RecordBatch], held, p: PackParams) -> Iterator[pa.RecordBatch]:
+    base = TaskContext.get().partitionId() << 36
+    for part in shards((b for b in batches if b.num_rows), p.shard_bytes):
+        if part.num_rows:
             ids = encode(part.column(1).to_pylist(), p)
             lengths = np.array([len(x) for x in ids])
-            pieces = fill(lengths, ShardIndex(tk.words(part.column(1)), p), p.window)
+            pieces = fill(lengths, ShardIndex(tk.words(part.column(1)), held.value, p), p.window)
             doc, start, length, sequence, offset = (np.array(x, dtype=np.int64) for x in zip(*pieces, strict=True))
             yield pa.RecordBatch.from_arrays(
                 [
@@ -179,13 +270,17 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", p: Pac
     ``ids`` (little-endian unsigned 32-bit token ids), ``doc_tokens``, ``sequence_id`` and ``offset``
     (place in the sequence).  Every token of every row lies in exactly one piece.  A null or empty
     text is the end id alone; a long text is cut across windows; repeated rows are packed each; other
-    columns are ignored; an empty table gives no piece.  Sequence ids depend on the partitions of the
-    input, so write the result once where it is used twice.
+    columns are ignored; an empty table gives no piece.  A retry of a task packs its rows in the same
+    way.
     """
     p = p or PackParams()
+    spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
-    return (
-        docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"))
-        .mapInArrow(lambda batches: _pack_batches(batches, p), f"doc {kind}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
-        .withColumnRenamed("doc", id_col)
-    )
+    f = frequencies(docs, text_col, p)
+    held = spark.sparkContext.broadcast(f)
+    rows = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"), F.xxhash64(F.col(text_col)).alias("hash"))
+    routed = rows.mapInArrow(lambda batches: _route_batches(batches, held, p), f"doc {kind}, text string, hash long, route long, part long")
+    tasks = max(-(-f.size // scan_bytes(spark)), min(f.docs, 2 * spark.sparkContext.defaultParallelism), 1)
+    dealt = routed.repartition(tasks, "route", "part").sortWithinPartitions("route", "part", "hash", "doc").select("doc", "text")
+    schema = f"doc {kind}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
+    return dealt.mapInArrow(lambda batches: _pack_batches(batches, held, p), schema).withColumnRenamed("doc", id_col)

@@ -378,6 +378,45 @@ def test_packing_holds_every_token_once(spark):
     assert padding == 0
 
 
+def counted(texts, p):
+    """Document frequencies of some texts, as one task counts them."""
+    found = next(packing._frequency_batches(iter([pa.record_batch({"text": pa.array(texts, type=pa.string())})]), p)).to_pydict()
+    total = np.zeros(p.slots + 3, dtype=np.int64)
+    total[found["slot"]] = found["n"]
+    return packing.Frequencies(*total[p.slots :].tolist(), total[: p.slots])
+
+
+def test_documents_of_a_topic_meet_from_anywhere_in_the_table(spark):
+    """Shards are built of documents that share rare words, not of neighbouring rows, and not by batches."""
+    rng = random.Random(54)
+    topics = [[f"t{k}w{j}" for j in range(25)] for k in range(40)]
+    rows = [(k, prose(rng, 20) + " " + " ".join(rng.choice(topics[k % 40]) for _ in range(30)), "en") for k in range(800)]
+    p = packing.PackParams(shard_bytes=8000, window=512)
+    packed = {}
+    for size in ("4m", "2k"):
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+        packed[size] = packing.pack(documents(spark, rows).repartition(5), p=p).collect()
+    assert sorted(map(tuple, packed["4m"])) == sorted(map(tuple, packed["2k"]))
+    together, mates = {}, 0
+    for r in packed["4m"]:
+        together.setdefault(r.sequence_id, set()).add(r.doc_id % 40)
+    full = [t for s, t in together.items() if sum(r.length for r in packed["4m"] if r.sequence_id == s) == 512]
+    mates = sum(len(t) for t in full) / len(full)
+    per_window = 512 * 800 / sum(r.length for r in packed["4m"])
+    assert mates < 0.6 * per_window
+
+
+def test_words_that_gather_too_many_are_split(spark):
+    rows = [(k, "same words in every text " + str(k % 3), "en") for k in range(500)]
+    p = packing.PackParams(shard_bytes=2000)
+    f = counted([t for _, t, _ in rows], p)
+    from basinflow.llm import textkit
+
+    route, parts = packing.routes(textkit.words(pa.array([t for _, t, _ in rows])), f, p)
+    assert (parts >= 2).all() and (route >= 0).all()
+    assert packing.pack(documents(spark, rows), p=p).where("start = 0").count() == 500
+
+
 def test_windows_are_filled_with_lexical_neighbours():
     import pyarrow as pa
 
@@ -387,7 +426,8 @@ def test_windows_are_filled_with_lexical_neighbours():
     topics = [[f"t{k}w{j}" for j in range(30)] for k in range(6)]
     order = [k % 6 for k in range(60)]
     texts = [" ".join(rng.choice(topics[k]) for _ in range(100)) for k in order]
-    index = packing.ShardIndex(textkit.words(pa.array(texts)), packing.PackParams())
+    p = packing.PackParams()
+    index = packing.ShardIndex(textkit.words(pa.array(texts)), counted(texts, p), p)
     scores = index.scores(0)
     same = [k for k in range(60) if order[k] == 0]
     assert min(scores[same]) > max(np.delete(scores, same))
@@ -406,7 +446,7 @@ def test_bm25_scores_follow_the_definition():
     rng = random.Random(53)
     texts = [prose(rng, rng.randint(5, 50)) for _ in range(20)] + ["", None]
     p = packing.PackParams()
-    index = packing.ShardIndex(textkit.words(pa.array(texts)), p)
+    index = packing.ShardIndex(textkit.words(pa.array(texts)), counted(texts, p), p)
     bags = [words(t) for t in texts]
     mean = np.mean([len(b) for b in bags])
     for q in (0, 7, 20):

@@ -6,9 +6,10 @@ context, escaping to the next shorter one when the byte is new there: the escape
 distinct / (total + distinct), and what is escaped to leaves out the bytes already excluded.  The
 statistics stay frozen while a text is scored; the language with the shortest code wins.
 
-As frozen code lengths depend only on the last ``order`` bytes, the trees of all languages are laid
-out as one table (context, byte) -> bits per language, and a whole column of texts is coded by table
-look-ups.  Texts are coded after lower-casing A-Z and turning each run of other ASCII than letters
+The trees of all languages are stored together and sparsely: for each order the (context, byte) pairs
+that training has, with their bits in each language, and for each context the bits of its escape.
+Frozen code lengths depend only on the last ``order`` bytes, so each distinct byte run of a slice of
+texts is coded once: from the longest context down, escapes added up, until the pair is known.  Texts are coded after lower-casing A-Z and turning each run of other ASCII than letters
 into one space.
 """
 
@@ -31,11 +32,10 @@ ORDER = 3
 @dataclass(frozen=True)
 class LangParams:
     """``sample`` is the expected number of training texts of each language that has more: those whose
-    hash of id and text lies below the share that they make up of all its texts; contexts and their bytes must have been seen ``least`` times in all languages together.  The
-    broadcast model holds the counts, so its size is bounded by the sample and the languages."""
+    hash of id and text lies below the share that they make up of all its texts.  Every context that
+    they hold counts.  The broadcast model is bounded by the sample and the languages."""
 
     sample: int = 2000
-    least: int = 2
 
 
 _LETTER = np.zeros(256, dtype=bool)
@@ -67,12 +67,17 @@ def _own_positions(spans: np.ndarray) -> np.ndarray:
     return np.arange(sizes.sum()) + np.repeat(spans[0] - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes)
 
 
+def grams_at(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The byte at each place and the ``ORDER`` before it, the last in the lowest bits."""
+    return sum(data[at - k].astype(np.int64) << (8 * k) for k in range(ORDER + 1))
+
+
 def _gram_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in tk.slices(batch, "text"):
             data, spans = normalised(part.column(0))
             at = _own_positions(spans)
-            gram = sum(data[at - k].astype(np.int64) << (8 * k) for k in range(ORDER + 1))
+            gram = grams_at(data, at)
             lang, names = part.column(1).dictionary_encode().indices.to_numpy(), part.column(1).dictionary_encode().dictionary
             key, n = np.unique((np.repeat(lang, spans[1] - spans[0]).astype(np.int64) << 32) | gram, return_counts=True)
             yield pa.RecordBatch.from_arrays([names.take(pa.array(key >> 32)), pa.array(key & 0xFFFFFFFF), pa.array(n.astype(np.int64))], names=["lang", "gram", "n"])
@@ -86,56 +91,79 @@ class Trees:
     grams: np.ndarray
     counts: np.ndarray
 
-    def tables(self, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Byte classes, context row by class triple, and bits by (context row, class) per language."""
-        seen = np.unique(np.concatenate([self.grams & 0xFF, [32]]))
-        classes = np.full(256, len(seen), dtype=np.int64)
-        classes[seen] = np.arange(len(seen))
-        width, langs = len(seen) + 1, len(self.langs)
-        columns = [classes[(self.grams >> (8 * k)) & 0xFF] for k in range(ORDER + 1)]
-        bits = np.full((1, width, langs), 1.0 / width)
-        rows_of = np.zeros(1, dtype=np.int64)
-        for order in range(ORDER + 1):
-            context = np.zeros(len(self.grams), dtype=np.int64)
-            for k in range(order, 0, -1):
-                context = context * width + columns[k]
-            counts = np.zeros((0, width, langs))
-            total = np.bincount(context, weights=self.counts.sum(axis=1), minlength=width**order)
-            kept = np.flatnonzero(total >= least)
-            place = np.full(width**order, -1, dtype=np.int64)
-            place[kept] = np.arange(len(kept))
-            some = place[context] >= 0
-            flat = place[context[some]] * width + columns[0][some]
-            counts = np.stack([np.bincount(flat, weights=self.counts[some, j], minlength=len(kept) * width) for j in range(langs)], axis=1).reshape(-1, width, langs)
-            parent = rows_of[kept % width ** max(0, order - 1)] if order else np.zeros(len(kept), dtype=np.int64)
-            shorter = bits[parent]
-            hit = counts > 0
-            distinct, sums = hit.sum(axis=1, keepdims=True), counts.sum(axis=1, keepdims=True)
-            left = np.maximum(1 - np.where(hit, shorter, 0).sum(axis=1, keepdims=True), 1e-12)
-            full = distinct == width
-            own = np.where(hit, counts / np.maximum(sums + np.where(full, 0, distinct), 1), distinct / np.maximum(sums + distinct, 1) * shorter / left)
-            own = np.where(sums > 0, own, shorter)
-            grown = np.arange(width**order) % width ** max(0, order - 1)
-            rows_of = np.where(place >= 0, len(bits) + place, rows_of[grown] if order else 0)
-            bits = np.concatenate([bits, own])
-        return classes, rows_of.astype(np.int32), -np.log2(bits).reshape(-1, langs).astype(np.float32)
+
+class Coder:
+    """Bits of bytes after their contexts, for each language, from sparse trees.
+
+    ``base`` holds the bits of each byte without a context.  For each longer order there are the sorted
+    runs (context and byte) with their ``bits``, and the sorted contexts with the bits of an ``escape``."""
+
+    def __init__(self, trees: Trees) -> None:
+        self.langs = trees.langs
+        seen = np.unique(np.append(trees.grams & 0xFF, 32))
+        width = len(seen) + 1  # all other bytes count as one more
+        self.levels: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
+        last = np.append(np.searchsorted(seen, trees.grams & 0xFF), [])
+        counts = np.stack([np.bincount(last.astype(np.int64), weights=c, minlength=width) for c in trees.counts.T], axis=1)
+        bits, _ = self._level(counts, np.full(counts.shape, 1.0 / width), np.zeros(1, dtype=np.int64), width)
+        self.base = np.repeat(bits[-1:], 256, axis=0)
+        self.base[seen] = bits[:-1]
+        for order in range(1, ORDER + 1):
+            runs, at = np.unique(trees.grams & ((1 << (8 * (order + 1))) - 1), return_inverse=True)
+            counts = np.stack([np.bincount(at, weights=c, minlength=len(runs)) for c in trees.counts.T], axis=1)
+            contexts, starts = np.unique(runs >> 8, return_index=True)
+            bits, escape = self._level(counts, np.exp2(-self.bits(runs).astype(float)), starts, width)
+            self.levels.append((runs, bits, contexts, escape))
+
+    @staticmethod
+    def _level(counts: np.ndarray, shorter: np.ndarray, starts: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """Bits of the pairs of some contexts, which begin at ``starts``, and of the contexts' escapes."""
+        if not len(counts):
+            return counts.astype(np.float32), counts.astype(np.float32)
+        hit = counts > 0
+        total, distinct, taken = (np.add.reduceat(x, starts, axis=0) for x in (counts, hit.astype(float), np.where(hit, shorter, 0)))
+        escape = np.where(total > 0, distinct / np.maximum(total + distinct, 1) / np.maximum(1 - taken, 1e-12), 1.0)
+        each = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(counts))))
+        size = total + np.where(distinct == width, 0, distinct)
+        own = np.where(hit, counts / np.maximum(size, 1)[each], escape[each] * shorter)
+        return -np.log2(own).astype(np.float32), -np.log2(escape).astype(np.float32)
+
+    def bits(self, grams: np.ndarray) -> np.ndarray:
+        """Bits of the last byte of each gram after those before it, per language."""
+        out = np.zeros((len(grams), len(self.langs)), dtype=np.float32)
+        todo = np.arange(len(grams))
+        for order in range(len(self.levels), 0, -1):
+            runs, bits, contexts, escape = self.levels[order - 1]
+            run = grams[todo] & ((1 << (8 * (order + 1))) - 1)
+            at, hit = place(runs, run)
+            out[todo[hit]] += bits[at[hit]]
+            todo, run = todo[~hit], run[~hit]
+            at, hit = place(contexts, run >> 8)
+            out[todo[hit]] += escape[at[hit]]
+        out[todo] += self.base[grams[todo] & 0xFF]
+        return out
+
+
+def place(keys: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each asked value stands in sorted keys, and whether it does."""
+    if not len(keys):
+        return np.zeros(len(asked), dtype=np.int64), np.zeros(len(asked), dtype=bool)
+    at = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
+    return at, keys[at] == asked
 
 
 def _score_batches(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
-    trees, least = model.value
-    classes, rows_of, bits = trees.tables(least)
-    width = int(classes.max()) + 1
-    names = pa.array(trees.langs)
+    coder = model.value
+    names = pa.array(coder.langs)
     for batch in batches:
         for part in tk.slices(batch, "text", 2 << 20):
             data, spans = normalised(part.column(1))
             at = _own_positions(spans)
-            coded = classes[data]
-            row = rows_of[(coded[at - 3] * width + coded[at - 2]) * width + coded[at - 1]]
-            code = bits[row * np.int64(width) + coded[at]]
+            grams, which = np.unique(grams_at(data, at), return_inverse=True)
+            code = coder.bits(grams)[which]
             sizes = spans[1] - spans[0]
             ends = np.cumsum(sizes)
-            lengths = np.zeros((len(sizes), len(trees.langs)))
+            lengths = np.zeros((len(sizes), len(coder.langs)))
             some = sizes > 0
             if some.any():
                 lengths[some] = np.add.reduceat(code, (ends - sizes)[some], axis=0, dtype=np.float64)
@@ -170,16 +198,16 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     return Trees(names, grams, counts)
 
 
-def score(docs: DataFrame, trees: Trees, id_col: str = "doc_id", text_col: str = "text", p: LangParams = LangParams()) -> DataFrame:
+def score(docs: DataFrame, trees: Trees, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: ``id_col``, ``lang_pred``, ``score`` (its posterior under equal priors) and ``bits_per_byte``.
 
     A text that is null or has no letter gets ``und`` with score 0, as does every text when no
     language was learned.  Ties go to the alphabetically first language; repeated rows come back each;
-    other columns are ignored.
+    very long texts are coded whole; other columns are ignored; an empty table gives an empty result.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     known = F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)) & F.lit(bool(trees.langs))
     rows = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"), known.alias("known"))
     held = trees if trees.langs else Trees(["und"], np.zeros(0, dtype=np.int64), np.zeros((0, 1)))
-    model = docs.sparkSession.sparkContext.broadcast((held, p.least))
+    model = docs.sparkSession.sparkContext.broadcast(Coder(held))
     return rows.mapInArrow(lambda b: _score_batches(b, model), f"doc {kind}, lang_pred string, score double, bits_per_byte double").withColumnRenamed("doc", id_col)

@@ -331,6 +331,18 @@ def test_shards_prune_better_than_a_sort_on_one_column(spark):
     assert spans.mean().max() < 0.5
 
 
+def test_strings_with_one_prefix_are_told_apart(spark):
+    rng = random.Random(43)
+    rows = [(k, f"https://www.example.org/{rng.choice('abcdefgh') * 3}/{k % 50}", rng.random()) for k in range(2000)]
+    df = spark.createDataFrame(rows, "id long, url string, x double")
+    for most in (10_000, 60):
+        placed = sharding.assign_shards(df, "id", ["url"], 8, most_values=most).collect()
+        order = [r.url for r in sorted(placed, key=lambda r: (r.shard, r.slot))]
+        assert len({r.curve_index for r in placed}) >= 8
+        spans = [set(u[len("https://www.example.org/")] for u in order[k * 250 : (k + 1) * 250]) for k in range(8)]
+        assert sum(map(len, spans)) <= 24
+
+
 def test_sharding_edge_cases(spark):
     odd = awkward(spark)
     placed = sharding.assign_shards(odd, "doc_id", ["source", "lang", "n_chars"], 4)

@@ -157,7 +157,7 @@ def languages(spark, n=240):
     return documents(spark, rows)
 
 
-def plain_bits(trees, text, least):
+def plain_bits(trees, text):
     """PPM code length per language by the definition, byte by byte."""
     coded = bytearray(b"   ")
     raw = lower(text).encode()
@@ -174,22 +174,20 @@ def plain_bits(trees, text, least):
     totals = []
     for j in range(len(trees.langs)):
         tables = [dict() for _ in range(langid.ORDER + 1)]
-        everyone = [Counter() for _ in range(langid.ORDER + 1)]
         for g, row in zip(trees.grams, trees.counts, strict=True):
             b = [code((int(g) >> (8 * k)) & 0xFF) for k in range(langid.ORDER + 1)]
             for order in range(langid.ORDER + 1):
                 context = tuple(b[order:0:-1])
-                everyone[order][context] += row.sum()
                 if row[j]:
                     tables[order].setdefault(context, Counter())[b[0]] += row[j]
 
-        def chance(context, s, tables=tables, everyone=everyone):
+        def chance(context, s, tables=tables):
             if context is None:
                 return 1.0 / width
             order = len(context)
             shorter = (lambda x: chance(context[1:] if order else None, x))
             seen_here = tables[order].get(context)
-            if everyone[order][context] < least or not seen_here:
+            if not seen_here:
                 return shorter(s)
             total, distinct = sum(seen_here.values()), len(seen_here)
             if s in seen_here:
@@ -205,7 +203,7 @@ def test_code_lengths_follow_the_definition(spark):
     docs = languages(spark, 30)
     trees = langid.train(docs)
     text = "Abcd efg, AEIOU xyz"
-    bits, size = plain_bits(trees, text, langid.LangParams().least)
+    bits, size = plain_bits(trees, text)
     got = langid.score(documents(spark, [(1, text, None)]), trees).first()
     assert got.lang_pred == trees.langs[int(np.argmin(bits))]
     assert got.bits_per_byte == pytest.approx(min(bits) / size, rel=1e-4)

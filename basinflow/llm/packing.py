@@ -9,7 +9,7 @@ cut: its rest opens the next window and becomes the query there.  What remains a
 cut into sequences whose lengths are powers of two, which need no padding; so no sequence is padded.
 
 Document frequencies are counted by a hash of the word in a table of fixed size, which is what is
-broadcast.  A word that would gather more than a shard is split by a hash of the text.  Texts are
+broadcast.  A word that would gather more than a shard is split by a hash of id and text.  Texts are
 shuffled once; a task cuts its sorted rows into shards of ``shard_bytes`` of text (a longer document is a
 shard of its own), however Arrow batches fall, so memory does not grow with the input.
 """
@@ -40,7 +40,8 @@ def _tokenizer_file(name: str) -> str:
 class PackParams:
     """``tokenizer`` is the vocabulary; ``ranks`` holds the same vocabulary as byte ranks, which
     give the same ids several times faster.  ``end_id`` closes every document.  A word gathers documents
-    if it occurs in enough of them to fill ``gather`` of a shard.  ``slots`` (a power of two) is the size of
+    if it occurs in enough of them to fill ``gather`` of a shard, and they are dealt out in parts of a
+    shard or ``part_rows`` documents.  ``slots`` (a power of two) is the size of
     the table of document frequencies.  ``k1`` and ``b`` are BM25's."""
 
     window: int = 2048
@@ -49,6 +50,7 @@ class PackParams:
     end_id: int = 1
     shard_bytes: int = 4 << 20
     gather: float = 0.1
+    part_rows: int = 512
     slots: int = 1 << 18
     k1: float = 1.2
     b: float = 0.75
@@ -60,6 +62,7 @@ SPECIAL = "<|endoftext|>"
 
 @functools.cache
 def _fast_encoder(ranks: str):
+    """The encoder, and how many bytes each id stands for."""
     import base64
 
     import public_tokenizers
@@ -67,7 +70,9 @@ def _fast_encoder(ranks: str):
 
     with open(ranks, "rb") as lines:
         table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-    return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
+    sizes = np.zeros(max(table.values()) + 1, dtype=np.int64)
+    sizes[list(table.values())] = [len(x) for x in table]
+    return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={}), sizes
 
 
 @functools.cache
@@ -77,13 +82,46 @@ def _full_encoder(tokenizer: str):
     return Tokenizer.from_file(tokenizer)
 
 
-def encode(texts: list[str | None], p: PackParams) -> list[np.ndarray]:
-    """Token ids of each text (null: none), closed by the end id."""
-    fast = _fast_encoder(p.ranks)
-    out = []
-    for text in texts:
-        ids = _full_encoder(p.tokenizer).encode(text, add_special_tokens=False).ids if SPECIAL in (text or "") else fast.encode_to_numpy(text or "", disallowed_special=())
-        out.append(np.append(np.asarray(ids, dtype="<u4"), np.uint32(p.end_id)).astype("<u4"))
+#: Last bytes that characters of white space beyond ASCII can have.
+_WIDE_SPACE = [0x85, 0x9F, 0xA0, 0xA8, 0xA9, 0xAF, *range(0x80, 0x8B)]
+_BEFORE_UNIT = ~tk.SPACE
+_BEFORE_UNIT[[0x1C, 0x1D, 0x1E, 0x1F, *_WIDE_SPACE]] = False
+
+
+def encode(texts: pa.Array, p: PackParams) -> list[np.ndarray]:
+    """Token ids of each text (null: none), closed by the end id.
+
+    The vocabulary's pattern never joins a space to what is not white space before it, so a text falls
+    into units that begin with such a space, and equal units have equal ids.  The distinct units of
+    all texts are encoded once, end to end; the bytes of each id tell where one unit's ids end.  What
+    stands before a text's first such space is encoded by itself."""
+    fast, sizes = _fast_encoder(p.ranks)
+    data, bounds = tk.text_bytes(texts)
+    cut = np.zeros(len(data), dtype=bool)
+    cut[1:] = (data[1:] == 32) & _BEFORE_UNIT[data[:-1]]
+    cut[bounds[:-1][bounds[:-1] < bounds[1:]]] = False
+    starts = np.flatnonzero(cut)
+    row = np.searchsorted(bounds, starts, "right") - 1
+    per_row = np.searchsorted(starts, bounds)
+    ends = np.append(starts[1:], len(data))
+    ends = np.minimum(ends, bounds[row + 1])
+    _, first, unit = np.unique(tk.span_hashes(data, starts, ends), return_index=True, return_inverse=True)
+    lengths = ends[first] - starts[first]
+    places = np.repeat(starts[first] - np.cumsum(lengths) + lengths, lengths) + np.arange(lengths.sum())
+    ids = fast.encode_to_numpy(data[places].tobytes().decode(), disallowed_special=())
+    at = np.concatenate([[0], np.searchsorted(np.cumsum(sizes[ids]), np.cumsum(lengths)) + 1]) if len(ids) else np.zeros(1, dtype=np.int64)
+    counts = np.diff(at)[unit]
+    places = np.repeat(at[:-1][unit] - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
+    flat = ids[places].astype("<u4")
+    upto = np.concatenate([[0], np.cumsum(counts)])[per_row]
+    end, out = np.array([p.end_id], dtype="<u4"), []
+    for k in range(len(texts)):
+        whole = data[bounds[k] : bounds[k + 1]].tobytes().decode() if bounds[k] < bounds[k + 1] else ""
+        if SPECIAL in whole:
+            out.append(np.append(np.array(_full_encoder(p.tokenizer).encode(whole, add_special_tokens=False).ids, dtype="<u4"), end))
+            continue
+        head = data[bounds[k] : starts[per_row[k]] if per_row[k] < per_row[k + 1] else bounds[k + 1]].tobytes().decode()
+        out.append(np.concatenate([fast.encode_to_numpy(head, disallowed_special=()).astype("<u4"), flat[upto[k] : upto[k + 1]], end]))
     return out
 
 
@@ -106,24 +144,36 @@ def distinct_slots(w: tk.Words, slots: int) -> tuple[np.ndarray, np.ndarray]:
     return pair // slots, pair % slots
 
 
+#: Neighbouring places of the table of counts that travel as one row.
+_RUN = 4096
+
+
 def _frequency_batches(batches: Iterator[pa.RecordBatch], p: PackParams) -> Iterator[pa.RecordBatch]:
-    """One table of counts for each task, its last three places for documents, words and bytes."""
-    total = np.zeros(p.slots + 3, dtype=np.int64)
+    """One table of counts for each task, in runs; its first places after ``slots`` are documents, words and bytes."""
+    total = np.zeros(-(-(p.slots + 3) // _RUN) * _RUN, dtype=np.int64)
     for batch in batches:
         for part in tk.slices(batch, "text"):
             w = tk.words(part.column(0))
             total[: p.slots] += np.bincount(distinct_slots(w, p.slots)[1], minlength=p.slots)
-            total[p.slots :] += part.num_rows, len(w.hashes), len(w.data)
-    some = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["slot", "n"])
+            total[p.slots : p.slots + 3] += part.num_rows, len(w.hashes), len(w.data)
+    rows = total.reshape(-1, _RUN)
+    yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(rows))), pa.array([x.tobytes() for x in rows], type=pa.binary())], names=["run", "counts"])
+
+
+def _add_runs(table: pa.Table) -> pa.Table:
+    total = sum(np.frombuffer(x.as_py(), dtype=np.int64) for x in table.column("counts"))
+    return pa.table({"run": table.column("run")[:1], "counts": pa.array([total.tobytes()], type=pa.binary())})
 
 
 def frequencies(docs: DataFrame, text_col: str, p: PackParams) -> Frequencies:
-    """Counts over all texts; at most ``slots`` + 3 numbers reach the driver."""
-    counted = docs.select(F.col(text_col).alias("text")).mapInArrow(lambda b: _frequency_batches(b, p), "slot long, n long")
-    found = counted.groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    """Counts over all texts; a table of ``slots`` + 3 numbers reaches the driver."""
+    counted = docs.select(F.col(text_col).alias("text")).mapInArrow(lambda b: _frequency_batches(b, p), "run long, counts binary")
+    found = counted.groupBy("run").applyInArrow(_add_runs, "run long, counts binary").toArrow()
+    runs = dict(zip(found.column("run").to_pylist(), found.column("counts").to_pylist(), strict=True))
     total = np.zeros(p.slots + 3, dtype=np.int64)
-    total[found.column("slot").to_numpy()] = found.column("n").to_numpy()
+    for run, raw in runs.items():
+        some = total[run * _RUN : (run + 1) * _RUN]
+        some += np.frombuffer(raw, dtype=np.int64)[: len(some)]
     return Frequencies(*(int(x) for x in total[p.slots :]), total[: p.slots])
 
 
@@ -139,7 +189,8 @@ def routes(w: tk.Words, f: Frequencies, p: PackParams) -> tuple[np.ndarray, np.n
     route, gathered = np.full(n, -1, dtype=np.int64), np.full(n, f.docs)
     first = first[df[first] >= least]
     route[doc[first]], gathered[doc[first]] = slot[first], df[first]
-    return route, np.maximum(1, -(-gathered * (f.size // max(1, f.docs)) // p.shard_bytes))
+    rows = min(p.part_rows, max(1, p.shard_bytes * f.docs // max(1, f.size)))
+    return route, np.maximum(1, -(-gathered // rows))
 
 
 def _route_batches(batches: Iterator[pa.RecordBatch], held, p: PackParams) -> Iterator[pa.RecordBatch]:
@@ -155,14 +206,20 @@ class ShardIndex:
 
     def __init__(self, w: tk.Words, f: Frequencies, p: PackParams) -> None:
         self.n = n = len(w.offsets) - 1
-        hashes, term = np.unique(w.hashes, return_inverse=True)
-        pair, tf = np.unique(term.astype(np.int64) * max(n, 1) + w.doc, return_counts=True)
-        term, self.docs = pair // max(n, 1), pair % max(n, 1)
-        self.starts = np.searchsorted(term, np.arange(term[-1] + 2 if len(term) else 1))
+        order = np.argsort(w.hashes, kind="stable")
+        sorted_hash, sorted_doc = w.hashes[order], w.doc[order]
+        new_term = np.ones(len(order), dtype=bool)
+        new_term[1:] = sorted_hash[1:] != sorted_hash[:-1]
+        new_pair = new_term.copy()
+        new_pair[1:] |= sorted_doc[1:] != sorted_doc[:-1]
+        first = np.flatnonzero(new_pair)
+        hashes, self.docs = sorted_hash[new_term], sorted_doc[first]
+        term, tf = np.cumsum(new_term)[first] - 1, np.diff(np.append(first, len(order)))
+        self.starts = np.append(np.flatnonzero(new_term[first]), len(first))
         df = f.of(hashes)
         norm = p.k1 * (1 - p.b + p.b * np.diff(w.offsets) / max(1.0, f.words / max(1, f.docs)))
         self.weights = (np.log1p((f.docs - df + 0.5) / (df + 0.5))[term] * tf * (p.k1 + 1) / (tf + norm[self.docs])).astype(np.float32)
-        by_doc = np.argsort(self.docs, kind="stable")
+        by_doc = np.argsort(self.docs.astype(np.uint16) if n < 1 << 16 else self.docs, kind="stable")
         self.terms, self.doc_starts = term[by_doc], np.searchsorted(self.docs[by_doc], np.arange(n + 1))
 
     def scores(self, doc: int) -> np.ndarray:
@@ -244,7 +301,7 @@ def _pack_batches(batches: Iterator[pa.RecordBatch], held, p: PackParams) -> Ite
     base = TaskContext.get().partitionId() << 36
     for part in shards((b for b in batches if b.num_rows), p.shard_bytes):
         if part.num_rows:
-            ids = encode(part.column(1).to_pylist(), p)
+            ids = encode(part.column(1), p)
             lengths = np.array([len(x) for x in ids])
             pieces = fill(lengths, ShardIndex(tk.words(part.column(1)), held.value, p), p.window)
             doc, start, length, sequence, offset = (np.array(x, dtype=np.int64) for x in zip(*pieces, strict=True))
@@ -278,7 +335,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", p: Pac
     kind = docs.schema[id_col].dataType.simpleString()
     f = frequencies(docs, text_col, p)
     held = spark.sparkContext.broadcast(f)
-    rows = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"), F.xxhash64(F.col(text_col)).alias("hash"))
+    rows = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"), F.xxhash64(id_col, text_col).alias("hash"))
     routed = rows.mapInArrow(lambda batches: _route_batches(batches, held, p), f"doc {kind}, text string, hash long, route long, part long")
     tasks = max(-(-f.size // scan_bytes(spark)), min(f.docs, 2 * spark.sparkContext.defaultParallelism), 1)
     dealt = routed.repartition(tasks, "route", "part").sortWithinPartitions("route", "part", "hash", "doc").select("doc", "text")

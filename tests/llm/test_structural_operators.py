@@ -392,10 +392,23 @@ def test_packing_holds_every_token_once(spark):
 
 def counted(texts, p):
     """Document frequencies of some texts, as one task counts them."""
-    found = next(packing._frequency_batches(iter([pa.record_batch({"text": pa.array(texts, type=pa.string())})]), p)).to_pydict()
-    total = np.zeros(p.slots + 3, dtype=np.int64)
-    total[found["slot"]] = found["n"]
-    return packing.Frequencies(*total[p.slots :].tolist(), total[: p.slots])
+    found = next(packing._frequency_batches(iter([pa.record_batch({"text": pa.array(texts, type=pa.string())})]), p)).column("counts")
+    total = np.concatenate([np.frombuffer(x.as_py(), dtype=np.int64) for x in found])
+    return packing.Frequencies(*total[p.slots : p.slots + 3].tolist(), total[: p.slots])
+
+
+def test_encoding_by_units_is_the_tokenizers_own():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    full = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    rng = random.Random(55)
+    parts = ["a", "b1", " ", "  ", "\n", "\r\n ", "\t", "\u00a0", "\u3000", "\u2009", "\x1c", "\x85", "é", "漢字", "don't", "!?", " !", "x\u00a0", "12", "😀", "Zebra", "_", "\u200b", "\ufeff"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 25))) for _ in range(3000)] + [None, "", " ", " a", "a ", "plain words in a row"]
+    for some in (pa.array(texts), pa.array(texts).slice(7, 400), pa.array([None, ""], type=pa.string())):
+        found = packing.encode(some, packing.PackParams())
+        for text, ids in zip(some.to_pylist(), found, strict=True):
+            assert ids.tolist() == [*full.encode(text or "", add_special_tokens=False).ids, 1], repr(text)
 
 
 def test_documents_of_a_topic_meet_from_anywhere_in_the_table(spark):
@@ -623,6 +636,6 @@ def test_digests_of_pieces(spark):
     from basinflow.llm.queries import digest_pieces
 
     rows = digest_pieces(packing.pack(documents(spark, [(1, "hello world", "en")]))).collect()
-    data = b"".join(int(x).to_bytes(4, "little") for x in packing.encode(["hello world"], packing.PackParams())[0])
+    data = b"".join(int(x).to_bytes(4, "little") for x in packing.encode(pa.array(["hello world"]), packing.PackParams())[0])
     assert [(r.start, r.length, r.ids_crc32) for r in rows if r.start == 0 and r.length * 4 == len(data)] in ([(0, len(data) // 4, zlib.crc32(data))], [])
     assert Fraction(sum(r.length for r in rows), 1) == len(data) // 4

@@ -70,9 +70,15 @@ def maximum_assignment(gain: np.ndarray) -> np.ndarray:
     return out
 
 
+#: Cells of the largest matrix that is assigned in one task (1 GB).
+MOST_CELLS = 1 << 27
+
+
 def _assign(table: pd.DataFrame) -> pd.DataFrame:
     truth, row = np.unique(table["truth"], return_inverse=True)
     pred, col = np.unique(table["pred"], return_inverse=True)
+    if len(truth) * len(pred) > MOST_CELLS:
+        raise ValueError(f"{len(truth)} classes and {len(pred)} clusters are more than one task can assign")
     gain = np.zeros((len(truth), len(pred)))
     gain[row, col] = table["n"]
     if len(truth) <= len(pred):
@@ -86,7 +92,8 @@ def optimal_assignment(table: DataFrame) -> DataFrame:
     """``pred, truth, position``: a one-to-one map from clusters to classes with most rows in agreement.
 
     The smaller of the two label sets is mapped whole.  The matrix of distinct classes and clusters is
-    solved in one task: its size is theirs, not the data's.  ``position`` counts by class.
+    solved in one task: its size is theirs, not the data's, and more than :data:`MOST_CELLS` cells are an
+    error.  ``position`` counts by class.
     """
     return table.withColumn("whole", F.lit(0)).groupBy("whole").applyInPandas(_assign, "pred long, truth long, position int")
 
@@ -160,8 +167,9 @@ def expected_mutual_information(table: DataFrame) -> DataFrame:
     a = rows.groupBy("a").agg(F.count("*").alias("a_labels"))
     b = cols.groupBy("b").agg(F.count("*").alias("b_labels")).agg(F.collect_list(F.struct("b", "b_labels")).alias("sizes"))
     each = a.join(F.broadcast(b)).join(F.broadcast(total)).select("a", "a_labels", "total", F.explode("sizes").alias("other")).select("a", "a_labels", "total", "other.b", "other.b_labels")
-    low = F.greatest(F.lit(1).cast("long"), F.col("a") + F.col("b") - F.col("total"))
-    term = each.withColumn("n", F.explode(F.sequence(low, F.least("a", "b"))))
+    low, high, piece = F.greatest(F.lit(1).cast("long"), F.col("a") + F.col("b") - F.col("total")), F.least("a", "b"), F.lit(1 << 16)
+    each = each.withColumn("from", F.explode(F.sequence(low, high, piece)))  # no row holds a long sequence
+    term = each.withColumn("n", F.explode(F.sequence(F.col("from"), F.least(high, F.col("from") + (1 << 16) - 1))))
     log = ln_factorial
     ways = log(F.col("a")) + log(F.col("b")) + log(F.col("total") - F.col("a")) + log(F.col("total") - F.col("b"))
     ways = ways - log(F.col("total")) - log(F.col("n")) - log(F.col("a") - F.col("n")) - log(F.col("b") - F.col("n")) - log(F.col("total") - F.col("a") - F.col("b") + F.col("n"))

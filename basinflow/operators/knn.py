@@ -225,24 +225,26 @@ class Codebooks:
         rest = file.probe(rows, 1).mapInArrow(lambda b: _residual_batches(b, centres), "rest array<double>").cache()
         dims = file.centres.shape[1]
         books = []
-        for at in range(0, dims // width * width, width):
+        for at in range(0, dims, width):  # the last one may be narrower
             part = rest.select(array_to_vector(F.slice("rest", at + 1, width)).alias("features"))
             found = np.array(KMeans(k=1 << bits, seed=seed, maxIter=5, initMode="random").fit(part).clusterCenters())
-            books.append(np.pad(found, ((0, (1 << bits) - len(found)), (0, 0)), mode="edge"))
+            found = np.pad(found, ((0, (1 << bits) - len(found)), (0, 0)), mode="edge")
+            books.append(np.pad(found, ((0, 0), (0, width - found.shape[1]))))
         rest.unpersist()
         return Codebooks(np.array(books))
 
-    def encode(self, rest: np.ndarray) -> np.ndarray:
-        parts = rest[:, : self.books.shape[0] * self.books.shape[2]].reshape(len(rest), self.books.shape[0], -1)
-        codes = np.empty(parts.shape[:2], dtype=np.int64)
-        for m, book in enumerate(self.books):
-            codes[:, m] = ((parts[:, m, None, :] - book[None]) ** 2).sum(axis=2).argmin(axis=1)
-        return codes
+    def parts(self, rest: np.ndarray) -> np.ndarray:
+        """Sub-vectors of residuals, first by sub-vector; the last is padded with zeros."""
+        count, _, width = self.books.shape
+        return np.pad(rest, ((0, 0), (0, count * width - rest.shape[1]))).reshape(len(rest), count, width).transpose(1, 0, 2)
 
     def tables(self, rest: np.ndarray) -> np.ndarray:
-        """Squared distance of each sub-vector of a residual to every centre."""
-        parts = rest[: self.books.shape[0] * self.books.shape[2]].reshape(self.books.shape[0], 1, -1)
-        return ((parts - self.books) ** 2).sum(axis=2)
+        """Squared distance of each sub-vector of each residual to every centre of its book."""
+        parts = self.parts(rest)
+        return (parts**2).sum(axis=2)[:, :, None] - 2 * parts @ self.books.transpose(0, 2, 1) + (self.books**2).sum(axis=2)[:, None, :]
+
+    def encode(self, rest: np.ndarray) -> np.ndarray:
+        return self.tables(rest).argmin(axis=2).T
 
 
 def _residual_batches(batches: Iterator[pa.RecordBatch], centres: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -253,36 +255,42 @@ def _residual_batches(batches: Iterator[pa.RecordBatch], centres: np.ndarray) ->
             yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(lists), pa.array(rest.ravel()))], names=["rest"])
 
 
-def _coded_batches(batches: Iterator[pa.RecordBatch], spec: Knn, centres: np.ndarray, books: Codebooks) -> Iterator[pa.RecordBatch]:
-    now, held, codes, ids = None, [], None, None
+def _coded_batches(batches: Iterator[pa.RecordBatch], spec: Knn, centres: np.ndarray, books: Codebooks, rerank: int, block: int = 64) -> Iterator[pa.RecordBatch]:
+    now, held, codes, ids, vectors = None, [], None, None, None
     for key, side, rows in runs_of(batches):
         if key != now:
             now, held, codes = key, [], None
         if side == 0:
-            held.append((rows.column(4).to_numpy(), books.encode(matrix(rows.column(5)) - centres[key[1]])))
+            held.append((rows.column(4).to_numpy(), matrix(rows.column(5))))
             continue
         if not held:
             continue
         if codes is None:
-            ids, codes = (np.concatenate([x[k] for x in held]) for k in (0, 1))
-        found = []
-        for query in matrix(rows.column(5)):
-            table = books.tables(query - centres[key[1]])
-            dist = table[np.arange(len(table))[None, :], codes].sum(axis=1)
-            best = smallest(ids, dist, spec.k)
-            found.append((ids[best], np.sqrt(dist[best]) if spec.root else dist[best]))
+            ids, vectors = (np.concatenate([x[k] for x in held]) for k in (0, 1))
+            codes = books.encode(vectors - centres[key[1]])
+        found, asked = [], matrix(rows.column(5))
+        most = min(len(ids), rerank * spec.k)
+        for at in range(0, len(asked), block):
+            some = asked[at : at + block]
+            rough = sum(table[:, codes[:, m]] for m, table in enumerate(books.tables(some - centres[key[1]])))
+            near = np.argpartition(rough, most - 1, axis=1)[:, :most]
+            for query, rows_near in zip(some, near, strict=True):
+                dist = ((vectors[rows_near] - query) ** 2).sum(axis=1)
+                best = smallest(ids[rows_near], dist, spec.k)
+                found.append((ids[rows_near][best], np.sqrt(dist[best]) if spec.root else dist[best]))
         yield _neighbours(rows.column(4).to_numpy(), found)
 
 
-def knn_ivfpq(x: DataFrame, file: InvertedFile, books: Codebooks, nprobe: int = 1, y: DataFrame | None = None, id_col: str = "vec_id", vector_col: str = "embedding", chunk_rows: int = CHUNK_ROWS) -> DataFrame:
-    """Neighbours by product-quantised distances within the ``nprobe`` nearest cells.
+def knn_ivfpq(x: DataFrame, file: InvertedFile, books: Codebooks, nprobe: int = 1, y: DataFrame | None = None, id_col: str = "vec_id", vector_col: str = "embedding", chunk_rows: int = CHUNK_ROWS, rerank: int = 8) -> DataFrame:
+    """Neighbours by product-quantised distances within the ``nprobe`` nearest cells, ordered anew.
 
-    Corpus vectors are replaced by the codes of their residuals, so distances are approximate (and
-    Euclidean, whatever ``p``); otherwise as :func:`knn_ivf`.
+    Candidates, ``rerank * k`` for each chunk of a cell, are found by the codes of the corpus vectors'
+    residuals; the distances that order and leave them are exact (Euclidean, whatever ``p``).  Otherwise
+    as :func:`knn_ivf`.
     """
     corpus, asked = _in_cells(x, y, file, nprobe, id_col, vector_col, chunk_rows)
     centres, spec = file.centres, file.spec
-    return merged(stream(corpus, asked).mapInArrow(lambda b: _coded_batches(b, spec, centres, books), "i long, j long, dist double"), spec.k)
+    return merged(stream(corpus, asked).mapInArrow(lambda b: _coded_batches(b, spec, centres, books, rerank), "i long, j long, dist double"), spec.k)
 
 
 def packed(knn: DataFrame) -> DataFrame:

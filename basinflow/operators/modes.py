@@ -32,17 +32,20 @@ def local_maxima(uphill: DataFrame, density: DataFrame) -> DataFrame:
 def seek_modes(parents: DataFrame) -> DataFrame:
     """``i, root``: the end of each vertex's chain of parents, by pointer doubling.
 
-    Each round halves the chains that are left; vertices that have arrived drop out, so the rounds
-    move ever fewer rows.  Rounds are written to the shared folder, and only a flag reaches the driver.
+    Each round halves the chains that are left.  Vertices that have arrived are written once and leave
+    the rounds, which therefore move ever fewer rows; only a flag of each round reaches the driver.
     """
-    steps = materialise(parents.select("i", F.col("parent").alias("root")), "pointers")
-    while True:
-        jump = steps.select(F.col("i").alias("root"), F.col("root").alias("next"))
-        moved = materialise(steps.join(jump, "root", "left").select("i", F.coalesce("next", "root").alias("root"), (F.coalesce("next", "root") != F.col("root")).alias("moved")), "pointers")
-        discard(steps)
-        steps = moved.select("i", "root")
-        if not moved.where("moved").limit(1).count():
-            return steps
+    arrived = materialise(parents.where("i = parent").select("i", F.col("parent").alias("root")), "arrived")
+    moving = materialise(parents.where("i <> parent").select("i", F.col("parent").alias("root")), "pointers")
+    while moving.limit(1).count():
+        known = arrived.select(F.col("i").alias("root"), F.col("root").alias("next"), F.lit(True).alias("ends"))
+        further = moving.select(F.col("i").alias("root"), F.col("root").alias("next"), F.lit(False).alias("ends"))
+        jump = moving.join(known.unionByName(further), "root").select("i", F.col("next").alias("root"), "ends")
+        moved = materialise(jump, "pointers")
+        discard(moving)
+        arrived = arrived.unionByName(moved.where("ends").select("i", "root"))
+        moving = materialise(moved.where("NOT ends").select("i", "root"), "pointers")
+    return arrived
 
 
 def mode_seeking(edges: DataFrame, density: DataFrame) -> DataFrame:

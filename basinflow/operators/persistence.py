@@ -81,8 +81,12 @@ def needed_saddles(found: DataFrame) -> DataFrame:
     links = found.select("i", "f", F.element_at("basins", 1).alias("first"), others.alias("other")).select("i", "f", F.least("first", "other").alias("a"), F.greatest("first", "other").alias("b"))
     earliest = links.groupBy("a", "b").agg(F.min_by(F.struct("i", "f"), modes.in_order(F.col("f"), F.col("i"))).alias("at")).select("at.i", "at.f", "a", "b")
     schema = "i long, f double, a long, b long"
-    parts = earliest.mapInPandas(_partition_forests, schema)
-    whole = parts.withColumn("whole", F.lit(0)).groupBy("whole").applyInPandas(lambda links: _spanning(links)[["i", "f", "a", "b"]], schema)  # at most (modes - 1) per partition
+    whole = materialise(earliest.mapInPandas(_partition_forests, schema).withColumn("part", F.spark_partition_id()), "forests")
+    count = whole.agg(F.coalesce(F.max("part"), F.lit(0))).first()[0] + 1
+    while count > 1:  # forests are merged in a tree, sixteen at a time
+        count = -(-count // 16)
+        grouped = whole.withColumn("part", F.expr("cast(part div 16 as int)")).groupBy("part")
+        whole = materialise(grouped.applyInPandas(lambda links: _spanning(links)[["i", "f", "a", "b", "part"]], f"{schema}, part int"), "forests")
     return found.join(whole.select("i").distinct(), "i", "left_semi")
 
 

@@ -32,8 +32,9 @@ BASE = f"WITH RECURSIVE {vectors()}, {neighbours()}, {DENSITY}"
 MODES = f"{BASE}, {UPHILL}, {PARENTS}, {CHASE}"
 
 
-def sweep(taus: str, start: str = BASE) -> str:
-    """The sequential sweep: ``fin(tau, root, pairs)`` in ranks and ``ord(i, f, s)``."""
+def sweep(taus: str, start: str = BASE, joins: str = "root[g]") -> str:
+    """The sequential sweep: ``fin(tau, root, pairs)`` in ranks and ``ord(i, f, s)``; a vertex ``joins`` the
+    cluster of its densest neighbour, or the densest cluster (``cm``)."""
     return f"""{start},
     ord AS MATERIALIZED (SELECT i, f, row_number() OVER (ORDER BY f DESC, i) AS s FROM dens),
     levels AS (SELECT list(f ORDER BY s) AS fs, max(s) AS n FROM ord),
@@ -41,7 +42,7 @@ def sweep(taus: str, start: str = BASE) -> str:
         FROM ord o LEFT JOIN knn k ON k.i = o.i LEFT JOIN ord p ON p.i = k.j GROUP BY o.s, o.f),
     st AS (SELECT unnest({taus})::DOUBLE AS tau, 0::BIGINT AS s, []::BIGINT[] AS root, []::STRUCT(birth BIGINT, death BIGINT)[] AS pairs
         UNION ALL
-        SELECT tau, s, CASE WHEN g IS NULL THEN list_append(root, s) ELSE list_transform(list_append(root, root[g]), lambda r: CASE WHEN list_contains(dead, r) THEN cm ELSE r END) END,
+        SELECT tau, s, CASE WHEN g IS NULL THEN list_append(root, s) ELSE list_transform(list_append(root, {joins}), lambda r: CASE WHEN list_contains(dead, r) THEN cm ELSE r END) END,
             CASE WHEN g IS NULL THEN pairs ELSE list_concat(pairs, list_transform(dead, lambda c: {{'birth': c, 'death': s}})) END
         FROM (SELECT tau, s, g, root, pairs, cm, list_filter(seen, lambda c: c <> cm AND fs[c] - f < tau) AS dead
             FROM (SELECT tau, s, g, f, root, pairs, seen, list_min(seen) AS cm, fs
@@ -55,6 +56,7 @@ def sweep(taus: str, start: str = BASE) -> str:
 #: Thresholds as Spark writes them.
 TAU_TEXT = "CASE WHEN tau = 'inf'::DOUBLE THEN 'Infinity' ELSE printf('%.1f', tau) END AS tau"
 SWEEP = sweep("[0, 0.5, 2, 'inf'::DOUBLE]")
+GREEDY = sweep("[0, 0.5, 2, 'inf'::DOUBLE]", joins="cm")
 LAST = sweep("['inf'::DOUBLE]")
 ASSIGNED = f"SELECT {TAU_TEXT}, a.i, b.i AS root FROM (SELECT tau, unnest(root) AS r, unnest(range(1, len(root) + 1)) AS s FROM fin) x JOIN ord a ON a.s = x.s JOIN ord b ON b.s = x.r"
 RANKED = """, ranked AS (SELECT birth, death, birth_density, death_density, persistence, row_number() OVER (ORDER BY persistence DESC, birth, death) AS rank FROM ended
@@ -126,6 +128,8 @@ SQL: dict[str, str] = {
     "mode_labels": f"{MODES} SELECT i, root, dense_rank() OVER (ORDER BY root) - 1 AS label FROM roots",
     "saddles": f"{MODES} SELECT u.i, count(DISTINCT r.root) AS basins, arg_min(r.root, u.rk) AS first FROM up u JOIN roots r ON r.i = u.j GROUP BY u.i HAVING count(DISTINCT r.root) >= 2",
     "h0_tau_sweep": f"{SWEEP} {ASSIGNED}",
+    "h0_greedy": f"{GREEDY} {ASSIGNED}",
+    "pairs_below": f"{LAST} SELECT birth, death, round(persistence, 6) AS persistence FROM ended WHERE persistence < 2",
     "h0_pairs": f"{SWEEP} SELECT {TAU_TEXT}, birth, death, round(persistence, 6) AS persistence FROM ended UNION ALL SELECT {TAU_TEXT}, birth, NULL, NULL FROM alive",
     "persistence_pairs": f"{LAST}{RANKED} SELECT birth, death, round(birth_density, 6) AS birth_density, round(death_density, 6) AS death_density, round(persistence, 6) AS persistence, rank FROM ranked",
     "cluster_counts": f"{SWEEP} SELECT {TAU_TEXT}, count(*) AS clusters FROM alive GROUP BY 1",
@@ -153,6 +157,15 @@ SQL: dict[str, str] = {
     "clustering_metrics": f"""{TABLE}{MUTUAL}{EXPECTED}{HITS} SELECT 'modes/ARI' AS metric, round({ARI_VALUE}, 6) AS value FROM {ARI}
         UNION ALL SELECT 'modes/AMI', round({AMI_VALUE}, 6) FROM mu, ha, hb, em UNION ALL SELECT 'modes/NMI', round(mi / ((ha.h + hb.h) / 2), 6) FROM mu, ha, hb
         UNION ALL SELECT 'modes/Cluster_Acc/Total', round(hits / t, 6) FROM best, tot""",
+    "class_metrics": """WITH t AS (SELECT label, vec_id % 6 <> 0 AS hit FROM embeddings),
+        c AS (SELECT dense_rank() OVER (ORDER BY label) - 1 AS position, avg(hit::INT) AS value FROM t GROUP BY label)
+        SELECT 'Cluster_Acc/' || position AS metric, round(value, 6) AS value FROM c UNION ALL SELECT 'Cluster_Acc/Total', round(avg(hit::INT), 6) FROM t""",
+    "cluster_count": f"{MODES} SELECT count(DISTINCT root) AS clusters FROM roots",
+    "dense_cost": """SELECT a.x::BIGINT AS row, b.x::BIGINT AS col, count(vec_id)::BIGINT AS n FROM range(0, 10) a(x) CROSS JOIN range(0, 10) b(x)
+        LEFT JOIN embeddings ON label = a.x AND vec_id % 10 = b.x GROUP BY 1, 2""",
+    "gather": "SELECT vec_id, label FROM range(0, 120) r(id) JOIN embeddings ON vec_id = id * 7 % 50 * 20",
+    "density_of_points": dens("pow(avg(dist * dist), -0.5)"),
+    "sample_rows": "SELECT vec_id, label FROM embeddings ORDER BY md5('47 ' || vec_id), vec_id LIMIT 300",
     "subgroup_id": "SELECT vec_id, ((label // 2) * 2 + label % 2)::BIGINT AS class FROM embeddings",
     "k_centre": f"{MODES}{CENTRES} SELECT i, centre FROM near WHERE nth = 1",
     "label_agreement": f"{MODES}{CENTRES} SELECT round(avg((root = centre)::INT), 6) AS agreement FROM near JOIN roots USING (i) WHERE nth = 1",

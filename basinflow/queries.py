@@ -236,6 +236,38 @@ def clustering_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(found.where(~F.col("metric").rlike(r"Cluster_Acc/\d")), "value")
 
 
+def class_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All rows of the metrics for clusters that a sixth of the rows leave, so that the best map is one."""
+    label = F.col("label").cast("long")
+    moved = F.when(F.col("vec_id") % 6 == 0, (label + 1) % 10).otherwise(label) + 100
+    rows = tables.points(spark, sf_dir).select(moved.alias("cluster"), F.expr("cast(label div 2 as long)").alias("superclass"), (label % 2).alias("subgroup"))
+    found = evaluation.clustering_metrics(rows, "cluster", "superclass", "subgroup", 2)
+    return rounded(found.where(F.col("metric").startswith("Cluster_Acc")), "value")
+
+
+def cluster_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluation.cluster_count(mode_seeking(spark, sf_dir), "root")
+
+
+def dense_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = tables.points(spark, sf_dir).select(F.col("label").cast("long").alias("truth"), (F.col("vec_id") % 10).alias("pred"))
+    return evaluation.dense_cost(evaluation.contingency(rows, "truth", "pred"), 10)
+
+
+def gather(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows by id: repeated ids repeat their row, unknown ones give nothing."""
+    ids = spark.range(0, 120).select(F.expr("id * 7 % 50 * 20").alias("vec_id"))
+    return tables.gather(tables.points(spark, sf_dir), ids).select("vec_id", "label")
+
+
+def pairs_below(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(persistence.pairs_below(ranked_pairs(spark, sf_dir), 2.0).select("birth", "death", "persistence"), "persistence")
+
+
+def density_of_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(density.density_of_points(tables.points(spark, sf_dir), Knn(K), dim=1, q=2), "f")
+
+
 def subgroup_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = tables.points(spark, sf_dir)
     return x.select("vec_id", evaluation.subgroup_id(F.expr("label div 2"), F.col("label") % 2, 2).cast("long").alias("class"))
@@ -284,6 +316,12 @@ def experiment_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(scores.withColumn("tau", F.col("tau").cast("string")), "agreement", "ami", "nmi", "accuracy")
 
 
+def experiment_ivf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The experiment by approximate search: 5 cells, of which 4 are probed."""
+    scores = experiment.run(tables.points(spark, sf_dir), DIM, experiment.Settings(tau_max=2.0, num_tau=1, nlist=5, nprobe=4))["scores"]
+    return rounded(scores.withColumn("tau", F.col("tau").cast("string")), "agreement", "ami", "nmi", "accuracy")
+
+
 QUERIES: dict[str, Query] = {
     "cluster_sizes": cluster_sizes,
     "pnorm_l1": pnorm_query(1),
@@ -333,6 +371,12 @@ QUERIES: dict[str, Query] = {
     "clustering_accuracy": score_query(evaluation.clustering_accuracy, "accuracy"),
     "optimal_assignment": optimal_hits,
     "clustering_metrics": clustering_metrics,
+    "class_metrics": class_metrics,
+    "cluster_count": cluster_count,
+    "dense_cost": dense_cost,
+    "gather": gather,
+    "pairs_below": pairs_below,
+    "density_of_points": density_of_points,
     "subgroup_id": subgroup_id,
     "k_centre": k_centre,
     "label_agreement": label_agreement,
@@ -342,4 +386,5 @@ QUERIES: dict[str, Query] = {
     "sample_rows": sample_rows,
     "coreset_greedy": coreset_greedy,
     "experiment": experiment_scores,
+    "experiment_ivf": experiment_ivf,
 }

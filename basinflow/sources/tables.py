@@ -22,11 +22,11 @@ def points(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sample_rows(df: DataFrame, n: int, id_col: str = "vec_id", seed: int = 47) -> DataFrame:
-    """``min(n, rows)`` rows without replacement: those with the smallest seeded hash of the id.
+    """``min(n, rows)`` rows without replacement: those whose seed and id have the smallest MD5.
 
     The same rows on every run and however the input is partitioned; equal hashes are ordered by id.
     """
-    return df.orderBy(F.xxhash64(F.col(id_col), F.lit(seed)), F.col(id_col)).limit(n)
+    return df.orderBy(F.md5(F.concat_ws(" ", F.lit(str(seed)), F.col(id_col).cast("string"))), F.col(id_col)).limit(n)
 
 
 def gather(df: DataFrame, ids: DataFrame, id_col: str = "vec_id") -> DataFrame:

@@ -2,7 +2,9 @@
 
 Every stage takes all documents that the one before it kept and returns documents with the same
 columns, the last one the packed pieces.  Rows are told apart by id and text together, so rows without
-an id and rows that share one are judged each by its own text; null texts count as empty.
+an id and rows that share one are judged each by its own text; null texts count as empty, and very long
+ones are judged whole.  Columns beyond those of documents are carried along whatever their names; an
+empty table gives an empty result in every stage.
 """
 
 from __future__ import annotations

@@ -169,7 +169,7 @@ def _text_batches(batches: Iterator[pa.RecordBatch], model: Discriminant) -> Ite
 
 
 def score_texts(docs: DataFrame, model: Discriminant, id_col: str = "doc_id", text_col: str = "text", p: QualityParams = QualityParams()) -> DataFrame:
-    """As :func:`score`, straight from the texts in one pass."""
+    """As :func:`score`, straight from the texts in one pass; other columns are ignored."""
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"))
     scored = rows.mapInArrow(lambda b: _text_batches(b, model), f"doc {kind}, score double")
@@ -179,7 +179,8 @@ def score_texts(docs: DataFrame, model: Discriminant, id_col: str = "doc_id", te
 def score(stats: DataFrame, model: Discriminant, id_col: str = "doc_id", p: QualityParams = QualityParams()) -> DataFrame:
     """Per row: ``id_col``, ``score`` in 0 to 1 (higher: label 1 likelier) and ``predicted``.
 
-    Empty and null texts are scored by the prior's statistics; repeated rows come back each.
+    Empty and null texts are scored by the prior's statistics; repeated rows come back each; very long
+    texts are read whole; an empty table gives an empty result.
     """
     kind = stats.schema["doc"].dataType.simpleString()
     scored = stats.mapInArrow(lambda b: _score_batches(b, model), f"doc {kind}, score double")

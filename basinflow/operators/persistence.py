@@ -178,11 +178,25 @@ def _greedy_sweep(group: pd.DataFrame) -> pd.DataFrame:
 def cluster_h0_greedy(edges: DataFrame, density: DataFrame, taus: Sequence[float]) -> tuple[DataFrame, DataFrame]:
     """As :func:`cluster_h0`, but a vertex joins the neighbouring cluster with the densest root.
 
-    That choice depends on the merges so far, so nothing contracts: each threshold is swept by one
-    task over all vertices and their uphill lists.  Use it on tables that one worker holds; the
-    non-greedy form has no such limit.
+    At an infinite threshold every cluster that a vertex sees becomes one, whichever it joins first, so
+    where all densities are finite that threshold takes the contracted form of :func:`cluster_h0`.  At
+    others the choice depends on the merges so far and nothing contracts: each is swept by one
+    task over all vertices and their uphill lists.  Use those on tables that one worker holds.
     """
     density = materialise(checked(density), "density")
+    finite = density.where(F.abs("f") == F.lit(math.inf)).isEmpty()
+    contracted = [t for t in taus if finite and t == math.inf]
+    swept = [t for t in taus if t not in contracted]
+    if not swept and contracted:
+        return cluster_h0(edges, density, contracted)
+    found = _swept_greedily(edges, density, swept)
+    if not contracted:
+        return found
+    return tuple(a.unionByName(b) for a, b in zip(found, cluster_h0(edges, density, contracted), strict=True))
+
+
+def _swept_greedily(edges: DataFrame, density: DataFrame, taus: Sequence[float]) -> tuple[DataFrame, DataFrame]:
+    """``assignment`` and ``pairs`` of :func:`cluster_h0_greedy`, one task for each threshold."""
     uphill = modes.uphill_edges(edges, density)
     order = F.array_sort(F.collect_list(F.struct("rk", "j")))
     lists = uphill.groupBy("i").agg(F.transform(order, lambda s: s["j"]).alias("near"))

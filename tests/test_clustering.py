@@ -71,6 +71,11 @@ def test_contracted_sweep_equals_the_plain_one(spark, greedy):
     check_against_plain(spark, near, f, [0.0, 0.1, 0.3, 0.7, math.inf], greedy)
 
 
+def test_greedy_with_infinite_densities(spark):
+    near = [[], [], [0, 1], [2, 0], [1, 2]]
+    check_against_plain(spark, near, [math.inf, math.inf, 2.0, 1.0, -math.inf], [0.0, math.inf], greedy=True)
+
+
 def test_four_vertices(spark):
     roots, ends = h0(spark, [[2], [0], [1], [1, 2]], [1.0, 2.0, 3.0, 2.5], [0.0, 5.0])
     assert roots[0.0] == roots[5.0] == {0: 2, 1: 1, 2: 2, 3: 2}

@@ -93,7 +93,8 @@ def optimal_assignment(table: DataFrame) -> DataFrame:
 
     The smaller of the two label sets is mapped whole.  The matrix of distinct classes and clusters is
     solved in one task: its size is theirs, not the data's, and more than :data:`MOST_CELLS` cells are an
-    error.  ``position`` counts by class.
+    error.  So the result has at most sqrt(:data:`MOST_CELLS`) rows (11,585), which is why its users may
+    broadcast it.  ``position`` counts by class.
     """
     return table.withColumn("whole", F.lit(0)).groupBy("whole").applyInPandas(_assign, "pred long, truth long, position int")
 

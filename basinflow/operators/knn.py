@@ -4,6 +4,8 @@ Corpus rows are dealt to chunks of bounded size; a query row is sent to the chun
 compared with (all of them in the exact search, those of the cells it probes in the inverted-file
 searches).  Rows of one chunk meet in one sorted stream: the chunk's corpus rows come first and are
 held as one matrix, then the queries pass by in Arrow batches and are compared with matrix products.
+The exact search also deals queries to blocks and works tile by tile (a block against a chunk), so a
+small corpus keeps all cores busy and a large set of queries is many tasks of bounded length.
 Every chunk yields at most ``k`` rows per query, and a ranked window merges the chunks.  A cell that
 holds a third of all rows is simply more chunks, so no task's memory follows the data.
 
@@ -26,6 +28,8 @@ from pyspark.sql import functions as F
 from basinflow.functions.vectors import doubles, normalised, usable
 
 CHUNK_ROWS = 4096
+#: The exact search: bytes of corpus vectors that a task holds, and query rows that pass by in one tile.
+CHUNK_BYTES, BLOCK_ROWS = 16 << 20, 1 << 20
 
 
 @dataclass(frozen=True)
@@ -74,8 +78,9 @@ def compare(corpus: np.ndarray, ids: np.ndarray, queries: np.ndarray, spec: Knn)
     those alone are measured by differences.
     """
     norms = np.einsum("nd,nd->n", corpus, corpus)
-    for at in range(0, len(queries), 256):
-        block = queries[at : at + 256]
+    step = max(1, min(256, (4 << 20) // max(1, len(ids))))  # the product stays below 32 MB
+    for at in range(0, len(queries), step):
+        block = queries[at : at + step]
         rough = norms[None, :] - 2 * block @ corpus.T if spec.p == 2 and len(ids) > 4 * spec.k else None
         for row, query in enumerate(block):
             some = np.arange(len(ids))
@@ -128,11 +133,12 @@ def _search_batches(batches: Iterator[pa.RecordBatch], spec: Knn) -> Iterator[pa
             yield _neighbours(part.column(4).to_numpy(), list(compare(corpus, ids, matrix(part.column(5)), spec)))
 
 
-def stream(corpus: DataFrame, queries: DataFrame) -> DataFrame:
+def stream(corpus: DataFrame, queries: DataFrame, parts: int | None = None) -> DataFrame:
     """Rows ``(dim, cell, chunk, side, id, vec)`` with each chunk's corpus before its queries."""
     columns = ["dim", "cell", "chunk", "side", "id", "vec"]
     sides = [df.select(F.size("vec").alias("dim"), "cell", "chunk", F.lit(k).alias("side"), "id", "vec") for k, df in enumerate((corpus, queries))]
-    return sides[0].unionByName(sides[1]).repartition("dim", "cell", "chunk").sortWithinPartitions(*columns[:4])
+    keys = [*([parts] if parts else []), "dim", "cell", "chunk"]
+    return sides[0].unionByName(sides[1]).repartition(*keys).sortWithinPartitions(*columns[:4])
 
 
 def merged(found: DataFrame, k: int) -> DataFrame:
@@ -141,20 +147,31 @@ def merged(found: DataFrame, k: int) -> DataFrame:
     return found.withColumn("rk", rank).where(F.col("rk") <= k).select("i", "rk", "j", "dist")
 
 
-def knn_exact(x: DataFrame, spec: Knn, y: DataFrame | None = None, id_col: str = "vec_id", vector_col: str = "embedding", chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+def knn_exact(x: DataFrame, spec: Knn, y: DataFrame | None = None, id_col: str = "vec_id", vector_col: str = "embedding", chunk_rows: int | None = None) -> DataFrame:
     """The exact ``k`` nearest rows of ``y`` (default: of ``x`` itself) for every row of ``x``.
 
     Rows without an id and vectors that are null, empty or hold null or non-finite values take no
     part; vectors of different lengths are never neighbours; rows of ``y`` that repeat are neighbours
     each; rows of ``x`` that repeat share one result.  With fewer than ``k`` rows all are returned.
+
+    A chunk holds ``chunk_rows`` rows (None: :data:`CHUNK_BYTES` of vectors).  What is shuffled is the
+    queries once per chunk and the corpus once per block of queries.
     """
     asked = vectors_of(x, spec, id_col, vector_col)
     corpus = asked if y is None else vectors_of(y, spec, id_col, vector_col)
-    chunks = max(1, -(-(x if y is None else y).count() // chunk_rows))
-    cell = F.lit(0).alias("cell")
-    corpus = corpus.select("id", "vec", cell, F.pmod(F.xxhash64("id", "vec"), F.lit(chunks)).cast("int").alias("chunk"))
-    asked = asked.dropDuplicates(["id"]).select("id", "vec", cell, F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk"))
-    return merged(stream(corpus, asked).mapInArrow(lambda b: _search_batches(b, spec), "i long, j long, dist double"), spec.k)
+    spark = x.sparkSession
+    rows, dims = (x if y is None else y).agg(F.count("*"), F.max(F.size(vector_col))).first()
+    queries = rows if y is None else x.count()
+    chunks = max(1, -(-rows // (chunk_rows or max(1, CHUNK_BYTES // (8 * max(1, dims or 1))))))
+    blocks = max(-(-queries // BLOCK_ROWS), -(-2 * spark.sparkContext.defaultParallelism // chunks))
+    cell, all_of = F.lit(0).alias("cell"), lambda n: F.sequence(F.lit(0), F.lit(n - 1))
+    tile = (F.col("block") * chunks + F.col("part")).alias("chunk")
+    corpus = corpus.select("id", "vec", F.pmod(F.xxhash64("id", "vec"), F.lit(chunks)).cast("int").alias("part"), F.explode(all_of(blocks)).alias("block"))
+    asked = asked.dropDuplicates(["id"]).select("id", "vec", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"), F.explode(all_of(chunks)).alias("part"))
+    parts = min(blocks * chunks, 1 << 16)
+    parts = parts if parts > int(spark.conf.get("spark.sql.shuffle.partitions")) and chunks > 1 else None
+    tiles = stream(corpus.select("id", "vec", cell, tile), asked.select("id", "vec", cell, tile), parts)
+    return merged(tiles.mapInArrow(lambda b: _search_batches(b, spec), "i long, j long, dist double"), spec.k)
 
 
 @dataclass(frozen=True)

@@ -180,29 +180,30 @@ def cluster_h0_greedy(edges: DataFrame, density: DataFrame, taus: Sequence[float
 
     At an infinite threshold every cluster that a vertex sees becomes one, whichever it joins first, so
     where all densities are finite that threshold takes the contracted form of :func:`cluster_h0`.  At
-    others the choice depends on the merges so far and nothing contracts: each is swept by one
-    task over all vertices and their uphill lists.  Use those on tables that one worker holds.
+    others the choice depends on the merges so far and nothing contracts, but nothing crosses from one
+    connected part of the graph to another either, and those are the clusters at the infinite threshold: each
+    part is swept by a task of its own per threshold, with its vertices and uphill lists.  A part must fit
+    a worker; with infinite densities the whole graph counts as one part.
     """
     density = materialise(checked(density), "density")
-    finite = density.where(F.abs("f") == F.lit(math.inf)).isEmpty()
-    contracted = [t for t in taus if finite and t == math.inf]
-    swept = [t for t in taus if t not in contracted]
-    if not swept and contracted:
-        return cluster_h0(edges, density, contracted)
-    found = _swept_greedily(edges, density, swept)
-    if not contracted:
-        return found
-    return tuple(a.unionByName(b) for a, b in zip(found, cluster_h0(edges, density, contracted), strict=True))
-
-
-def _swept_greedily(edges: DataFrame, density: DataFrame, taus: Sequence[float]) -> tuple[DataFrame, DataFrame]:
-    """``assignment`` and ``pairs`` of :func:`cluster_h0_greedy`, one task for each threshold."""
+    if not density.where(F.abs("f") == F.lit(math.inf)).isEmpty():
+        return _swept_greedily(edges, density, density.select("i", F.lit(0).cast("long").alias("part")), taus)
+    assignment, pairs = cluster_h0(edges, density, [math.inf])
+    swept = [t for t in taus if t != math.inf]
+    if not swept:
+        return assignment, pairs
+    found = _swept_greedily(edges, density, assignment.select("i", F.col("root").alias("part")), swept)
+    return tuple(a.unionByName(b) for a, b in zip(found, (assignment, pairs), strict=True)) if math.inf in taus else found
+
+
+def _swept_greedily(edges: DataFrame, density: DataFrame, parts: DataFrame, taus: Sequence[float]) -> tuple[DataFrame, DataFrame]:
+    """``assignment`` and ``pairs`` of :func:`cluster_h0_greedy`, one group for each threshold and part."""
     uphill = modes.uphill_edges(edges, density)
     order = F.array_sort(F.collect_list(F.struct("rk", "j")))
     lists = uphill.groupBy("i").agg(F.transform(order, lambda s: s["j"]).alias("near"))
-    rows = density.join(lists, "i", "left").withColumn("near", F.coalesce("near", F.array().cast("array<long>")))
+    rows = density.join(parts, "i").join(lists, "i", "left").withColumn("near", F.coalesce("near", F.array().cast("array<long>")))
     each = rows.withColumn("tau", F.explode(F.array(*[F.lit(float(t)) for t in taus])))
-    merges = materialise(each.groupBy("tau").applyInPandas(_greedy_sweep, MERGES), "merges")
+    merges = materialise(each.groupBy("tau", "part").applyInPandas(_greedy_sweep, MERGES), "merges")
     assignment = merges.where("kind = 'root'").select("tau", F.col("a").alias("i"), F.col("b").alias("root"))
     finite = merges.where("kind = 'pair'").select("tau", F.col("a").alias("birth"), F.col("b").alias("death"), "persistence")
     infinite = assignment.where("i = root").select("tau", F.col("i").alias("birth"), F.lit(None).cast("long").alias("death"), F.lit(None).cast("double").alias("persistence"))

@@ -2,7 +2,8 @@
 
 Every batch draws its own pool of ``budget * oversampling`` rows and picks ``budget`` of them by
 farthest-first traversal.  Pools are independent, so batches are groups of a grouped map: many run at
-once, and a group is no larger than its pool.
+once, and a group is no larger than its pool.  Rows compete for a pool among those of their salt first, so
+no task ranks the table.
 """
 
 from __future__ import annotations
@@ -31,22 +32,24 @@ def farthest_first(points: np.ndarray, budget: int) -> np.ndarray:
     return np.array(picked)
 
 
-def greedy_core_sets(points: DataFrame, budget: int, oversampling_factor: int, num_batches: int = 1, seed: int = 47, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def greedy_core_sets(points: DataFrame, budget: int, oversampling_factor: int, num_batches: int = 1, seed: int = 47, salts: int = 64, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """``batch, position, id``: ``num_batches`` core-sets of ``budget`` rows each.
 
-    Batch ``b`` draws the pool of rows with the smallest hash of (id, seed, b), in that order; the
+    Batch ``b`` draws the pool of rows whose seed, batch and id have the smallest MD5, in that order; the
     pool's first row starts the traversal.  With fewer rows than the budget all are returned.
-    Unusable vectors and null ids take no part.
+    Unusable vectors and null ids take no part; rows with one id are ordered by their vectors.
     """
     pool = budget * oversampling_factor
     rows = points.where(F.col(id_col).isNotNull() & usable(F.col(vector_col))).select(F.col(id_col).cast("long").alias("id"), doubles(F.col(vector_col)).alias("vec"))
     each = rows.select("id", "vec", F.explode(F.sequence(F.lit(0), F.lit(num_batches - 1))).alias("batch"))
-    nth = F.row_number().over(Window.partitionBy("batch").orderBy(F.xxhash64("id", F.lit(seed), "batch"), "id"))
-    drawn = each.withColumn("nth", nth).where(F.col("nth") <= pool)
+    each = each.withColumn("key", F.md5(F.concat_ws(" ", F.lit(str(seed)), F.col("batch").cast("string"), F.col("id").cast("string"))))
+    each = each.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts)))
+    for groups in (["batch", "salt"], ["batch"]):
+        each = each.withColumn("nth", F.row_number().over(Window.partitionBy(*groups).orderBy("key", "id", "vec"))).where(F.col("nth") <= pool)
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("nth")
         picked = farthest_first(np.stack(group["vec"].to_numpy()), budget)
         return pd.DataFrame({"batch": group["batch"].iloc[0], "position": np.arange(len(picked), dtype=np.int32), "id": group["id"].to_numpy()[picked]})
 
-    return drawn.groupBy("batch").applyInPandas(run, "batch int, position int, id long")
+    return each.select("batch", "nth", "id", "vec").groupBy("batch").applyInPandas(run, "batch int, position int, id long")

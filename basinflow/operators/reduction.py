@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 from abc import ABC, abstractmethod
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
@@ -39,17 +41,30 @@ class NoReduce(Reducer):
         return x.withColumn("reduced", doubles(F.col(self.vector_col)))
 
 
-def projection_entry(row: int, col: int, n: int) -> float:
+def projection_entry(row: int, col: int, n: int, seed: int = 47) -> float:
     """Entry of the projection matrix: a normal deviate of standard deviation 1/n.
 
-    Two uniforms come from the fractional parts of multiples of irrational numbers, so the matrix is
-    the same in every process and can be written down as a formula in any language.
+    Two uniforms are the first 52 bits of the MD5 of the seed, the entry's place and a letter, so the matrix
+    is the same in every process and any language can work it out.
     """
-    k = row * n + col + 1
-    u, v = (k * math.sqrt(2)) % 1.0, (k * math.sqrt(3)) % 1.0
+    u, v = (int(hashlib.md5(f"{seed} {row * n + col} {x}".encode()).hexdigest()[:13], 16) / 2**52 for x in "uv")
     return math.sqrt(-2 * math.log(1 - u)) * math.cos(2 * math.pi * v) / n
 
 
+def project(column: pa.ListArray, matrices: dict[int, np.ndarray], n: int) -> pa.Array:
+    """Every vector of a column times the matrix of its length, one product for each length; null for
+    vectors that are null, empty or hold nulls."""
+    flat, sizes = column.flatten(), pc.fill_null(pc.list_value_length(column), 0).to_numpy()
+    values, gaps = pc.fill_null(flat, 0).to_numpy().astype(float), flat.is_null().to_numpy(zero_copy_only=False)
+    starts, out, good = np.cumsum(sizes) - sizes, np.zeros((len(sizes), n)), np.zeros(len(sizes), dtype=bool)
+    for size, matrix in matrices.items():
+        rows = np.flatnonzero(sizes == size)
+        cells = starts[rows][:, None] + np.arange(size)
+        out[rows], good[rows] = values[cells] @ matrix, ~gaps[cells].any(axis=1)
+    bounds = np.concatenate([[0], np.cumsum(good) * n]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(bounds), pa.array(out[good].ravel()), mask=pa.array(~good))
+
+
 class RandomProjector(Reducer):
     """Projection on ``n_components`` random directions; null for a vector that cannot be used.
 
@@ -57,12 +72,14 @@ class RandomProjector(Reducer):
     with the plan.
     """
 
-    def __init__(self, n_components: int, vector_col: str = "embedding") -> None:
+    def __init__(self, n_components: int, vector_col: str = "embedding", seed: int = 47) -> None:
         super().__init__(vector_col)
-        self.n_components = n_components
+        if n_components < 1:
+            raise ValueError("at least one component is needed")
+        self.n_components, self.seed = n_components, seed
 
     def matrix(self, dims: int) -> np.ndarray:
-        return np.array([[projection_entry(r, c, self.n_components) for c in range(self.n_components)] for r in range(dims)])
+        return np.array([[projection_entry(r, c, self.n_components, self.seed) for c in range(self.n_components)] for r in range(dims)])
 
     def transform(self, x: DataFrame) -> DataFrame:
         n, name = self.n_components, self.vector_col
@@ -72,17 +89,13 @@ class RandomProjector(Reducer):
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                rows = []
-                for vector in batch.column(at).to_pylist():
-                    if not vector or any(v is None for v in vector):
-                        rows.append(None)
-                        continue
-                    if len(vector) not in matrices:
-                        matrices[len(vector)] = self.matrix(len(vector))
-                    rows.append((np.array(vector, dtype=float) @ matrices[len(vector)]).tolist())
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rows, type=pa.list_(pa.float64()))], names=[*batch.schema.names, "reduced"])
-
-        assert n > 0
+                lengths = [x for x in pc.unique(pc.list_value_length(batch.column(at))).to_pylist() if x]
+                for size in lengths:
+                    if size not in matrices:
+                        matrices[size] = self.matrix(size)
+                reduced = project(batch.column(at), {x: matrices[x] for x in lengths}, n)
+                yield pa.RecordBatch.from_arrays([*batch.columns, reduced], names=[*batch.schema.names, "reduced"])
+
         return x.mapInArrow(run, schema)
 
 

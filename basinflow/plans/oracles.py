@@ -61,7 +61,8 @@ LAST = sweep("['inf'::DOUBLE]")
 ASSIGNED = f"SELECT {TAU_TEXT}, a.i, b.i AS root FROM (SELECT tau, unnest(root) AS r, unnest(range(1, len(root) + 1)) AS s FROM fin) x JOIN ord a ON a.s = x.s JOIN ord b ON b.s = x.r"
 RANKED = """, ranked AS (SELECT birth, death, birth_density, death_density, persistence, row_number() OVER (ORDER BY persistence DESC, birth, death) AS rank FROM ended
     UNION ALL SELECT birth, NULL, birth_density, NULL, NULL, NULL FROM alive)"""
-TABLE = f"{MODES}, ct AS MATERIALIZED (SELECT e.label::BIGINT AS truth, r.root AS pred, count(*) AS n FROM roots r JOIN e ON e.id = r.i GROUP BY 1, 2), ma AS (SELECT truth, sum(n)::BIGINT AS a FROM ct GROUP BY 1), mb AS (SELECT pred, sum(n)::BIGINT AS b FROM ct GROUP BY 1), tot AS (SELECT sum(n)::BIGINT AS t FROM ct)"
+COUNTS = """, ct AS MATERIALIZED (SELECT e.label::BIGINT AS truth, r.root AS pred, count(*) AS n FROM roots r JOIN e ON e.id = r.i GROUP BY 1, 2), ma AS (SELECT truth, sum(n)::BIGINT AS a FROM ct GROUP BY 1), mb AS (SELECT pred, sum(n)::BIGINT AS b FROM ct GROUP BY 1), tot AS (SELECT sum(n)::BIGINT AS t FROM ct)"""
+TABLE = f"{MODES}{COUNTS}"
 MUTUAL = """, mu AS (SELECT greatest(sum(n / t * ln(n * t / (a::DOUBLE * b))), 0) AS mi FROM ct JOIN ma USING (truth) JOIN mb USING (pred), tot),
     ha AS (SELECT -sum(a / t * ln(a / t)) AS h FROM ma, tot), hb AS (SELECT -sum(b / t * ln(b / t)) AS h FROM mb, tot)"""
 EXPECTED = """, terms AS (SELECT a, b, t, unnest(range(greatest(1, a + b - t), least(a, b) + 1)) AS m FROM ma, mb, tot),
@@ -83,6 +84,16 @@ CENTRES = """, near AS (SELECT a.id AS i, b.id AS centre, row_number() OVER (PAR
     FROM e a, e b WHERE b.id IN (SELECT root FROM roots))"""
 
 
+def scores(tau: str) -> str:
+    """Scores of the clusters ``asg(tau, i, root)`` at one threshold."""
+    return f"""SELECT * FROM (WITH RECURSIVE roots AS MATERIALIZED (SELECT i, root FROM asg WHERE tau = {tau}){COUNTS}{MUTUAL}{EXPECTED}{HITS}{CENTRES}
+        SELECT {tau} AS tau, (SELECT count(*) FROM mb) AS clusters, (SELECT avg((root = centre)::INT) FROM near JOIN roots USING (i) WHERE nth = 1) AS agreement,
+            {AMI_VALUE} AS ami, mi / ((ha.h + hb.h) / 2) AS nmi, 100.0 * hits / t AS accuracy FROM mu, ha, hb, em, best, tot)"""
+
+
+EXPERIMENT_TAUS = ["0::DOUBLE", "1::DOUBLE", "2::DOUBLE", "'inf'::DOUBLE"]
+
+
 def steps(p: str) -> str:
     values = {"max": "list_max(list_transform(list_zip(a.v, b.v), lambda z: abs(z[1] - z[2])))", "min": "list_min(list_transform(list_zip(a.v, b.v), lambda z: abs(z[1] - z[2])))"}
     dist = values[p] if p in values else f"pow({gap_sum(int(p))}, 1.0 / {p})"
@@ -169,8 +180,20 @@ SQL: dict[str, str] = {
     "subgroup_id": "SELECT vec_id, ((label // 2) * 2 + label % 2)::BIGINT AS class FROM embeddings",
     "k_centre": f"{MODES}{CENTRES} SELECT i, centre FROM near WHERE nth = 1",
     "label_agreement": f"{MODES}{CENTRES} SELECT round(avg((root = centre)::INT), 6) AS agreement FROM near JOIN roots USING (i) WHERE nth = 1",
-    "random_projection": f"""WITH {vectors()}, cells AS (SELECT r, c, (r * 3 + c + 1) * sqrt(2) AS u, (r * 3 + c + 1) * sqrt(3) AS w FROM range(0, {DIM}) a(r), range(0, 3) b(c)),
-        m AS (SELECT r, c, sqrt(-2 * ln(1 - (u - floor(u)))) * cos(2 * pi() * (w - floor(w))) / 3 AS x FROM cells),
+    "random_projection": f"""WITH {vectors()}, cells AS (SELECT r, c, ('0x' || substr(md5('47 ' || (r * 3 + c) || ' u'), 1, 13))::BIGINT / pow(2, 52) AS u,
+            ('0x' || substr(md5('47 ' || (r * 3 + c) || ' v'), 1, 13))::BIGINT / pow(2, 52) AS w FROM range(0, {DIM}) a(r), range(0, 3) b(c)),
+        m AS (SELECT r, c, sqrt(-2 * ln(1 - u)) * cos(2 * pi() * w) / 3 AS x FROM cells),
         long AS (SELECT id, unnest(v) AS y, unnest(range(0, len(v))) AS r FROM e) SELECT id AS vec_id, c AS component, round(sum(y * x), 6) AS value FROM long JOIN m USING (r) GROUP BY id, c""",
+    "coreset_greedy": f"""WITH RECURSIVE {vectors()},
+        pool AS MATERIALIZED (SELECT batch, id, v, row_number() OVER (PARTITION BY batch ORDER BY md5('47 ' || batch || ' ' || id), id) AS nth FROM e, range(0, 4) b(batch) QUALIFY nth <= 128),
+        gaps AS MATERIALIZED (SELECT a.batch, a.nth, any_value(a.id) AS id, list({gap_sum(2)} ORDER BY b.nth) AS ds FROM pool a JOIN pool b ON a.batch = b.batch GROUP BY a.batch, a.nth),
+        st AS (SELECT batch, 0 AS position, id, ds FROM gaps WHERE nth = 1
+            UNION ALL
+            SELECT s.batch, s.position + 1, g.id, list_transform(list_zip(s.ds, g.ds), lambda z: least(z[1], z[2]))
+            FROM st s JOIN gaps g ON g.batch = s.batch AND g.nth = list_position(s.ds, list_max(s.ds)) WHERE s.position < 31)
+        SELECT batch::INT AS batch, position::INT AS position, id FROM st""",
+    "experiment": f"""{sweep("[0, 1, 2, 'inf'::DOUBLE]")}, asg AS MATERIALIZED (SELECT tau, a.i, b.i AS root FROM (SELECT tau, unnest(root) AS r, unnest(range(1, len(root) + 1)) AS s FROM fin) x JOIN ord a ON a.s = x.s JOIN ord b ON b.s = x.r)
+        SELECT {TAU_TEXT}, clusters, round(agreement, 6) AS agreement, round(ami, 6) AS ami, round(nmi, 6) AS nmi, round(accuracy, 6) AS accuracy
+        FROM ({" UNION ALL ".join(scores(t) for t in EXPERIMENT_TAUS)})""",
     "no_reduction": f"WITH {vectors()} SELECT id AS vec_id, round(list_sum(v), 6) AS total FROM e",
 }

@@ -371,3 +371,31 @@ def test_densities_straight_from_points(spark):
     plain = {r.i: r.f for r in density.density_of_points(x, Knn(2), 1).collect()}
     scaled = {r.i: r.f for r in density.density_of_points(x, Knn(2), 1, normalize=True).collect()}
     assert scaled[3] == pytest.approx(plain[3] * 1.5 / (6 * 2))
+
+
+def test_tiles_of_the_exact_search(spark, monkeypatch):
+    monkeypatch.setattr(knn, "BLOCK_ROWS", 20)
+    rng = np.random.default_rng(9)
+    x = points(spark, [(i, rng.normal(size=4).astype(np.float32).tolist(), 0) for i in range(90)])
+    one = sorted(tuple(r) for r in knn.knn_exact(x, Knn(5), chunk_rows=90).collect())
+    assert len(one) == 450
+    assert sorted(tuple(r) for r in knn.knn_exact(x, Knn(5), chunk_rows=7).collect()) == one
+
+
+def test_projection_of_ragged_vectors(spark):
+    x = points(spark, [(1, [1.0, 2.0], 0), (2, [1.0, 2.0, 3.0], 0), (3, [], 0), (4, [None, 1.0], 0), (5, None, 0), (6, [3.0, 4.0], 0)])
+    projector = reduction.RandomProjector(3, seed=11)
+    got = {r.vec_id: r.reduced for r in projector.transform(x).collect()}
+    assert got[3] is None and got[4] is None and got[5] is None
+    for i, vector in ((1, [1.0, 2.0]), (2, [1.0, 2.0, 3.0]), (6, [3.0, 4.0])):
+        assert np.allclose(got[i], np.array(vector) @ projector.matrix(len(vector)))
+    entries = np.array([reduction.projection_entry(r, c, 2) * 2 for r in range(1000) for c in range(2)])
+    assert abs(entries.mean()) < 0.1 and abs(entries.std() - 1) < 0.05
+    with pytest.raises(ValueError):
+        reduction.RandomProjector(0)
+
+
+def test_core_sets_do_not_depend_on_salts(spark):
+    x = points(spark, [(i % 50, [float(i), float(i * i % 17)], 0) for i in range(70)])
+    one, many = (sorted(tuple(r) for r in coreset.greedy_core_sets(x, 6, 4, 2, salts=s).collect()) for s in (1, 9))
+    assert one == many and len(one) == 12

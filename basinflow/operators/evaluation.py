@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from basinflow.functions.vectors import ln_factorial
-from basinflow.operators.knn import Knn, knn_exact
+from basinflow.operators.knn import Knn, knn_by_cell, knn_exact
 from basinflow.operators.modes import dense_index
 from basinflow.sources.shared import materialise
 
@@ -218,6 +218,12 @@ def k_centre_labels(points: DataFrame, roots: DataFrame, id_col: str = "vec_id",
     return knn_exact(points, Knn(1), centres, id_col, vector_col).select("i", F.col("j").alias("centre"))
 
 
+def k_centre_labels_by_cell(points: DataFrame, roots: DataFrame, cells: int, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """``cell, i, centre``: :func:`k_centre_labels` for each of the ``cells`` clusterings ``roots(cell, i, root)``."""
+    centres = roots.select("cell", F.col("root").alias(id_col)).distinct().join(points.select(id_col, vector_col), id_col)
+    return knn_by_cell(points, centres, cells, Knn(1), id_col, vector_col).select("cell", "i", F.col("j").alias("centre"))
+
+
 def write_metrics(metrics: DataFrame, path: str) -> None:
     """Append metric rows to a table of them."""
     metrics.write.mode("append").parquet(path)

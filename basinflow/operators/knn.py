@@ -15,7 +15,7 @@ The result is the long form ``i, rk, j, dist``: the ``rk``-th neighbour (from 1)
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -110,9 +110,13 @@ def matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy().reshape(len(column), -1)
 
 
-def _neighbours(ids: np.ndarray, found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-    near, dist = ([x[k] for x in found] for k in (0, 1))
-    return pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, [len(x) for x in near])), pa.array(np.concatenate(near)), pa.array(np.concatenate(dist))], names=["i", "j", "dist"])
+FOUND = "cell int, i long, j long, dist double"
+
+
+def _neighbours(cell: int, ids: np.ndarray, found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    near, dist = (np.concatenate([x[k] for x in found]) for k in (0, 1))
+    ids = np.repeat(ids, [len(x[0]) for x in found])
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), cell, dtype=np.int32)), pa.array(ids), pa.array(near), pa.array(dist)], names=["cell", "i", "j", "dist"])
 
 
 def _search_batches(batches: Iterator[pa.RecordBatch], spec: Knn) -> Iterator[pa.RecordBatch]:
@@ -130,7 +134,7 @@ def _search_batches(batches: Iterator[pa.RecordBatch], spec: Knn) -> Iterator[pa
             ids = np.concatenate([x.column(4).to_numpy() for x in held])
         for at in range(0, rows.num_rows, 1024):
             part = rows.slice(at, 1024)
-            yield _neighbours(part.column(4).to_numpy(), list(compare(corpus, ids, matrix(part.column(5)), spec)))
+            yield _neighbours(key[1], part.column(4).to_numpy(), list(compare(corpus, ids, matrix(part.column(5)), spec)))
 
 
 def stream(corpus: DataFrame, queries: DataFrame, parts: int | None = None) -> DataFrame:
@@ -141,10 +145,10 @@ def stream(corpus: DataFrame, queries: DataFrame, parts: int | None = None) -> D
     return sides[0].unionByName(sides[1]).repartition(*keys).sortWithinPartitions(*columns[:4])
 
 
-def merged(found: DataFrame, k: int) -> DataFrame:
+def merged(found: DataFrame, k: int, by: Sequence[str] = ("i",)) -> DataFrame:
     """The ``k`` nearest of what the chunks found, ranked by distance and then id."""
-    rank = F.row_number().over(Window.partitionBy("i").orderBy("dist", "j"))
-    return found.withColumn("rk", rank).where(F.col("rk") <= k).select("i", "rk", "j", "dist")
+    rank = F.row_number().over(Window.partitionBy(*by).orderBy("dist", "j"))
+    return found.withColumn("rk", rank).where(F.col("rk") <= k).select(*by, "rk", "j", "dist")
 
 
 def knn_exact(x: DataFrame, spec: Knn, y: DataFrame | None = None, id_col: str = "vec_id", vector_col: str = "embedding", chunk_rows: int | None = None) -> DataFrame:
@@ -159,19 +163,36 @@ def knn_exact(x: DataFrame, spec: Knn, y: DataFrame | None = None, id_col: str =
     """
     asked = vectors_of(x, spec, id_col, vector_col)
     corpus = asked if y is None else vectors_of(y, spec, id_col, vector_col)
-    spark = x.sparkSession
     rows, dims = (x if y is None else y).agg(F.count("*"), F.max(F.size(vector_col))).first()
-    queries = rows if y is None else x.count()
+    cell = F.lit(0).alias("cell")
+    tiles = _tiles(corpus.select("id", "vec", cell), asked.dropDuplicates(["id"]).select("id", "vec", cell), rows, rows if y is None else x.count(), dims, chunk_rows)
+    return merged(tiles.mapInArrow(lambda b: _search_batches(b, spec), FOUND), spec.k)
+
+
+def knn_by_cell(x: DataFrame, y: DataFrame, cells: int, spec: Knn, id_col: str = "vec_id", vector_col: str = "embedding", cell_col: str = "cell") -> DataFrame:
+    """``cell, i, rk, j, dist``: as :func:`knn_exact`, in each of the ``cells`` sets of rows of ``y`` (numbered
+    from 0 in ``cell_col``) by itself; one search serves them all."""
+    corpus = y.where(F.col(id_col).isNotNull() & usable(F.col(vector_col)) & F.col(cell_col).isNotNull())
+    vec = normalised(F.col(vector_col), spec.p) if spec.normalize else doubles(F.col(vector_col))
+    corpus = corpus.select(F.col(id_col).cast("long").alias("id"), vec.alias("vec"), F.col(cell_col).cast("int").alias("cell"))
+    asked = vectors_of(x, spec, id_col, vector_col).dropDuplicates(["id"]).withColumn("cell", F.explode(F.sequence(F.lit(0), F.lit(cells - 1))))
+    rows, dims = y.agg(F.count("*"), F.max(F.size(vector_col))).first()
+    tiles = _tiles(corpus, asked, rows, x.count(), dims, None)
+    return merged(tiles.mapInArrow(lambda b: _search_batches(b, spec), FOUND), spec.k, ["cell", "i"])
+
+
+def _tiles(corpus: DataFrame, asked: DataFrame, rows: int, queries: int, dims: int | None, chunk_rows: int | None) -> DataFrame:
+    """The stream of all tiles of a cell: ``asked`` in blocks against ``corpus`` in chunks."""
+    spark = corpus.sparkSession
     chunks = max(1, -(-rows // (chunk_rows or max(1, CHUNK_BYTES // (8 * max(1, dims or 1))))))
     blocks = max(-(-queries // BLOCK_ROWS), -(-2 * spark.sparkContext.defaultParallelism // chunks))
-    cell, all_of = F.lit(0).alias("cell"), lambda n: F.sequence(F.lit(0), F.lit(n - 1))
+    all_of = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     tile = (F.col("block") * chunks + F.col("part")).alias("chunk")
-    corpus = corpus.select("id", "vec", F.pmod(F.xxhash64("id", "vec"), F.lit(chunks)).cast("int").alias("part"), F.explode(all_of(blocks)).alias("block"))
-    asked = asked.dropDuplicates(["id"]).select("id", "vec", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"), F.explode(all_of(chunks)).alias("part"))
+    corpus = corpus.select("id", "vec", "cell", F.pmod(F.xxhash64("id", "vec"), F.lit(chunks)).cast("int").alias("part"), all_of(blocks).alias("block"))
+    asked = asked.select("id", "vec", "cell", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"), all_of(chunks).alias("part"))
     parts = min(blocks * chunks, 1 << 16)
     parts = parts if parts > int(spark.conf.get("spark.sql.shuffle.partitions")) and chunks > 1 else None
-    tiles = stream(corpus.select("id", "vec", cell, tile), asked.select("id", "vec", cell, tile), parts)
-    return merged(tiles.mapInArrow(lambda b: _search_batches(b, spec), "i long, j long, dist double"), spec.k)
+    return stream(corpus.select("id", "vec", "cell", tile), asked.select("id", "vec", "cell", tile), parts)
 
 
 @dataclass(frozen=True)
@@ -226,7 +247,7 @@ def knn_ivf(x: DataFrame, file: InvertedFile, nprobe: int = 1, y: DataFrame | No
     """
     corpus, asked = _in_cells(x, y, file, nprobe, id_col, vector_col, chunk_rows)
     spec = file.spec
-    return merged(stream(corpus, asked).mapInArrow(lambda b: _search_batches(b, spec), "i long, j long, dist double"), spec.k)
+    return merged(stream(corpus, asked).mapInArrow(lambda b: _search_batches(b, spec), FOUND), spec.k)
 
 
 @dataclass(frozen=True)
@@ -295,7 +316,7 @@ def _coded_batches(batches: Iterator[pa.RecordBatch], spec: Knn, centres: np.nda
                 dist = ((vectors[rows_near] - query) ** 2).sum(axis=1)
                 best = smallest(ids[rows_near], dist, spec.k)
                 found.append((ids[rows_near][best], np.sqrt(dist[best]) if spec.root else dist[best]))
-        yield _neighbours(rows.column(4).to_numpy(), found)
+        yield _neighbours(key[1], rows.column(4).to_numpy(), found)
 
 
 def knn_ivfpq(x: DataFrame, file: InvertedFile, books: Codebooks, nprobe: int = 1, y: DataFrame | None = None, id_col: str = "vec_id", vector_col: str = "embedding", chunk_rows: int = CHUNK_ROWS, rerank: int = 8) -> DataFrame:
@@ -307,7 +328,7 @@ def knn_ivfpq(x: DataFrame, file: InvertedFile, books: Codebooks, nprobe: int =
     """
     corpus, asked = _in_cells(x, y, file, nprobe, id_col, vector_col, chunk_rows)
     centres, spec = file.centres, file.spec
-    return merged(stream(corpus, asked).mapInArrow(lambda b: _coded_batches(b, spec, centres, books, rerank), "i long, j long, dist double"), spec.k)
+    return merged(stream(corpus, asked).mapInArrow(lambda b: _coded_batches(b, spec, centres, books, rerank), FOUND), spec.k)
 
 
 def packed(knn: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -62,22 +64,10 @@ def run(x: DataFrame, dim: int, s: Settings = Settings()) -> dict[str, DataFrame
     cluster = persistence.cluster_h0_greedy if s.greedy else persistence.cluster_h0
     assignment, pairs = cluster(edges, dens, taus)
     assignment = materialise(assignment, "assignment")
-    labels = x.select(F.col("vec_id").alias("i"), F.col("label").alias("truth"))
-    rows = []
-    for tau in taus:
-        roots = assignment.where(F.col("tau") == F.lit(tau)).select("i", "root")
-        table = materialise(evaluation.contingency(roots.join(labels, "i"), "truth", "root"), "contingency")
-        both = roots.join(evaluation.k_centre_labels(x, roots), "i")
-        scores = evaluation.cluster_count(roots, "root")
-        for part in (evaluation.label_agreement(both, "root", "centre"), evaluation.adjusted_mutual_information(table), evaluation.normalized_mutual_information(table), evaluation.clustering_accuracy(table)):
-            scores = scores.join(F.broadcast(part))  # one row each
-        rows.append(scores.withColumn("tau", F.lit(tau)))
-    scores = rows[0]
-    for more in rows[1:]:
-        scores = scores.unionByName(more)
+    scores = score_all(x, assignment, taus)
     ranked = materialise(persistence.persistence_pairs(pairs.where(F.col("tau") == F.lit(float("inf"))), dens), "pairs")
     return {
-        "scores": scores.select("tau", "clusters", "agreement", "ami", "nmi", "accuracy"),
+        "scores": scores,
         "assignment": assignment,
         "pairs": ranked,
         "components": persistence.components(ranked),
@@ -86,6 +76,28 @@ def run(x: DataFrame, dim: int, s: Settings = Settings()) -> dict[str, DataFrame
     }
 
 
+def score_all(x: DataFrame, assignment: DataFrame, taus: Sequence[float]) -> DataFrame:
+    """``tau, clusters, agreement, ami, nmi, accuracy`` of ``assignment(tau, i, root)``.
+
+    The points are counted and compared with their centres once for all thresholds; what follows for each
+    threshold reads its part of the table of distinct (class, cluster) pairs.
+    """
+    cell = (F.array_position(F.array(*[F.lit(float(t)) for t in taus]), F.col("tau")) - 1).cast("int")
+    roots = assignment.select(cell.alias("cell"), "i", "root")
+    labels = x.select(F.col("vec_id").alias("i"), F.col("label").cast("long").alias("truth")).where("truth is not null")
+    tables = materialise(roots.join(labels, "i").groupBy("cell", "truth", F.col("root").alias("pred")).agg(F.count("*").alias("n")), "contingency")
+    both = roots.join(evaluation.k_centre_labels_by_cell(x, roots, len(taus)), ["cell", "i"])
+    agreement = both.groupBy("cell").agg(F.avg((F.col("root") == F.col("centre")).cast("double")).alias("agreement"))
+    shared = materialise(roots.groupBy("cell").agg(F.count_distinct("root").alias("clusters")).join(agreement, "cell", "left"), "agreement")
+    rows = []
+    for k, tau in enumerate(taus):
+        table, one = tables.where(F.col("cell") == k).drop("cell"), shared.where(F.col("cell") == k).drop("cell")
+        for part in (evaluation.adjusted_mutual_information(table), evaluation.normalized_mutual_information(table), evaluation.clustering_accuracy(table)):
+            one = one.join(F.broadcast(part))  # one row each
+        rows.append(one.select(F.lit(float(tau)).alias("tau"), "clusters", "agreement", "ami", "nmi", "accuracy"))
+    return functools.reduce(DataFrame.unionByName, rows)
+
+
 def sizes(x: DataFrame, dim: int, s: Settings = Settings()) -> DataFrame:
     """``root, size`` of the clusters of pure mode seeking."""
     edges, dens = graph_and_density(x, dim, s)

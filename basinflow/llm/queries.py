@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basinflow.llm import ann, decontam, langid, lm, minhash, packing, quality, sharding, toxicity, warc
+from basinflow.llm import ann, collocations, decontam, langid, lm, minhash, packing, quality, sharding, substrings, toxicity, warc, whitening
 from basinflow.llm.sampling import fold, held_out
 from basinflow.sources.shared import few_files, materialise, small_arrow_batches
 
@@ -78,6 +78,19 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archives(index, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substrings.remove_repeated(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+def op13_residue_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.components_of(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity_chain": op1_toxicity_chain,
     "op2_ppm_language": op2_ppm_language,
@@ -89,6 +102,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_hilbert_sharding": op8_hilbert_sharding,
     "op9_lexical_packing": op9_lexical_packing,
     "op10_warc": op10_warc,
+    "op11_substring_dedup": op11_substring_dedup,
+    "op12_collocations": op12_collocations,
+    "op13_residue_whitening": op13_residue_whitening,
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -153,4 +169,29 @@ SQL: dict[str, str] = {
                CASE WHEN first <> page_id THEN first END AS refers_to
         FROM p LEFT JOIN f ON p.payload_digest = f.payload_digest
     """,
+    "op11_substring_dedup": r"""
+        WITH d AS MATERIALIZED (
+            SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+        w AS MATERIALIZED (SELECT r, doc_id, k, array_to_string(ws[k:k + 12], ' ') AS x FROM (SELECT r, doc_id, ws, unnest(range(1, len(ws) - 11)) AS k FROM d)),
+        f AS (SELECT x, min(doc_id) AS first FROM w GROUP BY x),
+        gone AS MATERIALIZED (SELECT DISTINCT r, k + unnest(range(13)) AS k FROM w JOIN f USING (x) WHERE first < doc_id),
+        kept AS (
+            SELECT t.r, list(t.w ORDER BY t.k) AS ws FROM (SELECT r, unnest(ws) AS w, unnest(range(1, len(ws) + 1)) AS k FROM d) t
+            ANTI JOIN gone ON gone.r = t.r AND gone.k = t.k GROUP BY t.r)
+        SELECT doc_id, len(d.ws)::BIGINT AS n_words, (len(d.ws) - coalesce(len(kept.ws), 0))::BIGINT AS n_removed, sha256(coalesce(array_to_string(kept.ws, ' '), '')) AS kept_sha256
+        FROM d LEFT JOIN kept USING (r)
+    """,
+    "op12_collocations": rf"""
+        WITH p AS (SELECT row_number() OVER () AS r, coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({_LOWER}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+        q AS MATERIALIZED (SELECT row_number() OVER () AS r, lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS ws FROM p),
+        g AS (SELECT lang, m, ws[k:k + m - 1] AS w FROM (SELECT lang, ws, m, unnest(range(1, len(ws) - m + 2)) AS k FROM q, (SELECT unnest([1, 2, 3, 4]) AS m))),
+        c AS MATERIALIZED (SELECT lang, m, w, count(*) AS f FROM g GROUP BY lang, m, w),
+        cut AS (SELECT c.lang, c.w, c.f AS a, k, x.f AS l, y.f AS r, (2000000::HUGEINT * c.f // (x.f + y.f))::BIGINT AS score
+            FROM (SELECT *, unnest(range(1, m)) AS k FROM c WHERE m > 1 AND f >= 30) c JOIN c x ON x.lang = c.lang AND x.w = c.w[1:k] JOIN c y ON y.lang = c.lang AND y.w = c.w[k + 1:]),
+        s AS (SELECT lang, w, any_value(a) AS a, arg_min({{'l': l, 'r': r, 'score': score}}, (score, k)) AS best FROM cut GROUP BY lang, w),
+        longer AS (SELECT lang, w[b:e] AS w, max(f) AS f FROM (SELECT lang, w, f, b, unnest(range(b + 1, m + 1)) AS e FROM (SELECT *, unnest(range(1, m)) AS b FROM c WHERE m > 2 AND f >= 30)) WHERE e - b + 1 < len(w[1:4]) GROUP BY 1, 2),
+        n AS (SELECT lang, sum(f)::BIGINT AS n FROM c WHERE m = 1 GROUP BY lang),
+        o AS (SELECT s.lang, array_to_string(s.w, ' ') AS phrase, a, best.l AS l, best.r AS r, n, best.score AS score FROM s JOIN n ON n.lang = s.lang LEFT JOIN longer x ON x.lang = s.lang AND x.w = s.w WHERE coalesce(100 * x.f < 80 * a, true))
+        SELECT lang, rank, phrase, a, l, r, n, score FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM o) WHERE rank <= 2000
+    """,
 }

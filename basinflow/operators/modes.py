@@ -6,10 +6,19 @@ nothing.  Ragged and empty lists are fine; listed neighbours without a density a
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from basinflow.sources.shared import discard, materialise
+from basinflow.sources.shared import materialise
+
+#: Vertices whose chains one task follows (two numbers each); more of them take rounds of joins.
+ONE_TASK = 1 << 20
+#: Rows that share a key from which on its partner is broadcast: at most one key for so many rows.
+HOT_ROWS = 1 << 18
 
 
 def uphill_edges(edges: DataFrame, density: DataFrame) -> DataFrame:
@@ -29,22 +38,50 @@ def local_maxima(uphill: DataFrame, density: DataFrame) -> DataFrame:
     return density.join(uphill.select("i"), "i", "left_anti").select("i", "f")
 
 
-def seek_modes(parents: DataFrame) -> DataFrame:
-    """``i, root``: the end of each vertex's chain of parents, by pointer doubling.
+def join_unique(rows: DataFrame, table: DataFrame, key: str, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """``rows`` with the columns of ``table``, in which a key occurs once; rows without a partner are left out.
 
-    Each round halves the chains that are left.  Vertices that have arrived are written once and leave
-    the rounds, which therefore move ever fewer rows; only a flag of each round reaches the driver.
+    Keys that ``hot_rows`` rows or more share are joined where those rows are: their partners, at most one for
+    ``hot_rows`` rows, are broadcast, so no task gets all rows of a key.  ``rows`` is read twice.
+    """
+    hot = rows.groupBy(key).agg(F.count("*").alias("rows")).where(F.col("rows") >= hot_rows).select(key, F.lit(True).alias("is_hot"))
+    marked = rows.join(F.broadcast(hot), key, "left")
+    common = marked.where("is_hot").drop("is_hot").join(F.broadcast(table.join(hot.select(key), key, "left_semi")), key)
+    return common.unionByName(marked.where("is_hot is null").drop("is_hot").join(table, key))
+
+
+def _follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Ends of all chains of a table of pointers held whole."""
+    held = [b for b in batches if b.num_rows]
+    if not held:
+        return
+    ids, to = (np.concatenate([b.column(k).to_numpy() for b in held]) for k in (0, 1))
+    order = np.argsort(ids)
+    ids, at = ids[order], np.searchsorted(ids[order], to[order])
+    while (further := at[at]).tobytes() != at.tobytes():
+        at = further
+    yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(ids[at])], names=["i", "root"])
+
+
+def seek_modes(parents: DataFrame, one_task: int = ONE_TASK, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """``i, root``: the end of each vertex's chain of parents ``(i, parent)``, by pointer doubling.
+
+    Up to ``one_task`` vertices are followed by one task.  Beyond, each round halves the chains that are left.
+    Vertices that have arrived leave the rounds; what others are looked up in holds only vertices that
+    somebody still points to, a set that shrinks from round to round, so no round reads what has arrived
+    before.  A round is one write; roots that many point to are broadcast.  ``i`` may be of any type beyond
+    ``one_task`` vertices; only flags and one count reach the driver.
     """
-    arrived = materialise(parents.where("i = parent").select("i", F.col("parent").alias("root")), "arrived")
-    moving = materialise(parents.where("i <> parent").select("i", F.col("parent").alias("root")), "pointers")
-    while moving.limit(1).count():
-        known = arrived.select(F.col("i").alias("root"), F.col("root").alias("next"), F.lit(True).alias("ends"))
-        further = moving.select(F.col("i").alias("root"), F.col("root").alias("next"), F.lit(False).alias("ends"))
-        jump = moving.join(known.unionByName(further), "root").select("i", F.col("next").alias("root"), "ends")
-        moved = materialise(jump, "pointers")
-        discard(moving)
-        arrived = arrived.unionByName(moved.where("ends").select("i", "root"))
-        moving = materialise(moved.where("NOT ends").select("i", "root"), "pointers")
+    moving = materialise(parents.select("i", F.col("parent").alias("root"), (F.col("i") == F.col("parent")).alias("ends")), "pointers")
+    if one_task and moving.limit(one_task + 1).count() <= one_task:
+        return moving.select("i", "root").coalesce(1).mapInArrow(_follow, "i long, root long")
+    arrived, look, moving = moving.where("ends").select("i", "root"), moving, moving.where("NOT ends")
+    while not moving.isEmpty():
+        to = look.select(F.col("i").alias("root"), F.col("root").alias("next"), "ends")
+        moved = materialise(join_unique(moving.select("i", "root"), to, "root", hot_rows).select("i", F.col("next").alias("root"), "ends"), "pointers")
+        arrived, moving = arrived.unionByName(moved.where("ends").select("i", "root")), moved.where("NOT ends")
+        pointed = moving.select(F.col("root").alias("i")).distinct()
+        look = materialise(moved.unionByName(look.where("ends")).join(pointed, "i", "left_semi"), "pointed-at")
     return arrived
 
 

@@ -5,17 +5,24 @@ the non-greedy form contracts exactly:
 
 1. every vertex shares the fate of its mode, found by pointer doubling over all vertices;
 2. only vertices whose uphill neighbours lie in two basins or more ("saddles") can merge anything;
-3. a saddle whose basins are all connected by earlier saddles changes nothing: along the connecting
-   path every failed merge left both its roots at least the threshold above a level that is no lower
-   than the saddle's.  So only saddles that an edge of the spanning forest of basins comes from are
-   kept, at most one fewer than there are modes.  The forest is taken per partition first, then over
-   the partitions' forests.
-
-What is left is swept once per threshold, thresholds in parallel.
+3. of the saddles that see the same basins only the first matters: if it did not merge them, their
+   persistence there had reached the threshold, and it only grows.
+
+A few saddles are swept by one task per threshold.  Beyond ``one_task`` of them the merge tree of the
+infinite threshold is built in rounds, for all thresholds at once:
+
+* The first saddle at which a cluster meets another is where it dies if it sees a higher root there, however
+  far the others have got, since roots only get higher.  So in every round each cluster looks at its first
+  saddle alone, and all that die there are contracted together.  Of equal heights the one that the saddle lists
+  first stays; that is decided once the saddle is the first one of all clusters that it sees.
+* At a threshold exactly the roots of smaller persistence merge.  A root that dies at a saddle of two basins
+  follows the other basin.  A saddle of more basins is a node of its own that its dying roots follow; it
+  leads to the highest of the clusters that its basins belong to, known once those are.
 """
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator, Sequence
 
@@ -60,34 +67,14 @@ class Forest:
         return a != b
 
 
-def _spanning(links: pd.DataFrame) -> pd.DataFrame:
-    links = links.sort_values(["f", "i"], ascending=[False, True], kind="stable")
-    forest = Forest()
-    return links[[forest.join(a, b) for a, b in zip(links["a"].tolist(), links["b"].tolist(), strict=True)]]
+#: Saddles, each with the basins it sees, that one task sweeps for a threshold; more of them take rounds.
+ONE_TASK = 1 << 16
 
 
-def _partition_forests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The forest of a partition, folded in batch by batch: never more than it and one batch is held."""
-    kept = None
-    for batch in batches:
-        kept = _spanning(batch if kept is None else pd.concat([kept, batch]))
-    if kept is not None:
-        yield kept
-
-
-def needed_saddles(found: DataFrame) -> DataFrame:
-    """The saddles that first connect two basins; all others can be left out of any merge."""
-    others = F.explode(F.slice("basins", 2, F.size("basins") - 1))
-    links = found.select("i", "f", F.element_at("basins", 1).alias("first"), others.alias("other")).select("i", "f", F.least("first", "other").alias("a"), F.greatest("first", "other").alias("b"))
-    earliest = links.groupBy("a", "b").agg(F.min_by(F.struct("i", "f"), modes.in_order(F.col("f"), F.col("i"))).alias("at")).select("at.i", "at.f", "a", "b")
-    schema = "i long, f double, a long, b long"
-    whole = materialise(earliest.mapInPandas(_partition_forests, schema).withColumn("part", F.spark_partition_id()), "forests")
-    count = whole.agg(F.coalesce(F.max("part"), F.lit(0))).first()[0] + 1
-    while count > 1:  # forests are merged in a tree, sixteen at a time
-        count = -(-count // 16)
-        grouped = whole.withColumn("part", F.expr("cast(part div 16 as int)")).groupBy("part")
-        whole = materialise(grouped.applyInPandas(lambda links: _spanning(links)[["i", "f", "a", "b", "part"]], f"{schema}, part int"), "forests")
-    return found.join(whole.select("i").distinct(), "i", "left_semi")
+def first_saddles(found: DataFrame) -> DataFrame:
+    """The first of the saddles ``i, f, basins`` that see the same basins."""
+    first = F.min_by(F.struct("i", "f", "basins"), modes.in_order(F.col("f"), F.col("i")))
+    return found.groupBy(F.array_sort("basins").alias("seen")).agg(first.alias("at")).select("at.*")
 
 
 def _sweep(tau: float, vertices: Sequence[tuple[int, float, list[int]]], height: dict[int, float]) -> list[tuple]:
@@ -103,10 +90,12 @@ def _sweep(tau: float, vertices: Sequence[tuple[int, float, list[int]]], height:
     return rows + [(tau, "root", b, forest.find(b), None) for b in height]
 
 
-def merge_basins(found: DataFrame, maxima: DataFrame, taus: Sequence[float]) -> DataFrame:
+def merge_basins(found: DataFrame, maxima: DataFrame, taus: Sequence[float], one_task: int = ONE_TASK) -> DataFrame:
     """Rows of :data:`MERGES` for each threshold: kind ``pair`` has birth ``a`` and death ``b``, kind
-    ``root`` has mode ``a`` and the root ``b`` of its cluster.  Modes without a saddle are left out."""
-    kept = needed_saddles(found)
+    ``root`` has mode ``a`` and the root ``b`` of its cluster.  Modes that stay alone may be left out."""
+    kept = materialise(first_saddles(found), "saddles")
+    if kept.limit(one_task + 1).count() > one_task:
+        return merges_of_tree(merge_tree(kept, maxima, one_task), maxima, taus)
     height = kept.select(F.explode("basins").alias("i")).distinct().join(maxima, "i")
     rows = kept.select("i", "f", "basins").unionByName(height.select("i", "f", F.lit(None).cast("array<long>").alias("basins")))
     each = rows.withColumn("tau", F.explode(F.array(*[F.lit(float(t)) for t in taus])))
@@ -121,7 +110,130 @@ def merge_basins(found: DataFrame, maxima: DataFrame, taus: Sequence[float]) ->
     return each.groupBy("tau").applyInPandas(run, MERGES)
 
 
-def cluster_h0(edges: DataFrame, density: DataFrame, taus: Sequence[float]) -> tuple[DataFrame, DataFrame]:
+# --- the merge tree in rounds -------------------------------------------------------------------
+
+TREE = "birth long, death long, persistence double, other long, basins array<long>"
+DEATHS = f"{TREE}, root long, target long"
+#: A saddle and, for each of its basins, the root of the cluster that it is in and that root's height; basins
+#: of clusters that died there are left out of ``comps``.
+CONTRACTED = "i long, f double, basins array<long>, comps array<long>, heights array<double>"
+
+
+def _death(i: int, f: float, basins: Sequence[int], comps: Sequence[int], height: float, root: int, target: int) -> tuple:
+    other = next((b for b, c in zip(basins, comps, strict=True) if c != root), None) if len(basins) == 2 else None
+    return (root, i, height - f, other, None if other is not None else list(basins), root, target)
+
+
+def _decide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The roots that die at saddles which are the first of the clusters ``picked`` by them."""
+    for batch in batches:
+        rows = []
+        for i, f, basins, comps, heights, picked in batch[["i", "f", "basins", "comps", "heights", "picked"]].itertuples(index=False):
+            height = dict(zip(comps.tolist(), heights.tolist(), strict=True))
+            top = max(height, key=height.__getitem__)  # the first in list order on ties
+            settled = len(picked) == len(height)
+            for root in picked.tolist():
+                if root != top and (height[root] < height[top] or settled):
+                    rows.append(_death(i, f, basins.tolist(), comps.tolist(), height[root], root, top))
+        yield pd.DataFrame(rows, columns=[x.split()[0] for x in DEATHS.split(", ")])
+
+
+def _finish(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """All deaths at the few saddles that are left, swept in order."""
+    held = pd.concat([pd.DataFrame(columns=["i", "f", "basins", "comps", "heights"]), *batches])
+    forest, known, rows = Forest(), {}, []
+    for i, f, basins, comps, heights in held.sort_values(["f", "i"], ascending=[False, True])[["i", "f", "basins", "comps", "heights"]].itertuples(index=False):
+        known.update(zip(comps.tolist(), heights.tolist(), strict=True))
+        now = [forest.find(c) for c in comps.tolist()]
+        top = max(now, key=known.__getitem__)  # the first in list order on ties
+        for root in dict.fromkeys(now):
+            if root != top:
+                rows.append(_death(i, f, basins.tolist(), now, known[root], root, top))
+                forest.up[root] = top
+    yield pd.DataFrame(rows, columns=[x.split()[0] for x in DEATHS.split(", ")])
+
+
+def _contracted(rows: DataFrame) -> DataFrame:
+    """Rows of :data:`CONTRACTED` that still see two clusters, the first for each set of clusters."""
+    seen = F.array_sort(F.array_distinct("comps"))
+    first = F.min_by(F.struct(*[x.split()[0] for x in CONTRACTED.split(", ")]), modes.in_order(F.col("f"), F.col("i")))
+    return rows.withColumn("seen", seen).where(F.size("seen") > 1).groupBy("seen").agg(first.alias("at")).select("at.*")
+
+
+def _relabelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """``rows`` of :data:`CONTRACTED` with each cluster ``comp`` replaced by its ``root`` and that root's ``height``.
+
+    A cluster that ``died`` at a saddle leaves its list, so the others keep their order there."""
+    each = materialise(rows.select("i", "f", "basins", F.posexplode("comps").alias("pos", "comp")), "basins-seen")
+    named = modes.join_unique(each, labels, "comp").where("died IS NULL OR died <> i")
+    order = F.array_sort(F.collect_list(F.struct("pos", "root", "height")))
+    whole = named.groupBy("i").agg(F.first("f").alias("f"), F.first("basins").alias("basins"), order.alias("o"))
+    return whole.select("i", "f", "basins", F.transform("o", lambda x: x["root"]).alias("comps"), F.transform("o", lambda x: x["height"]).alias("heights"))
+
+
+def merge_tree(kept: DataFrame, maxima: DataFrame, one_task: int = ONE_TASK) -> DataFrame:
+    """``birth, death, persistence, other, basins``: where every root that ever dies does so at the infinite
+    threshold, and what it follows: the ``other`` basin of a saddle of two, or the list of a saddle of more.
+
+    ``kept`` are saddles ``i, f, basins``, ``maxima`` the modes ``i, f``.  Rounds go on until ``one_task`` saddles are
+    left, which one task finishes.  Each round contracts every cluster whose first saddle shows a higher
+    root, and so at least half of each run of clusters that wait for one another at random heights.
+    """
+    labels = maxima.select(F.col("i").alias("comp"), F.col("i").alias("root"), F.col("f").alias("height"), F.lit(None).cast("long").alias("died"))
+    rows = kept.select("i", "f", "basins", F.col("basins").alias("comps"))
+    left = materialise(_contracted(_relabelled(rows, labels)), "contracted")
+    found = []
+    while left.limit(one_task + 1).count() > one_task:
+        each = left.select("i", "f", F.explode(F.arrays_zip("comps", "heights")).alias("c")).select("i", "f", "c.comps", "c.heights")
+        firsts = each.groupBy(F.col("comps").alias("comp")).agg(F.min_by("i", modes.in_order(F.col("f"), F.col("i"))).alias("i"), F.first("heights").alias("height"))
+        firsts = materialise(firsts, "first-saddles")
+        picked = left.join(firsts.groupBy("i").agg(F.collect_list("comp").alias("picked")), "i")  # a saddle's own clusters
+        deaths = materialise(picked.mapInPandas(_decide, DEATHS), "deaths")
+        to = firsts.join(deaths.select(F.col("root").alias("comp"), "target"), "comp", "left")
+        ends = modes.seek_modes(to.select(F.col("comp").alias("i"), F.coalesce("target", "comp").alias("parent")))
+        tops = firsts.select(F.col("comp").alias("root"), "height")
+        died = deaths.select(F.col("root").alias("comp"), F.col("death").alias("died"))
+        labels = ends.join(tops, "root").select(F.col("i").alias("comp"), "root", "height").join(died, "comp", "left")
+        left = materialise(_contracted(_relabelled(left, labels)), "contracted")
+        found.append(deaths)
+    found.append(materialise(left.coalesce(1).mapInPandas(_finish, DEATHS), "deaths"))
+    return functools.reduce(DataFrame.unionByName, found).drop("root", "target")
+
+
+def merges_of_tree(tree: DataFrame, maxima: DataFrame, taus: Sequence[float]) -> DataFrame:
+    """Rows of :data:`MERGES` for every threshold from the merge tree.
+
+    Nodes are (threshold, vertex) pairs, modes and saddles of more than two basins.  Pointers are doubled,
+    saddles whose basins' clusters are known are turned into pointers, and again, until none is left.
+    """
+    cells = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(float(t)).alias("tau")) for k, t in enumerate(taus)])).alias("cell")
+    dying = tree.select("*", cells).where(F.col("persistence") < F.col("cell.tau")).select("birth", "death", "persistence", "other", "basins", "cell.k", "cell.tau")
+    dying = materialise(dying, "dying")
+    node = lambda v: F.struct(F.col("k"), F.col(v).alias("v"))
+    forks = materialise(dying.where("basins is not null").groupBy("k", F.col("death").alias("s")).agg(F.first("basins").alias("basins")), "forks")
+    followed = dying.select(node("birth").alias("i"), F.struct("k", F.coalesce("other", "death").alias("v")).alias("parent"))
+    named = dying.select(node("other").alias("i")).where("i.v is not null").unionByName(forks.select(node("s").alias("i"))).unionByName(forks.select("k", F.explode("basins").alias("b")).select(node("b").alias("i")))
+    fixed = named.distinct().join(followed.select("i"), "i", "left_anti").select("i", F.col("i").alias("parent"))
+    ends = modes.seek_modes(followed.unionByName(fixed), one_task=0)
+    height = maxima.select(F.col("i").alias("t"), F.col("f").alias("height"))
+    while not forks.isEmpty():
+        each = forks.select("k", "s", F.posexplode("basins").alias("pos", "b")).select("k", "s", "pos", node("b").alias("i"))
+        seen = each.join(ends, "i").select("k", "s", "pos", F.col("root.v").alias("t")).where("s <> t").join(height, "t", "left")  # no height: a fork
+        best = F.max_by("t", F.struct(F.coalesce("height", F.lit(-math.inf)), -F.col("pos")))
+        chosen = seen.groupBy("k", "s").agg(best.alias("t"), (F.count_distinct("t") == 1).alias("one"), F.count_if(F.col("height").isNull()).alias("open"))
+        chosen = materialise(chosen.where("one OR open = 0").select("k", "s", "t"), "turned")
+        turned = chosen.select(node("s").alias("i"), F.struct("k", F.col("t").alias("v")).alias("parent"))
+        rest = ends.join(turned.select("i"), "i", "left_anti").select("i", F.col("root").alias("parent"))
+        ends = modes.seek_modes(rest.unionByName(turned), one_task=0)
+        forks = materialise(forks.join(chosen.select("k", "s"), ["k", "s"], "left_anti"), "forks")
+    pairs = dying.select("tau", F.lit("pair").alias("kind"), F.col("birth").alias("a"), F.col("death").alias("b"), "persistence")
+    back = F.element_at(F.array(*[F.lit(float(t)) for t in taus]), F.col("i.k") + 1)
+    moved = dying.select(node("birth").alias("i")).join(ends, "i")
+    roots = moved.select(back.alias("tau"), F.lit("root").alias("kind"), F.col("i.v").alias("a"), F.col("root.v").alias("b"), F.lit(None).cast("double").alias("persistence"))
+    return pairs.unionByName(roots)
+
+
+def cluster_h0(edges: DataFrame, density: DataFrame, taus: Sequence[float], one_task: int = ONE_TASK) -> tuple[DataFrame, DataFrame]:
     """Clusters and persistence pairs of a neighbour graph for every threshold.
 
     Returns ``assignment(tau, i, root)`` and ``pairs(tau, birth, death, persistence)``; a root that
@@ -131,13 +243,16 @@ def cluster_h0(edges: DataFrame, density: DataFrame, taus: Sequence[float]) -> t
     """
     density = materialise(checked(density), "density")
     uphill = materialise(modes.uphill_edges(edges, density), "uphill")
-    roots = modes.seek_modes(modes.steepest_parents(uphill, density))
-    merges = materialise(merge_basins(saddles(uphill, roots), modes.local_maxima(uphill, density), taus), "merges")
-    moved = merges.where("kind = 'root' and a <> b").select("tau", F.col("a").alias("root"), F.col("b").alias("final"))
-    each = F.explode(F.array(*[F.lit(float(t)) for t in taus])).alias("tau")
-    assignment = roots.select("i", "root", each).join(moved, ["tau", "root"], "left").select("tau", "i", F.coalesce("final", "root").alias("root"))
+    roots = materialise(modes.seek_modes(modes.steepest_parents(uphill, density)), "roots")
+    merges = materialise(merge_basins(saddles(uphill, roots), modes.local_maxima(uphill, density), taus, one_task), "merges")
+    grid = [float(t) for t in taus]
+    place = F.array_position(F.array(*[F.lit(t) for t in grid]), F.col("tau")).cast("int")
+    moved = merges.where("kind = 'root' and a <> b").groupBy(F.col("a").alias("root")).agg(F.map_from_entries(F.collect_set(F.struct(place, F.col("b")))).alias("final"))
+    ends = roots.where("i = root").select("root").join(moved, "root", "left")  # a row for each mode
+    whole = modes.join_unique(roots, ends, "root").select("i", "root", "final", F.explode(F.array(*[F.lit(t) for t in grid])).alias("tau"))
+    assignment = whole.select("tau", "i", F.coalesce(F.try_element_at("final", place), "root").alias("root"))
     finite = merges.where("kind = 'pair'").select("tau", F.col("a").alias("birth"), F.col("b").alias("death"), "persistence")
-    maxima = roots.where("i = root").select("i", each)
+    maxima = roots.where("i = root").select("i", F.explode(F.array(*[F.lit(t) for t in grid])).alias("tau"))
     infinite = maxima.join(finite.select("tau", F.col("birth").alias("i")), ["tau", "i"], "left_anti")
     pairs = finite.unionByName(infinite.select("tau", F.col("i").alias("birth"), F.lit(None).cast("long").alias("death"), F.lit(None).cast("double").alias("persistence")))
     return assignment, pairs

@@ -45,9 +45,9 @@ def random_graphs(count, seed=5):
     return near, f
 
 
-def h0(spark, near, f, taus, greedy=False):
+def h0(spark, near, f, taus, greedy=False, **how):
     cluster = persistence.cluster_h0_greedy if greedy else persistence.cluster_h0
-    assignment, pairs = cluster(*tables.graph_table(spark, f, near), taus)
+    assignment, pairs = cluster(*tables.graph_table(spark, f, near), taus, **how)
     roots, ends = {}, {}
     for r in assignment.collect():
         roots.setdefault(r.tau, {})[r.i] = r.root
@@ -56,8 +56,8 @@ def h0(spark, near, f, taus, greedy=False):
     return roots, ends
 
 
-def check_against_plain(spark, near, f, taus, greedy=False):
-    roots, ends = h0(spark, near, f, taus, greedy)
+def check_against_plain(spark, near, f, taus, greedy=False, **how):
+    roots, ends = h0(spark, near, f, taus, greedy, **how)
     for tau in taus:
         root, finite, alive = plain_sweep(near, f, tau, greedy)
         assert [roots[tau][i] for i in range(len(f))] == root
@@ -201,22 +201,49 @@ def test_recall_of_the_searches_on_embeddings(spark):
         assert len({(r.i, r.j) for r in found.collect()} & exact) >= 0.9 * len(exact)
 
 
-def test_forests_of_many_partitions_are_merged_in_a_tree(spark):
-    rng = random.Random(8)
-    edges = [(i, rk, rng.randrange(400)) for i in range(400) for rk in (1, 2, 3)]
-    dens = [(i, rng.random()) for i in range(400)]
-    e, d = spark.createDataFrame(edges, "i long, rk int, j long"), spark.createDataFrame(dens, "i long, f double")
-    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
-    before = spark.conf.get("spark.sql.shuffle.partitions")
-    try:
-        found = []
-        for parts in ("40", "1"):
-            spark.conf.set("spark.sql.shuffle.partitions", parts)
-            found.append(sorted(map(tuple, persistence.cluster_h0(e, d, [0.1, math.inf])[0].collect())))
-        assert found[0] == found[1]
-    finally:
-        spark.conf.set("spark.sql.shuffle.partitions", before)
-        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+@pytest.mark.parametrize("one_task", [0, 40])
+def test_merge_tree_in_rounds_equals_the_plain_sweep(spark, one_task):
+    near, f = random_graphs(70, seed=11)
+    check_against_plain(spark, near, f, [0.0, 0.1, 0.3, 0.7, math.inf], one_task=one_task)
+
+
+def test_rounds_with_many_basins_at_a_saddle(spark):
+    """Saddles of three basins and more, few heights (so many ties), and infinite ones."""
+    rng = random.Random(12)
+    near, f = [], []
+    for _ in range(40):
+        base, peaks, n = len(f), rng.randint(3, 9), rng.randint(3, 14)
+        f += [rng.choice([3.0, 4.0, 5.0, 3.5 + rng.random(), math.inf]) for _ in range(peaks)] + [rng.choice([rng.random() * 3, 1.0, 2.0]) for _ in range(n)]
+        near += [[] for _ in range(peaks)] + [[base + rng.randrange(peaks + n) for _ in range(rng.randint(2, 5))] for _ in range(n)]
+    check_against_plain(spark, near, f, [0.0, 1.0, 2.0, 2.5, 3.0, math.inf], one_task=0)
+
+
+def test_a_chain_of_waiting_clusters(spark):
+    """Heights fall and saddles rise along a path: each cluster waits for the next."""
+    n = 8
+    peaks, passes = [100.0 - k for k in range(n)], [10.0 + k for k in range(n - 1)]
+    near = [[] for _ in peaks] + [[k, k + 1] for k in range(n - 1)]
+    check_against_plain(spark, near, peaks + passes, [0.0, 84.0, 88.0, math.inf], one_task=0)
+
+
+@pytest.mark.parametrize("hot_rows", [3, 1 << 18])
+def test_pointers_in_rounds_equal_one_task(spark, hot_rows):
+    rng = random.Random(13)
+    parent = [i if i < 5 or rng.random() < 0.02 else rng.randrange(max(0, i - 9), i) for i in range(2000)]
+    df = spark.createDataFrame(list(enumerate(parent)), "i long, parent long")
+    root = {}
+    for i, p in enumerate(parent):
+        root[i] = i if p == i else root[p]
+    for one_task in (0, 1 << 20):
+        assert {r.i: r.root for r in modes.seek_modes(df, one_task, hot_rows).collect()} == root
+    assert modes.seek_modes(df.limit(0)).count() == modes.seek_modes(df.limit(0), 0).count() == 0
+
+
+def test_keys_that_many_rows_share_are_joined_where_they_are(spark):
+    rows = spark.range(1000).select("id", F.when(F.col("id") < 600, 1).otherwise(F.col("id")).alias("key"))
+    table = spark.range(900).select(F.col("id").alias("key"), (F.col("id") * 2).alias("x"))
+    found = {r.id: r.x for r in modes.join_unique(rows, table, "key", hot_rows=100).collect()}
+    assert found == {i: 2 if i < 600 else 2 * i for i in range(900)}
 
 
 def test_too_many_labels_for_one_task_are_an_error():

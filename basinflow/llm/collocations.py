@@ -49,9 +49,9 @@ class CollocationParams:
     least: int = 30
     contained: int = 80
     top: int = 2000
-    block_bytes: int = 6 << 20
-    bucket_bytes: int = 4 << 20
-    salts: int = 64
+    block_bytes: int = 4 << 20
+    bucket_bytes: int = 3 << 20
+    salts: int = 16
 
 
 def suffix_order(words: np.ndarray, left: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:

@@ -9,6 +9,10 @@ small corpus keeps all cores busy and a large set of queries is many tasks of bo
 Every chunk yields at most ``k`` rows per query, and a ranked window merges the chunks.  A cell that
 holds a third of all rows is simply more chunks, so no task's memory follows the data.
 
+The pruned search is exact too: corpus rows belong to their nearest pivot and lie in rings around it, a
+query first searches the ring that it lies in itself, and what it finds there bounds which other rings
+can hold anything nearer.  It is the one to use where vectors are clustered or have few dimensions.
+
 The result is the long form ``i, rk, j, dist``: the ``rk``-th neighbour (from 1) of ``i``.
 """
 
@@ -20,12 +24,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.clustering import KMeans, KMeansModel
+from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from basinflow.functions.vectors import doubles, normalised, usable
+from basinflow.functions.vectors import doubles, normalised, pnorm, usable
+from basinflow.sources.shared import materialise
+from basinflow.sources.tables import sample_rows
 
 CHUNK_ROWS = 4096
 #: The exact search: bytes of corpus vectors that a task holds, and query rows that pass by in one tile.
@@ -54,45 +60,49 @@ def vectors_of(df: DataFrame, spec: Knn, id_col: str, vector_col: str) -> DataFr
     return df.where(F.col(id_col).isNotNull() & usable(F.col(vector_col))).select(F.col(id_col).cast("long").alias("id"), vec.alias("vec"))
 
 
-def distances(corpus: np.ndarray, query: np.ndarray, p: float) -> np.ndarray:
-    """Power sums (or extreme differences) between one query and corpus rows."""
-    gaps = np.abs(corpus - query)
+def power_sums(gaps: np.ndarray, p: float) -> np.ndarray:
+    """Power sums (or extreme values) of differences, along the last axis."""
+    gaps = np.abs(gaps)
     if math.isinf(p):
-        return gaps.max(axis=1) if p > 0 else gaps.min(axis=1)
-    return np.add.reduce(gaps * gaps if p == 2 else gaps**p, axis=1)
+        return gaps.max(axis=-1) if p > 0 else gaps.min(axis=-1)
+    return np.add.reduce(gaps * gaps if p == 2 else gaps**p, axis=-1)
 
 
-def smallest(ids: np.ndarray, dist: np.ndarray, k: int) -> np.ndarray:
-    """Positions of the ``k`` smallest distances, ties to the smaller id."""
-    if len(dist) > 4 * k:
-        kth = np.partition(dist, k - 1)[k - 1]
-        some = np.flatnonzero(dist <= kth)
-        return some[np.lexsort((ids[some], dist[some]))[:k]]
-    return np.lexsort((ids, dist))[:k]
+def best_of_rows(rows: np.ndarray, ids: np.ndarray, dist: np.ndarray, k: int) -> np.ndarray:
+    """Positions of the ``k`` smallest distances of each row, in order, ties to the smaller id."""
+    order = np.lexsort((ids, dist, rows))
+    rows = rows[order]
+    starts = np.flatnonzero(np.append(True, rows[1:] != rows[:-1])) if len(rows) else np.zeros(0, dtype=int)
+    nth = np.arange(len(rows)) - np.repeat(starts, np.diff(np.append(starts, len(rows))))
+    return order[nth < k]
 
 
-def compare(corpus: np.ndarray, ids: np.ndarray, queries: np.ndarray, spec: Knn) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Neighbour ids and exact distances for each query.
+def compare(corpus: np.ndarray, ids: np.ndarray, queries: np.ndarray, spec: Knn) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row of the query, neighbour id and exact distance of the ``k`` nearest for every query.
 
-    For p = 2 a matrix product finds who may be among the ``k`` nearest, within its rounding error;
-    those alone are measured by differences.
+    Blocks of queries at a time.  For p = 2 a matrix product finds who may be among the ``k`` nearest, within
+    its rounding error; those alone are measured by differences.
     """
-    norms = np.einsum("nd,nd->n", corpus, corpus)
-    step = max(1, min(256, (4 << 20) // max(1, len(ids))))  # the product stays below 32 MB
+    norms, n = np.einsum("nd,nd->n", corpus, corpus), len(ids)
+    product = spec.p == 2 and n > 4 * spec.k
+    step = max(1, min(256, (4 << 20) // max(1, n * (1 if product else corpus.shape[1]))))  # below 32 MB
+    found = []
     for at in range(0, len(queries), step):
         block = queries[at : at + step]
-        rough = norms[None, :] - 2 * block @ corpus.T if spec.p == 2 and len(ids) > 4 * spec.k else None
-        for row, query in enumerate(block):
-            some = np.arange(len(ids))
-            if rough is not None:
-                slack = 1e-10 * (norms.max() + query @ query)
-                some = np.flatnonzero(rough[row] <= np.partition(rough[row], spec.k - 1)[spec.k - 1] + slack)
-            dist = distances(corpus[some], query, spec.p)
-            best = smallest(ids[some], dist, spec.k)
-            dist = dist[best]
-            if spec.root and not math.isinf(spec.p):
-                dist = dist ** (1 / spec.p)
-            yield ids[some[best]], dist
+        if product:
+            rough = norms[None, :] - 2 * block @ corpus.T
+            slack = 1e-10 * (norms.max() + np.einsum("nd,nd->n", block, block))
+            rows, cols = np.nonzero(rough <= (np.partition(rough, spec.k - 1, axis=1)[:, spec.k - 1] + slack)[:, None])
+            dist = power_sums(corpus[cols] - block[rows], 2)
+        else:
+            rough = power_sums(corpus[None, :, :] - block[:, None, :], spec.p)
+            limit = np.partition(rough, spec.k - 1, axis=1)[:, spec.k - 1] if n > spec.k else np.full(len(block), np.inf)
+            rows, cols = np.nonzero(rough <= limit[:, None])
+            dist = rough[rows, cols]
+        best = best_of_rows(rows, ids[cols], dist, spec.k)
+        found.append((rows[best] + at, ids[cols[best]], dist[best]))
+    rows, near, dist = (np.concatenate(x) for x in zip(*found, strict=True))
+    return rows, near, dist ** (1 / spec.p) if spec.root and not math.isinf(spec.p) else dist
 
 
 def runs_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, int, pa.RecordBatch]]:
@@ -113,9 +123,7 @@ def matrix(column: pa.Array) -> np.ndarray:
 FOUND = "cell int, i long, j long, dist double"
 
 
-def _neighbours(cell: int, ids: np.ndarray, found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-    near, dist = (np.concatenate([x[k] for x in found]) for k in (0, 1))
-    ids = np.repeat(ids, [len(x[0]) for x in found])
+def _neighbours(cell: int, ids: np.ndarray, near: np.ndarray, dist: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), cell, dtype=np.int32)), pa.array(ids), pa.array(near), pa.array(dist)], names=["cell", "i", "j", "dist"])
 
 
@@ -134,7 +142,8 @@ def _search_batches(batches: Iterator[pa.RecordBatch], spec: Knn) -> Iterator[pa
             ids = np.concatenate([x.column(4).to_numpy() for x in held])
         for at in range(0, rows.num_rows, 1024):
             part = rows.slice(at, 1024)
-            yield _neighbours(key[1], part.column(4).to_numpy(), list(compare(corpus, ids, matrix(part.column(5)), spec)))
+            found, near, dist = compare(corpus, ids, matrix(part.column(5)), spec)
+            yield _neighbours(key[1], part.column(4).to_numpy()[found], near, dist)
 
 
 def stream(corpus: DataFrame, queries: DataFrame, parts: int | None = None) -> DataFrame:
@@ -197,19 +206,21 @@ def _tiles(corpus: DataFrame, asked: DataFrame, rows: int, queries: int, dims: i
 
 @dataclass(frozen=True)
 class InvertedFile:
-    """Cells of an inverted file: a fitted k-means of ``nlist`` centres, found on at most ``sample`` rows."""
+    """Cells of an inverted file: the ``centres`` of a k-means fitted on at most ``sample`` rows, or given ones."""
 
-    model: KMeansModel
+    centres: np.ndarray
     spec: Knn
 
     @staticmethod
     def fit(x: DataFrame, spec: Knn, nlist: int = 100, sample: int = 100_000, seed: int = 47, id_col: str = "vec_id", vector_col: str = "embedding") -> InvertedFile:
         rows = vectors_of(x, spec, id_col, vector_col).orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(sample)
-        return InvertedFile(KMeans(k=nlist, seed=seed, maxIter=10).fit(rows.select(array_to_vector("vec").alias("features"))), spec)
+        return InvertedFile(np.array(KMeans(k=nlist, seed=seed, maxIter=10).fit(rows.select(array_to_vector("vec").alias("features"))).clusterCenters()), spec)
 
-    @property
-    def centres(self) -> np.ndarray:
-        return np.array(self.model.clusterCenters())
+    @staticmethod
+    def of_rows(x: DataFrame, spec: Knn, nlist: int, id_col: str = "vec_id", vector_col: str = "embedding") -> InvertedFile:
+        """Centres that are rows of the table: the ``nlist`` of them that :func:`sample_rows` gives, by id."""
+        rows = sample_rows(vectors_of(x, spec, id_col, vector_col), nlist, "id").orderBy("id")
+        return InvertedFile(np.array([r["vec"] for r in rows.collect()]), spec)
 
     def probe(self, rows: DataFrame, nprobe: int) -> DataFrame:
         """Rows ``(id, vec, cell)``, once for each of their ``nprobe`` nearest cells."""
@@ -232,7 +243,7 @@ def _probe_batches(batches: Iterator[pa.RecordBatch], centres: np.ndarray, nprob
 def _in_cells(x: DataFrame, y: DataFrame | None, file: InvertedFile, nprobe: int, id_col: str, vector_col: str, chunk_rows: int) -> tuple[DataFrame, DataFrame]:
     """Corpus rows with (cell, chunk), and query rows once per chunk of the cells they probe."""
     asked = vectors_of(x, file.spec, id_col, vector_col)
-    corpus = file.probe(asked if y is None else vectors_of(y, file.spec, id_col, vector_col), 1)
+    corpus = materialise(file.probe(asked if y is None else vectors_of(y, file.spec, id_col, vector_col), 1), "cells")
     sizes = F.broadcast(corpus.groupBy("cell").count().select("cell", F.ceil(F.col("count") / chunk_rows).cast("int").alias("chunks")))  # one row per centre
     corpus = corpus.join(sizes, "cell").withColumn("chunk", F.pmod(F.xxhash64("id", "vec"), F.col("chunks")).cast("int"))
     probing = file.probe(asked.dropDuplicates(["id"]), nprobe).join(sizes, "cell")
@@ -257,19 +268,17 @@ class Codebooks:
     books: np.ndarray  # (sub-vectors, centres, width)
 
     @staticmethod
-    def fit(x: DataFrame, file: InvertedFile, bits: int = 8, width: int = 8, sample: int = 20_000, seed: int = 47, id_col: str = "vec_id", vector_col: str = "embedding") -> Codebooks:
+    def fit(x: DataFrame, file: InvertedFile, bits: int = 8, width: int = 8, sample: int = 20_000, rounds: int = 8, seed: int = 47, id_col: str = "vec_id", vector_col: str = "embedding") -> Codebooks:
+        """All books in one job: each sub-vector's sample is a group of at most ``sample`` rows.  The last book may be
+        narrower; a book of fewer different rows than centres repeats its last one."""
         rows = vectors_of(x, file.spec, id_col, vector_col).orderBy(F.xxhash64("id", F.lit(seed + 1)), "id").limit(sample)
-        centres = file.centres
-        rest = file.probe(rows, 1).mapInArrow(lambda b: _residual_batches(b, centres), "rest array<double>").cache()
-        dims = file.centres.shape[1]
-        books = []
-        for at in range(0, dims, width):  # the last one may be narrower
-            part = rest.select(array_to_vector(F.slice("rest", at + 1, width)).alias("features"))
-            found = np.array(KMeans(k=1 << bits, seed=seed, maxIter=5, initMode="random").fit(part).clusterCenters())
-            found = np.pad(found, ((0, (1 << bits) - len(found)), (0, 0)), mode="edge")
-            books.append(np.pad(found, ((0, 0), (0, width - found.shape[1]))))
-        rest.unpersist()
-        return Codebooks(np.array(books))
+        centres, count = file.centres, 1 << bits
+        dims = centres.shape[1]
+        rest = file.probe(rows, 1).mapInArrow(lambda b: _residual_batches(b, centres), "rest array<double>")
+        parts = F.explode(F.array(*[F.struct(F.lit(k).alias("book"), F.slice("rest", at + 1, width).alias("part")) for k, at in enumerate(range(0, dims, width))]))
+        learned = rest.select(parts.alias("x")).select("x.*").groupBy("book").applyInArrow(lambda t: _learn_book(t, count, rounds), "book int, centres array<double>")
+        books = {r["book"]: np.array(r["centres"]).reshape(count, -1) for r in learned.collect()}  # one row for each book
+        return Codebooks(np.array([np.pad(books[k], ((0, 0), (0, width - books[k].shape[1]))) for k in sorted(books)]))
 
     def parts(self, rest: np.ndarray) -> np.ndarray:
         """Sub-vectors of residuals, first by sub-vector; the last is padded with zeros."""
@@ -285,6 +294,18 @@ class Codebooks:
         return self.tables(rest).argmin(axis=2).T
 
 
+def _learn_book(table: pa.Table, count: int, rounds: int) -> pa.Table:
+    """``count`` centres of a sub-vector's sample by k-means, from evenly spaced rows in the order of their values."""
+    rows = np.unique(matrix(table.column("part").combine_chunks()), axis=0)
+    centres = rows[np.minimum(np.arange(count) * max(len(rows), count) // count, len(rows) - 1)]
+    for _ in range(rounds):
+        own = ((centres**2).sum(axis=1)[None, :] - 2 * rows @ centres.T).argmin(axis=1)
+        sizes = np.bincount(own, minlength=count)
+        sums = np.stack([np.bincount(own, weights=column, minlength=count) for column in rows.T], axis=1)
+        centres = np.where(sizes[:, None] > 0, sums / np.maximum(sizes, 1)[:, None], centres)
+    return pa.table({"book": pa.array(table.column("book").to_numpy()[:1]), "centres": pa.array([centres.ravel()], type=pa.list_(pa.float64()))})
+
+
 def _residual_batches(batches: Iterator[pa.RecordBatch], centres: np.ndarray) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if batch.num_rows:
@@ -293,42 +314,197 @@ def _residual_batches(batches: Iterator[pa.RecordBatch], centres: np.ndarray) ->
             yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(lists), pa.array(rest.ravel()))], names=["rest"])
 
 
-def _coded_batches(batches: Iterator[pa.RecordBatch], spec: Knn, centres: np.ndarray, books: Codebooks, rerank: int, block: int = 64) -> Iterator[pa.RecordBatch]:
-    now, held, codes, ids, vectors = None, [], None, None, None
+#: Rows of a chunk of codes: a byte a sub-vector instead of eight a dimension.
+CODE_ROWS = 1 << 17
+
+
+def _encode_batches(batches: Iterator[pa.RecordBatch], centres: np.ndarray, books: Codebooks) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        if batch.num_rows:
+            codes = books.encode(matrix(batch.column(1)) - centres[batch.column(2).to_numpy()])
+            wide = codes.astype(np.uint8 if books.books.shape[1] <= 256 else np.uint16)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([row.tobytes() for row in wide], type=pa.binary())], names=["id", "cell", "code"])
+
+
+def coded_table(y: DataFrame, file: InvertedFile, books: Codebooks, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """``id, cell, code``, written once: the index that :func:`knn_ivfpq` searches, one byte for each sub-vector
+    (two beyond 256 centres a book).  Vectors are used as in :func:`knn_exact`."""
+    rows = file.probe(vectors_of(y, file.spec, id_col, vector_col), 1)
+    centres = file.centres
+    return materialise(rows.mapInArrow(lambda b: _encode_batches(b, centres, books), "id long, cell int, code binary"), "codes")
+
+
+def _coded_batches(batches: Iterator[pa.RecordBatch], centres: np.ndarray, books: Codebooks, most: int, block: int = 64) -> Iterator[pa.RecordBatch]:
+    now, held, codes, ids = None, [], None, None
+    width = np.uint8 if books.books.shape[1] <= 256 else np.uint16
     for key, side, rows in runs_of(batches):
         if key != now:
             now, held, codes = key, [], None
         if side == 0:
-            held.append((rows.column(4).to_numpy(), matrix(rows.column(5))))
+            held.append(rows)
             continue
         if not held:
             continue
         if codes is None:
-            ids, vectors = (np.concatenate([x[k] for x in held]) for k in (0, 1))
-            codes = books.encode(vectors - centres[key[1]])
-        found, asked = [], matrix(rows.column(5))
-        most = min(len(ids), rerank * spec.k)
-        for at in range(0, len(asked), block):
-            some = asked[at : at + block]
-            rough = sum(table[:, codes[:, m]] for m, table in enumerate(books.tables(some - centres[key[1]])))
-            near = np.argpartition(rough, most - 1, axis=1)[:, :most]
-            for query, rows_near in zip(some, near, strict=True):
-                dist = ((vectors[rows_near] - query) ** 2).sum(axis=1)
-                best = smallest(ids[rows_near], dist, spec.k)
-                found.append((ids[rows_near][best], np.sqrt(dist[best]) if spec.root else dist[best]))
-        yield _neighbours(key[1], rows.column(4).to_numpy(), found)
-
-
-def knn_ivfpq(x: DataFrame, file: InvertedFile, books: Codebooks, nprobe: int = 1, y: DataFrame | None = None, id_col: str = "vec_id", vector_col: str = "embedding", chunk_rows: int = CHUNK_ROWS, rerank: int = 8) -> DataFrame:
+            ids = np.concatenate([x.column(4).to_numpy() for x in held])
+            codes = np.concatenate([np.frombuffer(b"".join(x.column(6).to_pylist()), dtype=width).reshape(x.num_rows, -1) for x in held])
+        asked, own = matrix(rows.column(5)).astype(float), rows.column(4).to_numpy()
+        count = min(len(ids), most)
+        step = max(1, min(block, (4 << 20) // len(ids)))
+        for at in range(0, len(asked), step):
+            tables = books.tables(asked[at : at + step] - centres[key[1]])
+            rough = np.zeros((tables.shape[1], len(ids)))
+            for m, table in enumerate(tables):
+                rough += table[:, codes[:, m]]
+            near = np.argpartition(rough, count - 1, axis=1)[:, :count]
+            yield _neighbours(key[1], np.repeat(own[at : at + step], count), ids[near.ravel()], np.take_along_axis(rough, near, axis=1).ravel())
+
+
+def knn_ivfpq(x: DataFrame, file: InvertedFile, books: Codebooks, nprobe: int = 1, y: DataFrame | None = None, id_col: str = "vec_id", vector_col: str = "embedding", chunk_rows: int = CODE_ROWS, rerank: int = 8, codes: DataFrame | None = None) -> DataFrame:
     """Neighbours by product-quantised distances within the ``nprobe`` nearest cells, ordered anew.
 
-    Candidates, ``rerank * k`` for each chunk of a cell, are found by the codes of the corpus vectors'
-    residuals; the distances that order and leave them are exact (Euclidean, whatever ``p``).  Otherwise
-    as :func:`knn_ivf`.
+    The corpus takes part as the stored ``codes`` of :func:`coded_table` (None: made here): they are what is
+    shuffled and held, so a chunk has ``chunk_rows`` rows in the memory of a few thousand vectors and queries meet
+    as many fewer chunks.  The ``rerank * k`` best of a query by coded distance are joined with their vectors;
+    the distances that order and leave them are exact.  ``rerank=0`` leaves the coded distances and fetches nothing.
+    Distances are Euclidean, whatever ``p``.  Otherwise as :func:`knn_ivf`; ids of ``y`` should be unique.
     """
-    corpus, asked = _in_cells(x, y, file, nprobe, id_col, vector_col, chunk_rows)
-    centres, spec = file.centres, file.spec
-    return merged(stream(corpus, asked).mapInArrow(lambda b: _coded_batches(b, spec, centres, books, rerank), FOUND), spec.k)
+    spec, centres = file.spec, file.centres
+    corpus = coded_table(x if y is None else y, file, books, id_col, vector_col) if codes is None else codes
+    sizes = F.broadcast(corpus.groupBy("cell").count().select("cell", F.ceil(F.col("count") / chunk_rows).cast("int").alias("chunks")))  # one row per centre
+    held = corpus.join(sizes, "cell").withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
+    vectors = vectors_of(x, spec, id_col, vector_col)
+    asked = file.probe(vectors.dropDuplicates(["id"]), nprobe).join(sizes, "cell").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    none, dim = F.lit(None), F.lit(centres.shape[1]).alias("dim")
+    sides = [
+        held.select(dim, "cell", "chunk", F.lit(0).alias("side"), "id", none.cast("array<float>").alias("vec"), "code"),
+        asked.select(dim, "cell", "chunk", F.lit(1).alias("side"), "id", F.col("vec").cast("array<float>").alias("vec"), none.cast("binary").alias("code")),
+    ]
+    keys = ["dim", "cell", "chunk", "side"]
+    tiles = sides[0].unionByName(sides[1]).repartition(*keys[:3]).sortWithinPartitions(*keys)
+    most = max(rerank, 1) * spec.k
+    found = merged(tiles.mapInArrow(lambda b: _coded_batches(b, centres, books, most), FOUND), most)
+    if not rerank:
+        return merged(found.select("i", "j", F.sqrt("dist").alias("dist") if spec.root else "dist"), spec.k)
+    near = (vectors if y is None else vectors_of(y, spec, id_col, vector_col)).select(F.col("id").alias("j"), F.col("vec").alias("b"))
+    both = found.select("i", "j").join(near, "j").join(vectors.dropDuplicates(["id"]).select(F.col("id").alias("i"), F.col("vec").alias("a")), "i")
+    return merged(both.select("i", "j", pnorm(F.col("a"), F.col("b"), 2, spec.root).alias("dist")), spec.k)
+
+
+# --- the pruned search --------------------------------------------------------------------------
+
+#: Bits of a tile's number for the part of a ring and for the block of queries.
+PART_BITS, BLOCK_BITS = 20, 12
+
+
+@dataclass(frozen=True)
+class Pivots:
+    """Points that corpus rows gather around.  They are rows of the table; any choice gives the exact result."""
+
+    points: np.ndarray
+    spec: Knn
+
+    @staticmethod
+    def fit(y: DataFrame, spec: Knn, count: int = 64, sample: int = 10_000, id_col: str = "vec_id", vector_col: str = "embedding") -> Pivots:
+        """``count`` of at most ``sample`` rows, each the one farthest from those before it."""
+        rows = vectors_of(y, spec, id_col, vector_col)
+        held = sample_rows(rows, sample, "id").collect()
+        dims = max((len(r["vec"]) for r in held), default=0)
+        points = np.array([r["vec"] for r in held if len(r["vec"]) == dims], dtype=float)
+        picked, nearest = [0], np.full(len(points), np.inf)
+        while len(picked) < min(count, len(points)):
+            nearest = np.minimum(nearest, power_sums(points - points[picked[-1]], spec.p))
+            picked.append(int(nearest.argmax()))
+        return Pivots(points[picked] if len(points) else points, spec)
+
+    def far(self, vectors: np.ndarray) -> np.ndarray:
+        """Distances (rooted) of vectors to all pivots."""
+        sums = np.stack([power_sums(vectors - pivot, self.spec.p) for pivot in self.points], axis=1)
+        return sums if math.isinf(self.spec.p) else sums ** (1 / self.spec.p)
+
+
+def _pivot_batches(batches: Iterator[pa.RecordBatch], pivots: Pivots) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, 1024):
+            some = batch.slice(at, 1024)
+            far = pivots.far(matrix(some.column(1)))
+            cell = far.argmin(axis=1)
+            yield pa.RecordBatch.from_arrays([*some.columns, pa.array(cell.astype(np.int32)), pa.array(far[np.arange(len(far)), cell])], names=["id", "vec", "cell", "far"])
+
+
+def _reach_batches(batches: Iterator[pa.RecordBatch], pivots: Pivots, least: np.ndarray, most: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """For each query ``id, vec, reach`` the cells that can hold a row no farther than ``reach``, and its distances to their pivots."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, 1024):
+            some = batch.slice(at, 1024)
+            far, reach = pivots.far(matrix(some.column(1))), some.column(2).to_numpy()[:, None]
+            bound = np.maximum(np.maximum(far - most, least - far), (far - far.min(axis=1, keepdims=True)) / 2)
+            rows, cells = np.nonzero(bound <= reach + 1e-9 * far)
+            yield pa.RecordBatch.from_arrays([some.column(0).take(pa.array(rows)), some.column(2).take(pa.array(rows)), pa.array(cells.astype(np.int32)), pa.array(far[rows, cells])], names=["id", "reach", "cell", "far"])
+
+
+def pruned_tiles(x: DataFrame, pivots: Pivots, y: DataFrame | None = None, id_col: str = "vec_id", vector_col: str = "embedding", chunk_rows: int = CHUNK_ROWS) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``corpus(id, vec, cell, chunk)``, ``asked(id, vec)`` and ``tiles(id, cell, chunk)``: whom each query has to
+    be compared with to have its exact neighbours."""
+    spec = pivots.spec
+    dims = pivots.points.shape[1]
+    usable_ones = lambda df: vectors_of(df, spec, id_col, vector_col).where(F.size("vec") == dims)
+    near = lambda df: df.mapInArrow(lambda b: _pivot_batches(b, pivots), "id long, vec array<double>, cell int, far double")
+    corpus = materialise(near(usable_ones(x if y is None else y)), "rows-by-pivot")
+    asked = materialise(near(usable_ones(x).dropDuplicates(["id"])), "queries-by-pivot")
+    cells = corpus.groupBy("cell").agg(F.count("*").alias("n"), F.min("far").alias("least"), F.max("far").alias("most"))
+    ends = cells.collect()  # a row for each pivot
+    rings = F.broadcast(cells.select("cell", F.ceil(F.col("n") / chunk_rows).alias("rings"), "least", ((F.col("most") - F.col("least")) / F.ceil(F.col("n") / chunk_rows)).alias("width")))
+    ring = lambda far: F.least(F.greatest(F.floor(F.when(F.col("width") > 0, (far - F.col("least")) / F.col("width")).otherwise(0)), F.lit(0)), F.col("rings") - 1)
+    corpus = corpus.join(rings, "cell").withColumn("ring", ring(F.col("far"))).select("id", "vec", "cell", "far", "ring")
+    sizes = corpus.groupBy("cell", "ring").agg(F.ceil(F.count("*") / chunk_rows).alias("parts"), F.min("far").alias("inner"), F.max("far").alias("outer"))
+    sizes = materialise(sizes, "rings")
+    chunk = lambda part: F.shiftleft(F.shiftleft("ring", PART_BITS) + part, BLOCK_BITS).alias("chunk")
+    corpus = corpus.join(sizes, ["cell", "ring"]).select("id", "vec", "cell", chunk(F.pmod(F.xxhash64("id", "vec"), F.col("parts"))))
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part")
+    # a query's own ring first: the nearest ring of its nearest cell that has rows
+    gap = F.greatest(F.col("inner") - F.col("far"), F.col("far") - F.col("outer"), F.lit(0.0))
+    own = asked.select("id", "far", "cell").join(sizes, "cell").groupBy("id", "cell").agg(F.min_by(F.struct("ring", "parts"), F.struct(gap, "ring")).alias("r"))
+    first = materialise(own.select("id", "cell", F.col("r.ring").alias("ring"), F.col("r.parts").alias("parts")).select("id", "cell", chunk(F.pmod(F.xxhash64("id"), F.col("parts")))), "own-tiles")
+    reach = F.col("dist") if spec.root or math.isinf(spec.p) else F.pow("dist", F.lit(1 / spec.p))
+    kth = _searched(corpus, asked, first, spec).where(F.col("rk") == spec.k).select(F.col("i").alias("id"), (reach * (1 + 1e-9) + 1e-12).alias("reach"))
+    least, most = (np.full(len(pivots.points), fill) for fill in (np.inf, -np.inf))
+    for r in ends:
+        least[r["cell"]], most[r["cell"]] = r["least"] * (1 - 1e-9) - 1e-12, r["most"] * (1 + 1e-9) + 1e-12
+    within = asked.select("id", "vec").join(kth, "id", "left").select("id", "vec", F.coalesce("reach", F.lit(math.inf)).alias("reach"))
+    reached = within.mapInArrow(lambda b: _reach_batches(b, pivots, least, most), "id long, reach double, cell int, far double").join(sizes, "cell")
+    slack = F.lit(1e-9) * (F.col("far") + F.col("outer")) + 1e-12
+    tiles = reached.where(F.greatest(F.col("inner") - F.col("far"), F.col("far") - F.col("outer")) <= F.col("reach") + slack).select("id", "cell", "ring", every).select("id", "cell", chunk(F.col("part")))
+    return corpus, asked.select("id", "vec"), materialise(tiles, "tiles")
+
+
+def _searched(corpus: DataFrame, asked: DataFrame, tiles: DataFrame, spec: Knn) -> DataFrame:
+    """Neighbours of the queries in the tiles given; a chunk that many ask is compared in several blocks."""
+    blocks = F.least(F.ceil(F.col("count") / BLOCK_ROWS), F.lit(1 << BLOCK_BITS)).alias("blocks")
+    asking = tiles.groupBy("cell", "chunk").count().select("cell", "chunk", blocks)
+    each = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block")
+    held = corpus.join(asking, ["cell", "chunk"]).select("id", "vec", "cell", "chunk", each).select("id", "vec", "cell", (F.col("chunk") + F.col("block")).alias("chunk"))
+    sent = tiles.join(asking, ["cell", "chunk"]).select("id", "cell", (F.col("chunk") + F.pmod(F.xxhash64("id"), F.col("blocks"))).alias("chunk"))
+    sent = asked.select("id", "vec").join(sent, "id").select("id", "vec", "cell", "chunk")
+    return merged(stream(held, sent).mapInArrow(lambda b: _search_batches(b, spec), FOUND), spec.k)
+
+
+def knn_pruned(x: DataFrame, pivots: Pivots, y: DataFrame | None = None, id_col: str = "vec_id", vector_col: str = "embedding", chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    """As :func:`knn_exact`, with the same result, comparing a query only with what the triangle inequality
+    cannot rule out.
+
+    For every p from 1 on (below it there is no triangle inequality: ``ValueError``).  Corpus rows belong to their
+    nearest pivot and to a ring around it.  A query searches its own ring first; its k-th distance there is
+    its reach.  A ring lies beyond it if the query's distance to the pivot differs from the ring's by more, and a
+    cell also if its pivot is farther than the query's own by more than twice that.  Queries whose own ring holds
+    fewer than ``k`` rows search everything.  All vectors must have the length of the pivots; others take no part.
+    """
+    if pivots.spec.p < 1:
+        raise ValueError("rows can be ruled out for p of 1 or more only")
+    if not len(pivots.points):
+        return knn_exact(x, pivots.spec, y, id_col, vector_col)
+    corpus, asked, tiles = pruned_tiles(x, pivots, y, id_col, vector_col, chunk_rows)
+    return _searched(corpus, asked, tiles, pivots.spec)
 
 
 def packed(knn: DataFrame) -> DataFrame:

@@ -18,7 +18,8 @@ from basinflow.sources.tables import sample_rows
 
 @dataclass(frozen=True)
 class Settings:
-    """``k_density`` None uses the graph's own distances; ``nlist`` None searches exactly; ``ft_iters``
+    """``k_density`` None uses the graph's own distances; ``nlist`` None searches exactly, else in cells around
+    centres found by k-means, or ``given`` ones (rows of the table); ``ft_iters``
     steps of fine-tuning come first, towards ``n_components`` (None: the number of classes)."""
 
     k_graph: int = 10
@@ -31,6 +32,7 @@ class Settings:
     num_tau: int = 1
     nlist: int | None = None
     nprobe: int = 4
+    given: bool = False
     ft_iters: int = 0
     n_components: int | None = None
     seed: int = 47
@@ -40,7 +42,8 @@ def neighbours(x: DataFrame, k: int, s: Settings) -> DataFrame:
     spec = Knn(k)
     if s.nlist is None:
         return materialise(knn_exact(x, spec), "knn")
-    return materialise(knn_ivf(x, InvertedFile.fit(x, spec, s.nlist, seed=s.seed), s.nprobe), "knn")
+    file = InvertedFile.of_rows(x, spec, s.nlist) if s.given else InvertedFile.fit(x, spec, s.nlist, seed=s.seed)
+    return materialise(knn_ivf(x, file, s.nprobe), "knn")
 
 
 def graph_and_density(x: DataFrame, dim: int, s: Settings) -> tuple[DataFrame, DataFrame]:

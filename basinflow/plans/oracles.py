@@ -23,6 +23,14 @@ def neighbours(dist: str = gap_sum(2), shift: int = 0, base: str = "e") -> str:
     knn AS MATERIALIZED (SELECT i, row_number() OVER (PARTITION BY i ORDER BY dist, j) AS rk, j, dist FROM all_pairs QUALIFY rk <= {K})"""
 
 
+def cell_neighbours(cells: int, probed: int) -> str:
+    """``knn(i, rk, j, dist)`` within the ``probed`` nearest of the cells around ``cells`` rows."""
+    return f"""centre AS MATERIALIZED (SELECT id, v FROM e ORDER BY md5('47 ' || id), id LIMIT {cells}),
+    cells AS MATERIALIZED (SELECT a.id, b.id AS c, row_number() OVER (PARTITION BY a.id ORDER BY {gap_sum(2)}, b.id) AS nth FROM e a, centre b),
+    all_pairs AS (SELECT a.id AS i, b.id AS j, {gap_sum(2)} AS dist FROM cells q JOIN cells o ON o.c = q.c AND o.nth = 1 AND q.nth <= {probed} JOIN e a ON a.id = q.id JOIN e b ON b.id = o.id),
+    knn AS MATERIALIZED (SELECT i, row_number() OVER (PARTITION BY i ORDER BY dist, j) AS rk, j, dist FROM all_pairs QUALIFY rk <= {K})"""
+
+
 DENSITY = f"dens AS MATERIALIZED (SELECT i, {-DIM / 2} * ln(avg(dist * dist)) AS f FROM knn GROUP BY i)"
 UPHILL = "up AS MATERIALIZED (SELECT k.i, k.rk, k.j, a.f AS fi, b.f AS fj FROM knn k JOIN dens a ON a.i = k.i JOIN dens b ON b.i = k.j WHERE b.f > a.f)"
 PARENTS = "par AS MATERIALIZED (SELECT d.i, coalesce(arg_max(u.j, (u.fj, -u.rk)), d.i) AS parent FROM dens d LEFT JOIN up u ON u.i = d.i GROUP BY d.i)"
@@ -94,6 +102,12 @@ def scores(tau: str) -> str:
 EXPERIMENT_TAUS = ["0::DOUBLE", "1::DOUBLE", "2::DOUBLE", "'inf'::DOUBLE"]
 
 
+def experiment(start: str, taus: str, each: list[str]) -> str:
+    return f"""{sweep(taus, start)}, asg AS MATERIALIZED (SELECT tau, a.i, b.i AS root FROM (SELECT tau, unnest(root) AS r, unnest(range(1, len(root) + 1)) AS s FROM fin) x JOIN ord a ON a.s = x.s JOIN ord b ON b.s = x.r)
+        SELECT {TAU_TEXT}, clusters, round(agreement, 6) AS agreement, round(ami, 6) AS ami, round(nmi, 6) AS nmi, round(accuracy, 6) AS accuracy
+        FROM ({" UNION ALL ".join(scores(t) for t in each)})"""
+
+
 def steps(p: str) -> str:
     values = {"max": "list_max(list_transform(list_zip(a.v, b.v), lambda z: abs(z[1] - z[2])))", "min": "list_min(list_transform(list_zip(a.v, b.v), lambda z: abs(z[1] - z[2])))"}
     dist = values[p] if p in values else f"pow({gap_sum(int(p))}, 1.0 / {p})"
@@ -192,8 +206,9 @@ SQL: dict[str, str] = {
             SELECT s.batch, s.position + 1, g.id, list_transform(list_zip(s.ds, g.ds), lambda z: least(z[1], z[2]))
             FROM st s JOIN gaps g ON g.batch = s.batch AND g.nth = list_position(s.ds, list_max(s.ds)) WHERE s.position < 31)
         SELECT batch::INT AS batch, position::INT AS position, id FROM st""",
-    "experiment": f"""{sweep("[0, 1, 2, 'inf'::DOUBLE]")}, asg AS MATERIALIZED (SELECT tau, a.i, b.i AS root FROM (SELECT tau, unnest(root) AS r, unnest(range(1, len(root) + 1)) AS s FROM fin) x JOIN ord a ON a.s = x.s JOIN ord b ON b.s = x.r)
-        SELECT {TAU_TEXT}, clusters, round(agreement, 6) AS agreement, round(ami, 6) AS ami, round(nmi, 6) AS nmi, round(accuracy, 6) AS accuracy
-        FROM ({" UNION ALL ".join(scores(t) for t in EXPERIMENT_TAUS)})""",
+    "experiment": experiment(BASE, "[0, 1, 2, 'inf'::DOUBLE]", EXPERIMENT_TAUS),
+    "experiment_ivf_given": experiment(f"WITH RECURSIVE {vectors()}, {cell_neighbours(5, 4)}, {DENSITY}", "[0, 'inf'::DOUBLE]", [EXPERIMENT_TAUS[0], EXPERIMENT_TAUS[-1]]),
+    "knn_pruned": found(),
+    "knn_ivf_given": f"WITH {vectors()}, {cell_neighbours(5, 4)} SELECT i, rk::INT AS rk, j, round(dist, 6) AS dist FROM knn",
     "no_reduction": f"WITH {vectors()} SELECT id AS vec_id, round(list_sum(v), 6) AS total FROM e",
 }

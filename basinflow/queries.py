@@ -67,6 +67,17 @@ def knn_ivf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(knn.knn_ivf(x, InvertedFile.fit(x, Knn(K), nlist=5), nprobe=4), "dist")
 
 
+def knn_ivf_given(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As :func:`knn_ivf`, with five rows of the table as centres, so that the result is the same everywhere."""
+    x = tables.points(spark, sf_dir)
+    return rounded(knn.knn_ivf(x, InvertedFile.of_rows(x, Knn(K), 5), nprobe=4), "dist")
+
+
+def knn_pruned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = tables.points(spark, sf_dir)
+    return rounded(knn.knn_pruned(x, knn.Pivots.fit(x, Knn(K))), "dist")
+
+
 def knn_ivfpq(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = tables.points(spark, sf_dir)
     file = InvertedFile.fit(x, Knn(K), nlist=5)
@@ -322,6 +333,12 @@ def experiment_ivf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(scores.withColumn("tau", F.col("tau").cast("string")), "agreement", "ami", "nmi", "accuracy")
 
 
+def experiment_ivf_given(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As :func:`experiment_ivf`, around five rows of the table."""
+    scores = experiment.run(tables.points(spark, sf_dir), DIM, experiment.Settings(tau_max=2.0, num_tau=1, nlist=5, nprobe=4, given=True))["scores"]
+    return rounded(scores.withColumn("tau", F.col("tau").cast("string")), "agreement", "ami", "nmi", "accuracy")
+
+
 QUERIES: dict[str, Query] = {
     "cluster_sizes": cluster_sizes,
     "pnorm_l1": pnorm_query(1),
@@ -337,6 +354,8 @@ QUERIES: dict[str, Query] = {
     "knn_packed": knn_packed,
     "knn_ivf_full_probe": knn_ivf_full,
     "knn_ivf": knn_ivf,
+    "knn_ivf_given": knn_ivf_given,
+    "knn_pruned": knn_pruned,
     "knn_ivfpq": knn_ivfpq,
     "dtm": dtm_query,
     "dtm_density": density_query(dim=2, q=2),
@@ -387,4 +406,5 @@ QUERIES: dict[str, Query] = {
     "coreset_greedy": coreset_greedy,
     "experiment": experiment_scores,
     "experiment_ivf": experiment_ivf,
+    "experiment_ivf_given": experiment_ivf_given,
 }

@@ -409,6 +409,67 @@ def test_tiles_of_the_exact_search(spark, monkeypatch):
     assert sorted(tuple(r) for r in knn.knn_exact(x, Knn(5), chunk_rows=7).collect()) == one
 
 
+def clustered(spark, n, dims, centres, seed=14, spread=0.2):
+    rng = np.random.default_rng(seed)
+    middle = rng.normal(size=(centres, dims)) * 4
+    return points(spark, [(i, (middle[rng.integers(0, centres)] + rng.normal(size=dims) * spread).astype(np.float32).tolist(), 0) for i in range(n)])
+
+
+@pytest.mark.parametrize("spec", [Knn(5), Knn(5, p=1), Knn(3, p=math.inf), Knn(4, p=3, root=True), Knn(5, normalize=True)])
+def test_pruned_search_equals_the_exact_one(spark, spec):
+    x = clustered(spark, 400, 4, 6).unionByName(points(spark, [(1000 + k, [0.5, 0.5, 0.5, 0.5], 0) for k in range(30)] + [(2000, None, 0), (2001, [1.0, math.nan, 0.0, 0.0], 0), (None, [0.0] * 4, 0)]))
+    exact = sorted(tuple(r) for r in knn.knn_exact(x, spec).collect())
+    for count, chunk in ((6, 40), (1, 25), (500, 10)):
+        assert sorted(tuple(r) for r in knn.knn_pruned(x, knn.Pivots.fit(x, spec, count), chunk_rows=chunk).collect()) == exact
+    y = x.where("vec_id % 3 = 0").withColumn("vec_id", F.col("vec_id") + 5000)
+    crossed = sorted(tuple(r) for r in knn.knn_exact(x, spec, y).collect())
+    assert sorted(tuple(r) for r in knn.knn_pruned(x, knn.Pivots.fit(y, spec, 5), y, chunk_rows=20).collect()) == crossed
+
+
+def test_pruning_skips_most_tiles_of_clustered_vectors(spark, monkeypatch):
+    monkeypatch.setattr(knn, "BLOCK_ROWS", 50)  # several blocks a chunk
+    x = clustered(spark, 2000, 8, 20)
+    corpus, asked, tiles = knn.pruned_tiles(x, knn.Pivots.fit(x, Knn(5), 20), chunk_rows=50)
+    share = tiles.count() / (asked.count() * corpus.select("cell", "chunk").distinct().count())
+    assert share < 1 / 3, share
+    assert sorted(tuple(r) for r in knn.knn_pruned(x, knn.Pivots.fit(x, Knn(5), 20), chunk_rows=50).collect()) == sorted(tuple(r) for r in knn.knn_exact(x, Knn(5)).collect())
+
+
+def test_pruned_search_edge_cases(spark):
+    empty = points(spark, [])
+    assert knn.knn_pruned(empty, knn.Pivots.fit(empty, Knn(2))).count() == 0
+    few = points(spark, [(1, [0.0, 1.0], 0), (2, [3.0, 1.0], 0), (3, [1.0], 0)])
+    assert {(r.i, r.j) for r in knn.knn_pruned(few, knn.Pivots.fit(few, Knn(5))).collect()} == {(1, 1), (1, 2), (2, 1), (2, 2)}
+    with pytest.raises(ValueError):
+        knn.knn_pruned(few, knn.Pivots.fit(few, Knn(2, p=-math.inf)))
+
+
+def test_blocks_of_queries_find_what_one_by_one_finds():
+    rng = np.random.default_rng(15)
+    corpus, ids = rng.integers(0, 4, size=(300, 3)).astype(float), rng.permutation(300)
+    queries = rng.integers(0, 4, size=(40, 3)).astype(float)
+    for spec in (Knn(7), Knn(7, p=1), Knn(7, p=math.inf), Knn(400), Knn(7, root=True)):
+        rows, near, dist = knn.compare(corpus, ids, queries, spec)
+        for q in range(40):
+            plain = sorted((float(knn.power_sums(c - queries[q], spec.p)), int(i)) for c, i in zip(corpus, ids))[: spec.k]
+            assert [(round(d**2 if spec.root else d, 9), j) for d, j in zip(dist[rows == q].tolist(), near[rows == q].tolist())] == plain
+
+
+def test_codes_are_stored_and_searched(spark):
+    x = clustered(spark, 1500, 16, 12, spread=1.0)
+    file = InvertedFile.fit(x, Knn(5), nlist=6)
+    books = Codebooks.fit(x, file, bits=6, width=2)
+    codes = knn.coded_table(x, file, books)
+    assert codes.columns == ["id", "cell", "code"] and {len(r.code) for r in codes.collect()} == {8}
+    exact = {(r.i, r.j) for r in knn.knn_exact(x, Knn(5)).collect()}
+    found = knn.knn_ivfpq(x, file, books, nprobe=2, codes=codes, chunk_rows=100).collect()
+    assert len({(r.i, r.j) for r in found} & exact) >= 0.95 * len(exact)
+    rough = {(r.i, r.j): r.dist for r in knn.knn_ivfpq(x, file, books, nprobe=6, codes=codes, rerank=0).collect()}
+    assert len(set(rough) & exact) >= 0.4 * len(exact)
+    wide = Codebooks(np.random.default_rng(1).normal(size=(2, 300, 8)))
+    assert {len(r.code) for r in knn.coded_table(x, file, wide).collect()} == {4}
+
+
 def test_projection_of_ragged_vectors(spark):
     x = points(spark, [(1, [1.0, 2.0], 0), (2, [1.0, 2.0, 3.0], 0), (3, [], 0), (4, [None, 1.0], 0), (5, None, 0), (6, [3.0, 4.0], 0)])
     projector = reduction.RandomProjector(3, seed=11)

@@ -120,9 +120,10 @@ def plot_points(reduced: DataFrame, labels: DataFrame, top: DataFrame | None = N
     """``i, x0, x1, label, is_top``: what a scatter plot of clusters shows.
 
     ``reduced`` holds two components in ``reduced``, ``labels(i, label)`` the clusters and ``top(birth)``
-    the points to be marked.  Raises ``ValueError`` unless ``reduced`` is there.
+    the points to be marked.  Raises ``ValueError`` unless ``reduced`` is there and has two components in every
+    row that is not null.
     """
-    if "reduced" not in reduced.columns:
+    if "reduced" not in reduced.columns or not reduced.where(F.size("reduced") != 2).where("reduced is not null").isEmpty():
         raise ValueError("points must be reduced to two dimensions first")
     points = reduced.select(F.col(id_col).alias("i"), F.element_at("reduced", 1).alias("x0"), F.element_at("reduced", 2).alias("x1")).join(labels, "i")
     if top is None:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from basinflow.functions.vectors import pnorm
-from basinflow.operators import coreset, density, evaluation, finetune, knn, modes, persistence, reduction
+from basinflow.operators import coreset, density, evaluation, finetune, knn, layout, modes, persistence, reduction
 from basinflow.operators.knn import Codebooks, InvertedFile, Knn
 from basinflow.plans import experiment
 from basinflow.sources import tables
@@ -314,6 +314,16 @@ def principal_plane(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reduction.plot_points(reduction.PrincipalComponents(2).fit_transform(x), modes.labelled(roots).select("i", "label"), top)
 
 
+def layout_query(reducer: Callable[[], reduction.Reducer]) -> Query:
+    """Every point's place in a layout of the plane."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        found = reducer().fit_transform(tables.points(spark, sf_dir))
+        return found.select("vec_id", F.col("reduced")[0].alias("x"), F.col("reduced")[1].alias("y"))
+
+    return run
+
+
 def sample_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.sample_rows(tables.points(spark, sf_dir), 300).select("vec_id", "label")
 
@@ -402,6 +412,8 @@ QUERIES: dict[str, Query] = {
     "random_projection": random_projection,
     "no_reduction": no_reduction,
     "principal_plane": principal_plane,
+    "tsne_plane": layout_query(layout.TSNE),
+    "umap_plane": layout_query(layout.UMAP),
     "sample_rows": sample_rows,
     "coreset_greedy": coreset_greedy,
     "experiment": experiment_scores,

@@ -4,16 +4,22 @@ Every batch draws its own pool of ``budget * oversampling`` rows and picks ``bud
 farthest-first traversal.  Pools are independent, so batches are groups of a grouped map: many run at
 once, and a group is no larger than its pool.  Rows compete for a pool among those of their salt first, so
 no task ranks the table.
+
+A core-set of the whole table is composed: every group of rows gives its own, groups of those give theirs, and
+so on up a tree, so each task sees a bounded number of rows and every row is looked at.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from basinflow.functions.vectors import doubles, usable
+from basinflow.operators.knn import Knn, knn_exact
+from basinflow.sources.shared import materialise
 
 
 def farthest_first(points: np.ndarray, budget: int) -> np.ndarray:
@@ -53,3 +59,48 @@ def greedy_core_sets(points: DataFrame, budget: int, oversampling_factor: int, n
         return pd.DataFrame({"batch": group["batch"].iloc[0], "position": np.arange(len(picked), dtype=np.int32), "id": group["id"].to_numpy()[picked]})
 
     return each.select("batch", "nth", "id", "vec").groupBy("batch").applyInPandas(run, "batch int, position int, id long")
+
+
+def _pick(table: pa.Table, budget: int) -> pa.Table:
+    """The core-set of a group of rows ``part, key, id, vec``, in order of choice, with the distance of each row
+    to those chosen before it (the first one's is infinite)."""
+    table = table.sort_by([("key", "ascending"), ("id", "ascending")]).combine_chunks()
+    sizes = table.column("vec").chunk(0).offsets.to_numpy()
+    vectors = np.zeros((table.num_rows, int(np.diff(sizes).max(initial=0))))  # shorter vectors are filled with zeros
+    vectors[np.arange(vectors.shape[1])[None, :] < np.diff(sizes)[:, None]] = table.column("vec").chunk(0).flatten().to_numpy()
+    order = farthest_first(vectors, budget)
+    far, nearest = np.full(len(order), np.inf), np.full(len(vectors), np.inf)
+    for position, at in enumerate(order):
+        far[position] = np.sqrt(nearest[at])
+        nearest = np.minimum(nearest, ((vectors - vectors[at]) ** 2).sum(axis=1))
+    rows = table.take(pa.array(order)).select(["part", "key", "id", "vec"])
+    return rows.append_column("position", pa.array(np.arange(len(order), dtype=np.int32))).append_column("distance", pa.array(far))
+
+
+def covering_core_set(points: DataFrame, budget: int, group_rows: int = 65_536, fan_in: int = 32, seed: int = 47, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """``position, id, distance``: ``budget`` rows that cover the whole table, farthest first.
+
+    ``distance`` is to the nearest row chosen before (null for the first).  Groups of about ``group_rows`` rows are
+    dealt by an MD5 of the id; their core-sets, ``fan_in`` at a time, are cut down again until one is left.  A
+    row lies within the group's radius of what its group chose, and that within the next one's: after one
+    level of groups the radius is at most four times the smallest possible one.  A task holds ``group_rows`` rows, or
+    ``fan_in * budget``.  Unusable vectors and null ids take no part; of rows with one id that with the smallest
+    vector counts; with fewer ids than the budget all are returned.
+    """
+    rows = points.where(F.col(id_col).isNotNull() & usable(F.col(vector_col))).groupBy(F.col(id_col).cast("long").alias("id")).agg(F.min(doubles(F.col(vector_col))).alias("vec"))
+    rows = rows.withColumn("key", F.md5(F.concat_ws(" ", F.lit(str(seed)), F.col("id").cast("string"))))
+    groups = max(1, -(-rows.count() // group_rows))
+    part = F.conv(F.substring("key", 1, 7), 16, 10).cast("long") % groups
+    schema = "part long, key string, id long, vec array<double>, position int, distance double"
+    held = rows.select(part.alias("part"), "key", "id", "vec").groupBy("part").applyInArrow(lambda t: _pick(t, budget), schema)
+    while groups > 1:
+        groups = -(-groups // fan_in)
+        held = materialise(held, "core-sets").select(F.expr(f"part div {fan_in}").alias("part"), "key", "id", "vec")
+        held = held.groupBy("part").applyInArrow(lambda t: _pick(t, budget), schema)
+    return held.select("position", "id", F.when(F.col("position") > 0, F.col("distance")).alias("distance"))
+
+
+def covering_radius(points: DataFrame, chosen: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """``radius``: the largest distance of a row to the nearest of the rows ``chosen(id)``."""
+    centres = points.join(chosen.select(F.col("id").alias(id_col)), id_col, "left_semi")
+    return knn_exact(points, Knn(1, root=True), centres, id_col, vector_col).agg(F.max("dist").alias("radius"))

@@ -222,8 +222,3 @@ def k_centre_labels_by_cell(points: DataFrame, roots: DataFrame, cells: int, id_
     """``cell, i, centre``: :func:`k_centre_labels` for each of the ``cells`` clusterings ``roots(cell, i, root)``."""
     centres = roots.select("cell", F.col("root").alias(id_col)).distinct().join(points.select(id_col, vector_col), id_col)
     return knn_by_cell(points, centres, cells, Knn(1), id_col, vector_col).select("cell", "i", F.col("j").alias("centre"))
-
-
-def write_metrics(metrics: DataFrame, path: str) -> None:
-    """Append metric rows to a table of them."""
-    metrics.write.mode("append").parquet(path)

@@ -102,6 +102,21 @@ def scores(tau: str) -> str:
 EXPERIMENT_TAUS = ["0::DOUBLE", "1::DOUBLE", "2::DOUBLE", "'inf'::DOUBLE"]
 
 
+def covering(budget: int, group_rows: int) -> str:
+    """``st2(position, id, far)``: farthest first in groups, then among what they chose."""
+    walk = lambda n: f"""gaps{n} AS MATERIALIZED (SELECT a.part, a.nth, any_value(a.id) AS id, list({gap_sum(2)} ORDER BY b.nth) AS ds FROM pool{n} a JOIN pool{n} b ON a.part = b.part GROUP BY a.part, a.nth),
+        st{n} AS (SELECT part, 0 AS position, id, ds, NULL::DOUBLE AS far FROM gaps{n} WHERE nth = 1
+            UNION ALL
+            SELECT s.part, s.position + 1, g.id, list_transform(list_zip(s.ds, g.ds), lambda z: least(z[1], z[2])), sqrt(list_max(s.ds))
+            FROM st{n} s JOIN gaps{n} g ON g.part = s.part AND g.nth = list_position(s.ds, list_max(s.ds)) WHERE s.position < {budget - 1})"""
+    return f"""WITH RECURSIVE {vectors()}, keyed AS MATERIALIZED (SELECT id, v, md5('47 ' || id) AS key FROM e),
+        pool1 AS MATERIALIZED (SELECT ('0x' || substr(key, 1, 7))::BIGINT % g AS part, id, v, row_number() OVER (PARTITION BY ('0x' || substr(key, 1, 7))::BIGINT % g ORDER BY key, id) AS nth
+            FROM keyed, (SELECT ceil(count(*) / {group_rows}::DOUBLE)::BIGINT AS g FROM e)),
+        {walk(1)},
+        pool2 AS MATERIALIZED (SELECT 0 AS part, id, v, row_number() OVER (ORDER BY key, id) AS nth FROM keyed WHERE id IN (SELECT id FROM st1)),
+        {walk(2)}"""
+
+
 def experiment(start: str, taus: str, each: list[str]) -> str:
     return f"""{sweep(taus, start)}, asg AS MATERIALIZED (SELECT tau, a.i, b.i AS root FROM (SELECT tau, unnest(root) AS r, unnest(range(1, len(root) + 1)) AS s FROM fin) x JOIN ord a ON a.s = x.s JOIN ord b ON b.s = x.r)
         SELECT {TAU_TEXT}, clusters, round(agreement, 6) AS agreement, round(ami, 6) AS ami, round(nmi, 6) AS nmi, round(accuracy, 6) AS accuracy
@@ -206,9 +221,14 @@ SQL: dict[str, str] = {
             SELECT s.batch, s.position + 1, g.id, list_transform(list_zip(s.ds, g.ds), lambda z: least(z[1], z[2]))
             FROM st s JOIN gaps g ON g.batch = s.batch AND g.nth = list_position(s.ds, list_max(s.ds)) WHERE s.position < 31)
         SELECT batch::INT AS batch, position::INT AS position, id FROM st""",
+    "coreset_covering": f"{covering(16, 128)} SELECT position::INT AS position, id, round(far, 6) AS distance FROM st2",
+    "covering_radius": f"{covering(16, 128)} SELECT round(sqrt(max(d)), 6) AS radius FROM (SELECT a.id, min({gap_sum(2)}) AS d FROM e a, e b WHERE b.id IN (SELECT id FROM st2) GROUP BY a.id)",
+    "density_digraph": f"{BASE} SELECT k.j AS src, k.i AS dst, round(a.f - b.f, 2) AS weight FROM knn k JOIN dens a ON a.i = k.i JOIN dens b ON b.i = k.j",
+    "archive_scan": f"WITH {vectors()} SELECT id AS vec_id, label::BIGINT AS label, round(list_sum(v), 6) AS total FROM e",
     "experiment": experiment(BASE, "[0, 1, 2, 'inf'::DOUBLE]", EXPERIMENT_TAUS),
     "experiment_ivf_given": experiment(f"WITH RECURSIVE {vectors()}, {cell_neighbours(5, 4)}, {DENSITY}", "[0, 'inf'::DOUBLE]", [EXPERIMENT_TAUS[0], EXPERIMENT_TAUS[-1]]),
     "knn_pruned": found(),
     "knn_ivf_given": f"WITH {vectors()}, {cell_neighbours(5, 4)} SELECT i, rk::INT AS rk, j, round(dist, 6) AS dist FROM knn",
     "no_reduction": f"WITH {vectors()} SELECT id AS vec_id, round(list_sum(v), 6) AS total FROM e",
 }
+SQL["metric_table"] = f"SELECT run, metric, value FROM ({SQL['class_metrics']}), (SELECT unnest(['first', 'second']) AS run)"

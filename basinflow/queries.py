@@ -15,8 +15,8 @@ from basinflow.functions.vectors import pnorm
 from basinflow.operators import coreset, density, evaluation, finetune, knn, layout, modes, persistence, reduction
 from basinflow.operators.knn import Codebooks, InvertedFile, Knn
 from basinflow.plans import experiment
-from basinflow.sources import tables
-from basinflow.sources.shared import materialise
+from basinflow.sources import archive, metrics, tables
+from basinflow.sources.shared import fresh_path, materialise
 
 K, DIM, Q = 10, 64, 2
 TAUS = [0.0, 0.5, 2.0, math.inf]
@@ -332,6 +332,37 @@ def coreset_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coreset.greedy_core_sets(tables.points(spark, sf_dir), budget=32, oversampling_factor=4, num_batches=4)
 
 
+def coreset_covering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A core-set of all vectors, composed from groups of about 128."""
+    return rounded(coreset.covering_core_set(tables.points(spark, sf_dir), budget=16, group_rows=128, fan_in=8), "distance")
+
+
+def covering_radius(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = tables.points(spark, sf_dir)
+    return rounded(coreset.covering_radius(x, coreset.covering_core_set(x, budget=16, group_rows=128, fan_in=8)), "radius")
+
+
+def density_digraph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The neighbour graph with its density steps as weights."""
+    return tables.weighted_digraph(*graph_density(spark, sf_dir))
+
+
+def archive_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The vectors written as tensor archives and read again by ranges."""
+    folder = fresh_path(spark, "archives")
+    archive.write_archives(tables.points(spark, sf_dir), folder)
+    total = F.aggregate("encodings", F.lit(0.0), lambda s, v: s + v)
+    return archive.read_archives(spark, folder, split_bytes=1 << 20).select(F.col("ids").alias("vec_id"), F.col("labels").alias("label"), F.round(total, 6).alias("total"))
+
+
+def metric_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metrics of two runs, one of them written twice, as the table of metrics has them."""
+    path, found = fresh_path(spark, "metrics"), materialise(class_metrics(spark, sf_dir), "metrics")
+    for run in ("first", "second", "first"):
+        metrics.write_metrics(found, path, run)
+    return metrics.read_metrics(spark, path)
+
+
 def experiment_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     scores = experiment.run(tables.points(spark, sf_dir), DIM, experiment.Settings(tau_max=2.0, num_tau=3))["scores"]
     return rounded(scores.withColumn("tau", F.col("tau").cast("string")), "agreement", "ami", "nmi", "accuracy")
@@ -416,6 +447,11 @@ QUERIES: dict[str, Query] = {
     "umap_plane": layout_query(layout.UMAP),
     "sample_rows": sample_rows,
     "coreset_greedy": coreset_greedy,
+    "archive_scan": archive_scan,
+    "metric_table": metric_table,
+    "coreset_covering": coreset_covering,
+    "covering_radius": covering_radius,
+    "density_digraph": density_digraph,
     "experiment": experiment_scores,
     "experiment_ivf": experiment_ivf,
     "experiment_ivf_given": experiment_ivf_given,

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from basinflow.functions.vectors import ln_factorial, pnorm
 from basinflow.operators import coreset, density, evaluation, finetune, knn, modes, persistence, reduction
 from basinflow.operators.knn import Codebooks, InvertedFile, Knn
-from basinflow.sources import tables
+from basinflow.sources import archive, metrics, tables
 
 
 def plain_sweep(near, f, tau, greedy=False):
@@ -344,9 +344,92 @@ def test_gather_and_metrics_sink(spark, tmp_path):
     ids = spark.createDataFrame([(2,), (2,), (7,)], "vec_id long")
     assert [r.x for r in tables.gather(df, ids).collect()] == ["b", "b"]
     rows = spark.createDataFrame([("m", 1.0)], "metric string, value double")
+    path = str(tmp_path / "m")
+    assert metrics.read_metrics(spark, path).count() == 0
     for _ in range(2):
-        evaluation.write_metrics(evaluation.prefixed(rows, "ft"), str(tmp_path / "m"))
-    assert [r.metric for r in spark.read.parquet(str(tmp_path / "m")).collect()] == ["ft/m", "ft/m"]
+        metrics.write_metrics(evaluation.prefixed(rows, "ft"), path, "a/b")
+    metrics.write_metrics(rows.withColumn("value", F.lit(None).cast("double")), path, "c")
+    assert sorted(tuple(r) for r in metrics.read_metrics(spark, path).collect()) == [("a/b", "ft/m", 1.0), ("c", "m", None)]
+    metrics.write_metrics(rows.limit(0), path, "a/b")
+    assert [r.run for r in metrics.read_metrics(spark, path).collect()] == ["c"]
+
+
+def test_a_retried_task_and_a_failed_run_leave_no_rows(spark, tmp_path):
+    path = str(tmp_path / "m")
+    writer = metrics.MetricWriter(path, "run")
+    row = [{"metric": "m", "value": 1.0}]
+    lost, kept = writer.write(iter(row)), writer.write(iter(row))  # two attempts at one partition
+    assert lost.file != kept.file
+    writer.commit([kept, None, metrics.Part(None)])
+    assert [tuple(r) for r in metrics.read_metrics(spark, path).collect()] == [("run", "m", 1.0)]
+    failed = metrics.MetricWriter(path, "failed")
+    failed.abort([failed.write(iter(row)), None])
+    bad = spark.createDataFrame([("m", "1"), ("n", "x")], "metric string, value string").select("metric", F.expr("CASE WHEN value = 'x' THEN raise_error('no number') ELSE 2.0D END").alias("value"))
+    with pytest.raises(Exception, match="no number"):
+        metrics.write_metrics(bad, path, "run")
+    assert [tuple(r) for r in metrics.read_metrics(spark, path).collect()] == [("run", "m", 1.0)]
+
+
+def test_archives_are_read_by_ranges(spark, tmp_path):
+    rng = np.random.default_rng(31)
+    vectors, labels = rng.normal(size=(50, 7)).astype(np.float32), rng.integers(0, 9, 50)
+    path = tmp_path / "one.pt"
+    path.write_bytes(archive.archive_bytes({"encodings": vectors, "labels": labels, "half": vectors[:, 0].astype(np.float64)}))
+    df = archive.read_archives(spark, str(path), split_bytes=200)
+    assert df.rdd.getNumPartitions() == 13  # four rows of 44 bytes each
+    assert df.schema.simpleString() == "struct<archive:string,row:bigint,encodings:array<float>,labels:bigint,half:double>"
+    rows = sorted(df.collect(), key=lambda r: r.row)
+    assert np.array_equal(np.array([r.encodings for r in rows], dtype=np.float32), vectors) and [r.labels for r in rows] == labels.tolist()
+    system, folder = archive.arrow_folder(str(path))
+    tensors, places = archive.describe(system, folder)
+    assert tensors["labels"].shape == (50,) and path.read_bytes()[places["0"] :].startswith(vectors.tobytes())
+
+
+def test_archives_that_hold_anything_else_are_errors(spark, tmp_path):
+    import pickle
+    import zipfile
+
+    path = tmp_path / "bad.pt"
+    for content, match in ((pickle.dumps(print), "not a part of"), (archive.archive_bytes({"a": np.zeros(3), "b": np.zeros(4)}), "one length"), (archive.archive_bytes({"a": np.zeros((2, 2, 2))}), "one or two dim")):
+        if content[:2] == b"PK":
+            path.write_bytes(content)
+        else:
+            with zipfile.ZipFile(path, "w") as z:
+                z.writestr("x/data.pkl", content)
+        with pytest.raises(Exception, match=match):
+            archive.read_archives(spark, str(path)).collect()
+    with pytest.raises(Exception, match="no archive"):
+        archive.read_archives(spark, str(tmp_path / "none")).collect()
+
+
+def test_archives_round_trip(spark, tmp_path):
+    x = points(spark, [(k, [float(k), k / 2], k % 3) for k in range(101)])
+    assert archive.write_archives(x.coalesce(2), str(tmp_path / "a"), archive_rows=20) >= 6
+    back = archive.read_archives(spark, str(tmp_path / "a"))
+    assert sorted((r.ids, r.encodings, r.labels) for r in back.collect()) == [(k, [float(k), k / 2], k % 3) for k in range(101)]
+    assert {r.row for r in back.groupBy("archive").agg(F.max("row").alias("row")).collect()} <= set(range(20))
+    with pytest.raises(Exception, match="no nulls"):
+        archive.write_archives(points(spark, [(1, None, 0)]), str(tmp_path / "b"))
+
+
+def test_a_core_set_of_the_whole_table_covers_it(spark):
+    rng = np.random.default_rng(32)
+    vectors = np.concatenate([rng.normal(size=(300, 3)), rng.normal(size=(3, 3)) + 40])
+    rows = [(k, v.tolist(), 0) for k, v in enumerate(vectors)] + [(900, None, 0), (None, [0.0] * 3, 0), (5, [99.0] * 3, 0)]
+    x = points(spark, rows)
+    for how in ({"group_rows": 40, "fan_in": 8}, {"group_rows": 20, "fan_in": 3}, {}):
+        chosen = coreset.covering_core_set(x, 12, **how)
+        found = chosen.orderBy("position").collect()
+        assert [r.position for r in found] == list(range(12)) and len({r.id for r in found}) == 12
+        assert found[0].distance is None and all(a.distance >= b.distance for a, b in zip(found[1:], found[2:]))
+        kept = {i: np.array(v, dtype=np.float32).astype(float) for i, v, _ in rows[:303]}
+        plain = [vectors[k].astype(np.float32).astype(float) for k in coreset.farthest_first(vectors, 12)]
+        cover = lambda centres: max(min(float(np.linalg.norm(v - c)) for c in centres) for v in kept.values())
+        radius = cover([kept[r.id] for r in found])
+        assert radius <= 4 * cover(plain)
+        assert abs(coreset.covering_radius(x.where("vec_id <> 5 or embedding[0] < 99"), chosen).first().radius - radius) < 1e-6
+    assert coreset.covering_core_set(x, 1000).count() == 303
+    assert coreset.covering_core_set(x.limit(0), 5).count() == 0
 
 
 def plain_loss(x, k, dim, q, components):

@@ -4,6 +4,11 @@ The pairing of births and deaths is constant in small steps, so the loss depends
 the densities alone, and those are closed forms of the neighbour distances.  Each step is a handful of
 joins on the neighbour table: pairs give a derivative per density, densities one per distance, and
 distances one per coordinate.  Only vertices that are a birth or a death contribute.
+
+Neighbours are not searched anew in each step.  Every point keeps a list of ``k + spare`` nearest ones of an earlier
+step and how far the last of them was.  What is not on the list was farther than that, and has come no nearer than
+the point's and the farthest other point's way since; while the ``k``-th distance on the list is below that
+bound the list has the exact neighbours.  Only points for which it is not are searched for again.
 """
 
 from __future__ import annotations
@@ -14,9 +19,9 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from basinflow.functions.vectors import doubles
+from basinflow.functions.vectors import doubles, pnorm
 from basinflow.operators import density, persistence
-from basinflow.operators.knn import Knn, knn_exact
+from basinflow.operators.knn import Knn, knn_exact, merged
 from basinflow.sources.shared import materialise
 
 
@@ -59,17 +64,66 @@ def adamw_step(state: DataFrame, gradient: DataFrame, step: int, o: AdamW = Adam
     return rows.select("i", F.zip_with(F.col("x"), move, lambda x, d: x * (1 - o.lr * o.weight_decay) - d).alias("x"), "m", "v")
 
 
-def fine_tune(points: DataFrame, dim: int, k: int, n_components: int, iters: int, q: float = 2, o: AdamW = AdamW(), id_col: str = "vec_id", vector_col: str = "embedding") -> tuple[DataFrame, list[dict[str, float]]]:
+@dataclass
+class NeighbourLists:
+    """Lists ``i, j`` of the ``k + spare`` nearest points and the distance ``reach`` of the last one, as of the places ``i, x``
+    in ``since`` (all of one step, or later for points searched again: then ``reach`` has been lowered to match)."""
+
+    k: int
+    spare: int
+    lists: DataFrame | None = None
+    since: DataFrame | None = None
+    searched: tuple[int, int] = (0, 0)  # points searched for, and points in all, over all steps
+
+    def _search(self, asked: DataFrame, state: DataFrame, names: str) -> DataFrame:
+        """``i, j, reach``; a list that holds every point reaches everything."""
+        found = materialise(knn_exact(asked, Knn(self.k + self.spare, root=True), state, id_col="i", vector_col="x"), names)
+        ends = found.groupBy("i").agg(F.max("dist").alias("last"), F.count("*").alias("n"))
+        reach = F.when(F.col("n") < self.k + self.spare, F.lit(math.inf)).otherwise(F.col("last"))
+        return materialise(found.select("i", "j").join(ends.select("i", reach.alias("reach")), "i"), names)
+
+    def nearest(self, state: DataFrame) -> DataFrame:
+        """``i, rk, j, dist`` (squared distances) of the exact ``k`` nearest points of ``state(i, x)``."""
+        if self.lists is None:
+            self.lists, self.since = self._search(state, state, "lists"), state.select("i", "x")
+        places = state.select("i", "x")
+        way = materialise(places.join(self.since.select("i", F.col("x").alias("x0")), "i").select("i", pnorm(F.col("x"), F.col("x0")).alias("way")), "ways")
+        rows, farthest = way.agg(F.count("*"), F.coalesce(F.max("way"), F.lit(0.0))).first()
+        each = self.lists.join(places.select("i", F.col("x").alias("a")), "i").join(places.select(F.col("i").alias("j"), F.col("x").alias("b")), "j")
+        each = each.select("i", "j", "reach", pnorm(F.col("a"), F.col("b"), 2, False).alias("dist"))
+        near = materialise(merged(each, self.k, ["i"]), "near")
+        ends = near.groupBy("i").agg(F.max(F.sqrt("dist")).alias("kth"), F.count("*").alias("n")).join(self.lists.groupBy("i").agg(F.first("reach").alias("reach")), "i").join(way, "i")
+        bound = (F.col("reach") - F.col("way") - F.lit(farthest)) * (1 - 1e-9)
+        doubtful = materialise(ends.where((F.col("reach") < F.lit(math.inf)) & (F.col("kth") >= bound)).select("i"), "doubtful")
+        again = doubtful.count()
+        self.searched = (self.searched[0] + again, self.searched[1] + rows)
+        if not again:
+            return near
+        if 2 * again > rows:  # all lists anew, as of now
+            self.lists, self.since = self._search(state, state, "lists"), state.select("i", "x")
+            exact = self.lists.join(places.select("i", F.col("x").alias("a")), "i").join(places.select(F.col("i").alias("j"), F.col("x").alias("b")), "j")
+            return materialise(merged(exact.select("i", "j", pnorm(F.col("a"), F.col("b"), 2, False).alias("dist")), self.k, ["i"]), "near")
+        fresh = self._search(state.join(doubtful, "i", "left_semi"), state, "lists")
+        found = fresh.select("i", "j").join(places.select("i", F.col("x").alias("a")), "i").join(places.select(F.col("i").alias("j"), F.col("x").alias("b")), "j")
+        found = merged(found.select("i", "j", pnorm(F.col("a"), F.col("b"), 2, False).alias("dist")), self.k, ["i"])
+        # their reach holds for the places of now; as of ``since`` others may have come nearer by their way till now
+        earlier = fresh.join(way, "i").select("i", "j", (F.col("reach") - F.col("way") - F.lit(farthest)).alias("reach"))
+        self.lists = materialise(self.lists.join(doubtful, "i", "left_anti").unionByName(earlier), "lists")
+        return materialise(near.join(doubtful, "i", "left_anti").unionByName(found), "near")
+
+
+def fine_tune(points: DataFrame, dim: int, k: int, n_components: int, iters: int, q: float = 2, o: AdamW = AdamW(), spare: int = 10, id_col: str = "vec_id", vector_col: str = "embedding") -> tuple[DataFrame, list[dict[str, float]]]:
     """The moved points ``(id, vector)`` after ``iters`` steps, and the losses before each step.
 
-    Every step's state is written to the shared folder; three sums a step reach the driver.
+    Every step's state is written to the shared folder; three sums a step reach the driver.  Neighbour lists have
+    ``spare`` entries more than ``k``; the result does not depend on it.
     """
     x = doubles(F.col(vector_col))
     zero = F.transform(x, lambda _: F.lit(0.0))
     state = materialise(points.select(F.col(id_col).alias("i"), x.alias("x"), zero.alias("m"), zero.alias("v")), "tuned")
-    history = []
+    history, kept = [], NeighbourLists(k, spare)
     for step in range(1, iters + 1):
-        knn = materialise(knn_exact(state, Knn(k), id_col="i", vector_col="x"), "knn")
+        knn = kept.nearest(state)
         dens = materialise(density.log_density(knn, dim, q), "density")
         _, pairs = persistence.cluster_h0(knn.select("i", "rk", "j"), dens, [math.inf])
         ranked = materialise(persistence.persistence_pairs(pairs, dens), "pairs")

@@ -463,6 +463,57 @@ def test_fine_tuning_follows_the_slope(spark):
     assert history[2]["loss"] < history[0]["loss"]
 
 
+def plain_fine_tune(x, k, q, wanted, iters, o=finetune.AdamW()):
+    """Fine-tuning with everything worked out anew in each step, in numpy."""
+    n, dim = x.shape
+    m, v = np.zeros_like(x), np.zeros_like(x)
+    for step in range(1, iters + 1):
+        gaps = x[:, None, :] - x[None, :, :]
+        dist = (gaps**2).sum(axis=2)
+        near = np.lexsort((np.broadcast_to(np.arange(n), (n, n)), dist), axis=1)[:, :k]
+        measure = (np.take_along_axis(dist, near, axis=1) ** q).mean(axis=1)
+        f = -dim / q * np.log(measure)
+        _, pairs, _ = plain_sweep(near.tolist(), f.tolist(), math.inf)
+        pairs.sort(key=lambda p: (-(f[p[0]] - f[p[1]]), p))
+        slope = np.zeros(n)
+        for rank, (birth, death) in enumerate(pairs, 1):
+            sign = -1.0 if rank <= wanted - 1 else 1.0
+            slope[birth] += sign
+            slope[death] -= sign
+        g = np.zeros_like(x)
+        for i in np.flatnonzero(slope):
+            for j in near[i]:
+                w = slope[i] * -dim / measure[i] / k * dist[i, j] ** (q - 1) * 2
+                g[i] += w * gaps[i, j]
+                g[j] -= w * gaps[i, j]
+        m, v = o.beta1 * m + (1 - o.beta1) * g, o.beta2 * v + (1 - o.beta2) * g * g
+        x = x * (1 - o.lr * o.weight_decay) - o.lr * (m / (1 - o.beta1**step)) / (np.sqrt(v / (1 - o.beta2**step)) + o.eps)
+    return x
+
+
+@pytest.mark.parametrize("spare", [0, 10])
+def test_fine_tuning_equals_everything_anew(spark, spare):
+    rows = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").where("vec_id < 150")
+    held = sorted(rows.collect(), key=lambda r: r.vec_id)
+    plain = plain_fine_tune(np.array([r.embedding for r in held], dtype=float), 5, 2, 4, 3)
+    found = {r.vec_id: r.embedding for r in finetune.fine_tune(rows, 64, 5, 4, 3, spare=spare)[0].collect()}
+    assert max(np.abs(np.array(found[r.vec_id]) - plain[k]).max() for k, r in enumerate(held)) < 1e-6
+
+
+def test_lists_search_again_only_where_they_must(spark):
+    rng = np.random.default_rng(41)
+    place = rng.normal(size=(200, 3))
+    kept = finetune.NeighbourLists(4, 6)
+    for step in range(5):
+        df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(place)], "i long, x array<double>")
+        found = sorted((r.i, r.rk, r.j, round(r.dist, 9)) for r in kept.nearest(df).collect())
+        assert found == sorted((r.i, r.rk, r.j, round(r.dist, 9)) for r in knn.knn_exact(df, Knn(4), id_col="i", vector_col="x").collect())
+        place = place + rng.normal(size=place.shape) * 0.01
+        place[step] += 1.5  # one that jumps
+        place[150:] += 0.001
+    assert 0 < kept.searched[0] and kept.searched[1] == 1000
+
+
 def test_optimiser_step():
     """One AdamW step from rest moves each coordinate by the step size against its slope."""
     from pyspark.sql import SparkSession

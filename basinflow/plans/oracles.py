@@ -223,6 +223,15 @@ SQL: dict[str, str] = {
         SELECT batch::INT AS batch, position::INT AS position, id FROM st""",
     "coreset_covering": f"{covering(16, 128)} SELECT position::INT AS position, id, round(far, 6) AS distance FROM st2",
     "covering_radius": f"{covering(16, 128)} SELECT round(sqrt(max(d)), 6) AS radius FROM (SELECT a.id, min({gap_sum(2)}) AS d FROM e a, e b WHERE b.id IN (SELECT id FROM st2) GROUP BY a.id)",
+    "coreset_stream": f"""WITH RECURSIVE {vectors()}, keyed AS MATERIALIZED (SELECT id, v, md5('47 ' || id) AS key, ('0x' || substr(md5('47 ' || id), 1, 7))::BIGINT % 4 AS slot FROM e),
+        pool AS MATERIALIZED (SELECT slot, (n - 1) // 32 AS batch, (n - 1) % 32 + 1 AS nth, id, v, count(*) OVER (PARTITION BY slot, (n - 1) // 32) AS size
+            FROM (SELECT *, row_number() OVER (PARTITION BY slot ORDER BY key, id) AS n FROM keyed) QUALIFY size = 32),
+        gaps AS MATERIALIZED (SELECT a.slot, a.batch, a.nth, any_value(a.id) AS id, list({gap_sum(2)} ORDER BY b.nth) AS ds FROM pool a JOIN pool b ON a.slot = b.slot AND a.batch = b.batch GROUP BY a.slot, a.batch, a.nth),
+        st AS (SELECT slot, batch, 0 AS position, id, ds FROM gaps WHERE nth = 1
+            UNION ALL
+            SELECT s.slot, s.batch, s.position + 1, g.id, list_transform(list_zip(s.ds, g.ds), lambda z: least(z[1], z[2]))
+            FROM st s JOIN gaps g ON g.slot = s.slot AND g.batch = s.batch AND g.nth = list_position(s.ds, list_max(s.ds)) WHERE s.position < 7)
+        SELECT slot, batch, position::INT AS position, id FROM st""",
     "density_digraph": f"{BASE} SELECT k.j AS src, k.i AS dst, round(a.f - b.f, 2) AS weight FROM knn k JOIN dens a ON a.i = k.i JOIN dens b ON b.i = k.j",
     "archive_scan": f"WITH {vectors()} SELECT id AS vec_id, label::BIGINT AS label, round(list_sum(v), 6) AS total FROM e",
     "experiment": experiment(BASE, "[0, 1, 2, 'inf'::DOUBLE]", EXPERIMENT_TAUS),

@@ -17,6 +17,7 @@ from basinflow.operators.knn import Codebooks, InvertedFile, Knn
 from basinflow.plans import experiment
 from basinflow.sources import archive, metrics, tables
 from basinflow.sources.shared import fresh_path, materialise
+from basinflow.streaming import sampler
 
 K, DIM, Q = 10, 64, 2
 TAUS = [0.0, 0.5, 2.0, math.inf]
@@ -363,6 +364,13 @@ def metric_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.read_metrics(spark, path)
 
 
+def coreset_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Batches of the vectors read as a stream, worked off and written to a table."""
+    stream = sampler.stream_of(spark, f"{sf_dir}/embeddings.parque[t]", "vec_id long, embedding array<float>, label int", files_per_trigger=1000)
+    batches = sampler.core_set_batches(stream, budget=8, oversampling_factor=4, slots=4)
+    return sampler.run_available(batches, fresh_path(spark, "batches"), fresh_path(spark, "stream"))
+
+
 def experiment_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     scores = experiment.run(tables.points(spark, sf_dir), DIM, experiment.Settings(tau_max=2.0, num_tau=3))["scores"]
     return rounded(scores.withColumn("tau", F.col("tau").cast("string")), "agreement", "ami", "nmi", "accuracy")
@@ -450,6 +458,7 @@ QUERIES: dict[str, Query] = {
     "archive_scan": archive_scan,
     "metric_table": metric_table,
     "coreset_covering": coreset_covering,
+    "coreset_stream": coreset_stream,
     "covering_radius": covering_radius,
     "density_digraph": density_digraph,
     "experiment": experiment_scores,

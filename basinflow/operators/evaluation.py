@@ -6,6 +6,8 @@ of distinct (class, cluster) pairs is shuffled after the first partial aggregati
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -88,20 +90,73 @@ def _assign(table: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(pairs, columns=["pred", "truth"]).sort_values("truth").assign(position=range(len(pairs)))
 
 
-def optimal_assignment(table: DataFrame) -> DataFrame:
+def optimal_assignment(table: DataFrame, whole_cells: int = MOST_CELLS) -> DataFrame:
     """``pred, truth, position``: a one-to-one map from clusters to classes with most rows in agreement.
 
-    The smaller of the two label sets is mapped whole.  The matrix of distinct classes and clusters is
-    solved in one task: its size is theirs, not the data's, and more than :data:`MOST_CELLS` cells are an
-    error.  So the result has at most sqrt(:data:`MOST_CELLS`) rows (11,585), which is why its users may
-    broadcast it.  ``position`` counts by class.
+    The smaller of the two label sets is mapped whole; ``position`` counts by class.  Up to ``whole_cells`` pairs of a
+    class and a cluster (counted before anything is gathered) one task solves the matrix.  Larger tables stay
+    sparse, see :func:`sparse_assignment`.  Of several best maps one is returned.
     """
+    classes, clusters = table.agg(F.count_distinct("truth"), F.count_distinct("pred")).first()
+    if classes * clusters > whole_cells:
+        return sparse_assignment(table)
     return table.withColumn("whole", F.lit(0)).groupBy("whole").applyInPandas(_assign, "pred long, truth long, position int")
 
 
+def _certain_pairs(left: DataFrame) -> DataFrame:
+    """``truth, pred`` of pairs that some best map has: each the other's largest count, and no less than the next
+    largest of both together (exchanging the pair for those two would gain nothing)."""
+    top = lambda own, other: left.groupBy(own).agg(F.max(F.struct("n", (-F.col(other)).alias("c"))).alias("t")).select(own, (-F.col("t.c")).alias(other), F.col("t.n").alias("n"))
+    mutual = materialise(top("truth", "pred").join(top("pred", "truth").select("truth", "pred"), ["truth", "pred"]), "mutual")
+    nexts = []
+    for own, other in (("truth", "pred"), ("pred", "truth")):
+        rest = left.join(mutual.select(own, F.col(other).alias("taken")), own).where(F.col(other) != F.col("taken"))
+        nexts.append(rest.groupBy(own).agg(F.max("n").alias(f"next_{own}")))
+    both = mutual.join(nexts[0], "truth", "left").join(nexts[1], "pred", "left")
+    return both.where(F.col("n") >= F.coalesce("next_truth", F.lit(0)) + F.coalesce("next_pred", F.lit(0))).select("truth", "pred")
+
+
+def _parts(left: DataFrame) -> DataFrame:
+    """``truth, part``: the smallest class that each class is connected with through clusters, in rounds."""
+    labels = materialise(left.select("truth", F.col("truth").alias("part")).distinct(), "parts")
+    while True:
+        near = left.join(labels, "truth").groupBy("pred").agg(F.min("part").alias("part"))
+        least = left.join(near, "pred").groupBy("truth").agg(F.min("part").alias("part"))
+        jump = labels.select(F.col("truth").alias("part"), F.col("part").alias("further"))
+        moved = labels.withColumnRenamed("part", "old").join(least, "truth").join(jump, "part", "left").select("truth", "old", F.least("part", F.coalesce("further", "part")).alias("part"))
+        moved = materialise(moved, "parts")
+        if moved.where("old <> part").isEmpty():
+            return moved.select("truth", "part")
+        labels = moved.select("truth", "part")
+
+
+def sparse_assignment(table: DataFrame, rounds: int = 64) -> DataFrame:
+    """:func:`optimal_assignment` of a table of many labels, from the pairs that occur.
+
+    Rounds of joins take the pairs that are certain to be in a best map and strike their labels, until there are none
+    (or ``rounds`` are over).  What is left falls into connected parts, each solved by a task of its own; only
+    a single part of more than :data:`MOST_CELLS` cells is an error.  Labels without a partner of positive count are
+    then paired in their order, until the smaller set is used up.
+    """
+    table = materialise(table.select("truth", "pred", "n"), "assigned-from")
+    left, found = table.where("n > 0"), []
+    for _ in range(rounds):
+        certain = materialise(_certain_pairs(left), "certain")
+        if certain.isEmpty():
+            break
+        found.append(certain)
+        left = materialise(left.join(certain.select("truth"), "truth", "left_anti").join(certain.select("pred"), "pred", "left_anti"), "undecided")
+    solved = left.join(_parts(left), "truth").groupBy("part").applyInPandas(_assign, "pred long, truth long, position int")
+    found.append(materialise(solved.join(left.select("truth", "pred"), ["truth", "pred"], "left_semi").select("truth", "pred"), "solved"))
+    pairs = functools.reduce(DataFrame.unionByName, found)
+    rest = [dense_index(table.join(pairs.select(c), c, "left_anti").select(c), c, "nth") for c in ("truth", "pred")]
+    pairs = materialise(pairs.unionByName(rest[0].join(rest[1], "nth").select("truth", "pred")), "assigned")
+    return pairs.join(dense_index(pairs, "truth", "position"), "truth").select("pred", "truth", F.col("position").cast("int").alias("position"))
+
+
 def clustering_accuracy(table: DataFrame) -> DataFrame:
     """``accuracy``: percent of rows whose cluster maps to their class; null without rows."""
-    hits = table.join(F.broadcast(optimal_assignment(table).select("pred", "truth", F.lit(True).alias("hit"))), ["pred", "truth"], "left")
+    hits = table.join(optimal_assignment(table).select("pred", "truth", F.lit(True).alias("hit")), ["pred", "truth"], "left")
     return hits.agg((F.lit(100.0) * F.sum(F.when(F.col("hit"), F.col("n")).otherwise(0)) / F.sum("n")).alias("accuracy"))
 
 
@@ -197,7 +252,7 @@ def clustering_metrics(df: DataFrame, pred: str, superclass: str, subgroup: str,
     table = materialise(contingency(df.withColumn("class", subgroup_id(F.col(superclass), F.col(subgroup), num_subgroups)), "class", pred), "contingency")
     named = [adjusted_rand(table).withColumnRenamed("ari", "value"), adjusted_mutual_information(table).withColumnRenamed("ami", "value"), normalized_mutual_information(table).withColumnRenamed("nmi", "value")]
     parts = [x.select(F.lit(name).alias("metric"), "value") for name, x in zip(("ARI", "AMI", "NMI"), named, strict=True)]
-    hits = F.broadcast(optimal_assignment(table)).join(table, ["pred", "truth"], "left").select("truth", "position", F.coalesce("n", F.lit(0)).alias("hits"))
+    hits = optimal_assignment(table).join(table, ["pred", "truth"], "left").select("truth", "position", F.coalesce("n", F.lit(0)).alias("hits"))
     hits = hits.join(table.groupBy("truth").agg(F.sum("n").alias("size")), "truth")
     parts.append(hits.select(F.concat(F.lit("Cluster_Acc/"), F.col("position").cast("string")).alias("metric"), (F.col("hits") / F.col("size")).alias("value")))
     parts.append(hits.agg(F.sum("hits").alias("hits")).join(F.broadcast(table.agg(F.sum("n").alias("size")))).select(F.lit("Cluster_Acc/Total").alias("metric"), (F.col("hits") / F.col("size")).alias("value")))

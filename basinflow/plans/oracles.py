@@ -241,3 +241,4 @@ SQL: dict[str, str] = {
     "no_reduction": f"WITH {vectors()} SELECT id AS vec_id, round(list_sum(v), 6) AS total FROM e",
 }
 SQL["metric_table"] = f"SELECT run, metric, value FROM ({SQL['class_metrics']}), (SELECT unnest(['first', 'second']) AS run)"
+SQL["sparse_assignment"] = SQL["optimal_assignment"]

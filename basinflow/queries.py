@@ -238,10 +238,16 @@ def score_query(measure: Callable[[DataFrame], DataFrame], name: str) -> Query:
 def optimal_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows in agreement under the optimal assignment (which itself need not be unique)."""
     table = mode_contingency(spark, sf_dir)
-    both = table.join(F.broadcast(evaluation.optimal_assignment(table)), ["pred", "truth"])
+    both = table.join(evaluation.optimal_assignment(table), ["pred", "truth"])
     return both.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("hits"))
 
 
+def sparse_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As :func:`optimal_hits`, by the method for tables of many labels."""
+    table = mode_contingency(spark, sf_dir)
+    return table.join(evaluation.sparse_assignment(table), ["pred", "truth"]).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("hits"))
+
+
 def clustering_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = by_mode(spark, sf_dir).select("root", F.expr("truth div 2").alias("superclass"), F.expr("truth % 2").alias("subgroup"))
     found = evaluation.clustering_metrics(rows, "root", "superclass", "subgroup", 2, prefix="modes")
@@ -438,6 +444,7 @@ QUERIES: dict[str, Query] = {
     "ami": score_query(evaluation.adjusted_mutual_information, "ami"),
     "clustering_accuracy": score_query(evaluation.clustering_accuracy, "accuracy"),
     "optimal_assignment": optimal_hits,
+    "sparse_assignment": sparse_hits,
     "clustering_metrics": clustering_metrics,
     "class_metrics": class_metrics,
     "cluster_count": cluster_count,

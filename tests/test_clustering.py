@@ -274,6 +274,25 @@ def test_assignment_is_optimal(spark):
         assert gain[np.arange(rows), chosen].sum() == best
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_sparse_assignment_is_as_good_as_the_matrix(spark, seed):
+    rng = random.Random(seed)
+    rows = {}
+    for block in range(6):  # parts of their own, some of them of certain pairs alone
+        for _ in range(rng.randint(1, 14)):
+            rows[10 * block + rng.randrange(5), 100 + 10 * block + rng.randrange(6)] = rng.choice([0, 1, 1, 2, 3, 50])
+    table = spark.createDataFrame([(t, p, n) for (t, p), n in rows.items()], "truth long, pred long, n long")
+    gain = {(r.truth, r.pred): r.n for r in table.collect()}
+    plain = evaluation.optimal_assignment(table).collect()
+    found = evaluation.optimal_assignment(table, whole_cells=0).orderBy("position").collect()
+    assert sum(gain.get((r.truth, r.pred), 0) for r in found) == sum(gain.get((r.truth, r.pred), 0) for r in plain)
+    assert len(found) == len(plain) == len({r.truth for r in found}) == len({r.pred for r in found})
+    assert [r.position for r in found] == list(range(len(found))) and [r.truth for r in found] == sorted(r.truth for r in found)
+    few = evaluation.sparse_assignment(table, rounds=0).collect()  # all by parts
+    assert sum(gain.get((r.truth, r.pred), 0) for r in few) == sum(gain.get((r.truth, r.pred), 0) for r in plain)
+    assert evaluation.sparse_assignment(table.limit(0)).count() == 0
+
+
 def test_more_classes_than_clusters_keeps_the_right_names(spark):
     rows = [(0, 5)] * 1 + [(7, 5)] * 4 + [(9, 5)] * 2
     table = evaluation.contingency(spark.createDataFrame(rows, "truth int, pred int"), "truth", "pred")

@@ -7,6 +7,7 @@ of distinct (class, cluster) pairs is shuffled after the first partial aggregati
 from __future__ import annotations
 
 import functools
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
@@ -154,6 +155,20 @@ def sparse_assignment(table: DataFrame, rounds: int = 64) -> DataFrame:
     return pairs.join(dense_index(pairs, "truth", "position"), "truth").select("pred", "truth", F.col("position").cast("int").alias("position"))
 
 
+def accuracies(table: DataFrame, by: str, whole_cells: int = MOST_CELLS) -> DataFrame:
+    """``by, accuracy``: :func:`clustering_accuracy` for each value of a column of few values; tables small enough for one
+    task are groups, the others are worked on one by one."""
+    sizes = table.groupBy(by).agg(F.count_distinct("truth").alias("classes"), F.count_distinct("pred").alias("clusters")).collect()
+    large = [r[by] for r in sizes if r["classes"] * r["clusters"] > whole_cells]
+    shape = f"{by} {table.schema[by].dataType.simpleString()}, pred long, truth long"
+    small = table.where(~F.col(by).isin(large)) if large else table
+    pairs = small.groupBy(by).applyInPandas(lambda g: _assign(g).assign(**{by: g[by].iloc[0]})[[by, "pred", "truth"]], shape)
+    for value in large:
+        pairs = pairs.unionByName(sparse_assignment(table.where(F.col(by) == value)).select(F.lit(value).alias(by), "pred", "truth"))
+    hits = table.join(pairs.withColumn("hit", F.lit(True)), [by, "pred", "truth"], "left")
+    return hits.groupBy(by).agg((F.lit(100.0) * F.sum(F.when(F.col("hit"), F.col("n")).otherwise(0)) / F.sum("n")).alias("accuracy"))
+
+
 def clustering_accuracy(table: DataFrame) -> DataFrame:
     """``accuracy``: percent of rows whose cluster maps to their class; null without rows."""
     hits = table.join(optimal_assignment(table).select("pred", "truth", F.lit(True).alias("hit")), ["pred", "truth"], "left")
@@ -174,9 +189,18 @@ def cluster_count(df: DataFrame, column: str) -> DataFrame:
     return df.agg(F.count_distinct(column).alias("clusters"))
 
 
-def _marginals(table: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    total = table.agg(F.sum("n").alias("total"))
-    return table.groupBy("truth").agg(F.sum("n").alias("a")), table.groupBy("pred").agg(F.sum("n").alias("b")), total
+def _agg(df: DataFrame, by: Sequence[str], *values: Column) -> DataFrame:
+    return df.groupBy(*by).agg(*values) if by else df.agg(*values)
+
+
+def _with(df: DataFrame, one: DataFrame, by: Sequence[str]) -> DataFrame:
+    """``df`` with the one row (for each value of ``by``, which number few) of another table."""
+    return df.join(F.broadcast(one), list(by)) if by else df.join(F.broadcast(one))
+
+
+def _marginals(table: DataFrame, by: Sequence[str] = ()) -> tuple[DataFrame, DataFrame, DataFrame]:
+    total = _agg(table, by, F.sum("n").alias("total"))
+    return table.groupBy(*by, "truth").agg(F.sum("n").alias("a")), table.groupBy(*by, "pred").agg(F.sum("n").alias("b")), total
 
 
 def _pairs_of(n: Column) -> Column:
@@ -194,35 +218,36 @@ def adjusted_rand(table: DataFrame) -> DataFrame:
     return each.select(F.when((_pairs_of(F.col("total")) == 0) | (most == expected), F.lit(1.0)).otherwise((F.col("both") - expected) / (most - expected)).alias("ari"))
 
 
-def _entropy(marginal: DataFrame, size: str, total: DataFrame, name: str) -> DataFrame:
+def _entropy(marginal: DataFrame, size: str, total: DataFrame, name: str, by: Sequence[str] = ()) -> DataFrame:
     share = F.col(size) / F.col("total")
-    return marginal.join(F.broadcast(total)).agg((-F.sum(share * F.ln(share))).alias(name))
+    return _agg(_with(marginal, total, by), by, (-F.sum(share * F.ln(share))).alias(name))
 
 
-def mutual_information(table: DataFrame) -> DataFrame:
-    """``mi, h_true, h_pred, total`` in nats: mutual information and both entropies."""
-    rows, cols, total = _marginals(table)
-    joined = table.join(rows, "truth").join(cols, "pred").join(F.broadcast(total))
-    mi = joined.agg(F.sum(F.col("n") / F.col("total") * F.ln(F.col("n") * F.col("total") / (F.col("a").cast("double") * F.col("b")))).alias("mi"))
-    entropies = _entropy(rows, "a", total, "h_true").join(F.broadcast(_entropy(cols, "b", total, "h_pred")))
-    return mi.join(F.broadcast(entropies)).join(F.broadcast(total)).select(F.greatest("mi", F.lit(0.0)).alias("mi"), "h_true", "h_pred", "total")
+def mutual_information(table: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """``mi, h_true, h_pred, total`` in nats: mutual information and both entropies (as the other measures with ``by``: for
+    each value of those columns, say thresholds)."""
+    rows, cols, total = _marginals(table, by)
+    joined = _with(table.join(rows, [*by, "truth"]).join(cols, [*by, "pred"]), total, by)
+    mi = _agg(joined, by, F.sum(F.col("n") / F.col("total") * F.ln(F.col("n") * F.col("total") / (F.col("a").cast("double") * F.col("b")))).alias("mi"))
+    entropies = _with(_entropy(rows, "a", total, "h_true", by), _entropy(cols, "b", total, "h_pred", by), by)
+    return _with(_with(mi, entropies, by), total, by).select(*by, F.greatest("mi", F.lit(0.0)).alias("mi"), "h_true", "h_pred", "total")
 
 
-def normalized_mutual_information(table: DataFrame) -> DataFrame:
+def normalized_mutual_information(table: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """``nmi`` over the mean of the entropies; 1 when both labellings have a single label."""
     mean = (F.col("h_true") + F.col("h_pred")) / 2
-    return mutual_information(table).select(F.when(mean == 0, F.lit(1.0)).otherwise(F.col("mi") / mean).alias("nmi"))
+    return mutual_information(table, by).select(*by, F.when(mean == 0, F.lit(1.0)).otherwise(F.col("mi") / mean).alias("nmi"))
 
 
-def expected_mutual_information(table: DataFrame) -> DataFrame:
+def expected_mutual_information(table: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """``emi``: expected mutual information of random labellings with the same label sizes.
 
     Equal sizes are counted together: n rows allow no more than sqrt(2 n) distinct sizes a side.
     """
-    rows, cols, total = _marginals(table)
-    a = rows.groupBy("a").agg(F.count("*").alias("a_labels"))
-    b = cols.groupBy("b").agg(F.count("*").alias("b_labels")).agg(F.collect_list(F.struct("b", "b_labels")).alias("sizes"))
-    each = a.join(F.broadcast(b)).join(F.broadcast(total)).select("a", "a_labels", "total", F.explode("sizes").alias("other")).select("a", "a_labels", "total", "other.b", "other.b_labels")
+    rows, cols, total = _marginals(table, by)
+    a = rows.groupBy(*by, "a").agg(F.count("*").alias("a_labels"))
+    b = _agg(cols.groupBy(*by, "b").agg(F.count("*").alias("b_labels")), by, F.collect_list(F.struct("b", "b_labels")).alias("sizes"))
+    each = _with(_with(a, b, by), total, by).select(*by, "a", "a_labels", "total", F.explode("sizes").alias("other")).select(*by, "a", "a_labels", "total", "other.b", "other.b_labels")
     low, high, piece = F.greatest(F.lit(1).cast("long"), F.col("a") + F.col("b") - F.col("total")), F.least("a", "b"), F.lit(1 << 16)
     each = each.withColumn("from", F.explode(F.sequence(low, high, piece)))  # no row holds a long sequence
     term = each.withColumn("n", F.explode(F.sequence(F.col("from"), F.least(high, F.col("from") + (1 << 16) - 1))))
@@ -230,17 +255,17 @@ def expected_mutual_information(table: DataFrame) -> DataFrame:
     ways = log(F.col("a")) + log(F.col("b")) + log(F.col("total") - F.col("a")) + log(F.col("total") - F.col("b"))
     ways = ways - log(F.col("total")) - log(F.col("n")) - log(F.col("a") - F.col("n")) - log(F.col("b") - F.col("n")) - log(F.col("total") - F.col("a") - F.col("b") + F.col("n"))
     gain = F.col("n") / F.col("total") * F.ln(F.col("total").cast("double") * F.col("n") / (F.col("a").cast("double") * F.col("b")))
-    return term.agg(F.coalesce(F.sum(F.col("a_labels") * F.col("b_labels") * gain * F.exp(ways)), F.lit(0.0)).alias("emi"))
+    return _agg(term, by, F.coalesce(F.sum(F.col("a_labels") * F.col("b_labels") * gain * F.exp(ways)), F.lit(0.0)).alias("emi"))
 
 
-def adjusted_mutual_information(table: DataFrame) -> DataFrame:
+def adjusted_mutual_information(table: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """``ami`` with the arithmetic mean of the entropies; 1 when both labellings are trivial."""
-    both = mutual_information(table).join(F.broadcast(expected_mutual_information(table)))
+    both = _with(mutual_information(table, by), expected_mutual_information(table, by), by)
     mean = (F.col("h_true") + F.col("h_pred")) / 2
     gap = mean - F.col("emi")
     tiny = F.lit(float(np.finfo(float).eps))
     safe = F.when(gap < 0, F.least(gap, -tiny)).otherwise(F.greatest(gap, tiny))
-    return both.select(F.when(mean == 0, F.lit(1.0)).otherwise((F.col("mi") - F.col("emi")) / safe).alias("ami"))
+    return both.select(*by, F.when(mean == 0, F.lit(1.0)).otherwise((F.col("mi") - F.col("emi")) / safe).alias("ami"))
 
 
 def clustering_metrics(df: DataFrame, pred: str, superclass: str, subgroup: str, num_subgroups: int, prefix: str = "") -> DataFrame:

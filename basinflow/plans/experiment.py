@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -82,8 +81,9 @@ def run(x: DataFrame, dim: int, s: Settings = Settings()) -> dict[str, DataFrame
 def score_all(x: DataFrame, assignment: DataFrame, taus: Sequence[float]) -> DataFrame:
     """``tau, clusters, agreement, ami, nmi, accuracy`` of ``assignment(tau, i, root)``.
 
-    The points are counted and compared with their centres once for all thresholds; what follows for each
-    threshold reads its part of the table of distinct (class, cluster) pairs.
+    The points are counted and compared with their centres once for all thresholds, and every measure is worked
+    out for all of them together, from the table of distinct (threshold, class, cluster).  Measures that need classes
+    are null where no point has one.
     """
     cell = (F.array_position(F.array(*[F.lit(float(t)) for t in taus]), F.col("tau")) - 1).cast("int")
     roots = assignment.select(cell.alias("cell"), "i", "root")
@@ -91,14 +91,11 @@ def score_all(x: DataFrame, assignment: DataFrame, taus: Sequence[float]) -> Dat
     tables = materialise(roots.join(labels, "i").groupBy("cell", "truth", F.col("root").alias("pred")).agg(F.count("*").alias("n")), "contingency")
     both = roots.join(evaluation.k_centre_labels_by_cell(x, roots, len(taus)), ["cell", "i"])
     agreement = both.groupBy("cell").agg(F.avg((F.col("root") == F.col("centre")).cast("double")).alias("agreement"))
-    shared = materialise(roots.groupBy("cell").agg(F.count_distinct("root").alias("clusters")).join(agreement, "cell", "left"), "agreement")
-    rows = []
-    for k, tau in enumerate(taus):
-        table, one = tables.where(F.col("cell") == k).drop("cell"), shared.where(F.col("cell") == k).drop("cell")
-        for part in (evaluation.adjusted_mutual_information(table), evaluation.normalized_mutual_information(table), evaluation.clustering_accuracy(table)):
-            one = one.join(F.broadcast(part))  # one row each
-        rows.append(one.select(F.lit(float(tau)).alias("tau"), "clusters", "agreement", "ami", "nmi", "accuracy"))
-    return functools.reduce(DataFrame.unionByName, rows)
+    shared = roots.groupBy("cell").agg(F.count_distinct("root").alias("clusters")).join(agreement, "cell", "left")
+    for part in (evaluation.adjusted_mutual_information(tables, ["cell"]), evaluation.normalized_mutual_information(tables, ["cell"]), evaluation.accuracies(tables, "cell")):
+        shared = shared.join(F.broadcast(part), "cell", "left")  # a row for each threshold
+    back = F.element_at(F.array(*[F.lit(float(t)) for t in taus]), F.col("cell") + 1)
+    return materialise(shared.select(back.alias("tau"), "clusters", "agreement", "ami", "nmi", "accuracy"), "scores")
 
 
 def sizes(x: DataFrame, dim: int, s: Settings = Settings()) -> DataFrame:

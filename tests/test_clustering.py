@@ -293,6 +293,21 @@ def test_sparse_assignment_is_as_good_as_the_matrix(spark, seed):
     assert evaluation.sparse_assignment(table.limit(0)).count() == 0
 
 
+def test_measures_of_many_tables_at_once(spark):
+    rng = random.Random(61)
+    rows = [(c, t, p, rng.randint(0, 9)) for c in range(3) for t in range(3 + c) for p in range(10, 14)] + [(7, 1, 1, 5)]
+    table = spark.createDataFrame([r for r in rows if r[3]], "cell int, truth long, pred long, n long")
+    by = ["cell"]
+    every = evaluation.adjusted_mutual_information(table, by).join(evaluation.normalized_mutual_information(table, by), "cell").join(evaluation.accuracies(table, "cell"), "cell").collect()
+    mixed = {r.cell: r.accuracy for r in evaluation.accuracies(table, "cell", whole_cells=12).collect()}
+    assert {r.cell for r in every} == {0, 1, 2, 7}
+    for r in every:
+        one = table.where(F.col("cell") == r.cell).drop("cell")
+        assert abs(r.ami - evaluation.adjusted_mutual_information(one).first().ami) < 1e-9
+        assert abs(r.nmi - evaluation.normalized_mutual_information(one).first().nmi) < 1e-9
+        assert abs(r.accuracy - evaluation.clustering_accuracy(one).first().accuracy) < 1e-9 and abs(r.accuracy - mixed[r.cell]) < 1e-9
+
+
 def test_more_classes_than_clusters_keeps_the_right_names(spark):
     rows = [(0, 5)] * 1 + [(7, 5)] * 4 + [(9, 5)] * 2
     table = evaluation.contingency(spark.createDataFrame(rows, "truth int, pred int"), "truth", "pred")

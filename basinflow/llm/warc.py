@@ -4,8 +4,11 @@ Writing makes one gzip member per record, so any record can be read on its own,
 per record: file, offset, length, URL and digest.  Reading sorts the wanted index rows by place and
 merges neighbouring ranges into one read.  Archives live under a URI that every executor reaches.
 
-A payload that occurs again is written as ``revisit`` of its first occurrence.  The occurrences are
-counted on digests alone; payloads cross the network once, compressed.
+A payload that occurs again is written as ``revisit`` of its first occurrence.  Which rows those are is
+decided on digests alone: a narrow table of (id, URL, digest) is joined with the first ids, where digests
+that very many rows share are joined by broadcast.  Revisits are written from that table and have no
+payload.  The payloads of all rows then meet the revisits on (id, digest), which copies do not share, and
+only responses are compressed.
 """
 
 from __future__ import annotations
@@ -21,18 +24,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from basinflow.llm import textkit as tk
-from basinflow.sources.shared import arrow_folder, fresh_path, materialise, scan_bytes
+from basinflow.operators.modes import HOT_ROWS, join_unique
+from basinflow.sources.shared import arrow_folder, discard, fresh_path, materialise, scan_bytes
 
 
 @dataclass(frozen=True)
 class WarcParams:
     """Payloads of ``least`` bytes or more are written once; ranges at most ``gap`` bytes apart are
-    read together, up to ``read_bytes`` at a time; ``level`` is gzip's."""
+    read together, up to ``read_bytes`` at a time; ``level`` is gzip's.  A digest of ``hot_rows`` rows or
+    more is joined by broadcast."""
 
     least: int = 100
     gap: int = 64 << 10
     read_bytes: int = 8 << 20
     level: int = 6
+    hot_rows: int = HOT_ROWS
 
 
 INDEX = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, file string, offset long, length long"
@@ -72,28 +78,20 @@ def _page_of(urn: str | None) -> int | None:
     return None if name == "none" else int(name)
 
 
-def _compress_batches(batches: Iterator[pa.RecordBatch], p: WarcParams) -> Iterator[pa.RecordBatch]:
-    """The response record of each page, compressed; whether it is kept is known after the join."""
-    for batch in (part for whole in batches for part in tk.slices(whole, "payload")):
-        page, url, payload, size, digest = (c.to_pylist() for c in batch.columns)
-        full = [_gzip(record("response", i, u, b, n, d), p.level) for i, u, b, n, d in zip(page, url, payload, size, digest, strict=True)]
-        yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in (0, 1, 3, 4)), pa.array(full, type=pa.binary())], names=["page_id", "url", "payload_bytes", "payload_digest", "packed"])
-
-
 def _write_batches(batches: Iterator[pa.RecordBatch], folder: str, p: WarcParams) -> Iterator[pa.RecordBatch]:
     """One archive per task attempt: a repeated task writes another file, and only the index rows of
     the attempt that Spark commits point to a file."""
     out, path, at = None, "", 0
-    for batch in (part for whole in batches for part in tk.slices(whole, "packed")):
+    for batch in (part for whole in batches for part in tk.slices(whole, "payload")):
         if out is None:
             store, root = arrow_folder(folder)
             path = f"{root}/{uuid.uuid4().hex}.warc.gz"
             out = store.open_output_stream(path, compression=None)
-        page, url, size, digest, refers, packed = (c.to_pylist() for c in batch.columns)
+        page, url, size, digest, refers, payload = (c.to_pylist() for c in batch.columns)
         kinds, places, lengths = [], [], []
-        for i, u, n, d, r, full in zip(page, url, size, digest, refers, packed, strict=True):
+        for i, u, n, d, r, body in zip(page, url, size, digest, refers, payload, strict=True):
             kinds.append("response" if r is None else "revisit")
-            data = full if r is None else _gzip(record("revisit", i, u, b"", n, d, r), p.level)
+            data = _gzip(record(kinds[-1], i, u, body or b"", n, d, r), p.level)
             out.write(data)
             places.append(at)
             lengths.append(len(data))
@@ -118,13 +116,20 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
     payload = F.coalesce(F.col(payload_col), F.lit("")).cast("binary")
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), payload.alias("payload"))
     rows = rows.select("*", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_digest"))
-    firsts = rows.where(F.col("payload_bytes") >= p.least).groupBy("payload_digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("payload_digest", "first")
-    packed = rows.mapInArrow(lambda b: _compress_batches(b, p), "page_id long, url string, payload_bytes long, payload_digest string, packed binary")
-    refers = F.when(F.col("page_id").eqNullSafe(F.col("first")), None).otherwise(F.col("first"))
-    joined = packed.join(firsts, "payload_digest", "left").select("page_id", "url", "payload_bytes", "payload_digest", refers.alias("refers_to"), "packed")
+    known = materialise(rows.where(F.col("payload_bytes") >= p.least).drop("payload"), "digests")
+    firsts = known.groupBy("payload_digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("payload_digest", "first")
+    copies = join_unique(known, firsts, "payload_digest", p.hot_rows).where(~F.col("page_id").eqNullSafe(F.col("first")))
+    copies = materialise(copies.select("page_id", "url", "payload_bytes", "payload_digest", F.col("first").alias("refers_to")), "revisits")
+    told = copies.select(F.col("page_id").alias("copy"), F.col("payload_digest").alias("digest")).distinct()
+    responses = rows.join(told, F.col("page_id").eqNullSafe(F.col("copy")) & (F.col("payload_digest") == F.col("digest")), "left_anti")
+    responses = responses.select("page_id", "url", "payload_bytes", "payload_digest", F.lit(None).cast("long").alias("refers_to"), "payload")
+    every = responses.unionByName(copies.withColumn("payload", F.lit(None).cast("binary")))
     store, root = arrow_folder(folder)
     store.create_dir(root, recursive=True)
-    return materialise(joined.mapInArrow(lambda b: _write_batches(b, folder, p), INDEX), "warc-index")
+    index = materialise(every.mapInArrow(lambda b: _write_batches(b, folder, p), INDEX), "warc-index")
+    for step in (known, copies):
+        discard(step)
+    return index
 
 
 def _read_batches(batches: Iterator[pa.RecordBatch], folder: str, p: WarcParams) -> Iterator[pa.RecordBatch]:

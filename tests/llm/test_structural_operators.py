@@ -86,6 +86,17 @@ def test_ties_wider_than_the_beam_go_to_the_smallest_ids(spark):
         assert [j for j, _ in found[0]] == [1000, *range(1, 10)]
 
 
+def test_recall_of_a_shard_of_unclustered_vectors():
+    """The hardest kind: 64 independent normal components."""
+    rng = np.random.default_rng(12)
+    data, p = rng.normal(size=(6000, 64)), ann.HnswParams()
+    order, graph = ann.build(data, np.arange(6000, dtype=np.uint64), p)
+    nodes, _ = graph.search(data[::100], p.search)
+    want = np.argsort(((data[None, :, :] - data[::100, None, :]) ** 2).sum(axis=2), axis=1)[:, :10]
+    hits = sum(len(set(order[n[:10]].tolist()) & set(w.tolist())) for n, w in zip(nodes, want, strict=True))
+    assert hits >= 0.95 * want.size
+
+
 def test_a_search_sees_a_small_part_of_a_shard():
     """Recall at a tenth of the distances that a scan works out."""
     rng = np.random.default_rng(9)
@@ -503,10 +514,11 @@ def pages(spark, rows):
     return spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({c: F.lit(1) for c in ("payload", "file", "offset", "first")})
 
 
-def test_archives_round_trip(spark):
+@pytest.mark.parametrize("p", [warc.WarcParams(), warc.WarcParams(hot_rows=2)])
+def test_archives_round_trip(spark, p):
     rows = page_rows()
     folder = fresh_path(spark, "warc-test")
-    index = warc.write_archives(pages(spark, rows).repartition(3), folder)
+    index = warc.write_archives(pages(spark, rows).repartition(3), folder, p=p)
     back = {r.page_id: r for r in warc.read_archives(index, folder).collect()}
     firsts = {}
     for i, _, html in sorted(rows, key=lambda r: r[0]):

@@ -9,28 +9,32 @@ A star alone can miss a link between two leaves that are both unlike its centre.
 members are still in different groups after the stars are confirmed are therefore visited twice more:
 first each member outside the bucket's largest group proposes the most similar members of other
 groups, by sketch, which unites most of what is linked; then every pair of different groups that is
-left is decided.  A pair is proposed in the first bucket that it shares.  It is refused without its
-texts only where an upper bound of what the two sets can share, from their sizes and the number of
+left is decided.  A pair is proposed in the first bucket that it shares, told by whole keys.  It is refused
+without its texts only where an upper bound of what the two sets can share, from their sizes and the number of
 shingles in each bin, rules the similarity out; no estimate decides.
 
 Bucket sizes and centres are aggregated before they are joined back.  Members of a bucket are dealt
-to blocks, and blocks are compared two by two in cells, so no task holds a bucket whole.  Copies
-share a shingle set and are one node.  Texts are known by their hash, not by the id of a row, and only
-those that share a bucket are shuffled.
+to blocks, and blocks are compared two by two in cells, so no task holds a bucket whole.  Members of a crowded
+bucket are dealt by set size first: blocks meet only where their sizes allow the similarity.  Copies
+share a shingle set and are one node.  Texts are known by their hash, not by the id of a row; only
+those that share a bucket are shuffled, one copy from each task, and rows of a text that very many share
+are told their group by broadcast.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from basinflow.llm import textkit as tk
 from basinflow.llm.components import connected_components
+from basinflow.operators.modes import HOT_ROWS, join_unique
 from basinflow.sources.shared import discard, materialise
 
 
@@ -44,7 +48,7 @@ class MinHashParams:
 
     With 32 bands of 4 rows a pair of similarity 0.75 misses every bucket with probability 5e-6.
     ``partners`` is how many members of other groups one text proposes per cell in the first visit; the
-    second has no bound.  ``chunk`` members of a bucket are a block, and ``filter_bits`` (a power of two) the
+    second has no bound.  ``chunk`` members of a bucket are a block, a node of ``hot_rows`` rows is joined by broadcast, and ``filter_bits`` (a power of two) the
     size of the map of texts that share a bucket, which others are dropped by before the shuffle.
     """
 
@@ -55,6 +59,7 @@ class MinHashParams:
     partners: int = 8
     chunk: int = 512
     filter_bits: int = 1 << 24
+    hot_rows: int = HOT_ROWS
 
     @property
     def bins(self) -> int:
@@ -107,7 +112,7 @@ def _signature_batches(batches: Iterator[pa.RecordBatch], p: MinHashParams) -> I
                 for r in range(p.rows):
                     key = tk.mix64(key * tk.MIX[0] + sig[r :: p.rows])
                 keyed.append(key)
-                marks = (tk.mix64(sig) >> np.uint64(56)).astype(np.uint8), (key >> np.uint64(48)).astype("<u2").view(np.uint8)
+                marks = (tk.mix64(sig) >> np.uint64(56)).astype(np.uint8), key.astype("<u8").view(np.uint8)
                 sketches.append(np.concatenate([*marks, packed_counts(shingles[at[row] : at[row + 1]], p.bins)]).tobytes())
                 folds[row] = np.bitwise_xor.reduce(mixed[at[row] : at[row + 1]]), np.sum(shingles[at[row] : at[row + 1]])
             some = counts > 0
@@ -135,7 +140,7 @@ def text_key(text: str) -> Column:
 
 def signatures(docs: DataFrame, id_col: str, text_col: str, p: MinHashParams) -> DataFrame:
     """Per document: its text's hash, shingle count, 64-bit id of its shingle set, band keys, and a sketch:
-    one byte for each bin, two for each band key, and half a byte for the number of shingles in each bin."""
+    one byte for each bin, the band keys, and half a byte for the number of shingles in each bin."""
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"), text_key(text_col)).mapInArrow(
         lambda batches: _signature_batches(batches, p), f"doc {kind}, known_as long, n_shingles long, node long, bands array<long>, sketch binary"
@@ -143,8 +148,16 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, p: MinHashParams) ->
 
 
 def _held_batches(batches: Iterator[pa.RecordBatch], held: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """The rows that ``held`` lets pass, one for each text of a task."""
+    seen: set[int] = set()
     for batch in batches:
-        yield batch.filter(pa.array(held[batch.column(0).to_numpy() & (len(held) - 1)]))
+        keys = batch.column(0).to_numpy()
+        keep = np.zeros(len(keys), dtype=bool)
+        keep[np.unique(keys, return_index=True)[1]] = True
+        keep &= held[keys & (len(held) - 1)]
+        at = [k for k in np.flatnonzero(keep).tolist() if int(keys[k]) not in seen]
+        seen.update(keys[at].tolist())
+        yield batch.take(pa.array(at, type=pa.int64()))
 
 
 def texts_of(docs: DataFrame, text_col: str, carriers: DataFrame, p: MinHashParams) -> DataFrame:
@@ -209,17 +222,33 @@ def unsettled(buckets: DataFrame, groups: DataFrame, sketches: DataFrame, p: Min
 
     The members of the bucket's largest group are dealt to blocks, and so are the others.  A cell holds
     two blocks: one of others (``side`` 1), which asks, and one of either (``side`` 0), which is asked; or
-    one block of others, whose members (``side`` 2) ask each other.
+    one block of others, whose members (``side`` 2) ask each other.  In a bucket of more than a block, members
+    belong to classes of set size so wide that only those of one class or of neighbouring ones can be linked;
+    blocks are of one class, and only those meet.
     """
-    member = buckets.join(groups, "node").select("bucket", "band", "node", F.col("label").alias("part"))
+    wide = max(math.log(100 / p.percent), 1e-3) * (1 + 1e-9)
+    sized = groups.join(sketches.select("node", F.col("n").alias("set")), "node")
+    member = buckets.join(sized, "node").select("bucket", "band", "node", F.col("label").alias("part"), "set")
     parts = member.groupBy("bucket", "part").agg(F.count("*").alias("m"))
-    sizes = parts.groupBy("bucket").agg(F.count("*").alias("parts"), F.max_by("part", "m").alias("main"), F.max("m").alias("most"), F.sum("m").alias("m")).where("parts > 1")
-    blocks = [F.ceil(m / p.chunk).cast("int").alias(k) for m, k in ((F.col("most"), "mains"), (F.col("m") - F.col("most"), "others"))]
-    mixed = member.join(sizes.select("bucket", "main", *blocks), "bucket").withColumn("leads", F.col("part") == F.col("main"))
-    own = F.pmod(F.xxhash64("node", F.lit(7)), F.when(F.col("leads"), F.col("mains")).otherwise(F.col("others"))).cast("int")
-    dealt = mixed.select("*", own.alias("own"), F.explode(F.expr("sequence(0, CASE WHEN leads THEN others ELSE mains + others END - 1)")).alias("x"))
+    sizes = parts.groupBy("bucket").agg(F.count("*").alias("parts"), F.max_by("part", "m").alias("main"), F.sum("m").alias("m")).where("parts > 1")
+    kind = F.when(F.col("m") > p.chunk, F.floor(F.log("set") / wide)).otherwise(0).cast("int")
+    mixed = member.join(sizes, "bucket").select("bucket", "band", "node", "part", kind.alias("class"), (F.col("part") == F.col("main")).alias("leads"))
+    blocks = [F.ceil(F.count_if(who) / p.chunk).cast("long").alias(k) for who, k in ((F.col("leads"), "own_mains"), (~F.col("leads"), "own_others"))]
+    every = Window.partitionBy("bucket")
+    before = every.orderBy("class").rowsBetween(Window.unboundedPreceding, -1)
+    near = every.orderBy("class").rangeBetween(-1, 1)
+    places = mixed.groupBy("bucket", "class").agg(*blocks)
+    for k in ("mains", "others"):
+        places = places.withColumns({k: F.sum(f"own_{k}").over(every), f"{k}_at": F.coalesce(F.sum(f"own_{k}").over(before), F.lit(0))})
+        places = places.withColumns({f"{k}_lo": F.min(f"{k}_at").over(near), f"{k}_hi": F.max(F.col(f"{k}_at") + F.col(f"own_{k}")).over(near)})
+    placed = mixed.join(places, ["bucket", "class"])
+    first, count = (F.when(F.col("leads"), F.col(x)).otherwise(F.col(y)) for x, y in (("mains_at", "others_at"), ("own_mains", "own_others")))
+    own = first + F.pmod(F.xxhash64("node", F.lit(7)), count)
+    span = "CASE WHEN {0}_hi > {0}_lo THEN sequence({0}_lo, {0}_hi - 1) ELSE array() END".format
+    meets = F.expr(f"CASE WHEN leads THEN {span('others')} ELSE concat({span('mains')}, transform({span('others')}, y -> y + mains)) END")
+    dealt = placed.select("*", own.alias("own"), F.explode(meets).alias("x"))
     low, high = F.expr("least(own, x - mains)"), F.expr("greatest(own, x - mains)")
-    cell = F.when(F.col("leads"), F.expr("1L * x * mains + own")).when(F.expr("x < mains"), F.expr("1L * own * mains + x")).otherwise(F.expr("1L * others * mains") + low * F.col("others").cast("long") + high)
+    cell = F.when(F.col("leads"), F.expr("x * mains + own")).when(F.expr("x < mains"), F.expr("own * mains + x")).otherwise(F.expr("others * mains") + low * F.col("others") + high)
     side = F.when(F.col("leads"), 0).when(F.expr("x < mains"), 1).when(low == high, 2).otherwise((F.col("own") == high).cast("int"))
     rows = dealt.select("bucket", cell.alias("cell"), side.alias("side"), "band", "node", "part").join(sketches, "node").select("bucket", "cell", "side", "band", "node", "part", "n", "sketch")
     return rows.repartition("bucket", "cell").sortWithinPartitions("bucket", "cell")
@@ -246,10 +275,10 @@ class Members:
     @staticmethod
     def of(rows: pa.RecordBatch, p: MinHashParams) -> Members:
         node, part, n = (rows.column(k).to_numpy() for k in (4, 5, 6))
-        ends = (p.bins, p.bins + 2 * p.bands)
+        ends = (p.bins, p.bins + 8 * p.bands)
         sketch, keys, packed = np.split(_sketch_matrix(rows.column(7), ends[1] + (p.bins + 1) // 2), ends, axis=1)
         counts = np.stack([packed & FULL, packed >> 4], axis=2).reshape(len(packed), -1)[:, : p.bins]
-        return Members(node, part, n, sketch, np.ascontiguousarray(keys).view("<u2"), counts, n - counts.sum(axis=1, dtype=np.int64))
+        return Members(node, part, n, sketch, np.ascontiguousarray(keys).view("<u8"), counts, n - counts.sum(axis=1, dtype=np.int64))
 
     def where(self, some: np.ndarray) -> Members:
         return Members(*(x[some] for x in vars(self).values()))
@@ -297,8 +326,7 @@ def most_shared(asking: Members, held: Members, row: np.ndarray, col: np.ndarray
 def _possible(asking: Members, held: Members, row: np.ndarray, col: np.ndarray, band: int, p: MinHashParams) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The pairs that share ``band`` first and whose sets may reach the similarity, and their marks in common."""
     equal = asking.sketch[row] == held.sketch[col]
-    shared = equal.reshape(len(row), p.bands, p.rows).all(axis=2) & (asking.keys[row] == held.keys[col])
-    own = shared.argmax(axis=1) == band
+    own = (asking.keys[row] == held.keys[col]).argmax(axis=1) == band
     row, col, equal = row[own], col[own], equal[own]
     most = most_shared(asking, held, row, col, equal)
     keep = 100 * most >= p.percent * (asking.n[row] + held.n[col] - most)
@@ -366,6 +394,7 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     labelled = materialise(labelled.join(smallest, "part").select("node", "component_id"), "components")
     for step in [*steps, groups]:
         discard(step)
-    return members.join(labelled, "node", "left").select(
+    told = join_unique(members.where("node is not null"), labelled, "node", p.hot_rows)
+    return told.unionByName(members.where("node is null").withColumn("component_id", F.lit(None).cast(docs.schema[id_col].dataType))).select(
         F.col("doc").alias(id_col), "n_shingles", F.coalesce("component_id", "doc").alias("component_id"), F.coalesce("component_id", "doc").eqNullSafe(F.col("doc")).alias("kept")
     )

@@ -177,7 +177,7 @@ def test_near_duplicate_groups_equal_brute_force(spark):
             rows.append((len(rows), edited(rng, base, rng.choice([0, 0, 0.01, 0.03, 0.06])), "en"))
             base = rng.choice([base, rows[-1][1]])
     rows += [(len(rows) + k, t, None) for k, t in enumerate([None, "", "one two", "ONE  two", "one two three", " \n"])]
-    for p in (minhash.MinHashParams(), minhash.MinHashParams(partners=1, chunk=8)):
+    for p in (minhash.MinHashParams(), minhash.MinHashParams(partners=1, chunk=3, hot_rows=2)):
         found = minhash.near_duplicate_groups(documents(spark, rows), p=p).collect()
         assert sorted(map(tuple, found)) == brute_groups(rows)
 
@@ -265,6 +265,40 @@ def test_every_pair_of_a_bucket_meets_in_one_cell(spark):
         assert met == {frozenset((a, b)) for (a, x), (b, y) in itertools.combinations(mine, 2) if x != y}
 
 
+def test_a_crowd_of_unlike_texts_meets_by_set_size(spark):
+    """Every pair whose sizes allow a link meets in exactly one cell, and rows are copied less often than blocks say."""
+    n, p = 10_000, minhash.MinHashParams()
+    nodes = [(k, int(5 * 1.0008**k)) for k in range(n)]
+    groups = spark.createDataFrame([(k, 0 if k % 10 == 0 else k) for k, _ in nodes], "node long, label long")
+    sketches = spark.createDataFrame(nodes, "node long, n long").withColumn("sketch", F.lit(b"x"))
+    buckets = groups.select(F.lit(1).cast("long").alias("bucket"), F.lit(0).alias("band"), "node", F.lit(0).cast("long").alias("centre"))
+    rows = minhash.unsettled(buckets, groups, sketches, p).select("cell", "side", "node").toPandas()
+    assert len(rows) < n * n / p.chunk / 2 and rows.groupby("cell").size().max() <= 4 * p.chunk
+    size = dict(nodes)
+    rng, held = random.Random(38), {}
+    for r in rows.itertuples():
+        held.setdefault(r.node, {})[r.cell] = r.side
+    for _ in range(20_000):
+        a = rng.randrange(n)
+        b = min(n - 1, a + rng.randrange(1, 370))
+        if a != b and 4 * size[a] >= 3 * size[b] and (a % 10 or b % 10):
+            cells = [c for c in held[a].keys() & held[b].keys() if (held[a][c], held[b][c]) in ((0, 1), (1, 0), (2, 2))]
+            assert len(cells) == 1
+
+
+def test_a_pair_meets_in_its_own_bucket_where_an_earlier_one_looks_alike():
+    """A band whose keys agree in part only does not count as shared."""
+    p = minhash.MinHashParams()
+    marks, counts = bytes(p.bins), bytes([0x11]) * (p.bins // 2)
+    keys = np.arange(2 * p.bands, dtype="<u8").reshape(2, -1)
+    keys[:, 0] |= np.uint64(5 << 48)
+    keys[:, 3] = 77
+    both = {"bucket": [77, 77], "cell": [0, 0], "side": [0, 1], "band": [3, 3], "node": [1, 2], "part": [1, 2], "n": [128, 128]}
+    both["sketch"] = [marks + k.tobytes() + counts for k in keys]
+    found = pa.Table.from_batches(minhash._proposal_batches([pa.record_batch(both)], p, None)).to_pydict()
+    assert found == {"a": [1], "b": [2]}
+
+
 def test_a_large_group_of_near_copies_stays_one_group(spark):
     """Every text is near its neighbours in a chain and in a crowd whose ends are unlike each other."""
     rng = random.Random(32)

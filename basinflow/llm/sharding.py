@@ -1,7 +1,6 @@
 """Shards along a Hilbert curve over several metadata dimensions, in DataFrame functions only.
 
-Each dimension is quantised at approximate quantiles of the whole table; a row's levels form its
-cell.  The histogram over (cell, salt) is small by construction (2 ** (dimensions * bits) cells
+Each dimension is quantised at exact quantiles of the whole table; a row's levels form its cell.  The histogram over (cell, salt) is small by construction (2 ** (dimensions * bits) cells
 times ``salts``), so the curve index is worked out per cell, running sums over the histogram give
 every cell's first rank, and a row's rank is that plus its place within its (cell, salt) group.
 No window ever spans the table and a cell that holds a third of all rows is spread over its salts, whose
@@ -18,6 +17,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from basinflow.sources.shared import discard, materialise
+
 
 @functools.cache
 def curve_tables(dims: int) -> tuple[list[int], list[int]]:
@@ -63,31 +64,45 @@ def curve_index(cell: Column, dims: int, bits: int) -> Column:
     return index
 
 
-def split_points(df: DataFrame, dims: Sequence[str], levels: int, accuracy: int, most_values: int) -> list[list]:
+def split_points(df: DataFrame, dims: Sequence[str], levels: int, most_values: int) -> list[list]:
     """For each dimension the values at which its levels begin, at even shares of the rows.
 
-    Numbers by approximate quantiles.  Strings by the counts of whole values: of all of them where there
-    are at most ``most_values``, else of those with the smallest hashes, a random choice of values; split
-    points move rows between shards and never lose one."""
-    kinds = [df.schema[c].dataType for c in dims]
-    strings = [isinstance(k, (T.StringType, T.BinaryType)) for k in kinds]
-    shares = F.array(*[F.lit(k / levels) for k in range(1, levels)])
-    found = df.select(F.lit(1), *[F.percentile_approx(F.col(c).cast("double"), shares, accuracy).alias(f"q{k}") for k, c in enumerate(dims) if not strings[k]]).first()
+    They are exact: of the n rows that have a value the one of rank ceil(k * n / ``levels``), for every k,
+    from the counts of all values, strings as bytes and the rest as numbers.  Up to ``most_values``
+    different values of a column are added up by the driver, more by Spark."""
     out = []
-    for k, c in enumerate(dims):
-        if not strings[k]:
-            out.append(sorted(set(found[f"q{k}"] or [])))
-            continue
-        counts = df.where(F.col(c).isNotNull()).groupBy(F.col(c).cast("binary").alias("value")).agg(F.count("*").alias("n")).orderBy(F.xxhash64("value")).limit(most_values).collect()
-        values = sorted((bytes(r.value), r.n) for r in counts)
-        total, before, points = sum(n for _, n in values), 0, []
-        for value, n in values:
-            points += [value] if before * levels // max(1, total) < (before + n) * levels // max(1, total) else []
-            before += n
+    for c in dims:
+        kind = "binary" if isinstance(df.schema[c].dataType, (T.StringType, T.BinaryType)) else "double"
+        counts = materialise(df.where(F.col(c).isNotNull()).groupBy(F.col(c).cast(kind).alias("value")).agg(F.count("*").alias("n")).where("value is not null"), "split-counts")
+        few = counts.limit(most_values + 1).collect()
+        if len(few) > most_values:
+            points = _points_of_many(counts, levels)
+        else:
+            # As in Spark, NaN is the largest number.
+            values = sorted(((bytes(r.value) if kind == "binary" else r.value, r.n) for r in few), key=lambda x: (x[0] != x[0], x[0]))
+            total, before, points = sum(n for _, n in values), 0, []
+            for value, n in values:
+                points += [value] if before * levels // total < (before + n) * levels // total else []
+                before += n
+        discard(counts)
         out.append(points[: levels - 1])
     return out
 
 
+def _points_of_many(counts: DataFrame, levels: int) -> list:
+    """Split points from the table ``counts(value, n)``: running sums within ranges of values, from where
+    the ranges before end; a window never spans the table and only the points reach the driver."""
+    ranged = materialise(counts.repartitionByRange("value").withColumn("part", F.spark_partition_id()), "split-ranges")
+    parts = ranged.groupBy("part").agg(F.min("value").alias("first"), F.sum("n").alias("in_part"))
+    earlier = Window.orderBy("first").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select("part", F.coalesce(F.sum("in_part").over(earlier), F.lit(0)).alias("base"), F.sum("in_part").over(Window.partitionBy()).alias("total"))
+    within = Window.partitionBy("part").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
+    placed = ranged.join(F.broadcast(parts), "part").withColumn("before", F.col("base") + F.coalesce(F.sum("n").over(within), F.lit(0)))
+    points = placed.where(f"before * {levels} div total < (before + n) * {levels} div total").select("value", "before").collect()
+    discard(ranged)
+    return [bytes(r.value) if isinstance(r.value, (bytes, bytearray)) else r.value for r in sorted(points, key=lambda r: r.before)]
+
+
 def assign_shards(df: DataFrame, id_col: str, dims: Sequence[str], shards: int, bits: int = 4, group_rows: int = 1 << 20, accuracy: int = 1000, most_values: int = 10_000) -> DataFrame:
     """All rows of ``df`` with ``curve_index``, ``shard`` (0 to ``shards`` - 1) and ``slot``.
 
@@ -95,11 +110,12 @@ def assign_shards(df: DataFrame, id_col: str, dims: Sequence[str], shards: int,
     follow the curve.  Null values and NaN take the lowest and highest level of their dimension.
     Repeated rows get slots of their own; equal cells are ordered by a hash of the id and then the
     id, so ties have a defined order up to rows equal in it.  An empty table gives an empty result.
-    Columns of ``df`` named like a result column are replaced by it.
+    Columns of ``df`` named like a result column are replaced by it.  Split points are exact whatever
+    ``accuracy`` is, which earlier callers give.
     """
     row = F.struct(*[F.col(f"`{c}`") for c in df.columns if c not in ("curve_index", "shard", "slot")])
     cell = F.lit(0).cast("long")
-    for k, (c, points) in enumerate(zip(dims, split_points(df, dims, 1 << bits, accuracy, most_values), strict=True)):
+    for k, (c, points) in enumerate(zip(dims, split_points(df, dims, 1 << bits, most_values), strict=True)):
         value = F.col(c).cast("binary" if points and isinstance(points[0], bytes) else "double")
         level = sum((F.coalesce(value > F.lit(x), F.lit(False)).cast("long") for x in points), F.lit(0).cast("long"))
         cell = cell + level * (1 << (bits * k))

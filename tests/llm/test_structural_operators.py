@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import math
 import random
 import zlib
 from fractions import Fraction
@@ -388,6 +389,22 @@ def test_strings_with_one_prefix_are_told_apart(spark):
         assert sum(map(len, spans)) <= 24
 
 
+def test_split_points_come_from_every_value(spark):
+    """Exact ranks where a column has more values than the driver adds up, and the same where it has fewer."""
+    rng = random.Random(45)
+    rows = [(None if k % 50 == 0 else f"u{rng.randint(0, 700) ** 2}", None if k % 40 == 0 else rng.choice([math.nan, -0.0, 0.0, rng.gauss(0, 1), 7.0]), k % 900) for k in range(3000)]
+    df = spark.createDataFrame(rows, "url string, x double, k long").repartition(7)
+    want = []
+    for d in range(3):
+        some = sorted((r[d].encode() if isinstance(r[d], str) else float(r[d]) for r in rows if r[d] is not None), key=lambda v: (v != v, v))
+        ranks = dict.fromkeys(some[math.ceil(j * len(some) / 16) - 1] for j in range(1, 16))
+        want.append([repr(v) for v in ranks if v == v])
+    for most in (10_000, 300):
+        found = sharding.split_points(df, ["url", "x", "k"], 16, most_values=most)
+        assert [[repr(v + 0.0 if isinstance(v, float) else v) for v in points if v == v] for points in found] == want
+    assert sharding.split_points(df.limit(0), ["url", "x"], 16, most_values=0) == [[], []]
+
+
 def test_sharding_edge_cases(spark):
     odd = awkward(spark)
     placed = sharding.assign_shards(odd, "doc_id", ["source", "lang", "n_chars"], 4)

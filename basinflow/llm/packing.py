@@ -105,7 +105,9 @@ def encode(texts: pa.Array, p: PackParams) -> list[np.ndarray]:
     per_row = np.searchsorted(starts, bounds)
     ends = np.append(starts[1:], len(data))
     ends = np.minimum(ends, bounds[row + 1])
-    _, first, unit = np.unique(tk.span_hashes(data, starts, ends), return_index=True, return_inverse=True)
+    unit, distinct = tk.coded(tk.span_hashes(data, starts, ends))
+    first = np.zeros(len(distinct), dtype=np.int64)
+    first[unit] = np.arange(len(unit))
     lengths = ends[first] - starts[first]
     places = np.repeat(starts[first] - np.cumsum(lengths) + lengths, lengths) + np.arange(lengths.sum())
     ids = fast.encode_to_numpy(data[places].tobytes().decode(), disallowed_special=())
@@ -140,8 +142,11 @@ class Frequencies:
 
 def distinct_slots(w: tk.Words, slots: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct (document, slot of a word), in order of the documents."""
-    pair = np.unique(w.doc * np.int64(slots) + (w.hashes & np.uint64(slots - 1)).astype(np.int64))
-    return pair // slots, pair % slots
+    docs, mask = len(w.offsets) - 1, np.uint64(slots - 1)
+    kind = np.uint32 if docs * slots < 1 << 32 else np.int64
+    pair = np.repeat(np.arange(docs, dtype=kind) * kind(slots), np.diff(w.offsets)) + (w.hashes & mask).astype(kind)
+    pair = tk.distinct(pair)
+    return (pair >> kind(slots.bit_length() - 1)).astype(np.int64), (pair & kind(slots - 1)).astype(np.int64)
 
 
 #: Neighbouring places of the table of counts that travel as one row.
@@ -184,11 +189,12 @@ def routes(w: tk.Words, f: Frequencies, p: PackParams) -> tuple[np.ndarray, np.n
     least = max(2.0, p.gather * p.shard_bytes * f.docs / max(1, f.size))
     doc, slot = distinct_slots(w, p.slots)
     df = f.by_slot[slot]
-    order = np.lexsort((slot, np.where(df >= least, df, np.iinfo(np.int64).max), doc))
-    first = order[np.flatnonzero(np.diff(doc[order], prepend=-1))]
+    some = df >= least
+    doc, key = doc[some], df[some] * p.slots + slot[some]
+    first = np.flatnonzero(np.diff(doc, prepend=-1))
     route, gathered = np.full(n, -1, dtype=np.int64), np.full(n, f.docs)
-    first = first[df[first] >= least]
-    route[doc[first]], gathered[doc[first]] = slot[first], df[first]
+    rarest = np.minimum.reduceat(key, first) if len(first) else key
+    route[doc[first]], gathered[doc[first]] = rarest % p.slots, rarest // p.slots
     rows = min(p.part_rows, max(1, p.shard_bytes * f.docs // max(1, f.size)))
     return route, np.maximum(1, -(-gathered // rows))
 
@@ -206,16 +212,16 @@ class ShardIndex:
 
     def __init__(self, w: tk.Words, f: Frequencies, p: PackParams) -> None:
         self.n = n = len(w.offsets) - 1
-        order = np.argsort(w.hashes, kind="stable")
-        sorted_hash, sorted_doc = w.hashes[order], w.doc[order]
-        new_term = np.ones(len(order), dtype=bool)
-        new_term[1:] = sorted_hash[1:] != sorted_hash[:-1]
-        new_pair = new_term.copy()
-        new_pair[1:] |= sorted_doc[1:] != sorted_doc[:-1]
-        first = np.flatnonzero(new_pair)
-        hashes, self.docs = sorted_hash[new_term], sorted_doc[first]
-        term, tf = np.cumsum(new_term)[first] - 1, np.diff(np.append(first, len(order)))
-        self.starts = np.append(np.flatnonzero(new_term[first]), len(first))
+        code, hashes = tk.coded(w.hashes)
+        order = np.argsort(hashes)
+        hashes, rank = hashes[order], np.empty(len(order), dtype=np.int64)
+        rank[order] = np.arange(len(order))
+        pair = rank[code] * n + w.doc
+        pair.sort()
+        first = np.flatnonzero(np.diff(pair, prepend=-1))
+        tf = np.diff(np.append(first, len(pair)))
+        term, self.docs = np.divmod(pair[first], n) if n else (pair, pair)
+        self.starts = np.searchsorted(term, np.arange(len(hashes) + 1))
         df = f.of(hashes)
         norm = p.k1 * (1 - p.b + p.b * np.diff(w.offsets) / max(1.0, f.words / max(1, f.docs)))
         self.weights = (np.log1p((f.docs - df + 0.5) / (df + 0.5))[term] * tf * (p.k1 + 1) / (tf + norm[self.docs])).astype(np.float32)

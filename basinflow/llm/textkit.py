@@ -82,7 +82,8 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     words = np.ndarray(shape=(len(data) + 1,), dtype="<u8", buffer=padded, strides=(1,))
     lengths = ends - starts
     out = lengths.astype(np.uint64) * MIX[0] + MIX[2]
-    todo, step = np.arange(len(starts)), 0
+    out = mix64(out ^ ((words[starts] & _MASKS[np.minimum(lengths, 8)]) + MIX[0]))
+    todo, step = np.flatnonzero(lengths > 8), 1
     while len(todo):
         left = np.minimum(lengths[todo] - 8 * step, 8)
         out[todo] = mix64(out[todo] ^ ((words[starts[todo] + 8 * step] & _MASKS[left]) + MIX[0]))
@@ -91,6 +92,20 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return out
 
 
+def coded(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each value the place of its like among the distinct ones, and those as they first occur."""
+    found = pa.array(values).dictionary_encode()
+    return found.indices.to_numpy().astype(np.int64), found.dictionary.to_numpy()
+
+
+def distinct(values: np.ndarray) -> np.ndarray:
+    """Sorted distinct values; ``values`` is sorted in place."""
+    values.sort()
+    first = np.ones(len(values), dtype=bool)
+    first[1:] = values[1:] != values[:-1]
+    return values[first]
+
+
 @dataclass
 class Words:
     """Words of a column slice: hashes, spans in ``data`` and per-document word offsets."""

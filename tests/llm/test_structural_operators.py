@@ -504,6 +504,37 @@ def test_words_that_gather_too_many_are_split(spark):
     assert packing.pack(documents(spark, rows), p=p).where("start = 0").count() == 500
 
 
+@pytest.mark.parametrize("slots", [1 << 12, 1 << 27])
+def test_routes_follow_the_definition(slots):
+    """A document goes by its rarest word that gathers, of equally rare ones by the smallest slot; pairs of a
+    document and a word are told apart by one sort of narrow numbers, or of wide ones where those are too few."""
+    from basinflow.llm import textkit
+
+    rng = random.Random(56)
+    texts = [prose(rng, rng.choice([0, 1, 5, 60])) + rng.choice(["", " rare" + str(rng.randint(0, 9))]) for _ in range(150)] + [None, ""]
+    p = packing.PackParams(slots=slots, shard_bytes=3000, part_rows=40)
+    w = textkit.words(pa.array(texts))
+    held = [sorted({int(h) & (slots - 1) for h in w.hashes[w.offsets[d] : w.offsets[d + 1]]}) for d in range(len(texts))]
+    doc, slot = packing.distinct_slots(w, slots)
+    assert list(zip(doc.tolist(), slot.tolist(), strict=True)) == [(d, x) for d, some in enumerate(held) for x in some]
+    f = packing.Frequencies(len(texts), len(w.hashes), len(w.data), np.bincount(slot, minlength=slots))
+    least, rows = max(2.0, p.gather * p.shard_bytes * f.docs / f.size), min(p.part_rows, max(1, p.shard_bytes * f.docs // f.size))
+    route, parts = packing.routes(w, f, p)
+    for d, some in enumerate(held):
+        rarest = min(((int(f.by_slot[x]), x) for x in some if f.by_slot[x] >= least), default=(f.docs, -1))
+        assert (route[d], parts[d]) == (rarest[1], max(1, -(-rarest[0] // rows)))
+
+
+def test_values_are_coded_by_one_pass():
+    from basinflow.llm import textkit
+
+    values = np.array([5, 2**63, 5, 0, 2**63, 7], dtype=np.uint64)
+    code, found = textkit.coded(values)
+    assert found[code].tolist() == values.tolist() and len(found) == 4
+    assert textkit.distinct(values).tolist() == [0, 5, 7, 2**63]
+    assert [len(x) for x in textkit.coded(values[:0])] == [0, 0] and len(textkit.distinct(values[:0])) == 0
+
+
 def test_windows_are_filled_with_lexical_neighbours():
     import pyarrow as pa
 

@@ -14,7 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from basinflow.llm import textkit as tk
@@ -176,6 +176,11 @@ def score_texts(docs: DataFrame, model: Discriminant, id_col: str = "doc_id", te
     return scored.withColumnRenamed("doc", id_col).withColumn("predicted", (F.col("score") >= p.threshold).cast("int"))
 
 
+def accepted(text: Column, model: Discriminant, p: QualityParams = QualityParams()) -> Column:
+    """``predicted`` of :func:`score_texts` as a column, for filters of rows that themselves stay out of Python."""
+    return tk.marked(text, lambda texts: model.scores(statistics(texts)) >= p.threshold)
+
+
 def score(stats: DataFrame, model: Discriminant, id_col: str = "doc_id", p: QualityParams = QualityParams()) -> DataFrame:
     """Per row: ``id_col``, ``score`` in 0 to 1 (higher: label 1 likelier) and ``predicted``.
 

@@ -8,11 +8,13 @@ A null text counts as empty.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -46,6 +48,19 @@ def slices(batch: pa.RecordBatch, column: str, max_bytes: int = 1 << 20) -> Iter
         at, base = stop, int(ends[stop - 1])
 
 
+def marked(text: Column, mark: Callable[[pa.Array], np.ndarray]) -> Column:
+    """A boolean column that ``mark`` gives for slices of texts; only texts reach the Python tasks, and only
+    marks come back, so a filter by it carries no row through them."""
+
+    @F.arrow_udf("boolean")
+    def marks(arrays: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for array in arrays:
+            parts = [mark(part.column(0)) for part in slices(pa.RecordBatch.from_arrays([array], names=["text"]), "text")]
+            yield pa.array(np.concatenate([np.zeros(0, dtype=bool), *parts]))
+
+    return marks(text)
+
+
 def offsets(array: pa.Array) -> np.ndarray:
     """Byte offsets of each value, one more than there are values."""
     wide = pa.types.is_large_string(array.type) or pa.types.is_large_binary(array.type)

@@ -17,7 +17,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from basinflow.llm import textkit as tk
@@ -225,6 +225,16 @@ def score(docs: DataFrame, chain: Chain, categories: list[str], id_col: str = "d
     return scored.withColumnRenamed("doc", id_col).withColumn("toxic", F.col("score") >= p.threshold)
 
 
+def rejected(text: Column, chain: Chain, p: ToxicityParams = ToxicityParams()) -> Column:
+    """``toxic`` of :func:`score` as a column, for filters of rows that themselves stay out of Python."""
+
+    def mark(texts: pa.Array) -> np.ndarray:
+        rows, cols = chain.vocabulary.find(*word_features(texts, p.prefixes))
+        return chain.probabilities(rows, cols, len(texts))[:, -1] >= p.threshold
+
+    return tk.marked(text, mark)
+
+
 #: Label columns in chain order.
 CATEGORIES = ["quality", "toxic"]
 

@@ -16,15 +16,6 @@ from basinflow.llm import decontam, minhash, packing, quality, queries, toxicity
 from basinflow.sources.shared import few_files, materialise, small_arrow_batches
 
 
-def as_rows(docs: DataFrame) -> DataFrame:
-    """``row`` (all columns, under neutral names) and ``text``: what scoring carries along."""
-    return docs.select(F.struct(*[docs[c].alias(f"c{k}") for k, c in enumerate(docs.columns)]).alias("row"), docs["text"])
-
-
-def from_rows(scored: DataFrame, docs: DataFrame) -> DataFrame:
-    return scored.select(*[F.col(f"row.c{k}").alias(c) for k, c in enumerate(docs.columns)])
-
-
 def key(docs: DataFrame) -> Column:
     """Orders by id, rows without one last."""
     return F.struct(docs["doc_id"].isNull().alias("missing"), docs["doc_id"].alias("id"), F.xxhash64(docs["text"]).alias("hash"))
@@ -37,14 +28,14 @@ def matching(docs: DataFrame, keys: DataFrame) -> Column:
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier chain, trained on the labelled ones among them, does not reject."""
     chain = toxicity.train_on_labels(docs, queries.table(spark, sf_dir, "labels"))
-    return from_rows(toxicity.score(as_rows(docs), chain, toxicity.CATEGORIES, id_col="row").where(~F.col("toxic")), docs)
+    return docs.where(~toxicity.rejected(docs["text"], chain))
 
 
 def of_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the discriminant, trained on the labelled ones among them, predicts as good."""
     labels = queries.table(spark, sf_dir, "labels").select(F.col("doc_id").alias("doc"), F.col("quality").alias("label"))
     model = quality.train(materialise(quality.document_statistics(docs), "statistics"), labels)
-    return from_rows(quality.score_texts(as_rows(docs), model, id_col="row").where("predicted = 1"), docs)
+    return docs.where(quality.accepted(docs["text"], model))
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

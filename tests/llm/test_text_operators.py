@@ -130,6 +130,31 @@ def test_a_labelled_id_counts_once_however_often_it_occurs(spark):
     assert toxicity.score(twice, chain, toxicity.CATEGORIES).count() == twice.count()
 
 
+def test_filters_of_the_pipeline_carry_no_row_through_python(spark):
+    """They keep what the scores keep, and of the columns Python reads the text, once."""
+    docs, labels = toxic_corpus(spark, 120)
+    rows = docs.unionByName(awkward(spark))
+    chain = toxicity.train_on_labels(docs, labels)
+    model = quality.train(quality.document_statistics(docs), labels.select(F.col("doc_id").alias("doc"), F.col("toxic").alias("label")))
+    toxic = toxicity.score(rows, chain, toxicity.CATEGORIES).where("toxic").select("doc_id")
+    good = quality.score_texts(rows, model).where("predicted = 1").select("doc_id")
+    for kept, want in ((rows.where(toxicity.rejected(rows["text"], chain)), toxic), (rows.where(quality.accepted(rows["text"], model)), good)):
+        assert kept.columns == rows.columns
+        assert sorted(map(str, kept.select("doc_id").collect())) == sorted(map(str, want.collect())) != []
+        plan = kept._jdf.queryExecution().executedPlan().toString()
+        assert "ArrowEvalPython" in plan and "MapInArrow" not in plan
+    assert rows.limit(0).where(toxicity.rejected(F.col("text"), chain)).count() == 0
+
+
+def test_the_pipeline_filters_without_rows_in_python(spark):
+    import corpus_pipeline
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    for stage in (corpus_pipeline.without_toxic, corpus_pipeline.of_quality):
+        kept = stage(spark, docs, "/root/testdata/sf0.001")
+        assert "MapInArrow" not in kept._jdf.queryExecution().executedPlan().toString()
+
+
 def test_toxicity_edge_cases(spark):
     docs, labels = toxic_corpus(spark, 80)
     chain = toxicity.train_on_labels(docs, labels)

@@ -167,12 +167,11 @@ def texts_of(docs: DataFrame, text_col: str, carriers: DataFrame, p: MinHashPara
     more texts pass the more carriers there are, and never drops one."""
     place = F.col("known_as").bitwiseAND(p.filter_bits - 1)
     words = carriers.select(place.alias("place")).groupBy(F.expr("place div 32").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(place % 32 as int))")).alias("bits")).toArrow()
-    held = np.zeros(p.filter_bits // 32, dtype=np.int64)
+    held = np.zeros(p.filter_bits // 32, dtype="<u4")
     held[words.column("word").to_numpy()] = words.column("bits").to_numpy()
-    held = ((held[:, None] >> np.arange(32)) & 1).astype(bool).reshape(-1)
-    packed = docs.sparkSession.sparkContext.broadcast(np.packbits(held))
+    packed = docs.sparkSession.sparkContext.broadcast(held.view(np.uint8))
     rows = docs.select(text_key(text_col).alias("known_as"), F.col(text_col).alias("text"))
-    rows = rows.mapInArrow(lambda batches: _held_batches(batches, np.unpackbits(packed.value).astype(bool)), "known_as long, text string")
+    rows = rows.mapInArrow(lambda batches: _held_batches(batches, np.unpackbits(packed.value, bitorder="little").view(bool)), "known_as long, text string")
     return rows.join(carriers, "known_as").groupBy("node").agg(F.first("text").alias("text"))
 
 

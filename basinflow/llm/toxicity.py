@@ -77,6 +77,14 @@ class Vocabulary:
         return pair // size, pair % size
 
 
+def summed(to: np.ndarray, values: np.ndarray, at: np.ndarray, size: int, block: int = 1 << 19) -> np.ndarray:
+    """``values[at]`` added up at the places ``to``, a block at a time: what is held besides stays small."""
+    total = np.zeros(size)
+    for k in range(0, len(to), block):
+        total += np.bincount(to[k : k + block], weights=values[at[k : k + block]], minlength=size)
+    return total
+
+
 @dataclass
 class LinearModel:
     weights: np.ndarray
@@ -84,7 +92,7 @@ class LinearModel:
     bias: float
 
     def log_odds(self, rows: np.ndarray, cols: np.ndarray, dense: np.ndarray) -> np.ndarray:
-        return self.bias + dense @ self.dense + np.bincount(rows, weights=self.weights[cols], minlength=len(dense))
+        return self.bias + dense @ self.dense + summed(rows, self.weights, cols, len(dense))
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -98,7 +106,7 @@ def fit_linear(rows: np.ndarray, cols: np.ndarray, dense: np.ndarray, y: np.ndar
     squares = [np.full(size, 1e-8), np.full(dense.shape[1], 1e-8), 1e-8]
     for _ in range(p.steps if len(y) else 0):
         off = (sigmoid(model.log_odds(rows, cols, dense)) - y) / len(y)
-        steps = [np.bincount(cols, weights=off[rows], minlength=size) + p.ridge * model.weights, dense.T @ off + p.ridge * model.dense, off.sum()]
+        steps = [summed(cols, off, rows, size) + p.ridge * model.weights, dense.T @ off + p.ridge * model.dense, off.sum()]
         squares = [s + g * g for s, g in zip(squares, steps, strict=True)]
         moves = [0.5 * g / np.sqrt(s) for s, g in zip(squares, steps, strict=True)]
         model = LinearModel(model.weights - moves[0], model.dense - moves[1], model.bias - float(moves[2]))
@@ -130,7 +138,7 @@ def fit_chain(rows: np.ndarray, cols: np.ndarray, labels: np.ndarray, vocabulary
     odds, models = np.zeros((count, 0)), []
 
     def fitted(keep: np.ndarray, y: np.ndarray) -> LinearModel:
-        place, some = np.cumsum(keep) - 1, keep[rows]
+        place, some = np.cumsum(keep, dtype=rows.dtype) - 1, keep[rows]
         return fit_linear(place[rows[some]], cols[some], odds[keep], y[keep], size, p)
 
     for y in labels.T:
@@ -206,9 +214,10 @@ def train(labelled: DataFrame, text_col: str, categories: list[str], p: Toxicity
     labels = [_label_matrix(x) for x in found.column("labels").chunks if len(x)]
     labels = np.concatenate([np.zeros((0, len(categories))), *labels])
     lists = found.column("found").chunks
-    cols = np.concatenate([np.zeros(0, dtype=np.int64), *[x.flatten().to_numpy() for x in lists]])
-    counts = np.concatenate([np.zeros(0, dtype=np.int64), *[x.value_lengths().to_numpy() for x in lists]])
-    return fit_chain(np.repeat(np.arange(len(counts)), counts), cols, labels, vocabulary, p)
+    cols = np.concatenate([np.zeros(0, dtype=np.int32), *[x.flatten().to_numpy() for x in lists]])
+    counts = np.concatenate([np.zeros(0, dtype=np.int32), *[x.value_lengths().to_numpy() for x in lists]])
+    del found, lists
+    return fit_chain(np.repeat(np.arange(len(counts), dtype=np.int32), counts), cols, labels, vocabulary, p)
 
 
 def score(docs: DataFrame, chain: Chain, categories: list[str], id_col: str = "doc_id", text_col: str = "text", p: ToxicityParams = ToxicityParams()) -> DataFrame:

@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import math
 import random
+import tracemalloc
 import zlib
 from fractions import Fraction
 
@@ -246,6 +247,23 @@ def test_rows_without_an_id_and_rows_that_share_one_are_grouped_by_their_texts(s
     assert sorted(map(tuple, found), key=str) == sorted(want, key=str)
 
 
+def test_the_map_of_texts_is_small_on_the_driver(spark):
+    """Every carrier's text comes, whichever bit is its own; the driver holds the map's bits, not a number for each."""
+    rng = random.Random(3)
+    docs = spark.createDataFrame([(k, prose(rng, 8)) for k in range(400)], "doc_id long, text string")
+    known = docs.select(F.col("doc_id").alias("node"), minhash.text_key("text").alias("known_as"))
+    carriers = known.where("node % 2 = 0")
+    places = {r.known_as % 32 for r in carriers.collect()}
+    assert places == set(range(32))
+    p = minhash.MinHashParams()
+    tracemalloc.start()
+    texts = minhash.texts_of(docs, "text", carriers, p)
+    _, most = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert most < p.filter_bits
+    assert {(r.node, r.text) for r in texts.collect()} == {(r.doc_id, r.text) for r in docs.collect() if r.doc_id % 2 == 0}
+
+
 def test_every_pair_of_a_bucket_meets_in_one_cell(spark):
     """Members are dealt to cells of two blocks; all pairs that need comparing meet, once for each cell."""
     sizes = {0: 37, 1: 9, 2: 1, 3: 14}

@@ -2,6 +2,7 @@
 
 import math
 import random
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -121,6 +122,21 @@ def test_the_chain_follows_the_definition():
     assert chain.probabilities(*np.nonzero(fresh), 20) == pytest.approx(np.column_stack(want), rel=1e-6, abs=1e-9)
 
 
+def test_fitting_holds_few_bytes_besides_its_input():
+    """The driver fits the chain: beyond the words themselves it holds under 16 bytes for each."""
+    rng, count, size, n = np.random.default_rng(9), 10_000, 2_000, 2_000_000
+    rows, cols = np.sort(rng.integers(count, size=n, dtype=np.int32)), rng.integers(size, size=n, dtype=np.int32)
+    labels = rng.integers(2, size=(count, 2)).astype(float)
+    vocabulary = toxicity.Vocabulary(np.arange(size, dtype=np.uint64))
+    tracemalloc.start()
+    toxicity.fit_chain(rows, cols, labels, vocabulary, toxicity.ToxicityParams(steps=1))
+    _, most = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert most < 16 * n
+    values = rng.random(size)
+    assert toxicity.summed(rows, values, cols, count, 1000) == pytest.approx(np.bincount(rows, weights=values[cols], minlength=count))
+
+
 def test_a_labelled_id_counts_once_however_often_it_occurs(spark):
     docs, labels = toxic_corpus(spark, 120)
     twice = docs.unionByName(docs.where("doc_id < 40").withColumn("text", F.lit("other words"))).unionByName(docs)

@@ -5,12 +5,15 @@ farthest-first traversal.  Pools are independent, so batches are groups of a gro
 once, and a group is no larger than its pool.  Rows compete for a pool among those of their salt first, so
 no task ranks the table.
 
-A core-set of the whole table is composed: every group of rows gives its own, groups of those give theirs, and
-so on up a tree, so each task sees a bounded number of rows and every row is looked at.
+A core-set of the whole table is composed: every group of rows gives its own, and those are traversed together, so
+each task sees a bounded number of rows and every row is looked at.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -61,30 +64,87 @@ def greedy_core_sets(points: DataFrame, budget: int, oversampling_factor: int, n
     return each.select("batch", "nth", "id", "vec").groupBy("batch").applyInPandas(run, "batch int, position int, id long")
 
 
+#: Rows whose farthest-first order is found in one task; of more rows a round's candidates reach the driver.
+POOL_ROWS, CANDIDATES = 65_536, 4_096
+
+
+def _columns(vectors: pa.ListArray, least: int = 0) -> np.ndarray:
+    """Vectors as columns of a matrix; shorter ones are filled with zeros, to ``least`` components at least."""
+    sizes = np.diff(vectors.offsets.to_numpy())
+    rows = np.zeros((len(vectors), max(int(sizes.max(initial=0)), least)))
+    rows[np.arange(rows.shape[1])[None, :] < sizes[:, None]] = vectors.flatten().to_numpy()
+    return np.ascontiguousarray(rows.T)
+
+
+def _gaps(columns: np.ndarray, centre: np.ndarray) -> np.ndarray:
+    """Squared distances to ``centre``, added from left to right: the same whatever rows stand beside."""
+    wide = np.zeros(len(columns))
+    wide[: len(centre)] = centre
+    return np.add.accumulate((columns - wide[:, None]) ** 2, axis=0)[-1] if len(columns) else np.zeros(columns.shape[1])
+
+
 def _pick(table: pa.Table, budget: int) -> pa.Table:
     """The core-set of a group of rows ``part, key, id, vec``, in order of choice, with the distance of each row
     to those chosen before it (the first one's is infinite)."""
     table = table.sort_by([("key", "ascending"), ("id", "ascending")]).combine_chunks()
-    sizes = table.column("vec").chunk(0).offsets.to_numpy()
-    vectors = np.zeros((table.num_rows, int(np.diff(sizes).max(initial=0))))  # shorter vectors are filled with zeros
-    vectors[np.arange(vectors.shape[1])[None, :] < np.diff(sizes)[:, None]] = table.column("vec").chunk(0).flatten().to_numpy()
-    order = farthest_first(vectors, budget)
-    far, nearest = np.full(len(order), np.inf), np.full(len(vectors), np.inf)
-    for position, at in enumerate(order):
-        far[position] = np.sqrt(nearest[at])
-        nearest = np.minimum(nearest, ((vectors - vectors[at]) ** 2).sum(axis=1))
+    columns = _columns(table.column("vec").chunk(0))
+    order, far, nearest = [0], [np.inf], np.full(table.num_rows, np.inf)
+    for _ in range(min(budget, table.num_rows) - 1):
+        nearest = np.minimum(nearest, _gaps(columns, columns[:, order[-1]]))
+        nearest[order] = -1
+        order.append(int(nearest.argmax()))
+        far.append(np.sqrt(nearest[order[-1]]))
     rows = table.take(pa.array(order)).select(["part", "key", "id", "vec"])
     return rows.append_column("position", pa.array(np.arange(len(order), dtype=np.int32))).append_column("distance", pa.array(far))
 
 
+def _near_batches(batches: Iterator[pa.RecordBatch], ids: np.ndarray, chosen: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """Rows ``key, id, vec`` that are not ``chosen`` yet, with ``near``, the squared distance to the nearest that is."""
+    for batch in batches:
+        batch = batch.filter(pa.array(~np.isin(batch.column(1).to_numpy(), ids)))
+        if batch.num_rows:
+            columns, near = _columns(batch.column(2), max(map(len, chosen))), np.full(batch.num_rows, np.inf)
+            for centre in chosen:
+                near = np.minimum(near, _gaps(columns, centre))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(near)], names=["key", "id", "vec", "near"])
+
+
+def _traversed(rows: DataFrame, budget: int) -> DataFrame:
+    """As :func:`_pick` of all ``rows(key, id, vec)`` together, with the same result, in rounds over the table.
+
+    A round brings the :data:`CANDIDATES` rows that lie farthest from those chosen.  As others come no farther, the
+    farthest candidate is the next choice for as long as it lies farther than the last one did.
+    """
+    first = rows.orderBy("key", "id").first()
+    ids, chosen, far = [first["id"]], [np.array(first["vec"])], [math.inf]
+    while len(ids) < budget:
+        known, centres = np.array(ids), list(chosen)
+        near = rows.select("key", "id", "vec").mapInArrow(lambda b: _near_batches(b, known, centres), "key string, id long, vec array<double>, near double")  # noqa: B023
+        top = near.orderBy(F.desc("near"), "key", "id").limit(CANDIDATES).toArrow()
+        if not top.num_rows:
+            break
+        bound = top.column("near")[-1].as_py() if top.num_rows == CANDIDATES else -1.0
+        top = top.sort_by([("key", "ascending"), ("id", "ascending")]).combine_chunks()
+        columns, nearest, fresh = _columns(top.column("vec").chunk(0)), top.column("near").to_numpy().copy(), True
+        while len(ids) < budget and (nearest.max() > bound or fresh and nearest.max() >= 0):
+            best, fresh = int(nearest.argmax()), False
+            ids.append(top.column("id")[best].as_py())
+            chosen.append(np.array(top.column("vec")[best].as_py()))
+            far.append(math.sqrt(nearest[best]))
+            nearest = np.where(nearest < 0, -1, np.minimum(nearest, _gaps(columns, columns[:, best])))
+            nearest[best] = -1
+    return rows.sparkSession.createDataFrame([(k, i, d) for k, (i, d) in enumerate(zip(ids, far, strict=True))], "position int, id long, distance double")
+
+
 def covering_core_set(points: DataFrame, budget: int, group_rows: int = 65_536, fan_in: int = 32, seed: int = 47, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """``position, id, distance``: ``budget`` rows that cover the whole table, farthest first.
 
     ``distance`` is to the nearest row chosen before (null for the first).  Groups of about ``group_rows`` rows are
-    dealt by an MD5 of the id; their core-sets, ``fan_in`` at a time, are cut down again until one is left.  A
-    row lies within the group's radius of what its group chose, and that within the next one's: after one
-    level of groups the radius is at most four times the smallest possible one.  A task holds ``group_rows`` rows, or
-    ``fan_in * budget``.  Unusable vectors and null ids take no part; of rows with one id that with the smallest
+    dealt by an MD5 of the id; the rows of all their core-sets are traversed once more.  A row lies within the
+    group's radius of what its group chose, and that within the last one's: the radius is at most four times the
+    smallest possible one, however many groups there are.  A task holds ``group_rows`` rows, and the last traversal
+    takes one task up to :data:`POOL_ROWS` rows or ``fan_in * budget``; more rows take rounds over all tasks, with the
+    same result.  Unusable vectors and null ids take no part; of rows with one id that with the smallest
     vector counts; with fewer ids than the budget all are returned.
     """
     rows = points.where(F.col(id_col).isNotNull() & usable(F.col(vector_col))).groupBy(F.col(id_col).cast("long").alias("id")).agg(F.min(doubles(F.col(vector_col))).alias("vec"))
@@ -93,10 +153,12 @@ def covering_core_set(points: DataFrame, budget: int, group_rows: int = 65_536,
     part = F.conv(F.substring("key", 1, 7), 16, 10).cast("long") % groups
     schema = "part long, key string, id long, vec array<double>, position int, distance double"
     held = rows.select(part.alias("part"), "key", "id", "vec").groupBy("part").applyInArrow(lambda t: _pick(t, budget), schema)
-    while groups > 1:
-        groups = -(-groups // fan_in)
-        held = materialise(held, "core-sets").select(F.expr(f"part div {fan_in}").alias("part"), "key", "id", "vec")
-        held = held.groupBy("part").applyInArrow(lambda t: _pick(t, budget), schema)
+    if groups > 1:
+        held = materialise(held, "core-sets")
+        if held.count() > max(POOL_ROWS, fan_in * budget):
+            held = _traversed(held, budget)
+        else:
+            held = held.select(F.lit(0).cast("long").alias("part"), "key", "id", "vec").groupBy("part").applyInArrow(lambda t: _pick(t, budget), schema)
     return held.select("position", "id", F.when(F.col("position") > 0, F.col("distance")).alias("distance"))
 
 

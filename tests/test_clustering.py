@@ -1,5 +1,6 @@
 """Neighbour graphs, densities, persistence and evaluation against plain Python, and edge cases."""
 
+import hashlib
 import itertools
 import math
 import random
@@ -466,6 +467,32 @@ def test_a_core_set_of_the_whole_table_covers_it(spark):
     assert coreset.covering_core_set(x.limit(0), 5).count() == 0
 
 
+def test_core_sets_of_many_groups_are_traversed_together(spark, monkeypatch):
+    """Two levels whatever the fan-in, as in SQL; the rounds over all tasks find what one task finds."""
+    rng = np.random.default_rng(36)
+    vectors = np.concatenate([rng.normal(size=(400, 3)), np.repeat(rng.normal(size=(8, 3)) * 2, 10, axis=0)]).astype(np.float32).astype(float)
+    x = points(spark, [(k, v.tolist(), 0) for k, v in enumerate(vectors)])
+    key = [hashlib.md5(f"47 {k}".encode()).hexdigest() for k in range(len(vectors))]
+
+    def walk(ids):
+        ids = sorted(ids, key=lambda k: key[k])
+        return [ids[k] for k in coreset.farthest_first(vectors[ids], 6)]
+
+    parts = {}
+    for k in range(len(vectors)):
+        parts.setdefault(int(key[k][:7], 16) % 32, []).append(k)
+    plain = walk([k for ids in parts.values() for k in walk(ids)])
+    for rows, candidates in ((1 << 16, 4096), (10, 4096), (10, 7), (10, 1)):
+        monkeypatch.setattr(coreset, "POOL_ROWS", rows)
+        monkeypatch.setattr(coreset, "CANDIDATES", candidates)
+        found = coreset.covering_core_set(x, 6, group_rows=15, fan_in=3).orderBy("position").collect()
+        assert [r.id for r in found] == plain and found[0].distance is None
+        for n, r in enumerate(found[1:], 1):
+            assert r.distance == pytest.approx(min(np.linalg.norm(vectors[r.id] - vectors[k]) for k in plain[:n]))
+    monkeypatch.setattr(coreset, "CANDIDATES", 50)
+    assert coreset.covering_core_set(x, 1000, group_rows=240, fan_in=0).count() == 480
+
+
 def plain_loss(x, k, dim, q, components):
     """Saliency and shrinkage of points by the sequential definition."""
     far = ((x[:, None] - x[None]) ** 2).sum(-1)

@@ -18,6 +18,7 @@ The result is the long form ``i, rk, j, dist``: the ``rk``-th neighbour (from 1)
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
@@ -26,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from basinflow.functions.vectors import doubles, normalised, pnorm, usable
@@ -77,32 +78,184 @@ def best_of_rows(rows: np.ndarray, ids: np.ndarray, dist: np.ndarray, k: int) ->
     return order[nth < k]
 
 
+#: A row of rough distances is looked through by the least of every so many entries.
+GROUP = 64
+#: Queries and columns of a tile of sums of absolute differences (tiles that stay in the processor's cache), and
+#: components that are added up in 16 bits.
+TILE_ROWS, TILE_COLUMNS, SHORT_SUMS = 32, 4096, 64
+
+
+def entries_below(rough: np.ndarray, least: np.ndarray, limit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of the entries up to their row's ``limit``; ``least`` has the minima of every row's groups."""
+    width = least.shape[1]
+    rows, groups = np.nonzero(least <= limit[:, None])
+    hit, at = np.nonzero(rough.reshape(len(rough), -1, width)[rows, :, groups] <= limit[rows, None])
+    return rows[hit], at * width + groups[hit]
+
+
+def kth_bound(rough: np.ndarray, least: np.ndarray, k: int) -> np.ndarray:
+    """What at least ``k`` entries of each row do not exceed, and few others."""
+    held = least if least.shape[1] >= 2 * k else rough
+    return np.partition(held, k - 1, axis=1)[:, k - 1]
+
+
+class Products:
+    """Rough squared distances (less the query's own square) by products in single precision, and their largest error.
+
+    Vectors are taken from the corpus's mean and scaled by a power of two, so offsets and units cost no digits.
+    """
+
+    def __init__(self, corpus: np.ndarray):
+        self.mid, self.most = corpus.mean(axis=0), np.abs(corpus).max()
+        rows = corpus - self.mid
+        norms = np.einsum("nd,nd->n", rows, rows)
+        self.top = norms.max()
+        self.sound = bool(1e-200 < self.top < 1e200)
+        self.scale = 2.0 ** -math.floor(math.log2(math.sqrt(self.top))) if self.sound else 1.0
+        n, dims = rows.shape
+        self.side = np.zeros((dims + 1, -(-n // GROUP) * GROUP), dtype=np.float32)
+        self.side[dims] = np.inf
+        if self.sound:
+            self.side[:dims, :n], self.side[dims, :n] = (rows * self.scale).T, norms * self.scale**2
+        self.step = max(1, min(256, (4 << 20) // self.side.shape[1]))
+
+    def rough(self, queries: np.ndarray) -> np.ndarray | None:
+        rows = (queries - self.mid) * self.scale
+        self.own = np.einsum("nd,nd->n", rows, rows)
+        if not self.own.max() < 1e15:
+            return None
+        left = np.ones((len(rows), len(self.side)), dtype=np.float32)
+        left[:, :-1] = -2 * rows
+        return left @ self.side
+
+    def limit(self, dist: np.ndarray) -> np.ndarray:
+        """What the rough value of a row no farther than ``dist`` cannot exceed."""
+        dims, top = len(self.mid), self.top * self.scale**2
+        shift = 2.0**-50 * (self.most + np.abs(self.mid).max()) * self.scale + 2.0**-50 * np.sqrt(self.own)  # of a component, by taking the mean
+        error = (dims + 8) * 2.0**-23 * (self.own + 2 * top) + 4 * math.sqrt(dims) * shift * (np.sqrt(self.own) + math.sqrt(top)) + dims * shift**2 + 1e-35
+        return np.nextafter((dist * self.scale**2 - self.own + error).astype(np.float32), np.float32(np.inf))
+
+
+class Gaps:
+    """Rough sums of absolute differences, in steps of 16-bit codes.
+
+    A code is off by half a step at most, and one that is cut off at the ends comes no farther from others by it, so the
+    sum is at most one step for each component above the true one.
+    """
+
+    def __init__(self, corpus: np.ndarray):
+        n, dims = corpus.shape
+        self.mid, self.n = corpus.mean(axis=0), n
+        gaps = np.abs(corpus - self.mid)
+        reach = min(gaps.max(), 6 * math.sqrt((gaps * gaps).mean(axis=0).max()))
+        self.sound = bool(1e-200 < reach < 1e200)
+        self.half = min(16_383, 65_535 // (2 * min(dims, SHORT_SUMS)))
+        self.unit, self.step = (reach / self.half if self.sound else 1.0), TILE_ROWS
+        self.codes = np.zeros((dims, -(-n // GROUP) * GROUP), dtype=np.int16)
+        self.codes[:, :n] = self.coded(corpus).T
+
+    def coded(self, vectors: np.ndarray) -> np.ndarray:
+        return np.clip(np.rint((vectors - self.mid) / self.unit), -self.half, self.half).astype(np.int16)
+
+    def rough(self, queries: np.ndarray) -> np.ndarray:
+        own, (dims, width) = self.coded(queries), self.codes.shape
+        sums = np.empty((len(own), width), dtype=np.uint16 if dims <= SHORT_SUMS else np.uint32)
+        for at in range(0, width, TILE_COLUMNS):
+            held = self.codes[:, at : at + TILE_COLUMNS]
+            gap, short = np.empty((len(own), held.shape[1]), dtype=np.int16), np.empty((len(own), held.shape[1]), dtype=np.uint16)
+            out = sums[:, at : at + TILE_COLUMNS]
+            for lo in range(0, dims, SHORT_SUMS):
+                part = out if dims <= SHORT_SUMS else short
+                part[:] = 0
+                for d in range(lo, min(lo + SHORT_SUMS, dims)):
+                    np.subtract(own[:, d : d + 1], held[d], out=gap)
+                    np.abs(gap, out=gap)
+                    np.add(part, gap.view(np.uint16), out=part)
+                if part is short:
+                    np.add(out, short, out=out) if lo else np.copyto(out, short)
+        sums[:, self.n :] = np.iinfo(sums.dtype).max
+        return sums
+
+    def limit(self, dist: np.ndarray) -> np.ndarray:
+        return dist / self.unit * (1 + 1e-9) + len(self.codes) * (1 + 1e-9) + 1
+
+
+def measured(corpus: np.ndarray, queries: np.ndarray, rows: np.ndarray, cols: np.ndarray, p: float) -> np.ndarray:
+    """Exact distances of pairs (row of queries, row of corpus), some at a time."""
+    step = max(1, (2 << 20) // corpus.shape[1])
+    return np.concatenate([power_sums(corpus[cols[at : at + step]] - queries[rows[at : at + step]], p) for at in range(0, max(1, len(rows)), step)])
+
+
+class Chunk:
+    """Corpus rows in a form that many queries can be compared with."""
+
+    def __init__(self, corpus: np.ndarray, ids: np.ndarray, spec: Knn):
+        self.corpus, self.ids, self.spec, self.rougher = corpus.astype(float, copy=False), ids, spec, None
+        if spec.p in (1, 2) and len(ids) >= max(4 * spec.k, 4 * GROUP):
+            self.rougher = Products(self.corpus) if spec.p == 2 else Gaps(self.corpus)
+            if not self.rougher.sound:
+                self.rougher = None
+
+    def narrow(self, block: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+        """Row of the query, row of the corpus and exact distance of all that may be among the ``k`` nearest; None where
+        rough distances tell too little."""
+        k, n = self.spec.k, len(self.ids)
+        rough = self.rougher.rough(block)
+        if rough is None:
+            return None
+        least = rough.reshape(len(rough), GROUP, -1).min(axis=1)
+        rows, cols = entries_below(rough, least, kth_bound(rough, least, k))
+        if len(rows) > len(block) * (8 * k + n // 32):
+            return None
+        rows, cols = rows[cols < n], cols[cols < n]
+        dist = measured(self.corpus, block, rows, cols, self.spec.p)
+        best = best_of_rows(rows, self.ids[cols], dist, k)
+        rows, cols = entries_below(rough, least, self.rougher.limit(dist[best].reshape(len(block), k)[:, -1]))
+        if len(rows) > len(block) * (8 * k + n // 32):
+            return None
+        rows, cols = rows[cols < n], cols[cols < n]
+        return rows, cols, measured(self.corpus, block, rows, cols, self.spec.p)
+
+    def plain(self, block: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """As :meth:`narrow`, in double precision throughout."""
+        k, n = self.spec.k, len(self.ids)
+        if self.spec.p == 2 and n > 4 * k:
+            norms = np.einsum("nd,nd->n", self.corpus, self.corpus)
+            rough = norms[None, :] - 2 * block @ self.corpus.T
+            slack = 1e-10 * (norms.max() + np.einsum("nd,nd->n", block, block))
+            rows, cols = np.nonzero(rough <= (np.partition(rough, k - 1, axis=1)[:, k - 1] + slack)[:, None])
+            return rows, cols, measured(self.corpus, block, rows, cols, 2)
+        rough = power_sums(self.corpus[None, :, :] - block[:, None, :], self.spec.p)
+        limit = np.partition(rough, k - 1, axis=1)[:, k - 1] if n > k else np.full(len(block), np.inf)
+        rows, cols = np.nonzero(rough <= limit[:, None])
+        return rows, cols, rough[rows, cols]
+
+    def compare(self, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Row of the query, neighbour id and exact distance of the ``k`` nearest for every query."""
+        spec, n = self.spec, len(self.ids)
+        wide = 1 if spec.p == 2 and n > 4 * spec.k else self.corpus.shape[1]
+        slow = max(1, min(256, (4 << 20) // max(1, n * wide)))  # below 32 MB
+        step = self.rougher.step if self.rougher else slow
+        found = []
+        for at in range(0, len(queries), step):
+            block = queries[at : at + step]
+            got = [(0, self.narrow(block))] if self.rougher else [(0, None)]
+            if got[0][1] is None:
+                got = [(lo, self.plain(block[lo : lo + slow])) for lo in range(0, len(block), slow)]
+            for lo, (rows, cols, dist) in got:
+                best = best_of_rows(rows, self.ids[cols], dist, spec.k)
+                found.append((rows[best] + at + lo, self.ids[cols[best]], dist[best]))
+        rows, near, dist = (np.concatenate(x) for x in zip(*found, strict=True))
+        return rows, near, dist ** (1 / spec.p) if spec.root and not math.isinf(spec.p) else dist
+
+
 def compare(corpus: np.ndarray, ids: np.ndarray, queries: np.ndarray, spec: Knn) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Row of the query, neighbour id and exact distance of the ``k`` nearest for every query.
 
-    Blocks of queries at a time.  For p = 2 a matrix product finds who may be among the ``k`` nearest, within
-    its rounding error; those alone are measured by differences.
+    Blocks of queries at a time.  For p = 2 products in single precision and for p = 1 sums of 16-bit codes find who may
+    be among the ``k`` nearest, within their error; those alone are measured by differences.
     """
-    norms, n = np.einsum("nd,nd->n", corpus, corpus), len(ids)
-    product = spec.p == 2 and n > 4 * spec.k
-    step = max(1, min(256, (4 << 20) // max(1, n * (1 if product else corpus.shape[1]))))  # below 32 MB
-    found = []
-    for at in range(0, len(queries), step):
-        block = queries[at : at + step]
-        if product:
-            rough = norms[None, :] - 2 * block @ corpus.T
-            slack = 1e-10 * (norms.max() + np.einsum("nd,nd->n", block, block))
-            rows, cols = np.nonzero(rough <= (np.partition(rough, spec.k - 1, axis=1)[:, spec.k - 1] + slack)[:, None])
-            dist = power_sums(corpus[cols] - block[rows], 2)
-        else:
-            rough = power_sums(corpus[None, :, :] - block[:, None, :], spec.p)
-            limit = np.partition(rough, spec.k - 1, axis=1)[:, spec.k - 1] if n > spec.k else np.full(len(block), np.inf)
-            rows, cols = np.nonzero(rough <= limit[:, None])
-            dist = rough[rows, cols]
-        best = best_of_rows(rows, ids[cols], dist, spec.k)
-        found.append((rows[best] + at, ids[cols[best]], dist[best]))
-    rows, near, dist = (np.concatenate(x) for x in zip(*found, strict=True))
-    return rows, near, dist ** (1 / spec.p) if spec.root and not math.isinf(spec.p) else dist
+    return Chunk(corpus, ids, spec).compare(queries)
 
 
 def runs_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, int, pa.RecordBatch]]:
@@ -128,30 +281,49 @@ def _neighbours(cell: int, ids: np.ndarray, near: np.ndarray, dist: np.ndarray)
 
 
 def _search_batches(batches: Iterator[pa.RecordBatch], spec: Knn) -> Iterator[pa.RecordBatch]:
-    now, held, corpus, ids = None, [], None, None
+    now, held, chunk = None, [], None
     for key, side, rows in runs_of(batches):
         if key != now:
-            now, held, corpus = key, [], None
+            now, held, chunk = key, [], None
         if side == 0:
             held.append(rows)
             continue
         if not held:
             continue
-        if corpus is None:
-            corpus = np.concatenate([matrix(x.column(5)) for x in held])
-            ids = np.concatenate([x.column(4).to_numpy() for x in held])
+        if chunk is None:
+            chunk = Chunk(np.concatenate([matrix(x.column(5)) for x in held]), np.concatenate([x.column(4).to_numpy() for x in held]), spec)
+            held = held[:1]
         for at in range(0, rows.num_rows, 1024):
             part = rows.slice(at, 1024)
-            found, near, dist = compare(corpus, ids, matrix(part.column(5)), spec)
+            found, near, dist = chunk.compare(matrix(part.column(5)))
             yield _neighbours(key[1], part.column(4).to_numpy()[found], near, dist)
 
 
 def stream(corpus: DataFrame, queries: DataFrame, parts: int | None = None) -> DataFrame:
-    """Rows ``(dim, cell, chunk, side, id, vec)`` with each chunk's corpus before its queries."""
+    """Rows ``(dim, cell, chunk, side, id, vec)`` with each chunk's corpus before its queries; with ``parts`` chunks are
+    dealt in turn to so many partitions."""
     columns = ["dim", "cell", "chunk", "side", "id", "vec"]
     sides = [df.select(F.size("vec").alias("dim"), "cell", "chunk", F.lit(k).alias("side"), "id", "vec") for k, df in enumerate((corpus, queries))]
-    keys = [*([parts] if parts else []), "dim", "cell", "chunk"]
-    return sides[0].unionByName(sides[1]).repartition(*keys).sortWithinPartitions(*columns[:4])
+    both = sides[0].unionByName(sides[1])
+    dealt = both.repartition(parts, in_turn(corpus.sparkSession, F.col("chunk"), parts)) if parts else both.repartition(*columns[:3])
+    return dealt.sortWithinPartitions(*columns[:4])
+
+
+def in_turn(spark: SparkSession, number: Column, parts: int) -> Column:
+    """A key whose hash deals rows of a ``number`` to partition ``number % parts``, each to its own.
+
+    Numbers themselves collide: of 16 as many hashed to 16 partitions three meet in one and four stay empty.  Where
+    partitions are many (beyond 4,096) that evens out, and they are taken as they are.
+    """
+    if parts > 4096:
+        return number
+    keys: dict[int, int] = {}
+    for lo in itertools.count(0, 16 * parts):
+        found = spark.range(lo, lo + 16 * parts).select(F.col("id").cast("int").alias("id"), F.pmod(F.hash(F.col("id").cast("int")), F.lit(parts)).alias("at")).groupBy("at").agg(F.min("id").alias("id"))
+        keys = {r["at"]: r["id"] for r in found.collect()} | keys
+        if len(keys) == parts:
+            break
+    return F.element_at(F.array(*[F.lit(keys[k]).cast("int") for k in range(parts)]), (F.pmod(number, F.lit(parts)) + 1).cast("int"))
 
 
 def merged(found: DataFrame, k: int, by: Sequence[str] = ("i",)) -> DataFrame:
@@ -194,13 +366,14 @@ def _tiles(corpus: DataFrame, asked: DataFrame, rows: int, queries: int, dims: i
     """The stream of all tiles of a cell: ``asked`` in blocks against ``corpus`` in chunks."""
     spark = corpus.sparkSession
     chunks = max(1, -(-rows // (chunk_rows or max(1, CHUNK_BYTES // (8 * max(1, dims or 1))))))
-    blocks = max(-(-queries // BLOCK_ROWS), -(-2 * spark.sparkContext.defaultParallelism // chunks))
+    each = 4 if rows * queries >> 32 else 2  # tiles a core
+    blocks = max(-(-queries // BLOCK_ROWS), -(-each * spark.sparkContext.defaultParallelism // chunks))
     all_of = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     tile = (F.col("block") * chunks + F.col("part")).alias("chunk")
     corpus = corpus.select("id", "vec", "cell", F.pmod(F.xxhash64("id", "vec"), F.lit(chunks)).cast("int").alias("part"), all_of(blocks).alias("block"))
     asked = asked.select("id", "vec", "cell", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"), all_of(chunks).alias("part"))
     parts = min(blocks * chunks, 1 << 16)
-    parts = parts if parts > int(spark.conf.get("spark.sql.shuffle.partitions")) and chunks > 1 else None
+    parts = parts if parts > int(spark.conf.get("spark.sql.shuffle.partitions")) or chunks > 1 else None
     return stream(corpus.select("id", "vec", "cell", tile), asked.select("id", "vec", "cell", tile), parts)
 
 

@@ -650,6 +650,39 @@ def test_blocks_of_queries_find_what_one_by_one_finds():
             assert [(round(d**2 if spec.root else d, 9), j) for d, j in zip(dist[rows == q].tolist(), near[rows == q].tolist())] == plain
 
 
+@pytest.mark.parametrize("p", [1, 2])
+def test_rough_distances_lose_nobody(p):
+    """Codes and single precision choose whom to measure; ties, outliers, offsets and scales change no result."""
+    rng = np.random.default_rng(38)
+    c = rng.normal(size=(700, 12))
+    wild = np.concatenate([c, [c[0] * 1e12]])
+    cases = [(c, c), (np.round(c), np.round(c)), (c + 1e9, c + 1e9), (c * 1e-30, c * 1e-30), (c * 1e150, c * 1e150), (wild, wild[-20:]), (c, c * 1e20)]
+    cases += [(np.repeat(c[:70], 10, axis=0), c[:20]), (np.zeros((700, 3)), np.ones((5, 3))), (np.concatenate([c, c * 1e-9]), c * 1e-9), (rng.normal(size=(700, 150)), rng.normal(size=(20, 150)))]
+    for corpus, queries in cases:
+        ids, queries, spec = rng.permutation(len(corpus)), queries[:20], Knn(7, p=p)
+        rows, near, dist = knn.compare(corpus, ids, queries, spec)
+        for q in range(len(queries)):
+            exact = knn.power_sums(corpus - queries[q], p)
+            order = np.lexsort((ids, exact))[:7]
+            assert near[rows == q].tolist() == ids[order].tolist() and dist[rows == q].tolist() == exact[order].tolist()
+
+
+@pytest.mark.parametrize("p", [1, 2])
+def test_few_are_measured_exactly(p):
+    rng = np.random.default_rng(39)
+    corpus = rng.normal(size=(5000, 64))
+    chunk = knn.Chunk(corpus, np.arange(5000), Knn(10, p=p))
+    rows, cols, _ = chunk.narrow(corpus[:32] + 0.1)
+    assert 320 <= len(rows) < 32 * 30
+
+
+def test_tiles_are_dealt_in_turn(spark):
+    """As many tiles as partitions: each has its own."""
+    for n in (3, 16, 76):
+        tiles = spark.range(n).withColumn("x", F.lit(1)).repartition(n, knn.in_turn(spark, F.col("id"), n))
+        assert tiles.select(F.spark_partition_id().alias("p")).distinct().count() == n
+
+
 def test_codes_are_stored_and_searched(spark):
     x = clustered(spark, 1500, 16, 12, spread=1.0)
     file = InvertedFile.fit(x, Knn(5), nlist=6)

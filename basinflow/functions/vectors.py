@@ -38,7 +38,8 @@ def normalised(vector: Column, p: float = 2) -> Column:
         norm = F.array_max(F.transform(values, F.abs))
     else:
         norm = F.pow(total(F.transform(values, lambda x: F.pow(F.abs(x), F.lit(float(p))))), F.lit(1.0 / p))
-    return F.transform(values, lambda x: x / F.greatest(norm, F.lit(1e-12)))
+    # the norm is bound once: in the inner function it would be worked out for every component
+    return F.transform(F.array(F.greatest(norm, F.lit(1e-12))), lambda n: F.transform(values, lambda x: x / n))[0]
 
 
 def usable(vector: Column) -> Column:

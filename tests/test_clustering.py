@@ -10,7 +10,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from basinflow.functions.vectors import ln_factorial, pnorm
+from basinflow.functions.vectors import ln_factorial, normalised, pnorm
 from basinflow.operators import coreset, density, evaluation, finetune, knn, modes, persistence, reduction
 from basinflow.operators.knn import Codebooks, InvertedFile, Knn
 from basinflow.sources import archive, metrics, tables
@@ -676,6 +676,14 @@ def test_few_are_measured_exactly(p):
     assert 320 <= len(rows) < 32 * 30
 
 
+def test_a_norm_is_worked_out_once_a_vector(spark):
+    """Not once for each component, as a norm inside the function of a component is."""
+    x = points(spark, [(1, [3.0, -1.0], 0), (2, None, 0), (3, [0.0, 0.0], 0)]).select("vec_id", normalised(F.col("embedding"), 1).alias("v"))
+    assert {r.vec_id: r.v for r in x.collect()} == {1: [0.75, -0.25], 2: None, 3: [0.0, 0.0]}
+    plan = x._jdf.queryExecution().analyzed().toString()
+    assert "greatest" in plan and "/ greatest" not in plan
+
+
 def test_tiles_are_dealt_in_turn(spark):
     """As many tiles as partitions: each has its own."""
     for n in (3, 16, 76):

@@ -118,6 +118,7 @@ class Products:
         if self.sound:
             self.side[:dims, :n], self.side[dims, :n] = (rows * self.scale).T, norms * self.scale**2
         self.step = max(1, min(256, (4 << 20) // self.side.shape[1]))
+        self.out = np.empty((self.step, self.side.shape[1]), dtype=np.float32)  # one for all blocks: fresh pages cost as much as the product
 
     def rough(self, queries: np.ndarray) -> np.ndarray | None:
         rows = (queries - self.mid) * self.scale
@@ -126,7 +127,7 @@ class Products:
             return None
         left = np.ones((len(rows), len(self.side)), dtype=np.float32)
         left[:, :-1] = -2 * rows
-        return left @ self.side
+        return np.matmul(left, self.side, out=self.out[: len(left)])
 
     def limit(self, dist: np.ndarray) -> np.ndarray:
         """What the rough value of a row no farther than ``dist`` cannot exceed."""
@@ -507,61 +508,183 @@ def coded_table(y: DataFrame, file: InvertedFile, books: Codebooks, id_col: str
     return materialise(rows.mapInArrow(lambda b: _encode_batches(b, centres, books), "id long, cell int, code binary"), "codes")
 
 
-def _coded_batches(batches: Iterator[pa.RecordBatch], centres: np.ndarray, books: Codebooks, most: int, block: int = 64) -> Iterator[pa.RecordBatch]:
-    now, held, codes, ids = None, [], None, None
+#: Queries of a block, whose best rows so far a task of the coded search holds.
+CODED_QUERIES = 16_384
+
+
+def _packed_codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Codes of a cell in one row for each batch: few rows are what every block of queries is sent."""
+    for batch in batches:
+        cells, ids, codes = batch.column(1).to_numpy(), batch.column(0).to_numpy(), np.array(batch.column(2).to_pylist(), dtype=object)
+        for cell in np.unique(cells):
+            own = np.flatnonzero(cells == cell)
+            yield pa.RecordBatch.from_arrays([pa.array([cell], type=pa.int32()), pa.array([ids[own].tobytes()], type=pa.binary()), pa.array([b"".join(codes[own])], type=pa.binary())], names=["cell", "ids", "codes"])
+
+
+class CodedBlock:
+    """Queries ``id, vec, cells`` and the ``most`` rows of the cells they probe with the least coded distances so far."""
+
+    def __init__(self, rows: pa.Table, centres: np.ndarray, books: Codebooks, most: int):
+        self.ids, self.vec, self.centres, self.books = rows.column("id").to_numpy(), rows.column("vec").combine_chunks(), centres, books
+        self.queries, self.cells = matrix(self.vec).astype(np.float32).astype(float), matrix(rows.column("cells").combine_chunks())
+        self.near, self.dist = np.zeros((len(self.ids), most), dtype=np.int64), np.full((len(self.ids), most), np.inf)
+
+    def see(self, cell: int, ids: np.ndarray, codes: np.ndarray) -> None:
+        asking = np.flatnonzero((self.cells == cell).any(axis=1))
+        if not len(asking):
+            return
+        count, most = self.books.books.shape[0], self.dist.shape[1]
+        coded = np.concatenate([self.books.books[m, codes[:, m]] for m in range(count)], axis=1)[:, : self.centres.shape[1]]
+        held = Products(coded)
+        for at in range(0, len(asking), held.step):
+            own = asking[at : at + held.step]
+            rest = self.queries[own] - self.centres[cell]
+            tables = self.books.tables(rest)
+            told = lambda r, c: sum(tables[m][r, codes[c, m]] for m in range(count))  # noqa: E731, B023
+            rough = held.rough(rest) if held.sound and len(ids) > 2 * most else None
+            if rough is None:
+                rows, cols = np.indices((len(own), len(ids))).reshape(2, -1)
+            else:
+                least = rough.reshape(len(rough), GROUP, -1).min(axis=1)
+                rows, cols = entries_below(rough, least, kth_bound(rough, least, most))
+                rows, cols = rows[cols < len(ids)], cols[cols < len(ids)]
+                best = best_of_rows(rows, ids[cols], told(rows, cols), most)
+                kth = told(rows[best], cols[best]).reshape(len(own), most)[:, -1]
+                rows, cols = entries_below(rough, least, held.limit(np.minimum(kth, self.dist[own, -1])))
+                rows, cols = rows[cols < len(ids)], cols[cols < len(ids)]
+            rows, near, dist = (np.concatenate(x) for x in ((np.repeat(np.arange(len(own)), most), rows), (self.near[own].ravel(), ids[cols]), (self.dist[own].ravel(), told(rows, cols))))
+            best = best_of_rows(rows, near, dist, most)
+            self.near[own], self.dist[own] = near[best].reshape(len(own), most), dist[best].reshape(len(own), most)
+
+    def found(self, chunks: int) -> Iterator[pa.RecordBatch]:
+        """``id, vec, chunk, js, dists``: a row for each query and chunk of vectors that its rows ``js`` lie in."""
+        for at in range(0, len(self.ids), 1024):
+            near, dist = self.near[at : at + 1024], self.dist[at : at + 1024]
+            rows = np.nonzero(dist < np.inf)[0]
+            near, dist = near[dist < np.inf], dist[dist < np.inf]
+            part = dealt(near, chunks)
+            order = np.lexsort((part, rows))
+            rows, part, near, dist = rows[order], part[order], near[order], dist[order]
+            cuts = np.flatnonzero(np.concatenate([[True], (rows[1:] != rows[:-1]) | (part[1:] != part[:-1]), [True]])) if len(rows) else np.zeros(1, dtype=int)
+            heads, lists = cuts[:-1], pa.array(cuts.astype(np.int32))
+            js, dists = (pa.ListArray.from_arrays(lists, pa.array(x)) for x in (near, dist))
+            yield pa.RecordBatch.from_arrays([pa.array(self.ids[at + rows[heads]]), self.vec.take(pa.array(at + rows[heads])), pa.array(part[heads].astype(np.int32)), js, dists], names=["id", "vec", "chunk", "js", "dists"])
+
+
+def dealt(ids: np.ndarray, chunks: int) -> np.ndarray:
+    """The chunk of vectors of every id, whatever steps ids go in."""
+    return ((ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)) % np.uint64(chunks)
+
+
+def _coded_blocks(batches: Iterator[pa.RecordBatch], centres: np.ndarray, books: Codebooks, most: int, chunk_rows: int, chunks: int) -> Iterator[pa.RecordBatch]:
+    """Rows ``block, side, cell, id, vec, cells, ids, codes`` in that order: a block's queries, then all codes cell by cell."""
     width = np.uint8 if books.books.shape[1] <= 256 else np.uint16
+    now, asked, block, held, cell, rows = None, [], None, [], None, 0
+
+    def see() -> None:
+        if held:
+            ids, codes = (b"".join(x) for x in zip(*held, strict=True))
+            block.see(cell, np.frombuffer(ids, dtype=np.int64), np.frombuffer(codes, dtype=width).reshape(len(ids) // 8, -1))
+
+    for batch in batches:
+        keys = np.stack([batch.column(k).to_numpy() for k in range(2)]) if batch.num_rows else np.zeros((2, 0))
+        cuts = np.flatnonzero(np.concatenate([[True], (keys[:, 1:] != keys[:, :-1]).any(axis=0), [True]])) if batch.num_rows else [0]
+        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+            some = batch.slice(lo, hi - lo)
+            if keys[0, lo] != now:
+                see()
+                if block is not None:
+                    yield from block.found(chunks)
+                now, asked, block, held, rows = keys[0, lo], [], None, [], 0
+            if keys[1, lo] == 0:
+                asked.append(some.select(["id", "vec", "cells"]))
+                continue
+            if not asked:
+                continue
+            if block is None:
+                block = CodedBlock(pa.Table.from_batches(asked), centres, books, most)
+            for k in range(some.num_rows):
+                if held and (some.column(2)[k].as_py() != cell or rows >= chunk_rows):
+                    see()
+                    held, rows = [], 0
+                cell = some.column(2)[k].as_py()
+                held.append((some.column(6)[k].as_py(), some.column(7)[k].as_py()))
+                rows += len(held[-1][0]) // 8
+    see()
+    if block is not None:
+        yield from block.found(chunks)
+
+
+def _dealt_batches(batches: Iterator[pa.RecordBatch], chunks: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(dealt(batch.column(0).to_numpy(), chunks).astype(np.int32))], names=["id", "vec", "chunk"])
+
+
+def _measured_batches(batches: Iterator[pa.RecordBatch], spec: Knn) -> Iterator[pa.RecordBatch]:
+    """Exact distances of queries ``id, vec, js`` to the rows ``js`` of a chunk, the ``k`` nearest of them."""
+    now, held, vectors, ids = None, [], None, None
     for key, side, rows in runs_of(batches):
         if key != now:
-            now, held, codes = key, [], None
+            now, held, vectors = key, [], None
         if side == 0:
             held.append(rows)
             continue
         if not held:
             continue
-        if codes is None:
+        if vectors is None:
             ids = np.concatenate([x.column(4).to_numpy() for x in held])
-            codes = np.concatenate([np.frombuffer(b"".join(x.column(6).to_pylist()), dtype=width).reshape(x.num_rows, -1) for x in held])
-        asked, own = matrix(rows.column(5)).astype(float), rows.column(4).to_numpy()
-        count = min(len(ids), most)
-        step = max(1, min(block, (4 << 20) // len(ids)))
-        for at in range(0, len(asked), step):
-            tables = books.tables(asked[at : at + step] - centres[key[1]])
-            rough = np.zeros((tables.shape[1], len(ids)))
-            for m, table in enumerate(tables):
-                rough += table[:, codes[:, m]]
-            near = np.argpartition(rough, count - 1, axis=1)[:, :count]
-            yield _neighbours(key[1], np.repeat(own[at : at + step], count), ids[near.ravel()], np.take_along_axis(rough, near, axis=1).ravel())
+            order = np.argsort(ids, kind="stable")
+            ids, vectors, held = ids[order], np.concatenate([matrix(x.column(5)) for x in held])[order], held[:1]
+        own, asked, lists = rows.column(4).to_numpy(), matrix(rows.column(5)), rows.column(6)
+        near, asking = lists.flatten().to_numpy(), np.repeat(np.arange(len(own)), np.diff(lists.offsets.to_numpy()))
+        at = np.minimum(np.searchsorted(ids, near), len(ids) - 1)
+        asking, at = asking[ids[at] == near], at[ids[at] == near]
+        dist = measured(vectors, asked, asking, at, 2)
+        best = best_of_rows(asking, ids[at], dist, spec.k)
+        yield _neighbours(0, own[asking[best]], ids[at[best]], np.sqrt(dist[best]) if spec.root else dist[best])
 
 
 def knn_ivfpq(x: DataFrame, file: InvertedFile, books: Codebooks, nprobe: int = 1, y: DataFrame | None = None, id_col: str = "vec_id", vector_col: str = "embedding", chunk_rows: int = CODE_ROWS, rerank: int = 8, codes: DataFrame | None = None) -> DataFrame:
     """Neighbours by product-quantised distances within the ``nprobe`` nearest cells, ordered anew.
 
-    The corpus takes part as the stored ``codes`` of :func:`coded_table` (None: made here): they are what is
-    shuffled and held, so a chunk has ``chunk_rows`` rows in the memory of a few thousand vectors and queries meet
-    as many fewer chunks.  The ``rerank * k`` best of a query by coded distance are joined with their vectors;
-    the distances that order and leave them are exact.  ``rerank=0`` leaves the coded distances and fetches nothing.
+    The corpus takes part as the stored ``codes`` of :func:`coded_table` (None: made here).  They are packed and sent to
+    every block of queries, whose task goes through them cell by cell, ``chunk_rows`` at a time, and keeps the
+    ``rerank * k`` best rows of each query, so they are never shuffled.  Those are measured with their vectors in tiles, a
+    block of queries against a chunk of vectors; the distances that order and leave them are exact.  ``rerank=0`` leaves the
+    coded distances and fetches nothing.
     Distances are Euclidean, whatever ``p``.  Otherwise as :func:`knn_ivf`; ids of ``y`` should be unique.
     """
-    spec, centres = file.spec, file.centres
+    spec, centres, spark = file.spec, file.centres, x.sparkSession
     corpus = coded_table(x if y is None else y, file, books, id_col, vector_col) if codes is None else codes
-    sizes = F.broadcast(corpus.groupBy("cell").count().select("cell", F.ceil(F.col("count") / chunk_rows).cast("int").alias("chunks")))  # one row per centre
-    held = corpus.join(sizes, "cell").withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
-    vectors = vectors_of(x, spec, id_col, vector_col)
-    asked = file.probe(vectors.dropDuplicates(["id"]), nprobe).join(sizes, "cell").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    none, dim = F.lit(None), F.lit(centres.shape[1]).alias("dim")
+    vectors, most, cores = vectors_of(x, spec, id_col, vector_col), max(rerank, 1) * spec.k, spark.sparkContext.defaultParallelism
+    asked = vectors.dropDuplicates(["id"]).mapInArrow(lambda b: _probe_batches(b, centres, nprobe), "id long, vec array<double>, cells array<int>")
+    queries = x.count()
+    rows = queries if y is None else y.count()
+    blocks = max(1, -(-queries // CODED_QUERIES), min(4 * cores, -(-queries // 512)))
+    chunks = max(1, -(-rows * centres.shape[1] * 8 // (2 * CHUNK_BYTES)))
+    none, every = F.lit(None), lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    packed = corpus.select("id", "cell", "code").mapInArrow(_packed_codes, "cell int, ids binary, codes binary")
     sides = [
-        held.select(dim, "cell", "chunk", F.lit(0).alias("side"), "id", none.cast("array<float>").alias("vec"), "code"),
-        asked.select(dim, "cell", "chunk", F.lit(1).alias("side"), "id", F.col("vec").cast("array<float>").alias("vec"), none.cast("binary").alias("code")),
+        asked.select(F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"), F.lit(0).alias("side"), F.lit(-1).alias("cell"), "id", "vec", "cells", none.cast("binary").alias("ids"), none.cast("binary").alias("codes")),
+        packed.select(every(blocks).alias("block"), F.lit(1).alias("side"), "cell", none.cast("long").alias("id"), none.cast("array<double>").alias("vec"), none.cast("array<int>").alias("cells"), "ids", "codes"),
     ]
-    keys = ["dim", "cell", "chunk", "side"]
-    tiles = sides[0].unionByName(sides[1]).repartition(*keys[:3]).sortWithinPartitions(*keys)
-    most = max(rerank, 1) * spec.k
-    found = merged(tiles.mapInArrow(lambda b: _coded_batches(b, centres, books, most), FOUND), most)
+    parts = min(blocks, 1 << 16)
+    tiles = sides[0].unionByName(sides[1]).repartition(parts, in_turn(spark, F.col("block"), parts)).sortWithinPartitions("block", "side", "cell")
+    schema = "id long, vec array<double>, chunk int, js array<long>, dists array<double>"
+    best = tiles.mapInArrow(lambda b: _coded_blocks(b, centres, books, most, chunk_rows, chunks), schema)
     if not rerank:
-        return merged(found.select("i", "j", F.sqrt("dist").alias("dist") if spec.root else "dist"), spec.k)
-    near = (vectors if y is None else vectors_of(y, spec, id_col, vector_col)).select(F.col("id").alias("j"), F.col("vec").alias("b"))
-    both = found.select("i", "j").join(near, "j").join(vectors.dropDuplicates(["id"]).select(F.col("id").alias("i"), F.col("vec").alias("a")), "i")
-    return merged(both.select("i", "j", pnorm(F.col("a"), F.col("b"), 2, spec.root).alias("dist")), spec.k)
+        pairs = best.select(F.col("id").alias("i"), F.explode(F.arrays_zip("js", "dists")).alias("x")).select("i", F.col("x.js").alias("j"), F.col("x.dists").alias("dist"))
+        return merged(pairs.withColumn("dist", F.sqrt(F.greatest("dist", F.lit(0.0)))) if spec.root else pairs, spec.k)
+    near = (vectors if y is None else vectors_of(y, spec, id_col, vector_col)).mapInArrow(lambda b: _dealt_batches(b, chunks), "id long, vec array<double>, chunk int")
+    blocks = max(-(-queries // BLOCK_ROWS), -(-4 * cores // chunks))
+    tile, dim, cell = (F.col("chunk") * blocks + F.col("block")).alias("chunk"), F.lit(centres.shape[1]).alias("dim"), F.lit(0).alias("cell")
+    sides = [
+        near.select("id", "vec", "chunk", every(blocks).alias("block")).select(dim, cell, tile, F.lit(0).alias("side"), "id", "vec", none.cast("array<long>").alias("js")),
+        best.select("id", "vec", "chunk", "js", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block")).select(dim, cell, tile, F.lit(1).alias("side"), "id", "vec", "js"),
+    ]
+    parts = min(blocks * chunks, 1 << 16)
+    tiles = sides[0].unionByName(sides[1]).repartition(parts, in_turn(spark, F.col("chunk"), parts)).sortWithinPartitions("dim", "cell", "chunk", "side")
+    return merged(tiles.mapInArrow(lambda b: _measured_batches(b, spec), FOUND), spec.k)
 
 
 # --- the pruned search --------------------------------------------------------------------------

@@ -706,6 +706,44 @@ def test_codes_are_stored_and_searched(spark):
     assert {len(r.code) for r in knn.coded_table(x, file, wide).collect()} == {4}
 
 
+@pytest.mark.parametrize("width, chunk_rows", [(2, 1 << 17), (2, 150), (3, 1 << 17)])
+def test_coded_search_is_that_of_its_definition(spark, width, chunk_rows):
+    """The best rows by coded distance of all cells a query probes, whatever the blocks and chunks; then exact order."""
+    x = clustered(spark, 1500, 16, 12, spread=1.0)
+    file = InvertedFile.fit(x, Knn(5), nlist=6)
+    books = Codebooks.fit(x, file, bits=6, width=width)
+    codes = knn.coded_table(x, file, books)
+    held = sorted(x.collect(), key=lambda r: r.vec_id)
+    vectors = np.array([r.embedding for r in held], dtype=float)
+    stored = {r.id: (r.cell, np.frombuffer(r.code, dtype=np.uint8)) for r in codes.collect()}
+    cells, code = np.array([stored[r.vec_id][0] for r in held]), np.array([stored[r.vec_id][1] for r in held])
+    coded = np.concatenate([books.books[m, code[:, m]] for m in range(code.shape[1])], axis=1)[:, :16] + file.centres[cells]
+    far = (file.centres**2).sum(axis=1)[None, :] - 2 * vectors @ file.centres.T
+    probed = np.argsort(far, axis=1, kind="stable")[:, :3]
+    found, rough = ({}, {})
+    for rows, rerank in ((found, 2), (rough, 0)):
+        for r in knn.knn_ivfpq(x, file, books, nprobe=3, codes=codes, chunk_rows=chunk_rows, rerank=rerank).collect():
+            rows.setdefault(r.i, {})[r.rk] = (r.j, r.dist)
+    for q in range(0, 1500, 10):
+        own = np.flatnonzero(np.isin(cells, probed[q]))
+        by_code = ((vectors[q] - coded[own]) ** 2).sum(axis=1)
+        best = own[np.argsort(by_code)[:10]]
+        exact = ((vectors[q] - vectors[best]) ** 2).sum(axis=1)
+        got = [rough[q][k] for k in range(1, 6)]
+        assert [d for _, d in got] == pytest.approx(np.sort(by_code)[:5].tolist(), rel=1e-6)
+        if np.sort(by_code)[10] - np.sort(by_code)[9] > 1e-9:
+            assert [found[q][k][1] for k in range(1, 6)] == pytest.approx(np.sort(exact)[:5].tolist(), rel=1e-9)
+
+
+def test_coded_search_uses_all_tasks(spark):
+    """The codes of a single cell are compared by a task for each block of queries."""
+    x = clustered(spark, 3000, 8, 3, spread=1.0)
+    file = InvertedFile(np.zeros((1, 8)), Knn(5))
+    found = knn.knn_ivfpq(x, file, Codebooks.fit(x, file, bits=4, width=4))
+    assert {r.n for r in found.groupBy("i").agg(F.count("*").alias("n")).collect()} == {5}
+    assert "block" in found._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_projection_of_ragged_vectors(spark):
     x = points(spark, [(1, [1.0, 2.0], 0), (2, [1.0, 2.0, 3.0], 0), (3, [], 0), (4, [None, 1.0], 0), (5, None, 0), (6, [3.0, 4.0], 0)])
     projector = reduction.RandomProjector(3, seed=11)

@@ -75,39 +75,50 @@ class NeighbourLists:
     since: DataFrame | None = None
     searched: tuple[int, int] = (0, 0)  # points searched for, and points in all, over all steps
 
-    def _search(self, asked: DataFrame, state: DataFrame, names: str) -> DataFrame:
-        """``i, j, reach``; a list that holds every point reaches everything."""
-        found = materialise(knn_exact(asked, Knn(self.k + self.spare, root=True), state, id_col="i", vector_col="x"), names)
-        ends = found.groupBy("i").agg(F.max("dist").alias("last"), F.count("*").alias("n"))
+    def _search(self, asked: DataFrame, state: DataFrame, names: str) -> tuple[DataFrame, DataFrame]:
+        """The exact neighbours ``i, rk, j, dist`` (squared) and ``i, j, reach, was``, with ``was`` the ``k``-th distance; a list
+        that holds every point reaches everything."""
+        found = materialise(knn_exact(asked, Knn(self.k + self.spare), state, id_col="i", vector_col="x"), names)
+        ends = found.groupBy("i").agg(F.sqrt(F.max("dist")).alias("last"), F.count("*").alias("n"), F.sqrt(F.max(F.when(F.col("rk") <= self.k, F.col("dist")))).alias("was"))
         reach = F.when(F.col("n") < self.k + self.spare, F.lit(math.inf)).otherwise(F.col("last"))
-        return materialise(found.select("i", "j").join(ends.select("i", reach.alias("reach")), "i"), names)
+        lists = materialise(found.select("i", "j").join(ends.select("i", reach.alias("reach"), "was"), "i"), names)
+        return found.where(F.col("rk") <= self.k), lists
+
+    def _anew(self, state: DataFrame) -> DataFrame:
+        """Neighbours and lists of all points as of now; what the search measured is not measured again."""
+        near, self.lists = self._search(state, state, "lists")
+        self.since = state.select("i", "x")
+        return near
 
     def nearest(self, state: DataFrame) -> DataFrame:
         """``i, rk, j, dist`` (squared distances) of the exact ``k`` nearest points of ``state(i, x)``."""
         if self.lists is None:
-            self.lists, self.since = self._search(state, state, "lists"), state.select("i", "x")
+            near = self._anew(state)
+            self.searched = (0, state.count())
+            return near
         places = state.select("i", "x")
         way = materialise(places.join(self.since.select("i", F.col("x").alias("x0")), "i").select("i", pnorm(F.col("x"), F.col("x0")).alias("way")), "ways")
         rows, farthest = way.agg(F.count("*"), F.coalesce(F.max("way"), F.lit(0.0))).first()
+        ends = self.lists.groupBy("i").agg(F.first("reach").alias("reach"), F.first("was").alias("was")).join(way, "i")
+        bound = (F.col("reach") - F.col("way") - F.lit(farthest)) * (1 - 1e-9)
+        # where the last k-th distances let expect that most lists fall short, they are not measured first: both ways are exact
+        if 2 * ends.where((F.col("reach") < F.lit(math.inf)) & (F.col("was") >= bound)).count() > rows:
+            self.searched = (self.searched[0] + rows, self.searched[1] + rows)
+            return self._anew(state)
         each = self.lists.join(places.select("i", F.col("x").alias("a")), "i").join(places.select(F.col("i").alias("j"), F.col("x").alias("b")), "j")
-        each = each.select("i", "j", "reach", pnorm(F.col("a"), F.col("b"), 2, False).alias("dist"))
+        each = each.select("i", "j", pnorm(F.col("a"), F.col("b"), 2, False).alias("dist"))
         near = materialise(merged(each, self.k, ["i"]), "near")
-        ends = near.groupBy("i").agg(F.max(F.sqrt("dist")).alias("kth"), F.count("*").alias("n")).join(self.lists.groupBy("i").agg(F.first("reach").alias("reach")), "i").join(way, "i")
-        bound = (F.col("reach") - F.col("way") - F.lit(farthest)) * (1 - 1e-9)
-        doubtful = materialise(ends.where((F.col("reach") < F.lit(math.inf)) & (F.col("kth") >= bound)).select("i"), "doubtful")
+        kth = near.groupBy("i").agg(F.max(F.sqrt("dist")).alias("kth"))
+        doubtful = materialise(kth.join(ends, "i").where((F.col("reach") < F.lit(math.inf)) & (F.col("kth") >= bound)).select("i"), "doubtful")
         again = doubtful.count()
         self.searched = (self.searched[0] + again, self.searched[1] + rows)
         if not again:
             return near
-        if 2 * again > rows:  # all lists anew, as of now
-            self.lists, self.since = self._search(state, state, "lists"), state.select("i", "x")
-            exact = self.lists.join(places.select("i", F.col("x").alias("a")), "i").join(places.select(F.col("i").alias("j"), F.col("x").alias("b")), "j")
-            return materialise(merged(exact.select("i", "j", pnorm(F.col("a"), F.col("b"), 2, False).alias("dist")), self.k, ["i"]), "near")
-        fresh = self._search(state.join(doubtful, "i", "left_semi"), state, "lists")
-        found = fresh.select("i", "j").join(places.select("i", F.col("x").alias("a")), "i").join(places.select(F.col("i").alias("j"), F.col("x").alias("b")), "j")
-        found = merged(found.select("i", "j", pnorm(F.col("a"), F.col("b"), 2, False).alias("dist")), self.k, ["i"])
+        if 2 * again > rows:
+            return self._anew(state)
+        found, fresh = self._search(state.join(doubtful, "i", "left_semi"), state, "lists")
         # their reach holds for the places of now; as of ``since`` others may have come nearer by their way till now
-        earlier = fresh.join(way, "i").select("i", "j", (F.col("reach") - F.col("way") - F.lit(farthest)).alias("reach"))
+        earlier = fresh.join(way, "i").select("i", "j", (F.col("reach") - F.col("way") - F.lit(farthest)).alias("reach"), "was")
         self.lists = materialise(self.lists.join(doubtful, "i", "left_anti").unionByName(earlier), "lists")
         return materialise(near.join(doubtful, "i", "left_anti").unionByName(found), "near")
 

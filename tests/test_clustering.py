@@ -575,6 +575,20 @@ def test_lists_search_again_only_where_they_must(spark):
     assert 0 < kept.searched[0] and kept.searched[1] == 1000
 
 
+def test_lists_are_not_measured_where_all_fall_short(spark, monkeypatch):
+    """The first search's distances are used as they are; after moves beyond every list's reach one search follows, and no join of lists."""
+    rng = np.random.default_rng(43)
+    kept, joined = finetune.NeighbourLists(4, 2), []
+    monkeypatch.setattr(finetune, "merged", lambda *a: joined.append(1) or knn.merged(*a))
+    place = rng.normal(size=(200, 3))
+    for _ in range(2):
+        df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(place)], "i long, x array<double>")
+        found = sorted((r.i, r.rk, r.j, round(r.dist, 9)) for r in kept.nearest(df).collect())
+        assert found == sorted((r.i, r.rk, r.j, round(r.dist, 9)) for r in knn.knn_exact(df, Knn(4), id_col="i", vector_col="x").collect())
+        place = place + rng.normal(size=place.shape)
+    assert kept.searched == (200, 400) and not joined
+
+
 def test_optimiser_step():
     """One AdamW step from rest moves each coordinate by the step size against its slope."""
     from pyspark.sql import SparkSession
